@@ -16,6 +16,7 @@ _INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _COEF = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_EACH = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -109,3 +110,16 @@ def shingle_sets(arr: pa.Array, n: int) -> Iterator[np.ndarray]:
     for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
         own = words[lo:hi]
         yield np.unique(sequences(own, min(n, len(own)))) if len(own) else own
+
+
+def value_hashes(values: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each value of a string array, case kept; a null counts as empty."""
+    out = []
+    for start in range(0, len(values), 1 << 16):
+        raw, offsets = _text_bytes(values.slice(start, 1 << 16))
+        up, down = _tables(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_EACH[raw] * up[: len(raw)], out=sums[1:])
+        begin, end = offsets[:-1], offsets[1:]
+        out.append(mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _COEF[63]))
+    return np.concatenate([np.zeros(0, np.uint64), *out])

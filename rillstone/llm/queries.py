@@ -5,18 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import bpe, near_dedup, packing
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = bpe.decode(bpe.encode(read(spark, sf_dir, "documents")))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op4_bpe_encode_decode": op4_bpe_encode_decode,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
 
