@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from . import hashing
 from .common import per_batch
 from .exchange import pack_arrays, through_dictionary, unpack_arrays
-from .packing import encode_words, tokenizer
+from .packing import encode_words, forget, tokenizer
 
 # The public pre-tokenisation pattern of byte-level BPE, and Unicode white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -63,8 +63,15 @@ def _words(texts: pa.Array, specials: list[str]) -> tuple[pa.Array, np.ndarray,
     return encoded, np.concatenate(counts).astype(np.int64), np.concatenate([plain, rest, empty])
 
 
-def _parts(words: pa.Array, parts: int) -> np.ndarray:
-    return (hashing.value_hashes(words) % np.uint64(parts)).astype(np.int64)
+def _dealt(block: pa.Table, specials: list[str], parts: int) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a block in order of (part, word), their parts, and of its words, as in _words: index, counts, rows."""
+    encoded, counts, rows = _words(block.column("text").combine_chunks(), specials)
+    words = encoded.dictionary
+    part = (hashing.value_hashes(words) % np.uint64(parts)).astype(np.int64)
+    order = pc.sort_indices(pa.table({"part": part, "word": words}), [("part", "ascending"), ("word", "ascending")]).to_numpy()
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    return words.take(pa.array(order)), part[order], place[encoded.indices.to_numpy()], counts, rows
 
 
 def _exact(word: str) -> str:
@@ -88,11 +95,14 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_tokenizer()
     specials = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
 
+    def keep(block: pa.Table, parts: int) -> bytes:
+        _, part, index, counts, rows = _dealt(block, specials, parts)
+        ids = block.column("doc_id").combine_chunks().take(pa.array(rows))
+        known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+        return pack_arrays(index, counts, ids.fill_null(0).to_numpy(), known, np.unique(part))
+
     def cells(block: pa.Table, parts: int) -> Iterator[tuple[int, bytes]]:
-        words = _words(block.column("text").combine_chunks(), specials)[0].dictionary
-        part = _parts(words, parts)
-        order = np.argsort(part, kind="stable")
-        words, part = words.take(pa.array(order)), part[order]
+        words, part, *_ = _dealt(block, specials, parts)
         for p, start, end in zip(*_runs(part), strict=True):
             own = words.slice(start, end - start).cast(pa.large_binary())
             lengths = pc.binary_length(own).to_numpy().astype(np.uint32)
@@ -107,38 +117,33 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         table = pa.concat_arrays(arrays).dictionary_encode()
         ids = encode_words([_exact(w) for w in table.dictionary.to_pylist()], path)
         lengths = np.array([len(i) for i in ids], np.uint32)
-        flat = np.fromiter((i for own in ids for i in own), np.uint32, int(lengths.sum()))
+        kind = np.uint16 if max(map(max, filter(None, ids)), default=0) < 1 << 16 else np.uint32
+        flat = np.fromiter((i for own in ids for i in own), kind, int(lengths.sum()))
+        del ids
         starts = np.cumsum(lengths, dtype=np.int64) - lengths
         index, at, out = table.indices.to_numpy(), 0, []
         for a in arrays:
             own = index[at : at + len(a)]
-            out.append(pack_arrays(lengths[own], _ragged(flat, starts[own], lengths[own])))
+            out.append(pack_arrays(lengths[own].astype(np.uint16), _ragged(flat, starts[own], lengths[own]), planes=False))
             at += len(a)
         return out
 
-    def finish(block: pa.Table, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        words, counts, rows = _words(block.column("text").combine_chunks(), specials)
-        part = _parts(words.dictionary, parts)
-        order = np.argsort(part, kind="stable")
-        got = [unpack_arrays(answers[p]) for p in _runs(part[order])[0]]
-        empty = np.zeros(0, np.uint32)
-        lengths = np.concatenate([empty, *(g[0] for g in got)]).astype(np.int64)
-        flat = np.concatenate([empty, *(g[1] for g in got)])
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        word = place[words.indices.to_numpy()]
+    def finish(kept: bytes, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        word, counts, doc, known, used = unpack_arrays(kept)
+        got = [unpack_arrays(answers[p]) for p in used.tolist()]
+        lengths = np.concatenate([np.zeros(0, np.uint32), *(g[0] for g in got)]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint16), *(g[1] for g in got)])
         starts = np.cumsum(lengths) - lengths
-        ids = _ragged(flat, starts[word], lengths[word])
-        word_ends = np.concatenate([[0], np.cumsum(lengths[word])])
-        offsets = word_ends[np.concatenate([[0], np.cumsum(counts)])]
-        doc_ids = block.column("doc_id").combine_chunks().take(pa.array(rows))
-        for lo in range(0, len(rows), 500):
-            hi = min(lo + 500, len(rows))
-            own = pa.ListArray.from_arrays(pa.array((offsets[lo : hi + 1] - offsets[lo]).astype(np.int32)), pa.array(ids[offsets[lo] : offsets[hi]].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), own], ["doc_id", "ids"])
+        first = np.concatenate([[0], np.cumsum(counts)])
+        ids = pa.array(doc, mask=known == 0)
+        for lo in range(0, len(doc), 200):
+            hi = min(lo + 200, len(doc))
+            own = word[first[lo] : first[hi]]
+            ends = np.concatenate([[0], np.cumsum(lengths[own])])[first[lo : hi + 1] - first[lo]]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_ragged(flat, starts[own], lengths[own]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), lists], ["doc_id", "ids"])
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return through_dictionary(docs, cells, resolve, finish, "doc_id long, ids array<int>")
+    return through_dictionary(docs, keep, cells, resolve, finish, "doc_id long, ids array<int>")
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
@@ -197,6 +202,7 @@ def piece_table_arrays(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pieces' bytes in one array, their starts and lengths; a last, empty piece stands for unknown ids."""
     if path not in _pieces:
         table = [*piece_table(path), b""]
+        forget(path)
         lengths = np.array([len(p) for p in table])
         _pieces[path] = np.frombuffer(b"".join(table), np.uint8), np.cumsum(lengths) - lengths, lengths
     return _pieces[path]

@@ -9,7 +9,9 @@ instead of every occurrence with its document and position, and no dictionary is
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,37 +22,48 @@ from pyspark.sql import DataFrame
 from .common import byte_lengths
 
 BLOCK = 8 << 20
-Cells = Callable[[pa.Table], Iterable[tuple[int, bytes]]]
 
 
-def pack_arrays(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as compressed byte planes; sorted ones should come as differences."""
-    out = [np.uint32(len(arrays)).tobytes()]
+_CODEC = pa.Codec("zstd", 6)
+
+
+def pack_arrays(*arrays: np.ndarray, planes: bool = True) -> bytes:
+    """Integer arrays, compressed; by byte planes, which suits differences of sorted values, or as they are."""
+    out = [np.uint32(len(arrays) << 1 | planes).tobytes()]
     for a in arrays:
-        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
-        data = pa.compress(planes, "zstd", asbytes=True)
+        raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) if planes else a
+        data = _CODEC.compress(raw.tobytes(), asbytes=True)
         out += [a.dtype.str.encode().ljust(4), np.array([len(a), len(data)], "<u8").tobytes(), data]
     return b"".join(out)
 
 
 def unpack_arrays(data: bytes) -> list[np.ndarray]:
-    n, at, out = int.from_bytes(data[:4], "little"), 4, []
-    for _ in range(n):
+    head, at, out = int.from_bytes(data[:4], "little"), 4, []
+    for _ in range(head >> 1):
         kind = np.dtype(data[at : at + 4].decode().strip())
         size, packed = np.frombuffer(data, "<u8", 2, at + 4).tolist()
-        planes = pa.decompress(data[at + 20 : at + 20 + packed], size * kind.itemsize, "zstd", asbytes=True)
-        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, size).T).view(kind).reshape(size))
+        raw = np.frombuffer(_CODEC.decompress(data[at + 20 : at + 20 + packed], size * kind.itemsize, asbytes=True), np.uint8)
+        if head & 1:
+            raw = np.ascontiguousarray(raw.reshape(kind.itemsize, size).T)
+        out.append(raw.view(kind).reshape(size))
         at += 20 + packed
     return out
 
 
 def pack_table(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=_CODEC)) as writer:
         writer.write_table(table.combine_chunks())
     return sink.getvalue().to_pybytes()
 
 
+def release() -> None:
+    """Give freed memory back; Python workers stay alive between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unpack_table(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
@@ -91,17 +104,19 @@ def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.R
 
 def through_dictionary(
     docs: DataFrame,
+    keep: Callable[[pa.Table, int], bytes],
     cells: Callable[[pa.Table, int], Iterable[tuple[int, bytes]]],
     resolve: Callable[[list[bytes]], list[bytes]],
-    finish: Callable[[pa.Table, dict[int, bytes]], Iterable[pa.RecordBatch]],
+    finish: Callable[[bytes, dict[int, bytes]], Iterable[pa.RecordBatch]],
     schema: str,
     block: int = BLOCK,
 ) -> DataFrame:
     """``docs`` (doc_id, text) in blocks through a dictionary shared by the whole corpus.
 
-    cells(block, parts) gives the packed distinct values by part, resolve(cells of a part) the
-    answers in the same order, finish(block, answers by part) the rows of ``schema``. The number of
-    parts is the session's number of shuffle partitions, which grows with the data.
+    keep(block, parts) gives what the block's rows are finished from, cells(block, parts) the packed
+    distinct values by part, resolve(cells of a part) the answers in the same order, finish(what was
+    kept, answers by part) the rows of ``schema``. The number of parts is the session's number of
+    shuffle partitions, which grows with the data.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
@@ -109,23 +124,29 @@ def through_dictionary(
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block_id, table in _blocks(batches, block):
             rows = [(block_id, part, cell) for part, cell in cells(table, parts)]
+            release()
             yield _rows(rows, ["block", "part", "payload"], [pa.int64(), pa.int32(), pa.binary()])
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block_id, table in _blocks(batches, block):
-            yield _rows([(block_id, pack_table(table))], ["block", "payload"], [pa.int64(), pa.binary()])
+            kept = keep(table, parts)
+            release()
+            yield _rows([(block_id, kept)], ["block", "payload"], [pa.int64(), pa.binary()])
 
     def answer(table: pa.Table) -> pa.Table:
         payload = resolve(table.column("payload").to_pylist())
+        release()
         return pa.table({"block": table.column("block"), "part": table.column("part"), "payload": pa.array(payload, pa.binary())})
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             raise RuntimeError("a block and its answers were made from different rows")
         answers = dict(zip(right.column("part").to_pylist(), right.column("payload").to_pylist(), strict=True))
-        return pa.Table.from_batches(finish(unpack_table(left.column("payload")[0].as_py()), answers))
+        out = pa.Table.from_batches(finish(left.column("payload")[0].as_py(), answers))
+        release()
+        return out
 
     asked = docs.mapInArrow(ask, "block long, part int, payload binary")
     answered = asked.groupBy("part").applyInArrow(answer, "block long, part int, payload binary")
-    blocks = docs.mapInArrow(keep, "block long, payload binary")
+    blocks = docs.mapInArrow(hold, "block long, payload binary")
     return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(meet, schema)

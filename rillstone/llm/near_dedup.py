@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import per_batch, sized, slices, stage
 
-PERMS, ROWS = 100, 5
-#: Pairs whose signatures agree less than the threshold by this much are not verified: six
-#: standard deviations of the estimate at the threshold.
-SLACK = 0.21
+#: Signature slots; the first BANDS * ROWS are dealt into bands. At a similarity of 0.85 a pair shares
+#: no bucket with odds of (1 - 0.85 ** 5) ** 20 = 8e-6.
+PERMS, BANDS, ROWS = 200, 20, 5
+#: Pairs whose signatures agree less than the threshold by this much are not verified: five standard
+#: deviations of the estimate from 200 slots at the threshold.
+SLACK = 0.126
 BLOCK = 512
 _GOLD = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -73,30 +75,30 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return hashing.mix(keys + np.arange(len(parts), dtype=np.uint64) * np.uint64(_GOLD))
 
 
-def _signatures(shingle: int, perms: int, rows: int):
+def _signatures(shingle: int, perms: int, bands: int, rows: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for part in slices(batch, 1, 8 << 20):
-            sizes, digests, sigs, bands = [], [], [], []
+            sizes, digests, sigs, keys = [], [], [], []
             for s in hashing.shingle_sets(part.column(1), shingle):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig = superminhash(s, perms) if len(s) else None
                 sigs.append(None if sig is None else hashing.mix(sig).astype(np.uint8).tobytes())
-                bands.append(None if sig is None else band_keys(sig, rows).view(np.int64))
+                keys.append(None if sig is None else band_keys(sig[: bands * rows], rows).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "set_key", "sig", "bands"],
             )
 
     return per_batch(run)
 
 
-def signatures(docs: DataFrame, shingle: int = 5, perms: int = PERMS, rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int = 5, perms: int = PERMS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, set_key, sig (a byte per slot) and bands of each row of ``docs``."""
     return docs.select("doc_id", "text").mapInArrow(
-        _signatures(shingle, perms, rows), "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"
+        _signatures(shingle, perms, bands, rows), "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"
     )
 
 
@@ -233,7 +235,7 @@ def _cross(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms: int = PERMS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms: int = PERMS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text, any others).
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of ``shingle``-word
@@ -243,7 +245,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms:
     component if their texts are equal; a doc_id that is repeated with different texts is grouped
     with equal sets only. An empty table gives no rows.
     """
-    base = stage(signatures(docs, shingle, perms, rows), "signatures")
+    base = stage(signatures(docs, shingle, perms, bands, rows), "signatures")
     usable = base.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     best = F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id")
     reps = usable.groupBy("set_key").agg(F.min("doc_id").alias("doc"), best.alias("s"))

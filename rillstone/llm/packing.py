@@ -48,6 +48,11 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+def forget(path: str) -> None:
+    """Free the tokenizer where only its tables are needed from now on."""
+    _tokenizers.pop(path, None)
+
+
 def encode_words(words: list[str], path: str) -> list[list[int]]:
     """Ids of each word, encoded by itself."""
     out, t = [], tokenizer(path)
