@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from . import hashing
 from .common import per_batch
 from .exchange import pack_arrays, through_dictionary, unpack_arrays
-from .packing import encode_words, forget, tokenizer
+from .packing import BYTE_LETTERS, encode_words, forget, tokenizer
 
 # The public pre-tokenisation pattern of byte-level BPE, and Unicode white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = r"\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Texts that are cut by the pattern: a space before white space or at the end, or a zero byte.
 _BY_PATTERN = f" [{WHITE}]| $|\\x00"
+#: Ids that are decoded at once.
+RUN = 200_000
 #: Marks a word that is exact, without a space before it.
 _EXACT = "\x00"
 
@@ -156,7 +158,7 @@ def _runs(sorted_values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
 
 def piece_table(path: str) -> list[bytes]:
     """The bytes of each id, by id. The vocabulary file bounds its size."""
-    byte = {c: b for b, c in _byte_letters().items()}
+    byte = {c: b for b, c in BYTE_LETTERS.items()}
     t = tokenizer(path)
     out = [b""] * t.get_vocab_size()
     for piece, i in t.get_vocab().items():
@@ -164,13 +166,6 @@ def piece_table(path: str) -> list[bytes]:
     return out
 
 
-def _byte_letters() -> dict[int, str]:
-    """Byte-level BPE writes printable bytes as themselves and the others as letters from U+0100 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` (doc_id, ids, any others) with the text of its ids: each id joined to its piece, in order.
 
@@ -179,17 +174,22 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_tokenizer()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        pieces = piece_table_arrays(path)
+        raw, begins, sizes = piece_table_arrays(path)
         column = batch.column("ids")
         lists = column.fill_null([]) if column.null_count else column
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        ids = lists.flatten().to_numpy(zero_copy_only=False)
-        ids = np.where((ids >= 0) & (ids < len(pieces[2])), ids, len(pieces[2]) - 1)
-        lengths = pieces[2][ids]
-        data = _ragged(pieces[0], pieces[1][ids], lengths).tobytes()
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        start = 0
+        while start < batch.num_rows:  # a run of rows with about RUN ids, so that bytes of few texts are laid out at once
+            end = max(start + 1, int(np.searchsorted(first, first[start] + RUN, side="right")) - 1)
+            ids = lists.slice(start, end - start).flatten().to_numpy(zero_copy_only=False)
+            ids = np.where((ids >= 0) & (ids < len(sizes)), ids, len(sizes) - 1)
+            lengths = sizes[ids]
+            data = _ragged(raw, begins[ids], lengths).tobytes()
+            ends = np.concatenate([[0], np.cumsum(lengths)])[first[start : end + 1] - first[start]]
+            texts = [data[x:y].decode("utf-8", "replace") for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            own = batch.slice(start, end - start)
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(texts, pa.string())], [*own.schema.names, "text"])
+            start = end
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.drop("text").schema.fields)
     return encoded.drop("text").mapInArrow(per_batch(run), kinds + ", text string")

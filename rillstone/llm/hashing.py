@@ -41,7 +41,7 @@ def _tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _piece(raw: np.ndarray, starts_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _piece(raw: np.ndarray, starts_doc: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and start positions of the words of ``raw``; a word also ends where a document starts."""
     up, down = _tables(len(raw))
     word = ~_SPACE[raw]
@@ -55,7 +55,7 @@ def _piece(raw: np.ndarray, starts_doc: np.ndarray) -> tuple[np.ndarray, np.ndar
     last[before] |= word[before]
     begin, end = np.flatnonzero(first), np.flatnonzero(last)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    np.cumsum(table[raw] * up[: len(raw)], out=sums[1:])
     h = (sums[end + 1] - sums[begin]) * down[begin]
     return mix(h + (end - begin).astype(np.uint64) * _COEF[63]), begin
 
@@ -69,7 +69,12 @@ def _text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def exact_word_hashes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, with case kept."""
+    return word_hashes(arr, _EACH)
+
+
+def word_hashes(arr: pa.Array, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts of a string array, one after another, and n + 1 offsets into them."""
     raw, offsets = _text_bytes(arr)
     hashes, begins, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
@@ -82,7 +87,7 @@ def word_hashes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 break
             end = min(len(raw), end + PIECE)
         lo, hi = np.searchsorted(offsets, [at, end])
-        h, b = _piece(raw[at:end], offsets[lo:hi] - at)
+        h, b = _piece(raw[at:end], offsets[lo:hi] - at, table)
         hashes.append(h)
         begins.append(b + at)
         at = end

@@ -7,6 +7,7 @@ their ordinal within their length, counted over salted groups: nothing whole pas
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ CAPACITY = 2048
 GROUPS, SMALL = 512, 128
 SALTS = 64
 #: Words whose ids a Python worker remembers; the cache is emptied beyond that.
-CACHED = 700_000
+CACHED = 800_000
 _tokenizers: dict = {}
 _ids: dict[bytes, bytes] = {}
 
@@ -61,15 +62,41 @@ def encode_words(words: list[str], path: str) -> list[list[int]]:
     return out
 
 
+#: Words of letters that need no composition, then signs: two pre-tokens, given to the model as they are.
+_PLAIN = re.compile(r"([a-zà-öø-ÿ]*)([.,;:!?*#$%&|()-]*)")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: How the byte-level vocabulary writes bytes: printable ones as themselves, the others from U+0100 on.
+BYTE_LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_cores: dict[str, bytes] = {"": b""}
+
+
+def _word_ids(word: str, path: str) -> bytes:
+    """A word's ids. Plain words skip normaliser and pre-tokeniser, which would leave them as they are."""
+    plain = _PLAIN.fullmatch(word.lower())
+    if not plain:
+        return array("I", tokenizer(path).encode(word, add_special_tokens=False).ids).tobytes()
+    out = b""
+    for core in plain.groups():
+        ids = _cores.get(core)
+        if ids is None:
+            letters = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = _cores[core] = array("I", [t.id for t in tokenizer(path).model.tokenize(letters)]).tobytes()
+        out += ids
+    return out
+
+
 def _document_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian uint32. The tokenizer drops white space and never joins
     over it, so a text's ids are those of its words."""
     split = [t.split() for t in texts]
     if len(_ids) > CACHED:
         _ids.clear()
-    new = list(set().union(*(set(w).difference(_ids) for w in split)))
-    for word, ids in zip(new, encode_words([w.decode("utf-8", "replace") for w in new], path), strict=True):
-        _ids[word] = array("I", ids).tobytes()
+    if len(_cores) > CACHED:
+        _cores.clear()
+        _cores[""] = b""
+    for words in split:
+        for word in set(words).difference(_ids):
+            _ids[word] = _word_ids(word.decode("utf-8", "replace"), path)
     for words in split:
         yield b"".join(map(_ids.__getitem__, words))
 
