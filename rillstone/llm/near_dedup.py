@@ -28,10 +28,10 @@ from .common import per_batch, sized, slices, stage
 
 #: Signature slots; the first BANDS * ROWS are dealt into bands. At a similarity of 0.85 a pair shares
 #: no bucket with odds of (1 - 0.85 ** 5) ** 20 = 8e-6.
-PERMS, BANDS, ROWS = 200, 20, 5
+PERMS, BANDS, ROWS = 400, 20, 5
 #: Pairs whose signatures agree less than the threshold by this much are not verified: five standard
-#: deviations of the estimate from 200 slots at the threshold.
-SLACK = 0.126
+#: deviations of the estimate from 400 slots at the threshold.
+SLACK = 0.09
 BLOCK = 512
 _GOLD = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
