@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, packing
+from . import bpe, mpeg, near_dedup, ngram_lm, packing, quality, secrets
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngram_lm.scores(read(spark, sf_dir, "documents"))
+    return scored.withColumn("log10_score", F.round("log10_score", 4))
+
+
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe.decode(bpe.encode(read(spark, sf_dir, "documents")))
     return both.select(
@@ -31,10 +36,37 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_mpeg_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = mpeg.from_media(mpeg.to_media(read(spark, sf_dir, "documents")))
+    tail = F.expr("substring(payload, length(payload) - 15, 16)")
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(tail).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        "feature",
+    )
+
+
+def op9_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_stupid_backoff": op3_stupid_backoff,
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_mpeg_audio_columns": op8_mpeg_audio_columns,
+    "op9_subword_quality": op9_subword_quality,
+    "op10_linked_secrets": op10_linked_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
