@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mpeg, near_dedup, ngram_lm, packing, quality, secrets
+from . import bpe, extraction, mpeg, near_dedup, ngram_lm, packing, quality, secrets, topk, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(read(spark, sf_dir, "pages"))
+
+
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ngram_lm.scores(read(spark, sf_dir, "documents"))
     return scored.withColumn("log10_score", F.round("log10_score", 4))
@@ -28,6 +36,10 @@ def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -60,8 +72,11 @@ def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_main_text": op1_main_text,
+    "op2_warc_round_trip": op2_warc_round_trip,
     "op3_stupid_backoff": op3_stupid_backoff,
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_mpeg_audio_columns": op8_mpeg_audio_columns,
