@@ -1,12 +1,52 @@
-"""A training-corpus pipeline over ``documents``: a list of stages, each one operator of rillstone.llm."""
+"""A training-corpus pipeline over ``documents``: a list of stages, each one operator of rillstone.llm.
+
+Documents that the quality classifier rejects go; of each group of near duplicates one document stays;
+secrets are replaced in the texts; what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillstone.llm import near_dedup, packing, quality, secrets
+from rillstone.llm.common import read, sized, stage
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text the classifier does not reject; labels are those of ``labels``."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the row with the smallest doc_id; of rows that repeat one id and text, one."""
+    found = near_dedup.near_duplicates(docs)
+    dropped = stage(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    kept = docs.join(sized(dropped), "doc_id", "left_anti").select(*docs.columns)
+    repeated = stage(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(sized(repeated), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(sized(repeated), "doc_id", "left_anti").select(*docs.columns).union(once)
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with secrets in texts replaced and n_chars counted anew."""
+    hidden = secrets.redact(docs)
+    return hidden.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else hidden
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's pieces and their places in sequences."""
+    return packing.pack(docs)
 
-from rillstone.llm.common import read, stage
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", keep_good),
+    ("near duplicates", keep_one_of_each_group),
+    ("secret scans", hide_secrets),
+    ("best-fit packing", pack),
+]
 
 #: The classifier, signatures and the packing have no SQL form; tests compare run() with brute force.
 ORACLE_SQL = None
@@ -16,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to ``documents``, each over the written rows of the one before."""
     docs = read(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
