@@ -23,8 +23,8 @@ CAPACITY = 2048
 #: Equal-cardinality groups of large lengths; lengths up to SMALL are placed by best fit.
 GROUPS, SMALL = 512, 128
 SALTS = 64
-#: Words whose ids a Python worker remembers; the cache is emptied beyond that.
-CACHED = 800_000
+#: Words whose ids a Python worker remembers; beyond that it forgets all but the latest.
+CACHED = 400_000
 _tokenizers: dict = {}
 _ids: dict[bytes, bytes] = {}
 
@@ -89,23 +89,25 @@ def _document_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian uint32. The tokenizer drops white space and never joins
     over it, so a text's ids are those of its words."""
     split = [t.split() for t in texts]
-    if len(_ids) > CACHED:
-        _ids.clear()
-    if len(_cores) > CACHED:
-        _cores.clear()
-        _cores[""] = b""
     for words in split:
         for word in set(words).difference(_ids):
             _ids[word] = _word_ids(word.decode("utf-8", "replace"), path)
     for words in split:
         yield b"".join(map(_ids.__getitem__, words))
+    if len(_ids) > CACHED:  # what this run of texts used stays
+        kept = {w: _ids[w] for words in split for w in words}
+        _ids.clear()
+        _ids.update(kept)
+    if len(_cores) > CACHED:
+        _cores.clear()
+        _cores[""] = b""
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     end = array("I", [end_id]).tobytes()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, 1, 4 << 20):
+        for part in slices(batch, 1, 2 << 20):
             doc, piece, start, length, crc = [], [], [], [], []
             texts = [t.encode() if t else b"" for t in part.column(1).to_pylist()]
             for doc_id, ids in zip(part.column(0).to_pylist(), _document_ids(texts, path), strict=True):
