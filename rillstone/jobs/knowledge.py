@@ -300,3 +300,11 @@ def u4(spark, d):
         "event_id", ids.prefixed_key("admission", "event_type", "user_id").alias("key"), ids.is_integer_string(text).alias("is_integer"),
         ids.is_natural_string(text).alias("is_natural"), ids.content_key("ctx:", context).alias("address"),
     )
+
+
+@job("k14_record_frames", f"""{FR}, rec AS (SELECT idx, 'r' || (idx % 800) AS record_id, id AS fragment_id, tags[1] AS lang, idx // 100 AS seq FROM fr), m AS (SELECT lang, max(seq) AS cursor FROM rec GROUP BY 1)
+SELECT rec.lang, cursor, idx, record_id, fragment_id FROM rec JOIN m ON rec.lang = m.lang AND seq = cursor""")
+def k14(spark, d):
+    f = fragments(spark, d)
+    rows = f.select("idx", F.concat(F.lit("r"), (F.col("idx") % 800).cast("string")).alias("record_id"), F.col("id").alias("fragment_id"), F.col("tags")[0].alias("lang"))
+    return memory.load_records(memory.record_frames(rows, ["lang"], F.floor(F.col("idx") / 100)), ["lang"])

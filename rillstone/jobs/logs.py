@@ -290,3 +290,22 @@ def m7(spark, d):
 def m8(spark, d):
     schema = {"type": "object", "required": ["k"], "additionalProperties": False, "properties": {"k": {"$ref": "#/definitions/fib"}}, "definitions": {"fib": {"type": "integer", "enum": [1, 2, 3, 5, 8, 13, 21, 34, 55, 89]}}}
     return bus.validate_payloads(read(spark, d, "events").select("event_id", "props"), "props", schema).select("event_id", "valid", "path")
+
+
+@job("c6_compacted_state", f"""{MAP}, p AS (SELECT collection, (max(seq) + 1) // 25 * 25 - 1 AS cursor FROM c GROUP BY 1), q AS (SELECT c.* FROM c JOIN p USING (collection) WHERE seq <= cursor),
+cl AS (SELECT collection, max(seq) FILTER (kind = 'clear') AS cut FROM q GROUP BY 1), r AS (SELECT q.* FROM q JOIN cl USING (collection) WHERE kind <> 'clear' AND (cut IS NULL OR seq > cut))
+SELECT collection, k, v FROM r QUALIFY row_number() OVER (PARTITION BY collection, k ORDER BY seq DESC) = 1 AND kind = 'set'""")
+def c6(spark, d):
+    return collections.compacted(map_changes(spark, d), 25)[0]
+
+
+@job("c6_frames_after_snapshot", f"{MAP}, p AS (SELECT collection, (max(seq) + 1) // 25 * 25 - 1 AS cursor FROM c GROUP BY 1) SELECT collection, seq, kind FROM c JOIN p USING (collection) WHERE seq > cursor")
+def c6_frames(spark, d):
+    return collections.compacted(map_changes(spark, d), 25)[1].select("collection", "seq", "kind")
+
+
+@job("s9_observe_log", f"""{E} SELECT event_id, 'app/' || event_type || '/' || user_id AS path, row_number() OVER (ORDER BY ms, event_id) AS seq FROM e WHERE event_type LIKE 's%'""")
+def s9(spark, d):
+    e = events(spark, d)
+    path = F.concat(F.lit("app/"), "event_type", F.lit("/"), F.col("user_id").cast("string"))
+    return collections.observed(e, path, "app/s", ORDER, F.floor(F.col("ms") / 3_600_000)).select("event_id", "path", "seq")

@@ -355,3 +355,10 @@ def t6(spark, d):
 def s3(spark, d):
     spans = events(spark, d).groupBy("user_id").agg(F.min("ms").alias("a"), F.max("ms").alias("b"))
     return timeops.interval(spans, "a", "b", 24 * HOUR).select("user_id", F.col("tick").alias("tick"), "tick_at")
+
+
+@job("p3_tap", f"{E} SELECT event_id, cents FROM e")
+def p3(spark, d):
+    rows, _ = basic.tap(events(spark, d), "rows", F.count(F.lit(1)).alias("rows"), F.sum("cents").alias("cents"))
+    rows, _ = basic.tap_first(rows, "first purchase", ORDER, of("purchase"))
+    return rows.select("event_id", "cents")

@@ -220,3 +220,24 @@ def log_page(log: DataFrame, after: int, limit: int) -> DataFrame:
     rows = rows.withColumn("done", F.max("_r").over(whole) <= limit)
     rows = rows.withColumn("next_after", F.max(F.when(F.col("_r") <= limit, F.col("seq"))).over(whole))
     return rows.where(F.col("_r") <= limit).drop("_r")
+
+
+def snapshot_points(changes: DataFrame, every: int) -> DataFrame:
+    """collection and cursor of each collection's last snapshot frame, if one is written every ``every`` changes."""
+    last = changes.groupBy(*C).agg(F.max("seq").alias("_last"))
+    cursor = F.floor((F.col("_last") + 1) / every) * every - 1
+    return last.select(*C, cursor.cast("long").alias("cursor")).where("cursor >= 0")
+
+
+def compacted(changes: DataFrame, every: int) -> tuple[DataFrame, DataFrame]:
+    """Snapshot rows at each collection's last point, and the change frames after it, which is all a restore needs."""
+    points = snapshot_points(changes, every)
+    rows = changes.join(points, C, "left").withColumn("cursor", F.coalesce("cursor", F.lit(-1)))
+    return map_snapshot(rows.where("seq <= cursor")), rows.where("seq > cursor").drop("cursor")
+
+
+def observed(rows: DataFrame, path: Column, prefix: str, order: list[str], bucket: Column) -> DataFrame:
+    """Rows under a path prefix as an event log: path and a dense seq from 1 over all of them."""
+    from ..functions.order import number
+
+    return number(rows.withColumn("path", path).where(F.col("path").startswith(prefix)), order, bucket=bucket, name="seq")

@@ -21,9 +21,9 @@ def _dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two double arrays; the shorter is filled with zeros. A zero norm or a value that is not finite gives 0."""
-    value = _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+    value = F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
     norms = _dot(a, a) * _dot(b, b)
-    bad = F.isnan(value) | (F.abs(value) == float("inf")) | F.isnan(norms) | (norms == float("inf"))
+    bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")) | F.isnan(norms) | (norms == float("inf"))
     return F.when((norms > 0) & ~bad, value).otherwise(F.lit(0.0))
 
 
@@ -225,3 +225,16 @@ def pack_context(entries: DataFrame, texts: DataFrame, most: int | None, separat
         F.sum((fits & ~there).cast("int")).alias("missing"),
         (F.max("_over") == 1).alias("truncated"),
     )
+
+
+def record_frames(records: DataFrame, keys: list[str], seq: Column) -> DataFrame:
+    """A replaceAll frame per key: its records, in input order, as one JSON array under the frame's seq."""
+    body = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("idx", "record_id", "fragment_id"))), lambda r: r))
+    return records.groupBy(*keys, seq.alias("seq")).agg(body.alias("records"))
+
+
+def load_records(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """The records of each key's last frame."""
+    last = frames.groupBy(*keys).agg(F.max_by("records", "seq").alias("records"), F.max("seq").alias("cursor"))
+    rows = F.from_json("records", "array<struct<idx: bigint, record_id: string, fragment_id: string>>")
+    return last.select(*keys, "cursor", F.explode(rows).alias("r")).select(*keys, "cursor", "r.*")
