@@ -46,7 +46,8 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\shidden(?=[\s=>/])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _CONTENT = frozenset(["article", "main"])
-DEFAULT = {"word": 1.0, "furniture": -1.0, "tag": -2.0}
+#: Weights without labelled pages: a tag costs a word, one of running text far less, a piece of furniture two words.
+DEFAULT = {"word": 1.0, "furniture": -2.0, "tag": -1.0} | dict.fromkeys("p a b i em strong u span br h1 h2 h3 h4 h5 h6 li sup sub q code".split(), -0.1)
 
 
 def _is_furniture(name: str, attributes: str, in_content: bool) -> bool:
@@ -107,7 +108,8 @@ def learn(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     """Weights from how often each kind of token stands inside and outside marked articles.
 
     Words weigh their log odds where those are positive, tags where negative; both are kept apart from
-    zero. Words in furniture always weigh against a region.
+    zero. A piece of furniture costs two words as a whole, so a region may reach over it, but not begin
+    or end with it.
     """
     inside, outside = (sum(n for (_, own), n in counts.items() if own == side) for side in (True, False))
     if not inside:
@@ -115,7 +117,7 @@ def learn(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     kinds = {k for k, _ in counts}
     odds = {k: math.log((counts.get((k, True), 0) + 1) / (inside + len(kinds))) - math.log((counts.get((k, False), 0) + 1) / (outside + len(kinds))) for k in kinds}
     out = {k: min(w, -0.5) for k, w in odds.items() if k not in ("word", "furniture")}
-    return out | {"word": max(odds.get("word", 1.0), 0.5), "furniture": -max(odds.get("word", 1.0), 0.5), "tag": DEFAULT["tag"]}
+    return out | {"word": max(odds.get("word", 1.0), 0.5), "furniture": -2 * max(odds.get("word", 1.0), 0.5), "tag": DEFAULT["tag"]}
 
 
 def token_counts(page: str) -> Counter:
@@ -137,11 +139,13 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     seen = list(tokens(page))
     default = weights.get("tag", DEFAULT["tag"])
     best, total, begin, region = 0.0, 0.0, 0, (0, 0)
+    inside = False
     for i, (kind, value, furniture, _) in enumerate(seen):
-        if kind == "text":
-            score = len(value.split()) * (weights["furniture"] if furniture else weights["word"])
+        if furniture:
+            score = 0.0 if inside else weights["furniture"]
         else:
-            score = weights.get(kind, default)
+            score = len(value.split()) * weights["word"] if kind == "text" else weights.get(kind, default)
+        inside = furniture
         if total <= 0:
             total, begin = 0.0, i
         total += score

@@ -78,6 +78,8 @@ def linked_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     parts = docs.where(F.col("text").contains("AKIA")).select(_key(text).alias("text_key"), text.alias("text")).dropDuplicates(["text_key"])
     parts = parts.select("text_key", base_spans(F.col("text")).alias("base"), _matches(F.col("text"), WEAK_SECRET, 3).alias("weak"), _matches(F.col("text"), ENDPOINT, 4).alias("endpoint"))
+    told = lambda w: F.exists("base", lambda b: (b["start"] <= w["start"]) & (b["end"] >= w["end"]))
+    parts = parts.withColumn("weak", F.filter("weak", lambda w: ~told(w)))
     parts = stage(parts, "credential-parts")
     span = lambda c: (F.col(f"s.{c}").alias(c))
     access = parts.select("text_key", F.explode(F.filter("base", lambda s: s["kind"] == 1)).alias("s"))
