@@ -88,6 +88,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 close = lowered.find(f"</{name}", at)
                 at = end if close < 0 else page.find(">", close) + 1 or end
             continue
+        held = bool(furniture)  # the end of a piece of furniture belongs to it
         if closing:
             if name in furniture:
                 del furniture[len(furniture) - 1 - furniture[::-1].index(name) :]
@@ -101,7 +102,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 furniture.append(name)
             content += name in _CONTENT
         does = "block" if name in _BLOCK or name in _FURNITURE or name == "header" else "space" if name in ("br", "td", "th", "img", "option") else ""
-        yield (name if name in _TAGS else "other"), does, bool(furniture), content > 0
+        yield (name if name in _TAGS else "other"), does, bool(furniture) or (closing and held), content > 0
 
 
 def learn(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
