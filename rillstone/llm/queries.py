@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, extraction, mpeg, near_dedup, ngram_lm, packing, quality, secrets, topk, warc
 from .common import read
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,5 +84,3 @@ QUERIES: dict[str, Query] = {
     "op9_subword_quality": op9_subword_quality,
     "op10_linked_secrets": op10_linked_secrets,
 }
-
-ORACLE_SQL: dict[str, str] = {}
