@@ -247,7 +247,7 @@ def g5_hot(spark, d):
 
 
 @job("x1_backoff", """WITH a AS (SELECT event_id, event_id % 8 + 1 AS n FROM events)
-SELECT event_id, 25 AS constant, least(10 + 5 * (n - 1), 18) AS linear, CAST(least(10 * 2 ** (n - 1), 500) AS BIGINT) AS exponential, 10 * [1, 1, 2, 3, 5, 8, 13, 21][n] AS fibonacci, 0 AS none FROM a""")
+SELECT event_id, CAST(25 AS BIGINT) AS constant, least(10 + 5 * (n - 1), 18) AS linear, CAST(least(10 * 2 ** (n - 1), 500) AS BIGINT) AS exponential, CAST(10 * [1, 1, 2, 3, 5, 8, 13, 21][n] AS BIGINT) AS fibonacci, CAST(0 AS BIGINT) AS none FROM a""")
 def x1(spark, d):
     n = F.col("event_id") % 8 + 1
     b = resilience.backoff_ms

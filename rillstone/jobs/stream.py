@@ -50,7 +50,7 @@ def p5(spark, d):
 
 @job("p6_pipe", f"""{E}, c AS (SELECT * FROM e WHERE event_type <> 'error'),
 x AS (SELECT *, lag(event_type) OVER {W} AS p, row_number() OVER {W} AS rn FROM c)
-SELECT user_id, event_id, sum(cents) OVER {W} AS running FROM x WHERE rn = 1 OR p IS DISTINCT FROM event_type""")
+SELECT user_id, event_id, CAST(sum(cents) OVER {W} AS BIGINT) AS running FROM x WHERE rn = 1 OR p IS DISTINCT FROM event_type""")
 def p6(spark, d):
     return basic.pipe(
         events(spark, d),
@@ -141,7 +141,7 @@ def l8(spark, d):
     return basic.settle(events(spark, d), "event_type", 2, 20, ORDER, KEY).select("user_id", "event_id")
 
 
-@job("f1_scan", f"{E} SELECT event_id, sum(cents) OVER {W} + 100 AS total, max(cents) OVER {W} AS high, count(*) OVER {W} AS n FROM e")
+@job("f1_scan", f"{E} SELECT event_id, CAST(sum(cents) OVER {W} + 100 AS BIGINT) AS total, max(cents) OVER {W} AS high, count(*) OVER {W} AS n FROM e")
 def f1(spark, d):
     out = basic.scan(events(spark, d), ORDER, KEY, total=F.sum("cents"), high=F.max("cents"), n=F.count("*"))
     return out.select("event_id", (F.col("total") + 100).alias("total"), "high", "n")
@@ -155,7 +155,7 @@ def f1_with(spark, d):
     return basic.scan_with(events(spark, d), lambda a, x: (a * 31 + x) % 1000003, 7, "cents", "acc", T.LongType(), ORDER, KEY).select("event_id", "acc")
 
 
-@job("f2_reduce", f"{E} SELECT user_id, coalesce(sum(CASE WHEN event_type = 'purchase' THEN cents END), 0) AS paid, max(k) AS top FROM e GROUP BY user_id")
+@job("f2_reduce", f"{E} SELECT user_id, CAST(coalesce(sum(CASE WHEN event_type = 'purchase' THEN cents END), 0) AS BIGINT) AS paid, max(k) AS top FROM e GROUP BY user_id")
 def f2(spark, d):
     return basic.reduce(events(spark, d), KEY, paid=(F.sum(F.when(of("purchase"), F.col("cents"))), 0), top=(F.max("k"), -1))
 
@@ -204,7 +204,7 @@ def f7(spark, d):
 
 @job("f8_scan_log", f"""{E}, c AS (SELECT user_id, max((ms, event_id)) FILTER (event_type = 'error') AS cut FROM e GROUP BY 1),
 r AS (SELECT e.* FROM e JOIN c USING (user_id) WHERE cut IS NULL OR (ms, event_id) > cut)
-SELECT event_id, sum(cents) OVER {W} AS total FROM r""")
+SELECT event_id, CAST(sum(cents) OVER {W} AS BIGINT) AS total FROM r""")
 def f8(spark, d):
     kept = basic.retained(events(spark, d), "event_type", ["error"], ORDER, KEY)
     return basic.scan(kept, ORDER, KEY, total=F.sum("cents")).select("event_id", "total")
