@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.graphs import shared_dir
+from ..functions.staging import shared_dir
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
