@@ -104,7 +104,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """
     links = linked_spans(docs, scope)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("base", base_spans(text)).withColumn("text_key", F.coalesce(_key(text), F.concat(F.lit("row "), F.rand(7).cast("string"))))
+    rows = docs.withColumn("base", base_spans(text)).withColumn("text_key", F.coalesce(_key(text), F.concat(F.lit("row "), F.xxhash64("doc_id", F.length(text)).cast("string"))))
     rows = rows.join(sized(links), "text_key", "left")
     return rows.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("linked", _none())))).drop("text_key", "linked")
 
