@@ -198,7 +198,8 @@ def components(links: DataFrame) -> DataFrame:
 def _cross(percent: int):
     """Compare members of different components, block pair by block pair; rows come sorted by block pair.
 
-    Columns: key, x, y (block pair), side (0, 1 or 2 = both), doc, label, n, sig.
+    Columns: key, band, x, y (block pair), side (0, 1 or 2 = both), doc, label, n, sig, bands. A pair is
+    compared in the first band that it shares, so it is found once.
     """
     least = percent / 100 - SLACK
 
@@ -206,11 +207,14 @@ def _cross(percent: int):
         doc, label, n = (rows.column(c).to_numpy() for c in ("doc", "label", "n"))
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(doc), -1)
         side = rows.column("side").to_numpy()
+        keys = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
+        earlier = keys[:, : rows.column("band")[0].as_py()]
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in left:
             j = right[(label[right] != label[i]) & ((side[right] != 2) | (side[i] != 2) | (doc[right] > doc[i]))]
             j = j[np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent]
+            j = j[~(earlier[j] == earlier[i]).any(axis=1)]
             if len(j):
                 j = j[(sig[j] == sig[i]).mean(axis=1) >= least]
                 a.append(np.minimum(doc[i], doc[j]))
@@ -257,10 +261,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms:
     if not unclear.isEmpty():
         reps = reps.join(unclear, "doc", "left_anti")
 
-    buckets = reps.select(F.explode("bands").alias("key"), "doc", "n")
+    buckets = reps.select(F.posexplode("bands").alias("band", "key"), "doc", "n")
     shared = stage(buckets.groupBy("key").agg(F.count("*").alias("members"), F.min("doc").alias("pivot")).where("members > 1"), "buckets")
     members = stage(buckets.join(sized(shared), "key"), "members")
-    sig = reps.select(F.col("doc").alias("id"), "sig", "n")
+    sig = reps.select(F.col("doc").alias("id"), "sig", "n", "bands")
     star = members.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     star = stage(star, "star")
     near = (
@@ -298,14 +302,14 @@ def _open_pairs(members: DataFrame, shared: DataFrame, sig: DataFrame, labels: D
     each other. Blocks of at most about BLOCK members are compared, so no task holds a bucket.
     """
     big = members.where("members > 2")
-    tagged = big.join(labels, big["doc"] == labels["node"], "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
+    tagged = big.join(labels, big["doc"] == labels["node"], "left").select("key", "band", "doc", F.coalesce("label", "doc").alias("label"))
     tagged = stage(tagged, "tagged")
     counts = tagged.groupBy("key", "label").agg(F.count("*").alias("c"))
     main = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("n_all"))
     main = stage(main.where("n_all > n_main"), "open-buckets")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
     rows = tagged.join(sized(main), "key").select(
-        "key", "doc", "label", (F.col("label") == F.col("main")).alias("is_main"),
+        "key", "band", "doc", "label", (F.col("label") == F.col("main")).alias("is_main"),
         blocks(F.col("n_main")).alias("bm"), blocks(F.col("n_all") - F.col("n_main")).alias("bo"),
     )
     # Blocks of the main component are numbered after the others: bo + i.
@@ -320,7 +324,7 @@ def _open_pairs(members: DataFrame, shared: DataFrame, sig: DataFrame, labels: D
     with_main = F.transform(F.sequence(F.lit(0), F.col("bm") - 1), lambda i: block(mine, bo + i, F.lit(0)))
     main_side = F.transform(F.sequence(F.lit(0), bo - 1), lambda o: block(o, bo + mine, F.lit(1)))
     rows = rows.withColumn("to", F.explode(F.when(F.col("is_main"), main_side).otherwise(F.concat(with_others, with_main))))
-    rows = rows.select("key", F.col("to.x").alias("x"), F.col("to.y").alias("y"), F.col("to.side").cast("int").alias("side"), "doc", "label")
-    rows = rows.join(sig, rows["doc"] == sig["id"]).select("key", "x", "y", "side", "doc", "label", "n", "sig")
+    rows = rows.select("key", "band", F.col("to.x").alias("x"), F.col("to.y").alias("y"), F.col("to.side").cast("int").alias("side"), "doc", "label")
+    rows = rows.join(sig, rows["doc"] == sig["id"]).select("key", "band", "x", "y", "side", "doc", "label", "n", "sig", "bands")
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     return rows.mapInArrow(_cross(percent), "a long, b long")
