@@ -1,4 +1,4 @@
-"""Total orders on tables: windows, positions in a global order, latest values, as-of unions, segments.
+"""Total orders on tables: windows, positions in a global order, latest values, as-of unions.
 
 Every operator takes ``order_by`` (a list of columns that order rows totally) and ``partition_by``.
 Rows are never pulled to one task: a global order is built from counts per bucket of the order column.
@@ -48,13 +48,6 @@ def number(df: DataFrame, order: Cols, keys: Cols = (), bucket: Column | None =
     return joined.withColumn(name, F.col("_before") + F.col("_rn")).drop("_bucket", "_before", "_rn")
 
 
-def segments(df: DataFrame, at: str, gap: int, order: Cols, keys: Cols, name: str = "segment") -> DataFrame:
-    """Runs of rows of a key whose gaps in ``at`` are below ``gap``; a greedy time operator starts afresh in each."""
-    w = over(keys, order)
-    new = F.when(F.col(at) - F.lag(at).over(w) >= gap, 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(so_far(keys, order))).drop("_new")
-
-
 def tagged_union(sides: dict[str, DataFrame], columns: Cols) -> DataFrame:
     """Rows of several inputs with a ``side`` column; columns an input lacks are null."""
     out = None

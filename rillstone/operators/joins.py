@@ -6,6 +6,8 @@ union and one window: one shuffle by key, never a range join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,23 +131,23 @@ def merge_map(outer: DataFrame, items: Column, name: str = "item", concurrent: i
 def exhaust_map(outer: DataFrame, start: str, end: str, order_by: Cols, partition_by: Cols) -> DataFrame:
     """Outer rows that begin when no inner stream is live: greedy choice of intervals [start, end).
 
-    A row that begins at or after every earlier end is always taken, so a key falls into independent
-    busy stretches, and only those are walked row by row.
+    Keys are dealt out once and their sorted rows pass as a stream of batches; only the end of the last
+    row taken is carried on.
     """
-    w = over(partition_by, order_by).rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.when(F.col(start) >= F.coalesce(F.max(end).over(w), F.col(start)), 1).otherwise(0)
-    rows = outer.withColumn("_fresh", fresh).withColumn("_busy", F.sum("_fresh").over(so_far(partition_by, order_by))).drop("_fresh")
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(list(order_by), kind="stable")
-        free, kept = None, []
-        for s, e in zip(group[start], group[end], strict=True):
-            take = free is None or s >= free
-            kept.append(take)
-            free = e if take else free
-        return group[kept].drop(columns="_busy")
-
-    return rows.groupBy(*partition_by, "_busy").applyInPandas(pick, outer.schema)
+    keys = list(partition_by)
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, free = None, None
+        for rows in batches:
+            own = rows[keys].astype(object).where(rows[keys].notna(), None).to_records(index=False).tolist()
+            kept = []
+            for key, s, e in zip(own, rows[start], rows[end], strict=True):
+                take = key != last or s >= free
+                kept.append(take)
+                last, free = key, e if take else free
+            yield rows[kept]
+
+    return outer.repartition(*keys).sortWithinPartitions(*keys, *order_by).mapInPandas(pick, outer.schema)
 
 
 def repeat(df: DataFrame, n: int) -> DataFrame:

@@ -6,13 +6,15 @@ throttle and audit reopen at it, timeout fails at it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.order import Cols, over, segments, so_far
+from ..functions.order import Cols, over, so_far
 from .basic import in_order
 
 
@@ -26,63 +28,63 @@ def debounce(df: DataFrame, at: str, ms: int, order_by: Cols, partition_by: Cols
     return df.withColumn("_next", later).where(F.col("_next").isNull() | (F.col("_next") - F.col(at) >= ms)).withColumn("emit_at", F.col(at) + ms).drop("_next")
 
 
-def _greedy(rows: pd.DataFrame, at: str, ms: int, order_by: Cols) -> tuple[pd.DataFrame, np.ndarray]:
-    """Rows in order and the window each opens or falls into, numbered from 0: the first row opens one, and
-    so does the first row ``ms`` after the opening one."""
-    rows = rows.sort_values(list(order_by), kind="stable")
-    t = rows[at].to_numpy()
-    opened, i = np.zeros(len(t), np.int64), 0
-    while i < len(t):
-        opened[i] = 1
-        i = max(int(np.searchsorted(t, t[i] + ms, side="left")), i + 1)
-    return rows, np.cumsum(opened) - 1
-
+def windows(df: DataFrame, at: str, ms: int, order_by: Cols, partition_by: Cols) -> DataFrame:
+    """Rows with ``opened``, the time of the row that opened their window, and ``opens``, whether they did.
 
-def throttle(df: DataFrame, at: str, ms: int, order_by: Cols, partition_by: Cols) -> DataFrame:
-    """Leading edge: a row is emitted, then rows are ignored for ``ms``.
-
-    Gaps of ``ms`` cut a key into independent segments; only within one a helper jumps from kept row to
-    kept row.
+    A key's first row opens a window, and so does the first row ``ms`` or more after the opening one. Keys
+    are dealt out once and their sorted rows pass as a stream of batches; a search jumps from opening row
+    to opening row, and all that is carried on is the last opening time.
     """
-    rows = segments(df, at, ms, order_by, partition_by)
+    keys = list(partition_by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, last_open = None, None
+        for rows in batches:
+            if not len(rows):
+                continue
+            t = rows[at].to_numpy()
+            own = rows[keys].astype(object).where(rows[keys].notna(), None).to_records(index=False).tolist()
+            starts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
+            opened, opens = np.empty(len(t), np.int64), np.zeros(len(t), bool)
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                i, now = s, None
+                if own[s] == last_key:
+                    now, i = last_open, s + int(np.searchsorted(t[s:e], last_open + ms))
+                    opened[s:i] = now
+                while i < e:
+                    now, opens[i] = int(t[i]), True
+                    j = max(i + int(np.searchsorted(t[i:e], now + ms)), i + 1)
+                    opened[i:j] = now
+                    i = j
+                last_key, last_open = own[s], now
+            yield rows.assign(opened=opened, opens=opens)
+
+    out = T.StructType([*df.schema.fields, T.StructField("opened", T.LongType()), T.StructField("opens", T.BooleanType())])
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order_by).mapInPandas(run, out)
 
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group, window = _greedy(group, at, ms, order_by)
-        return group[np.diff(window, prepend=-1) > 0].drop(columns="segment")
 
-    return rows.groupBy(*partition_by, "segment").applyInPandas(pick, df.schema)
+def throttle(df: DataFrame, at: str, ms: int, order_by: Cols, partition_by: Cols) -> DataFrame:
+    """Leading edge: a row is emitted, then rows are ignored for ``ms``."""
+    return windows(df, at, ms, order_by, partition_by).where("opens").drop("opened", "opens")
 
 
 def audit(df: DataFrame, at: str, ms: int, order_by: Cols, partition_by: Cols) -> DataFrame:
     """A row opens a window; at its end (``emit_at``) the latest row is emitted. The pending row of a key's last
     window is flushed at the end of the stream."""
-    rows = segments(df, at, ms, order_by, partition_by)
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group, window = _greedy(group, at, ms, order_by)
-        start = group[at].to_numpy()[np.searchsorted(window, np.arange(window[-1] + 1))]
-        last = np.append(np.diff(window) > 0, True)
-        return group[last].assign(emit_at=start + ms).drop(columns="segment")
-
-    return rows.groupBy(*partition_by, "segment").applyInPandas(pick, T.StructType([*df.schema.fields, T.StructField("emit_at", T.LongType())]))
+    rows = windows(df, at, ms, order_by, partition_by)
+    last = F.coalesce(F.lead("opens").over(over(partition_by, order_by)), F.lit(True))
+    return rows.withColumn("_last", last).where("_last").withColumn("emit_at", F.col("opened") + ms).drop("_last", "opened", "opens")
 
 
 def rate_limit(df: DataFrame, at: str, most: int, ms: int, order_by: Cols, partition_by: Cols) -> DataFrame:
     """Fixed windows that open at the first row after the last one's end. Each row carries allowed, the
     key's dropped count so far, what remains of its window and when that resets."""
-    rows = segments(df, at, ms, order_by, partition_by)
-    out = T.StructType([*rows.schema.fields, T.StructField("window", T.LongType()), T.StructField("reset_at", T.LongType())])
-
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        group, window = _greedy(group, at, ms, order_by)
-        start = group[at].to_numpy()[np.searchsorted(window, np.arange(window[-1] + 1))]
-        return group.assign(window=window, reset_at=start[window] + ms)
-
-    placed = rows.groupBy(*partition_by, "segment").applyInPandas(place, out)
-    nth = F.row_number().over(over([*partition_by, "segment", "window"], order_by))
+    placed = windows(df, at, ms, order_by, partition_by)
+    nth = F.row_number().over(over([*partition_by, "opened"], order_by))
     placed = placed.withColumn("_nth", nth).withColumn("allowed", F.col("_nth") <= most).withColumn("remaining", F.greatest(F.lit(0), most - F.col("_nth")))
+    placed = placed.withColumn("reset_at", F.col("opened") + ms)
     dropped = F.sum((~F.col("allowed")).cast("long")).over(so_far(partition_by, order_by))
-    return placed.withColumn("dropped", dropped).drop("_nth", "segment", "window")
+    return placed.withColumn("dropped", dropped).drop("_nth", "opened", "opens")
 
 
 def timeout(df: DataFrame, at: str, ms: int, order_by: Cols, partition_by: Cols, start: str | None = None) -> DataFrame:
