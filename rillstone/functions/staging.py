@@ -7,16 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests in one process) a local temporary folder is made and set.
+    Only where that is unset (tests in one process) a local temporary folder is made, one per application.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _local.get(app) or _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-"))
     return base.rstrip("/")
 
 
