@@ -169,7 +169,7 @@ def test_main_text_of_pages(spark, sf):
 
 def test_archives(spark, sf):
     rows = [(r.page_id, r.url, r.html) for r in read(spark, sf, "pages").collect()]
-    rows += [(9001, "u", "y" * 200_000), (9000, "u", "y" * 200_000), (9002, None, None), (9003, "u\r\nv", ""), (9004, "u", "a\r\n\r\nWARC/1.1\r\n0\r\n\r\n"), (None, "n", "only here"), (9005, "same", "same"), (9005, "same", "same")]
+    rows += [(9001, "u", "é日" * 70_000), (9000, "u", "é日" * 70_000), (9002, None, None), (9003, "u\r\nv", ""), (9004, "u", "a\r\n\r\nWARC/1.1\r\n0\r\n\r\n"), (None, "n", "only here"), (9005, "same", "same"), (9005, "same", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("first", F.lit(1))
     got = sorted(((r.page_id or -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.verified) for r in warc.round_trip(pages).collect()), key=str)
     smallest = {}
