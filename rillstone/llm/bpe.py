@@ -119,6 +119,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         table = pa.concat_arrays(arrays).dictionary_encode()
         ids = encode_words([_exact(w) for w in table.dictionary.to_pylist()], path)
         lengths = np.array([len(i) for i in ids], np.uint32)
+        narrow = np.uint16 if max(map(len, ids), default=0) < 1 << 16 else np.uint32  # a word may be a whole text
         kind = np.uint16 if max(map(max, filter(None, ids)), default=0) < 1 << 16 else np.uint32
         flat = np.fromiter((i for own in ids for i in own), kind, int(lengths.sum()))
         del ids
@@ -126,7 +127,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         index, at, out = table.indices.to_numpy(), 0, []
         for a in arrays:
             own = index[at : at + len(a)]
-            out.append(pack_arrays(lengths[own].astype(np.uint16), _ragged(flat, starts[own], lengths[own]), planes=False))
+            out.append(pack_arrays(lengths[own].astype(narrow), _ragged(flat, starts[own], lengths[own]), planes=False))
             at += len(a)
         return out
 

@@ -34,6 +34,18 @@ def test_bpe_matches_the_tokenizer(spark, odd, none, sf):
     assert bpe.encode(odd).count() == odd.count()
 
 
+def test_bpe_of_words_of_more_than_65535_ids(spark):
+    """Long texts without a space between words are one word each; other documents share their block."""
+    lines = "\n".join(f"k{i},v{i * 7}" for i in range(30_000))
+    rows = [(1, "before it"), (2, lines), (3, "after it, and more"), (4, "x " + lines + " y z"), (5, "日本" * 70_000), (6, "the last one")]
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: plain.encode(t, add_special_tokens=False).ids for i, t in rows}
+    assert min(len(want[i]) for i in (2, 4, 5)) > 65_536
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (list(r.ids), r.text) for r in bpe.decode(bpe.encode(docs)).collect()}
+    assert got == {i: (want[i], t) for i, t in rows}
+
+
 def test_scores_match_a_plain_count(spark, odd, none):
     docs = pairs(odd)
     own = [(i, (t or "").encode().lower().split()) for i, t in docs]
