@@ -16,6 +16,7 @@ Nothing but a change counter reaches the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,29 @@ from .common import per_batch, sized, slices, stage
 #: Signature slots; the first BANDS * ROWS are dealt into bands. At a similarity of 0.85 a pair shares
 #: no bucket with odds of (1 - 0.85 ** 5) ** 20 = 8e-6.
 PERMS, BANDS, ROWS = 400, 20, 5
-#: Pairs whose signatures agree less than the threshold by this much are not verified: five standard
-#: deviations of the estimate from 400 slots at the threshold.
-SLACK = 0.09
+#: The most that these odds may be at any threshold.
+MISSED = 9e-6
 BLOCK = 512
 _GOLD = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 
 
+def bands_for(percent: int, perms: int = PERMS, rows: int = ROWS) -> int:
+    """At least BANDS, and so many that a pair at the threshold shares no bucket with odds of MISSED at most."""
+    p = (percent / 100) ** rows
+    bands = BANDS if p >= 1 else max(BANDS, math.ceil(math.log(MISSED) / math.log1p(-p)))
+    if bands * rows > perms:
+        raise ValueError(f"{percent} % needs {bands} bands of {rows}, more than {perms} slots")
+    return bands
+
+
+def slack(percent: int, perms: int = PERMS) -> float:
+    """Pairs whose signatures agree less than the threshold by this much are not verified: five standard
+    deviations of the estimate from ``perms`` slots at the threshold, in whole hundredths."""
+    p = percent / 100
+    return math.ceil(round(500 * math.sqrt(p * (1 - p) / perms), 6)) / 100
+
+
 def superminhash(elements: np.ndarray, m: int) -> np.ndarray:
     """SuperMinHash signature of a set of distinct 64-bit hashes: m values ``rank << 32 | fraction``.
 
@@ -128,9 +144,8 @@ def _verify(percent: int):
     return per_batch(run)
 
 
-def _alike(percent: int):
-    """Rows a, b, s, t (their signatures): those whose signatures do not rule out the link."""
-    least = percent / 100 - SLACK
+def _alike(least: float):
+    """Rows a, b, s, t (their signatures): those that agree in ``least`` of their slots, which does not rule out the link."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         s, t = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
@@ -195,13 +210,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross(percent: int):
+def _cross(percent: int, least: float):
     """Compare members of different components, block pair by block pair; rows come sorted by block pair.
 
     Columns: key, band, x, y (block pair), side (0, 1 or 2 = both), doc, label, n, sig, bands. A pair is
     compared in the first band that it shares, so it is found once.
     """
-    least = percent / 100 - SLACK
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         doc, label, n = (rows.column(c).to_numpy() for c in ("doc", "label", "n"))
@@ -239,7 +253,7 @@ def _cross(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms: int = PERMS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms: int = PERMS, bands: int | None = None, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text, any others).
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of ``shingle``-word
@@ -247,8 +261,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms:
     null or hold no word have an empty set and are linked with nothing, as are rows without a
     doc_id: their component_id is null and they are kept. Rows that repeat a doc_id all get its
     component if their texts are equal; a doc_id that is repeated with different texts is grouped
-    with equal sets only. An empty table gives no rows.
+    with equal sets only. An empty table gives no rows. Unless given, bands follow from percent.
     """
+    bands = bands_for(percent, perms, rows) if bands is None else bands
+    least = percent / 100 - slack(percent, perms)
     base = stage(signatures(docs, shingle, perms, bands, rows), "signatures")
     usable = base.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     best = F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id")
@@ -272,12 +288,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms:
         .join(sig.select(F.col("id").alias("a"), F.col("sig").alias("s"), "n"), "a")
         .where(_size_ok("n", "m", percent))
         .select("a", "b", "s", "t")
-        .mapInArrow(_alike(percent), "a long, b long")
+        .mapInArrow(_alike(least), "a long, b long")
     )
     links = stage(verified_links(docs, stage(near, "near"), percent, shingle), "links")
     labels = components(links)
 
-    more = _open_pairs(members, shared, sig, labels, percent)
+    more = _open_pairs(members, shared, sig, labels, percent, least)
     more = stage(more.distinct().join(star, ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
         links = links.union(verified_links(docs, more, percent, shingle))
@@ -295,7 +311,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms:
     )
 
 
-def _open_pairs(members: DataFrame, shared: DataFrame, sig: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(members: DataFrame, shared: DataFrame, sig: DataFrame, labels: DataFrame, percent: int, least: float) -> DataFrame:
     """Pairs of different components that share a bucket and whose signatures do not rule out a link.
 
     The most frequent component of a bucket is its main one; its members are never compared with
@@ -327,4 +343,4 @@ def _open_pairs(members: DataFrame, shared: DataFrame, sig: DataFrame, labels: D
     rows = rows.select("key", "band", F.col("to.x").alias("x"), F.col("to.y").alias("y"), F.col("to.side").cast("int").alias("side"), "doc", "label")
     rows = rows.join(sig, rows["doc"] == sig["id"]).select("key", "band", "x", "y", "side", "doc", "label", "n", "sig", "bands")
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return rows.mapInArrow(_cross(percent), "a long, b long")
+    return rows.mapInArrow(_cross(percent, least), "a long, b long")

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,25 @@ def test_near_duplicates(spark, odd, none, sf):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_at_another_threshold(spark):
+    """Two texts of similarity 0.80 that share no bucket of the first 20 bands, and bands and slack of each threshold."""
+    rng = random.Random(953)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-20])), (4, "quite another text of some words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = [near_dedup.band_keys(near_dedup.superminhash(s, 400)[:100], 5) for s in near_dedup.hashing.shingle_sets(pa.array([t for _, t in rows[:2]]), 5)]
+    assert not (keys[0] == keys[1]).any()
+    sets = [shingles(t) for _, t in rows[:2]]
+    assert len(sets[0] & sets[1]) * 100 == 80 * len(sets[0] | sets[1])
+    found = near_dedup.near_duplicates(docs, percent=80)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {1: 1, 2: 1, 4: 4}
+    assert (near_dedup.bands_for(85), near_dedup.slack(85)) == (20, 0.09)
+    for p in (70, 75, 80, 90, 95):
+        assert (1 - (p / 100) ** 5) ** near_dedup.bands_for(p) <= near_dedup.MISSED and near_dedup.slack(p) >= 5 * (p / 100 * (1 - p / 100) / 400) ** 0.5
+    with pytest.raises(ValueError):
+        near_dedup.bands_for(60)
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
