@@ -185,6 +185,20 @@ def k13(spark, d):
     return memory.pack_context(entries, texts, 500, " | ", True, ["ctx"])
 
 
+@job("k13_pack_whole_texts", """WITH j AS (SELECT source AS ctx, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS rank, '[f' || doc_id || '] ' || text AS part FROM documents),
+s AS (SELECT *, sum(length(part)) OVER w + 3 * (count(part) OVER w - 1) AS size FROM j WINDOW w AS (PARTITION BY ctx ORDER BY rank)),
+c AS (SELECT *, max(CASE WHEN part IS NOT NULL AND size > 20000 THEN 1 ELSE 0 END) OVER (PARTITION BY ctx ORDER BY rank) AS ov FROM s)
+SELECT ctx, coalesce(string_agg(CASE WHEN ov = 0 THEN part END, ' | ' ORDER BY rank), '') AS text, CAST(sum(CASE WHEN ov = 0 AND part IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, max(ov) = 1 AS truncated FROM c GROUP BY ctx""")
+def k13_whole(spark, d):
+    """k13 over every document and its whole text."""
+    from ..functions.order import over
+
+    docs = read(spark, d, "documents")
+    fid = F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("fragment_id")
+    entries = docs.select(F.col("source").alias("ctx"), F.row_number().over(over(["source"], ["doc_id"])).alias("rank"), fid)
+    return memory.pack_context(entries, docs.select(F.col("doc_id").alias("idx"), fid, "text"), 20_000, " | ", True, ["ctx"])
+
+
 EDGES = "ed AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
 
 
