@@ -227,6 +227,33 @@ def g2(spark, d):
     return down.select("source", "target", F.array_join("path", ">").alias("path"), "reason")
 
 
+@job("g1_reachable_from_all", f"""WITH {EDGES}, d1 AS (SELECT src AS source, dst AS node FROM ed), d2 AS (SELECT d1.source, ed.dst AS node FROM d1 JOIN ed ON ed.src = d1.node)
+SELECT source, node, 1 AS depth FROM (SELECT DISTINCT * FROM d1 WHERE source LIKE 's%') UNION ALL SELECT source, node, 2 FROM (SELECT DISTINCT * FROM d2 WHERE source LIKE 's%')""")
+def g1_all(spark, d):
+    """Downwards from every supplier."""
+    sources = read(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    return graphs.reachable(edges(spark, d), sources, "down")
+
+
+@job("g1_reachable_nations", f"""WITH RECURSIVE {EDGES}, u AS (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed),
+b AS (SELECT 'n' || n_nationkey AS source, 'n' || n_nationkey AS node, 0 AS depth FROM nation UNION SELECT source, u.b, depth + 1 FROM b JOIN u ON u.a = b.node WHERE depth < 3)
+SELECT source, node, min(depth) AS depth FROM b WHERE node <> source GROUP BY 1, 2""")
+def g1_nations(spark, d):
+    """In both directions from every nation."""
+    sources = read(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
+    return graphs.reachable(edges(spark, d), sources, "both", 3)
+
+
+@job("g2_explain_all_paths", f"""WITH {EDGES}, q AS (SELECT 's' || s_suppkey AS source, 'r' || r_regionkey AS target FROM supplier, region),
+w AS (SELECT DISTINCT x.src AS source, x.dst AS mid, y.dst AS target FROM ed x JOIN ed y ON y.src = x.dst WHERE x.src LIKE 's%')
+SELECT q.source, q.target, w.source || '>' || mid || '>' || w.target AS path, CASE WHEN w.source IS NULL THEN 'no path' ELSE 'ok' END AS reason FROM q LEFT JOIN w USING (source, target)""")
+def g2_all(spark, d):
+    """Downwards from every supplier to every region."""
+    sources = read(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source"))
+    pairs = sources.crossJoin(read(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("target")))
+    return graphs.shortest_paths(edges(spark, d), pairs).select("source", "target", F.array_join("path", ">").alias("path"), "reason")
+
+
 @job("g3_islands", "SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
 def g3(spark, d):
     urgent = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")

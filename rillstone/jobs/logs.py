@@ -271,6 +271,16 @@ def m6(spark, d):
     return bus.available(cursors(spark, d), kept, bus.heads(m, kept), 5)
 
 
+@job("m6_available_to_all", f"""{BUS}, cu AS (SELECT event_type AS topic, 's' || user_id AS subscription_id, max(event_id) // 10 AS next_seq FROM e GROUP BY 1, 2)
+SELECT subscription_id, topic, seq, payload FROM cu JOIN hd USING (topic) JOIN kept USING (topic) WHERE next_seq >= head_seq AND seq >= next_seq AND seq < next_seq + 5""")
+def m6_all(spark, d):
+    """Subscriptions of all events."""
+    m = messages(spark, d)
+    kept = bus.retained(m, 500).select("topic", "seq", "payload")
+    subscriptions = events(spark, d).groupBy(F.col("event_type").alias("topic"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("subscription_id"))
+    return bus.available(subscriptions.agg((F.max("event_id") / 10).cast("long").alias("next_seq")), kept, bus.heads(m, kept), 5)
+
+
 @job("m5_subscriptions")
 def m5(spark, d):
     e = events(spark, d)
