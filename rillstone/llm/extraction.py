@@ -43,6 +43,11 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*>|[^>]*\Z)",
     re.S,
 )
+#: What may stand in a head; the first other element ends it, as its end tag may be left out.
+IN_HEAD = "base basefont bgsound link meta noframes noscript script style template title"
+_IN_HEAD = frozenset(IN_HEAD.split())
+#: End tags of raw elements, in a page of any letters: lower() would move places behind U+0130.
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in _RAW}
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\shidden(?=[\s=>/])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _CONTENT = frozenset(["article", "main"])
@@ -64,13 +69,34 @@ def _is_furniture(name: str, attributes: str, in_content: bool) -> bool:
     return False
 
 
+def _raw_end(page: str, at: int, name: str) -> int:
+    """The place after the end tag of a raw element whose content begins at ``at``."""
+    close = _RAW_END[name].search(page, at)
+    return page.find(">", close.start()) + 1 or len(page) if close else len(page)
+
+
+def _head_end(page: str, at: int) -> int:
+    """The place after a head's end tag, or of the first tag or text that cannot stand in a head."""
+    while m := _TOKEN.search(page, at):
+        if page[at : m.start()].strip():
+            return at
+        name = (m[2] or "").lower()
+        if m[1] and name == "head":
+            return m.end()
+        if name and not m[1] and name not in _IN_HEAD or m[1] and name in ("body", "html"):
+            return m.start()
+        at = m.end()
+        if name in _RAW and not m[1] and not m[3].endswith("/>"):
+            at = _raw_end(page, at, name)
+    return at if page[at:].strip() else len(page)
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     """Tokens of a page: (kind, value, in furniture, in a marked article). Kind is ``text`` or the tag's
     name; value is the text, or what the tag does: ``block`` ends a block, ``space`` parts words, else empty."""
     at, end = 0, len(page)
     furniture: list[str] = []  # open elements from the outermost piece of furniture on
     content = 0
-    lowered = None
     while at < end:
         m = _TOKEN.search(page, at)
         start = m.start() if m else end
@@ -84,9 +110,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         closing, name = bool(m[1]), m[2].lower()
         if name in _RAW:
             if not closing and not m[3].endswith("/>"):
-                lowered = page.lower() if lowered is None else lowered
-                close = lowered.find(f"</{name}", at)
-                at = end if close < 0 else page.find(">", close) + 1 or end
+                at = _head_end(page, at) if name == "head" else _raw_end(page, at, name)
             continue
         held = bool(furniture)  # the end of a piece of furniture belongs to it
         if closing:

@@ -175,6 +175,18 @@ def test_main_text():
     assert extraction.learn({}) == extraction.DEFAULT
 
 
+def test_main_text_after_raw_elements():
+    """A head without its end tag, and end tags behind letters that grow in lower case."""
+    head = "<html><head><meta charset=utf-8><title>T</title><style>p > a {}</style><script>var t = '</head><p>no</p>';</script>\n"
+    say = lambda page: extraction.main_text(page, extraction.DEFAULT)
+    words = "one two three four five six seven eight"
+    for body in (f"<body><p>{words}</p></body></html>", f"<p>{words}</p>", f"<p>{words}<header>site</header>", f"</head><body><p>{words}</p>", f"</head ><p>{words}", words):
+        assert say(head + body) == words
+    assert say("<html><head></html>") == say("<head><title>T") == ""
+    page = "İ" * 40 + " a<script>x</script>b c<SCRIPT>y</scripted></SCRIPT\n>d <b>e</b>"
+    assert say(page) == "İ" * 40 + " ab cd e"
+
+
 def test_main_text_of_pages(spark, sf):
     pages = read(spark, sf, "pages").select("page_id", "url", "html", F.lit("x").alias("text"))
     out = {r.page_id: r for r in extraction.extract(pages).collect()}
