@@ -162,7 +162,9 @@ def _size_ok(x: str, y: str, percent: int):
 def verified_links(docs: DataFrame, pairs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
     """Of ``pairs`` (a, b) those whose full shingle sets are alike enough. Sets are made for paired documents only."""
     ids = stage(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), "pair-ids")
-    texts = docs.select(F.col("doc_id").alias("set_id"), "text").join(sized(ids), "set_id", "left_semi")
+    # A paired id may have rows without a word beside its text; the set is never made from those.
+    worded = docs.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
+    texts = worded.select(F.col("doc_id").alias("set_id"), "text").join(sized(ids), "set_id", "left_semi")
     sets = texts.dropDuplicates(["set_id"]).mapInArrow(_sets(shingle), "set_id long, elements binary")
     sets = stage(sets, "sets")
     left = sets.select(F.col("set_id").alias("a"), F.col("elements").alias("x"))

@@ -82,6 +82,23 @@ def test_near_duplicates_at_another_threshold(spark):
         near_dedup.bands_for(60)
 
 
+def test_links_of_ids_with_empty_rows(spark):
+    """Ids that have rows without a word beside their text keep their links, on either side of a pair."""
+    words = [f"w{i}" for i in range(200)]
+    blank = [None, "", " \t\n\x0b\f\r "]
+    rows = []
+    for g in range(40):
+        own = [f"g{g}"] * 3 + [f"{w}g{g}" for w in words]
+        rows += [(10 * g + i, b) for i in (0, 1) for b in blank * 3]
+        rows += [(10 * g, " ".join(own)), (10 * g + 1, " ".join([*own, "more"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pairs = spark.createDataFrame([(10 * g, 10 * g + 1) for g in range(40)], "a long, b long")
+    links = near_dedup.verified_links(docs, pairs).collect()
+    assert {(r.a, r.b) for r in links} == {(10 * g, 10 * g + 1) for g in range(40)}
+    out = near_dedup.near_duplicates(docs).where("n_shingles > 0").collect()
+    assert {r.doc_id: r.component_id for r in out} == {10 * g + i: 10 * g for g in range(40) for i in (0, 1)}
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
