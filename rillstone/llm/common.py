@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -20,15 +22,31 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def release() -> None:
+    """Give freed memory back; Python workers stay alive between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_batch(
     fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]],
+    close: Callable[[], None] | None = None,
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The loop of ``mapInArrow`` around a function of one batch; empty batches are passed over."""
+    """The loop of ``mapInArrow`` around a function of one batch; empty batches are passed over.
+
+    Freed memory goes back after each batch; ``close`` is called at the end of the partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+            del batch
+            release()
+        if close:
+            close()
+            release()
 
     return run
 

@@ -9,9 +9,7 @@ instead of every occurrence with its document and position, and no dictionary is
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
-import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import byte_lengths
+from .common import byte_lengths, release
 
 BLOCK = 8 << 20
 
@@ -57,13 +55,6 @@ def pack_table(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def release() -> None:
-    """Give freed memory back; Python workers stay alive between tasks, beside those of other stages."""
-    pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def unpack_table(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 

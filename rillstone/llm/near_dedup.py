@@ -4,8 +4,9 @@ Plan of ``near_duplicates``:
 
 1. one narrow pass over the texts makes a row per document: size and digest of its set of word
    shingles, its SuperMinHash signature and band keys;
-2. documents with equal sets collapse to the smallest id (partial aggregation, no pairs);
-3. in each band bucket all members are linked to the bucket's smallest id, and these star pairs
+2. documents with equal sets collapse to one representative text, whose digest is the set's node
+   (partial aggregation, no pairs): links join sets, so ids may repeat or be missing;
+3. in each band bucket all members are linked to the bucket's smallest node, and these star pairs
    are verified on full sets; components of the verified links are found;
 4. buckets that still hold several components compare members of *different* components, block
    by block on signatures, and what the signatures do not rule out is verified too. So every
@@ -16,12 +17,13 @@ Nothing but a change counter reaches the driver.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -33,6 +35,11 @@ PERMS, BANDS, ROWS = 400, 20, 5
 #: The most that these odds may be at any threshold.
 MISSED = 9e-6
 BLOCK = 512
+#: Elements of a set whose permutations are held at once.
+WALK = 8192
+#: Bytes of text that are hashed at once.
+PART = 2 << 20
+_PAIR = "a binary, b binary"
 _GOLD = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 
@@ -58,8 +65,11 @@ def superminhash(elements: np.ndarray, m: int) -> np.ndarray:
 
     Each element walks its own random permutation of the slots; at step j it offers j plus a
     fraction to the slot of that step. All elements take step j together. Step j can never improve
-    a slot filled in an earlier step, so the walk stops when all slots are filled.
+    a slot filled in an earlier step, so the walk stops when all slots are filled. Large sets are
+    walked in parts of WALK elements, as the signature of a union is the minimum of signatures.
     """
+    if len(elements) > WALK:
+        return np.minimum.reduce([superminhash(elements[i : i + WALK], m) for i in range(0, len(elements), WALK)])
     out = np.full(m, _M64, np.uint64)
     perm = None
     for j in range(m):
@@ -93,34 +103,40 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 def _signatures(shingle: int, perms: int, bands: int, rows: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        for part in slices(batch, 1, 8 << 20):
-            sizes, digests, sigs, keys = [], [], [], []
-            for s in hashing.shingle_sets(part.column(1), shingle):
+        for part in slices(batch, 1, PART):
+            texts, sizes, digests, sigs, keys = [], [], [], [], []
+            for text, s in zip(part.column(1), hashing.shingle_sets(part.column(1), shingle), strict=True):
+                known = len(s) > 0
+                sig = superminhash(s, perms) if known else None
+                texts.append(hashlib.md5(text.as_buffer(), usedforsecurity=False).digest() if known else None)
                 sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sig = superminhash(s, perms) if len(s) else None
-                sigs.append(None if sig is None else hashing.mix(sig).astype(np.uint8).tobytes())
-                keys.append(None if sig is None else band_keys(sig[: bands * rows], rows).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "sig", "bands"],
-            )
+                digests.append(hashlib.blake2b(s, digest_size=16).digest() if known else None)
+                sigs.append(hashing.mix(sig).astype(np.uint8).tobytes() if known else None)
+                keys.append(band_keys(sig[: bands * rows], rows).view(np.int64) if known else None)
+            arrays = [pa.array(texts, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", "text_key", "n_shingles", "set_key", "sig", "bands"])
 
     return per_batch(run)
 
 
+def text_key(text: str = "text") -> Column:
+    """The digest that names a text."""
+    return F.unhex(F.md5(text))
+
+
 def signatures(docs: DataFrame, shingle: int = 5, perms: int = PERMS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_key, sig (a byte per slot) and bands of each row of ``docs``."""
+    """doc_id, text_key, n_shingles, set_key, sig (a byte per slot) and bands of each row of ``docs``.
+
+    All but doc_id and n_shingles (0) are null for a text that is null or holds no word.
+    """
     return docs.select("doc_id", "text").mapInArrow(
-        _signatures(shingle, perms, bands, rows), "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"
+        _signatures(shingle, perms, bands, rows), "doc_id long, text_key binary, n_shingles long, set_key binary, sig binary, bands array<long>"
     )
 
 
 def _sets(shingle: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, 1, 8 << 20):
+        for part in slices(batch, 1, PART):
             data = [s.tobytes() for s in hashing.shingle_sets(part.column(1), shingle)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["set_id", "elements"])
 
@@ -160,25 +176,23 @@ def _size_ok(x: str, y: str, percent: int):
 
 
 def verified_links(docs: DataFrame, pairs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose full shingle sets are alike enough. Sets are made for paired documents only."""
-    ids = stage(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), "pair-ids")
-    # A paired id may have rows without a word beside its text; the set is never made from those.
-    worded = docs.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
-    texts = worded.select(F.col("doc_id").alias("set_id"), "text").join(sized(ids), "set_id", "left_semi")
-    sets = texts.dropDuplicates(["set_id"]).mapInArrow(_sets(shingle), "set_id long, elements binary")
+    """Of ``pairs`` (a, b: keys of texts) those whose full shingle sets are alike enough. Sets are made for paired texts only."""
+    ids = stage(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), "pair-texts")
+    texts = docs.where(F.col("text").isNotNull()).select(text_key().alias("set_id"), "text").join(sized(ids), "set_id", "left_semi")
+    sets = texts.dropDuplicates(["set_id"]).mapInArrow(_sets(shingle), "set_id binary, elements binary")
     sets = stage(sets, "sets")
     left = sets.select(F.col("set_id").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("set_id").alias("b"), F.col("elements").alias("y"))
     joined = pairs.hint("merge").join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    return joined.select("a", "b", "x", "y").mapInArrow(_verify(percent), _PAIR)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find within a partition: links become one star of the smallest id per component, batch by batch."""
+    """Union-find within a partition: links become one star of the smallest node per component, batch by batch."""
     for batch in batches:
-        parent: dict[int, int] = {}
+        parent: dict[bytes, bytes] = {}
 
-        def root(v: int, parent: dict[int, int] = parent) -> int:
+        def root(v: bytes, parent: dict[bytes, bytes] = parent) -> bytes:
             while (p := parent.setdefault(v, v)) != v:
                 parent[v] = v = parent[p]
             return v
@@ -188,17 +202,17 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if x != y:
                 parent[max(x, y)] = min(x, y)
         rows = [(v, r) for v in parent if (r := root(v)) != v]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) for each node of ``links`` (a, b); label is the smallest node id reachable.
+    """(node, label) for each node of ``links`` (a, b); label is the smallest node reachable.
 
     Union-find contracts each partition's links first. Then labels fall to the smallest label of
     neighbours, with a pointer jump per round; rounds are written tables and stop when no label
     changed, so their number grows with the logarithm of a component's width.
     """
-    small = stage(links.mapInArrow(_forest, "a long, b long").distinct(), "forest")
+    small = stage(links.mapInArrow(_forest, _PAIR).distinct(), "forest")
     edges = stage(small.select("a", "b").union(small.select("b", "a")), "edges")
     labels = stage(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
@@ -220,22 +234,24 @@ def _cross(percent: int, least: float):
     """
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
-        doc, label, n = (rows.column(c).to_numpy() for c in ("doc", "label", "n"))
+        doc, label = (np.unique(np.array(rows.column(c).to_pylist(), "S16"), return_inverse=True)[1] for c in ("doc", "label"))
+        n = rows.column("n").to_numpy()
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(doc), -1)
         side = rows.column("side").to_numpy()
         keys = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
         earlier = keys[:, : rows.column("band")[0].as_py()]
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b = [], []
         for i in left:
             j = right[(label[right] != label[i]) & ((side[right] != 2) | (side[i] != 2) | (doc[right] > doc[i]))]
             j = j[np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent]
             j = j[~(earlier[j] == earlier[i]).any(axis=1)]
             if len(j):
                 j = j[(sig[j] == sig[i]).mean(axis=1) >= least]
-                a.append(np.minimum(doc[i], doc[j]))
-                b.append(np.maximum(doc[i], doc[j]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], ["a", "b"])
+                own, others = rows.column("doc")[int(i)].as_py(), rows.column("doc").take(pa.array(j)).to_pylist()
+                a += [min(own, o) for o in others]
+                b += [max(own, o) for o in others]
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in (a, b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -255,29 +271,18 @@ def _cross(percent: int, least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms: int = PERMS, bands: int | None = None, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text, any others).
+def classes(docs: DataFrame, percent: int = 85, shingle: int = 5, perms: int = PERMS, bands: int | None = None, rows: int = ROWS) -> DataFrame:
+    """doc_id, text_key, n_shingles, group and component_id for each row of ``docs`` (doc_id, text, any others).
 
-    Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of ``shingle``-word
-    shingles; component_id is the smallest doc_id reachable, kept marks that row. Texts that are
-    null or hold no word have an empty set and are linked with nothing, as are rows without a
-    doc_id: their component_id is null and they are kept. Rows that repeat a doc_id all get its
-    component if their texts are equal; a doc_id that is repeated with different texts is grouped
-    with equal sets only. An empty table gives no rows. Unless given, bands follow from percent.
+    ``group`` names the component of the row's set (null if that is empty), component_id is the smallest
+    doc_id of its rows, null if none has one. See ``near_duplicates``.
     """
     bands = bands_for(percent, perms, rows) if bands is None else bands
     least = percent / 100 - slack(percent, perms)
     base = stage(signatures(docs, shingle, perms, bands, rows), "signatures")
-    usable = base.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    best = F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id")
-    reps = usable.groupBy("set_key").agg(F.min("doc_id").alias("doc"), best.alias("s"))
-    reps = stage(reps.select("doc", "set_key", F.col("s.n_shingles").alias("n"), F.col("s.sig").alias("sig"), F.col("s.bands").alias("bands")), "representatives")
-
-    texts = usable.groupBy("doc_id").agg((F.min("set_key") != F.max("set_key")).alias("differ"))
-    unclear = stage(texts.where("differ").select(F.col("doc_id").alias("doc")), "unclear")
-    whole = reps
-    if not unclear.isEmpty():
-        reps = reps.join(unclear, "doc", "left_anti")
+    best = F.min_by(F.struct("n_shingles", "sig", "bands"), "text_key")
+    reps = base.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("text_key").alias("doc"), F.min("doc_id").alias("low"), F.count("*").alias("rows"), best.alias("s"))
+    reps = stage(reps.select("doc", "set_key", "low", "rows", F.col("s.n_shingles").alias("n"), F.col("s.sig").alias("sig"), F.col("s.bands").alias("bands")), "representatives")
 
     buckets = reps.select(F.posexplode("bands").alias("band", "key"), "doc", "n")
     shared = stage(buckets.groupBy("key").agg(F.count("*").alias("members"), F.min("doc").alias("pivot")).where("members > 1"), "buckets")
@@ -290,7 +295,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms:
         .join(sig.select(F.col("id").alias("a"), F.col("sig").alias("s"), "n"), "a")
         .where(_size_ok("n", "m", percent))
         .select("a", "b", "s", "t")
-        .mapInArrow(_alike(least), "a long, b long")
+        .mapInArrow(_alike(least), _PAIR)
     )
     links = stage(verified_links(docs, stage(near, "near"), percent, shingle), "links")
     labels = components(links)
@@ -301,16 +306,55 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms:
         links = links.union(verified_links(docs, more, percent, shingle))
         labels = components(stage(links, "all-links"))
 
-    label = F.coalesce("label", "doc").alias("component")
-    classes = whole.join(labels, whole["doc"] == labels["node"], "left").select("set_key", label)
-    out = base.join(classes, "set_key", "left")
-    component = F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    # A set of one row without a link is a group of its own; rows of the others meet their group.
+    named = reps.select("doc", "set_key", "low", "rows").join(labels, F.col("doc") == F.col("node"), "left").where("label IS NOT NULL OR rows > 1")
+    named = stage(named.select("set_key", F.coalesce("label", "doc").alias("group"), "low"), "linked-sets")
+    lowest = stage(named.groupBy("group").agg(F.min("low").alias("lowest")), "groups")
+    named = stage(named.join(sized(lowest), "group").select("set_key", "group", "lowest"), "named-sets")
+    out = base.join(sized(named), "set_key", "left")
+    alone = F.col("group").isNull()
     return out.select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
-        (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"),
-    )
+        "doc_id", "text_key", "n_shingles", F.coalesce("group", "text_key").alias("group"), F.when(alone, F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id")
+    )
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms: int = PERMS, bands: int | None = None, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text, any others).
+
+    Rows are linked if 100 * |A & B| >= percent * |A | B| for their sets of ``shingle``-word
+    shingles; component_id is the smallest doc_id reachable, kept marks rows that have it. Texts that
+    are null or hold no word have an empty set and are linked with nothing. Rows that repeat a doc_id
+    are told apart by their texts, each in the group of its own text. Rows without a doc_id link like
+    any other and get their group's smallest doc_id; where no row of a group has one, component_id is
+    null and all are kept. An empty table gives no rows. Unless given, bands follow from percent.
+    """
+    found = classes(docs, percent, shingle, perms, bands, rows)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+    """Of each group of near duplicates one row of ``docs`` (doc_id, text, any others): of those with the
+    smallest doc_id that with the smallest digest of its text; if that row repeats, one of its copies.
+    Rows whose text is null or holds no word are in no group and all stay.
+    """
+    found = classes(docs, percent, shingle).where(F.col("group").isNotNull())
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    groups = found.groupBy("group").agg(best.alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    groups = stage(groups.select("group", F.col("best.doc_id").alias("kept_id"), F.col("best.text_key").alias("kept_key"), "rows"), "kept-rows")
+    met = found.join(sized(groups), "group")
+    stays = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key"))
+    met = stage(met.groupBy("doc_id", "text_key").agg(F.first(stays).alias("stays"), F.count("*").alias("n")), "met-rows")
+    # Rows travel as one struct, so that no name of theirs can clash.
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), text_key().alias("key"))
+    named = lambda t: sized(stage(t.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_text")), "rows-by-key"))
+    on = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_text"))
+    kept = own.join(named(met.where(~F.col("stays"))), on, "left_anti")
+    again = met.where(F.col("stays") & (F.col("n") > 1))
+    if again.isEmpty():
+        return kept.select("row.*")
+    again = named(again)
+    once = kept.join(again, on, "left_semi").dropDuplicates(["id", "key"])
+    return kept.join(again, on, "left_anti").union(once).select("row.*")
 
 
 def _open_pairs(members: DataFrame, shared: DataFrame, sig: DataFrame, labels: DataFrame, percent: int, least: float) -> DataFrame:
@@ -345,4 +389,4 @@ def _open_pairs(members: DataFrame, shared: DataFrame, sig: DataFrame, labels: D
     rows = rows.select("key", "band", F.col("to.x").alias("x"), F.col("to.y").alias("y"), F.col("to.side").cast("int").alias("side"), "doc", "label")
     rows = rows.join(sig, rows["doc"] == sig["id"]).select("key", "band", "x", "y", "side", "doc", "label", "n", "sig", "bands")
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return rows.mapInArrow(_cross(percent, least), "a long, b long")
+    return rows.mapInArrow(_cross(percent, least), _PAIR)

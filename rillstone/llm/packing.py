@@ -23,10 +23,28 @@ CAPACITY = 2048
 #: Equal-cardinality groups of large lengths; lengths up to SMALL are placed by best fit.
 GROUPS, SMALL = 512, 128
 SALTS = 64
-#: Words whose ids a Python worker remembers; beyond that it forgets all but the latest.
-CACHED = 400_000
+#: Bytes of words and ids that a Python worker remembers, and what an entry costs besides; beyond that it forgets all.
+CACHED, ENTRY = 32 << 20, 220
 _tokenizers: dict = {}
-_ids: dict[bytes, bytes] = {}
+
+
+class _Memory(dict):
+    """A dictionary from words to ids (both bytes or text) that counts its bytes."""
+
+    size = 0
+
+    def put(self, word: bytes | str, ids: bytes) -> bytes:
+        self[word] = ids
+        self.size += len(word) + len(ids) + ENTRY
+        return ids
+
+    def trim(self, most: int = CACHED) -> None:
+        if self.size > most:
+            self.clear()
+            self.size = 0
+
+
+_ids, _cores = _Memory(), _Memory()
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -67,7 +85,6 @@ _PLAIN = re.compile(r"([a-zà-öø-ÿ]*)([.,;:!?*#$%&|()-]*)")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: How the byte-level vocabulary writes bytes: printable ones as themselves, the others from U+0100 on.
 BYTE_LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-_cores: dict[str, bytes] = {"": b""}
 
 
 def _word_ids(word: str, path: str) -> bytes:
@@ -76,11 +93,11 @@ def _word_ids(word: str, path: str) -> bytes:
     if not plain:
         return array("I", tokenizer(path).encode(word, add_special_tokens=False).ids).tobytes()
     out = b""
-    for core in plain.groups():
+    for core in filter(None, plain.groups()):
         ids = _cores.get(core)
         if ids is None:
             letters = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
-            ids = _cores[core] = array("I", [t.id for t in tokenizer(path).model.tokenize(letters)]).tobytes()
+            ids = _cores.put(core, array("I", [t.id for t in tokenizer(path).model.tokenize(letters)]).tobytes())
         out += ids
     return out
 
@@ -88,19 +105,18 @@ def _word_ids(word: str, path: str) -> bytes:
 def _document_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian uint32. The tokenizer drops white space and never joins
     over it, so a text's ids are those of its words."""
-    split = [t.split() for t in texts]
-    for words in split:
+    for text in texts:
+        words = text.split()
         for word in set(words).difference(_ids):
-            _ids[word] = _word_ids(word.decode("utf-8", "replace"), path)
-    for words in split:
+            _ids.put(word, _word_ids(word.decode("utf-8", "replace"), path))
         yield b"".join(map(_ids.__getitem__, words))
-    if len(_ids) > CACHED:  # what this run of texts used stays
-        kept = {w: _ids[w] for words in split for w in words}
-        _ids.clear()
-        _ids.update(kept)
-    if len(_cores) > CACHED:
-        _cores.clear()
-        _cores[""] = b""
+        _ids.trim()
+        _cores.trim(CACHED // 2)
+
+
+def _forget_words() -> None:
+    _ids.trim(0)
+    _cores.trim(0)
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -122,7 +138,7 @@ def _pieces(path: str, capacity: int, end_id: int):
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((doc, piece, start, length, crc), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return per_batch(run)
+    return per_batch(run, _forget_words)
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:

@@ -8,15 +8,15 @@ in the mean, scoring needs one number per hash bucket, and a document costs a fe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import per_batch, slices
+from .common import release, slices
 
 #: At most so many labelled documents are learned from: those whose hashed ids are smallest.
 SAMPLE = 2500
@@ -102,18 +102,25 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     return (vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def _score(value: np.ndarray, bias: float):
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, 1, 1 << 20):
-            total, count = np.zeros(part.num_rows), np.zeros(part.num_rows)
-            for buckets, offsets in features(part.column(1)):
-                sums = np.concatenate([[0.0], np.cumsum(value[buckets], dtype=np.float64)])
-                total += sums[offsets[1:]] - sums[offsets[:-1]]
-                count += np.diff(offsets)
-            score = 1 / (1 + np.exp(-(total / np.maximum(count, 1) + bias)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["doc_id", "score"])
+def _score(model: tuple[np.ndarray, float]) -> Callable[[Column | str], Column]:
+    """The model's score of a column of texts. Only texts travel to Python and scores back."""
+    value, bias = model
 
-    return per_batch(run)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            scores = [np.zeros(0)]
+            for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), 0, 1 << 20) if len(texts) else ():
+                total, count = np.zeros(part.num_rows), np.zeros(part.num_rows)
+                for buckets, offsets in features(part.column(0)):
+                    sums = np.concatenate([[0.0], np.cumsum(value[buckets], dtype=np.float64)])
+                    total += sums[offsets[1:]] - sums[offsets[:-1]]
+                    count += np.diff(offsets)
+                scores.append(1 / (1 + np.exp(-(total / np.maximum(count, 1) + bias))))
+            yield pa.array(np.concatenate(scores), pa.float64())
+            del texts
+            release()
+
+    return F.arrow_udf(run, "double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -136,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """doc_id and score (0 to 1) of each row of ``docs``; a null text counts as empty."""
-    return docs.select("doc_id", "text").mapInArrow(_score(*model), "doc_id long, score double")
+    return docs.select("doc_id", _score(model)("text").alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
@@ -150,15 +157,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, whole, whose text is not rejected."""
-    model = fit(docs, labels, sample)
-    run = _score(*model)
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                own = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])
-                scores = np.concatenate([p.column("score").to_numpy() for p in run(iter([own]))])
-                yield batch.filter(pa.array(scores >= threshold))
-
-    return docs.mapInArrow(kept, docs.schema)
+    """The rows of ``docs``, whole, whose text is not rejected; null and empty texts are scored like any other."""
+    return docs.where(_score(fit(docs, labels, sample))("text") >= threshold)

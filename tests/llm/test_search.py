@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def groups(rows):
-    """Smallest id reachable by links of at least 0.85, by comparing all pairs."""
+def groups(rows, percent=85):
+    """Smallest id reachable by links of at least ``percent``, by comparing all pairs."""
     sets = {i: shingles(t) for i, t in rows}
     label = {i: i for i in sets}
 
@@ -34,7 +35,7 @@ def groups(rows):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = root(a), root(b)
                 label[max(x, y)] = min(x, y)
     return sets, {i: root(i) for i in ids}
@@ -63,6 +64,54 @@ def test_near_duplicates(spark, odd, none, sf):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def grouped_rows(rows, percent=85):
+    """Per row the smallest known id of its group of rows; groups as row numbers."""
+    _, label = groups([(n, t) for n, (_, t) in enumerate(rows)], percent)
+    low = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            low[label[n]] = min(i, low.get(label[n], i))
+    return label, [low.get(label[n]) for n in range(len(rows))]
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    """Ids that repeat with other texts, rows without an id: each row is in the group of its own text."""
+    rng = random.Random(11)
+    base = [[f"{g}w{rng.randrange(5000)}" for _ in range(90)] for g in range(12)]
+    rows = [(1, " ".join(base[0])), (1, "quite another text"), (2, " ".join([*base[0], "x"]))]  # 1 is reached by its first row only
+    for n in range(150):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 4)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((rng.choice([None, *range(5, 40)]), " ".join(words)))
+    rows += [(None, "only without an id"), (None, "only without an id"), (7, None), (None, ""), (7, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    label, low = grouped_rows(rows)
+    sets = [shingles(t) for _, t in rows]
+    want = Counter((i, len(s), i if not s else lo, (i if not s else lo) == i) for (i, _), s, lo in zip(rows, sets, low, strict=True))
+    assert Counter(tuple(r) for r in near_dedup.near_duplicates(docs).collect()) == want
+    assert want[2, len(sets[2]), 1, False] == 1
+    label, low = grouped_rows(rows, 80)
+    kept = Counter((i, t) for (i, t), s in zip(rows, sets, strict=True) if not s)
+    for g in set(label.values()):
+        own = [rows[n] for n in label if label[n] == g and sets[n]]
+        if own:
+            first = min(own, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).digest()))
+            kept[first] += 1
+    odd_names = docs.withColumns({"id": F.lit(1), "key": F.lit("k"), "of_id": F.lit(2), "group": F.lit("g"), "row": F.lit(3)})
+    out = near_dedup.keep_one(odd_names)
+    assert out.columns == odd_names.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == kept
+    assert near_dedup.keep_one(docs.where("false")).count() == 0
+
+
+def test_superminhash_of_large_sets_is_that_of_their_parts():
+    elements = np.random.default_rng(3).integers(0, 1 << 63, near_dedup.WALK * 2 + 5, dtype=np.uint64)
+    whole = near_dedup.superminhash(elements, 64)
+    parts = [near_dedup.superminhash(elements[i : i + 3000], 64) for i in range(0, len(elements), 3000)]
+    assert (whole == np.minimum.reduce(parts)).all()
+
+
 def test_near_duplicates_at_another_threshold(spark):
     """Two texts of similarity 0.80 that share no bucket of the first 20 bands, and bands and slack of each threshold."""
     rng = random.Random(953)
@@ -92,9 +141,10 @@ def test_links_of_ids_with_empty_rows(spark):
         rows += [(10 * g + i, b) for i in (0, 1) for b in blank * 3]
         rows += [(10 * g, " ".join(own)), (10 * g + 1, " ".join([*own, "more"]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    pairs = spark.createDataFrame([(10 * g, 10 * g + 1) for g in range(40)], "a long, b long")
+    key = {i: hashlib.md5(t.encode()).digest() for i, t in rows if t and t.strip()}
+    pairs = spark.createDataFrame([(key[10 * g], key[10 * g + 1]) for g in range(40)], "a binary, b binary")
     links = near_dedup.verified_links(docs, pairs).collect()
-    assert {(r.a, r.b) for r in links} == {(10 * g, 10 * g + 1) for g in range(40)}
+    assert {(bytes(r.a), bytes(r.b)) for r in links} == {(key[10 * g], key[10 * g + 1]) for g in range(40)}
     out = near_dedup.near_duplicates(docs).where("n_shingles > 0").collect()
     assert {r.doc_id: r.component_id for r in out} == {10 * g + i: 10 * g for g in range(40) for i in (0, 1)}
 
@@ -249,7 +299,7 @@ def test_pipeline(spark, sf):
     model = quality.fit(docs, read(spark, sf, "labels"))
     scores = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     good = [(r.doc_id, r.text) for r in docs.collect() if scores[r.doc_id] >= quality.THRESHOLD]
-    _, label = groups(good)
+    _, label = groups(good, 80)  # stages on word shingles link from 0.8 on
     kept = sorted(i for i, _ in good if label[i] == i)
     out = corpus_pipeline.run(spark, sf)
     assert sorted({r.doc_id for r in out.select("doc_id").collect()}) == kept
