@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstone.llm import near_dedup, packing, quality, secrets
-from rillstone.llm.common import read, sized, stage
+from rillstone.llm.common import read, stage
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,15 +19,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest doc_id; of rows that repeat one id and text, one."""
-    found = near_dedup.near_duplicates(docs)
-    dropped = stage(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    kept = docs.join(sized(dropped), "doc_id", "left_anti").select(*docs.columns)
-    repeated = stage(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(sized(repeated), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(sized(repeated), "doc_id", "left_anti").select(*docs.columns).union(once)
+    """Of each group of near duplicates (shingles of five words, similarity 0.8) the row with the smallest doc_id."""
+    return near_dedup.keep_one(docs, percent=80)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
