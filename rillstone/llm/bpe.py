@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from . import hashing
 from .common import per_batch
-from .exchange import pack_arrays, through_dictionary, unpack_arrays
+from .exchange import dictionary_parts, pack_arrays, through_dictionary, unpack_arrays
 from .packing import BYTE_LETTERS, encode_words, forget, tokenizer
 
 # The public pre-tokenisation pattern of byte-level BPE, and Unicode white space.
@@ -89,21 +89,24 @@ def _ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and ids array<int> of each row of ``docs`` (doc_id, text); a null text counts as empty.
+    """doc_id and ids array<int> of each row of ``docs`` (doc_id, text, any others); a null text counts as empty.
 
     Ids are those of the tokenizer file with special tokens of a text recognised and none added.
-    Every distinct word of the corpus is encoded once, in the part of its hash.
+    Every distinct word of the corpus is encoded once, in the part of its hash. Rows that repeat get
+    equal ids, a null doc_id stays null, an empty table gives no rows.
     """
     path = path or default_tokenizer()
     specials = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
 
-    def keep(block: pa.Table, parts: int) -> bytes:
+    parts, _ = dictionary_parts(docs)
+
+    def keep(block: pa.Table) -> bytes:
         _, part, index, counts, rows = _dealt(block, specials, parts)
         ids = block.column("doc_id").combine_chunks().take(pa.array(rows))
         known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
         return pack_arrays(index, counts, ids.fill_null(0).to_numpy(), known, np.unique(part))
 
-    def cells(block: pa.Table, parts: int) -> Iterator[tuple[int, bytes]]:
+    def cells(block: pa.Table) -> Iterator[tuple[int, bytes]]:
         words, part, *_ = _dealt(block, specials, parts)
         for p, start, end in zip(*_runs(part), strict=True):
             own = words.slice(start, end - start).cast(pa.large_binary())
@@ -133,6 +136,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def finish(kept: bytes, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         word, counts, doc, known, used = unpack_arrays(kept)
+        if not set(used.tolist()) <= answers.keys():
+            raise RuntimeError("a block and its answers were made from different rows")
         got = [unpack_arrays(answers[p]) for p in used.tolist()]
         lengths = np.concatenate([np.zeros(0, np.uint32), *(g[0] for g in got)]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, np.uint16), *(g[1] for g in got)])
@@ -146,7 +151,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_ragged(flat, starts[own], lengths[own]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), lists], ["doc_id", "ids"])
 
-    return through_dictionary(docs, keep, cells, resolve, finish, "doc_id long, ids array<int>")
+    return through_dictionary(docs, parts, keep, cells, resolve, finish, "doc_id long, ids array<int>")
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[list[int], list[int], list[int]]:

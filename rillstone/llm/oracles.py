@@ -37,14 +37,14 @@ _GRAMS = range(1, ngram_lm.ORDER + 1)
 
 
 def _scores() -> str:
-    """Counts of each order over the corpus and in the row itself, joined to each word of a row."""
+    """Count tables of each order over the corpus, joined to each word of a row."""
     out = [f"w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents), p AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, ws FROM w)"]
     for n in _GRAMS:
-        out.append(f"g{n} AS (SELECT r, i, hash(ws[i - {n - 1}:i]) AS h FROM p WHERE i >= {n}), o{n} AS (SELECT r, h, count(*) AS c FROM g{n} GROUP BY 1, 2), t{n} AS (SELECT h, sum(c) AS c FROM o{n} GROUP BY 1)")
-        out.append(f"c{n} AS (SELECT g{n}.r, i, t{n}.c - o{n}.c AS c FROM g{n} JOIN o{n} USING (r, h) JOIN t{n} USING (h))")
+        out.append(f"g{n} AS (SELECT r, i, hash(ws[i - {n - 1}:i]) AS h FROM p WHERE i >= {n}), t{n} AS (SELECT h, count(*) AS c FROM g{n} GROUP BY 1)")
+        out.append(f"c{n} AS (SELECT r, i, c FROM g{n} JOIN t{n} USING (h))")
     score = "log10(greatest(c1.c, 0.5) / total)"
     for n in _GRAMS[1:]:
-        score = f"CASE WHEN c{n}.c > 0 THEN log10(c{n}.c / x{n - 1}.c) WHEN c{n}.c IS NOT NULL THEN {score} + log10({ngram_lm.ALPHA}) ELSE {score} END"
+        score = f"CASE WHEN c{n}.c > 0 THEN log10(c{n}.c / x{n - 1}.c) WHEN c1.i >= {n} THEN {score} + log10({ngram_lm.ALPHA}) ELSE {score} END"
     joins = " ".join(f"LEFT JOIN c{n} ON c{n}.r = c1.r AND c{n}.i = c1.i LEFT JOIN c{n - 1} x{n - 1} ON x{n - 1}.r = c1.r AND x{n - 1}.i = c1.i - 1" for n in _GRAMS[1:])
     return (
         "WITH " + ",\n".join(out) + f",\nN AS (SELECT CAST(count(*) AS DOUBLE) AS total FROM p), s AS (SELECT c1.r, sum({score}) AS s FROM c1 {joins}, N GROUP BY 1)\n"

@@ -254,6 +254,39 @@ def test_main_text_after_raw_elements():
     assert say(page) == "İ" * 40 + " ab cd e"
 
 
+def test_main_text_keeps_names_that_only_hold_a_hint():
+    """Names inside an article count by their head: search-term is a term, cookie-notice a notice."""
+    kept = "".join(f'<p class="{c}">{c} one two three</p>' for c in ("search-term", "reply-all", "ad-hoc", "noticeable", "shareholder", "post-content", "comment-free"))
+    gone = "".join(f"<div {a}>gone away now</div>" for a in ('class="x cookie-notice"', "id=comments-list", 'class="adBanner"', "role='navigation'", 'class="related-posts"', "class=ad-728x90"))
+    text = extraction.main_text(f"<body><article>{kept}{gone}<p>the last of it</p></article></body>", extraction.DEFAULT)
+    assert "gone" not in text and text.endswith("the last of it") and len(text.split("\n")) == 8
+
+
+def test_main_text_learns_names_of_furniture(spark):
+    page = '<body><div class="wrap"><div class="zq">{0} buy this now</div><article><p class="lead">the words of article {0} are here</p></article></div></body>'
+    rows = [(i, "u", page.format(i)) for i in range(20)] + [(20, "u", '<body><div class="zq">no no</div><p>plain page words</p></body>'), (1, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    weights, outside = extraction.fit(pages)
+    assert outside == {"zq"}
+    assert extraction.fit(pages.where("page_id < 3"))[1] == frozenset()
+    got = {(r.page_id, r.text) for r in extraction.extract(pages, (weights, outside)).collect()}
+    assert got == {(i, f"the words of article {i} are here") for i in range(20)} | {(20, "plain page words"), (1, "")}
+    assert extraction.fit(pages.where("false")) == (extraction.DEFAULT, frozenset())
+
+
+def test_main_text_of_long_broken_pages():
+    """Megabytes of tags, quotes and elements left open are read in time that grows with their length."""
+    import time
+
+    for piece in ("<!x ", "<!-- ", "<a x='\">", '<a x="', "<div>", "<nav><div>", "<p>w ", "</div>", "<script>", "<ul><li>x", "&", "<", "<div class='a b"):
+        page = "<nav>" + piece * (1_500_000 // len(piece))
+        began = time.perf_counter()
+        for p in (page, page + "</nav><p>the end"):
+            extraction.main_text(p, extraction.DEFAULT)
+            extraction.names_of(p + "<article>")
+        assert time.perf_counter() - began < 40, piece
+
+
 def test_main_text_of_pages(spark, sf):
     pages = read(spark, sf, "pages").select("page_id", "url", "html", F.lit("x").alias("text"))
     out = {r.page_id: r for r in extraction.extract(pages).collect()}

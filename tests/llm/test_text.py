@@ -46,33 +46,66 @@ def test_bpe_of_words_of_more_than_65535_ids(spark):
     assert got == {i: (want[i], t) for i, t in rows}
 
 
-def test_scores_match_a_plain_count(spark, odd, none):
-    docs = pairs(odd)
-    own = [(i, (t or "").encode().lower().split()) for i, t in docs]
-    grams = [Counter(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)) for _, w in own]
-    every = sum(grams, Counter())
-    total = sum(len(w) for _, w in own)
-
-    def score(words, mine):
-        out, f = 0.0, lambda k: every[k] - mine[k]
+def plain_scores(docs, corpus):
+    """(doc_id as text, words, score) of ``docs`` by the counts of ``corpus``, word by word."""
+    split = lambda t: (t or "").encode().lower().split()
+    every, total = Counter(), 0
+    for _, t in corpus:
+        w = split(t)
+        total += len(w)
+        every.update(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    out = []
+    for doc_id, t in docs:
+        words, score = split(t), 0.0
         for i in range(len(words)):
-            penalty = 0.0
             for n in range(min(3, i + 1), 0, -1):
                 k = tuple(words[i - n + 1 : i + 1])
                 if n == 1:
-                    out += penalty + math.log10(max(f(k), 0.5) / total)
-                elif f(k) > 0:
-                    out += penalty + math.log10(f(k) / f(k[:-1]))
+                    score += math.log10(max(every[k], 0.5) / total)
+                elif every[k]:
+                    score += math.log10(every[k] / every[k[:-1]])
                     break
                 else:
-                    penalty += math.log10(0.4)
-        return out
+                    score += math.log10(0.4)
+        out.append((str(doc_id), len(words), score))
+    return sorted(out)
+
 
-    want = sorted((str(i), len(w), round(score(w, g), 4)) for (i, w), g in zip(own, grams, strict=True))
-    got = sorted((str(r.doc_id), r.n_words, round(r.log10_score, 4)) for r in ngram_lm.scores(odd).collect())
+def assert_scores(df, want):
+    got = sorted((str(r.doc_id), r.n_words, r.log10_score) for r in df.collect())
     assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-3)
-    assert ngram_lm.scores(none).count() == 0
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-6)
+
+
+def test_scores_match_a_plain_count(spark, odd, none):
+    want = plain_scores(pairs(odd), pairs(odd))
+    assert_scores(ngram_lm.scores(odd), want)
+    assert_scores(ngram_lm.scores(odd, most_cells=0), want)
+    assert_scores(ngram_lm.scores(odd.repartition(3, "lang")), want)
+    assert ngram_lm.scores(none).count() == 0 and ngram_lm.scores(none, most_cells=0).count() == 0
+
+
+def test_bpe_of_blocks_without_words(spark, none):
+    """Partitions whose texts are all null or empty ask for nothing; others beside them do."""
+    nothing = spark.createDataFrame([(1, ""), (2, None), (None, "")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, list(r.ids)) for r in bpe.encode(nothing).collect()) == [(0, []), (1, []), (2, [])]
+    assert {r.text for r in bpe.decode(bpe.encode(nothing)).collect()} == {""}
+    mixed = nothing.coalesce(1).union(spark.createDataFrame([(4, "some words, some words")], "doc_id long, text string"))
+    for docs in (mixed, mixed.repartition(2), mixed.orderBy("doc_id").limit(4)):
+        got = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs)).collect()}
+        assert got == {1: "", 2: "", None: "", 4: "some words, some words"}
+
+
+def test_scores_back_off_on_another_corpus(spark, odd, none):
+    corpus = spark.createDataFrame([("one two three four",), ("two three one",), (None,), ("the end, the end",)], "text string")
+    table = ngram_lm.count_table(corpus)
+    counts = Counter({r["count"]: n for n, r in enumerate(table.collect())})
+    assert table.where("n = 1").agg(F.sum("count")).first()[0] == 11 and max(counts) == 2
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(50, "one two four three one"), (51, "two three four the end zebra"), (52, "zebra")], "doc_id long, text string"))
+    for block in (None, 30):
+        assert_scores(ngram_lm.scores_by_table(docs, table, block=block), plain_scores(pairs(docs), [(0, r.text) for r in corpus.collect()]))
+    assert ngram_lm.scores_by_table(none, table).count() == 0
+    assert {r.log10_score for r in ngram_lm.scores_by_table(docs.where("doc_id = 3"), ngram_lm.count_table(none)).collect()} == {0.0}
 
 
 def test_packing_is_whole_and_gapless(spark, odd, none, sf):
