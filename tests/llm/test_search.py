@@ -175,21 +175,42 @@ def test_top_k(spark):
     rows = [(i, [rng.choice([-1.0, 0.25, 0.5, 1.0]) for _ in range(6)]) for i in range(400)]  # many ties
     rows += [(i, [0.5] * 6) for i in range(400, 480)] + [(480, None), (481, [None, 1.0]), (482, [float("nan")] * 6), (None, [1.0] * 6), (483, []), (484, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("shard", F.lit("x"))
-    for shard, block in ((16384, 8192), (70, 1)):
-        got = {tuple(r) for r in topk.top_k(df, 5, 50, shard=shard, block=block).collect()}
+    for shard, wider in ((16384, 8), (40, 3), (1, 1000)):
+        got = {tuple(r) for r in topk.top_k(df, 5, 50, shard=shard, wider=wider).collect()}
         assert got == brute(rows, 5, 50)
     assert topk.top_k(df.where("false")).count() == 0
     few = topk.top_k(df.where("vec_id in (0, 1, 2)"), 5, 50).collect()
     assert [r["rank"] for r in sorted(few)] == [1, 2]
 
 
-def test_tree_boxes_are_tight():
+def test_top_k_of_large_components(spark):
+    """Products beyond float64's exact integers, and beyond 64 bits."""
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-1, 1]) * (1e6 + rng.randrange(1000)) for _ in range(64)]) for i in range(120)]
+    rows += [(200 + i, [1e6] * 64) for i in range(4)] + [(300, [1e308]), (301, [float(2**60), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(256 * x) for x in v] for i, v in rows if i != 300}
+    want = set()
+    for q in (0, 50, 100, 200):
+        score = lambda i: min(2**63 - 1, max(1 - 2**63, sum(a * b for a, b in zip(whole[q], whole[i]))))  # noqa: B023, E731
+        best = sorted((-score(i), i) for i in whole if i != q)[:5]
+        want |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
+    for shard in (16384, 30):
+        assert {tuple(r) for r in topk.top_k(df, shard=shard).collect()} == want
+
+
+def test_tree_boxes_are_tight_and_bounds_prune():
     points = np.random.default_rng(0).integers(-9, 9, (300, 3)).astype(float)
-    tree = topk.Tree(points, 16)
-    assert sorted(tree.order.tolist()) == list(range(300))
-    for (a, b), low, high in zip(tree.leaves, tree.low, tree.high, strict=True):
-        own = points[tree.order[a:b]]
-        assert b - a <= 16 and (own.min(axis=0) == low).all() and (own.max(axis=0) == high).all()
+    order = topk.tree_order(points, 16)
+    assert sorted(order.tolist()) == list(range(300))
+    tree = topk.Tree(points[order], order, 16)
+    for (lo, hi, left, _), low, high in zip(tree.nodes.tolist(), tree.low, tree.high, strict=True):
+        own = points[order[lo:hi]]
+        assert (left > 0) == (hi - lo > 16) and (own.min(axis=0) == low).all() and (own.max(axis=0) == high).all()
+    asked = []
+    tree.products = lambda lo, hi, q, exact: asked.append((lo, hi)) or (tree.points[lo:hi] @ q).astype(np.int64)
+    ((_, got, scores),) = topk.search(tree, np.array([[1.0, 2.0, 3.0]]), np.array([-1]), np.array([-1000]), 5)
+    assert sorted(scores.tolist()) == sorted((points @ [1, 2, 3]).tolist())[-5:] and len(asked) < (tree.nodes[:, 2] == 0).sum() / 3
 
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
