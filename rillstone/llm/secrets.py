@@ -7,6 +7,8 @@ in texts with an access identifier, and reported only if the parts of a credenti
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +24,22 @@ ASSIGNED = 6
 WEAK_SECRET = r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])"
 ENDPOINT = r"""(?i)\b(?:https?|s3)://[^\s"'<>]+|\b[a-z0-9][a-z0-9.-]*\.(?:amazonaws|cloudfront)\.(?:com|net)\b"""
 SCOPE = 300
+#: Matches whose lengths are summed up in one fold, and code points of a text that are rewritten in one.
+CHUNK, WINDOW = 128, 4096
 KINDS = ["assign", "access", "hex", "weak_secret", "endpoint"]
 SPANS = "array<struct<start:int,kind:int,end:int,value:int>>"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _matches(text: Column, pattern: str, kind: int, value: int = 0) -> Column:
     """Spans of all matches, leftmost and not overlapping, in code points; value is the length of a group.
 
     The text between matches and the matches themselves alternate, so running lengths give places.
+    They are summed up in chunks of CHUNK matches, then over chunks, as a fold copies what it has gathered.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else found
@@ -43,7 +53,17 @@ def _matches(text: Column, pattern: str, kind: int, value: int = 0) -> Column:
         span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value")))
         return F.struct(end.alias("at"), F.when(x["own"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], span.cast(SPANS))).alias("spans"))
 
-    return F.when(F.size(found) > 0, F.aggregate(each, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPANS))
+    def chunks(every: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / CHUNK).cast("int")), lambda i: F.aggregate(F.slice(every, i * CHUNK + 1, CHUNK), start, step))
+
+    def placed(local: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(local, none, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+        moved = lambda at: lambda s: F.struct((s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end"), s["value"].alias("value"))
+        both = F.arrays_zip(local.alias("chunk"), starts.alias("begin"))
+        return F.flatten(F.transform(both, lambda c: F.transform(c["chunk"]["spans"], moved(c["begin"])))).cast(SPANS)
+
+    return F.when(F.size(found) > 0, _bound(_bound(each, chunks), placed)).otherwise(F.array().cast(SPANS))
 
 
 def _none() -> Column:
@@ -97,31 +117,49 @@ def linked_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     return stage(both.groupBy("text_key").agg(F.collect_set(one).cast(SPANS).alias("linked")), "linked")
 
 
+def _scanned(docs: DataFrame, scope: int) -> DataFrame:
+    """row (all columns of ``docs`` as one struct, so that no name of theirs can clash), base and spans."""
+    links = linked_spans(docs.select("text"), scope)
+    text = F.coalesce("text", F.lit(""))
+    other = F.concat(F.lit("row "), F.xxhash64("doc_id", F.length(text)).cast("string"))  # as a null key would meet one task
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), base_spans(text).alias("base"), F.coalesce(_key(text), other).alias("text_key"))
+    rows = rows.join(sized(links), "text_key", "left")
+    return rows.select("row", "base", F.array_sort(F.concat("base", F.coalesce("linked", _none()))).alias("spans"))
+
+
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Each row of ``docs`` (doc_id, text, any others) with its columns and base, spans (sorted arrays).
 
-    A null text counts as empty. Rows that repeat get equal results. An empty table gives no rows.
+    Columns of ``docs`` of these two names give way to the results. A null text counts as empty. Rows
+    that repeat get equal results. An empty table gives no rows.
     """
-    links = linked_spans(docs, scope)
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("base", base_spans(text)).withColumn("text_key", F.coalesce(_key(text), F.concat(F.lit("row "), F.xxhash64("doc_id", F.length(text)).cast("string"))))
-    rows = rows.join(sized(links), "text_key", "left")
-    return rows.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("linked", _none())))).drop("text_key", "linked")
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("base", "spans")]
+    return _scanned(docs, scope).select(*own, "base", "spans")
 
 
 def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each run of overlapping spans of its text replaced by ``mark``; null texts stay null."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        kept = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], kept, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    rest = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    found = scan(docs, scope)
-    return found.withColumn("text", F.when(F.size("spans") > 0, rest).otherwise(text)).select(*docs.columns)
+    """``docs``, all its columns, with each run of overlapping spans of its text replaced by ``mark``.
+
+    Null texts stay null. Texts are rewritten in windows of WINDOW code points, each from the spans that
+    reach into it; a run is marked where it begins.
+    """
+    text = F.col("row")["text"]
+
+    def window(part: Column, i: Column) -> Column:
+        base = i * WINDOW
+        own = F.filter("spans", lambda s: (s["end"] > base) & (s["start"] < base + WINDOW))
+        start = F.struct(base.alias("at"), F.lit("").alias("out"))
+
+        def step(acc: Column, s: Column) -> Column:
+            new = (s["start"] >= acc["at"]) & (s["start"] >= base)
+            kept = F.substring(part, acc["at"] - base + 1, s["start"] - acc["at"])
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], kept, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(own, start, step, lambda acc: F.concat(acc["out"], F.substring(part, F.least(acc["at"] - base, F.lit(WINDOW)) + 1, F.lit(WINDOW))))
+
+    windows = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))
+    hidden = F.when(F.size("spans") > 0, F.array_join(F.transform(windows, window), "")).otherwise(text)
+    return _scanned(docs, scope).select(*(hidden.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def report(docs: DataFrame, scope: int = SCOPE) -> DataFrame:

@@ -245,6 +245,40 @@ def test_secrets(spark, odd, none):
     assert hidden[3].text is None and hidden[1].text == "One two three four five six." and hidden[13].set_key == b"k"
 
 
+def test_secrets_keep_the_columns_of_rows(spark, odd, none):
+    """Columns whose names the operator uses come back as they were; texts are the only change."""
+    names = ["base", "spans", "linked", "row", "text_key", "start", "value"]
+    docs = odd.select("doc_id", "text").withColumns({c: F.concat(F.lit(c), F.coalesce("doc_id", F.lit(0))) for c in names})
+    hidden = secrets.redact(docs)
+    assert hidden.columns == docs.columns and hidden.schema == docs.schema
+    want = {(r.doc_id, *(r[c] for c in names)) for r in docs.collect()}
+    assert {(r.doc_id, *(r[c] for c in names)) for r in hidden.collect()} == want
+    found = secrets.scan(docs)
+    assert sorted(found.columns) == sorted(docs.columns) and dict(found.dtypes)["spans"] == secrets.SPANS
+    assert secrets.redact(none).count() == secrets.scan(none).count() == 0
+
+
+def test_secrets_of_texts_with_many_spans(spark):
+    """Spans and redaction of long texts: over chunks of matches and windows of text, against a plain version."""
+    rng = random.Random(8)
+    words = ["é🙂", "word", "token=abcdefgh", "0f" * 12, "AKIA" + "A" * 16, "password: 'x", "secret=" + "0a" * 20, "\n", "b" * 5000, "api_key=" + "ab" * 3000]
+    weights = [9, 9, 3, 3, 2, 2, 2, 2, 0.2, 0.1]
+    texts = [" ".join(rng.choices(words, weights, k=n)) for n in (1, 10, 200, 3000)] + [("0f" * 12 + " ") * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.base for r in secrets.scan(docs).collect()}
+    hidden = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    for i, t in enumerate(texts):
+        spans = base_spans(t)
+        assert [(s.start, s.kind, s.end) for s in found[i]] == spans
+        linked = [s for s in secrets.scan(docs.where(F.col("doc_id") == i)).first().spans] if i < 4 else found[i]
+        out, at = [], 0
+        for s in sorted(linked, key=lambda s: (s.start, s.kind)):
+            if s.start >= at:
+                out += [t[at : s.start], "[SECRET]"]
+            at = max(at, s.end)
+        assert hidden[i] == "".join([*out, t[at:]])
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">home page</a></li></ul></nav>'
     '<header>Site name</header><div class="ad">Buy this now please</div><article><h1>Head &amp; line</h1><p><b>One  two\nthree&#8212;four<br>five</p><p>Six seven</p>'
