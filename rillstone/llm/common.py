@@ -31,11 +31,10 @@ def release() -> None:
 
 def per_batch(
     fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]],
-    close: Callable[[], None] | None = None,
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The loop of ``mapInArrow`` around a function of one batch; empty batches are passed over.
 
-    Freed memory goes back after each batch; ``close`` is called at the end of the partition.
+    Freed memory goes back after each batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,9 +43,6 @@ def per_batch(
                 yield from fn(batch)
             del batch
             release()
-        if close:
-            close()
-            release()
 
     return run
 

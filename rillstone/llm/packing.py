@@ -23,28 +23,35 @@ CAPACITY = 2048
 #: Equal-cardinality groups of large lengths; lengths up to SMALL are placed by best fit.
 GROUPS, SMALL = 512, 128
 SALTS = 64
-#: Bytes of words and ids that a Python worker remembers, and what an entry costs besides; beyond that it forgets all.
-CACHED, ENTRY = 32 << 20, 220
+#: Bytes of words and ids of a generation that a Python worker remembers, and what an entry costs besides.
+CACHED, ENTRY = 40 << 20, 200
 _tokenizers: dict = {}
 
 
-class _Memory(dict):
-    """A dictionary from words to ids (both bytes or text) that counts its bytes."""
+class _Memory:
+    """Ids by word, in two generations: when the young one is full the old one is forgotten, but for what is used again."""
 
-    size = 0
+    def __init__(self, most: int):
+        self.most, self.size, self.young, self.old = most, 0, {}, {}
 
     def put(self, word: bytes | str, ids: bytes) -> bytes:
-        self[word] = ids
+        self.young[word] = ids
         self.size += len(word) + len(ids) + ENTRY
         return ids
 
-    def trim(self, most: int = CACHED) -> None:
-        if self.size > most:
-            self.clear()
-            self.size = 0
+    def get(self, word: bytes | str) -> bytes | None:
+        ids = self.young.get(word)
+        if ids is None and (ids := self.old.get(word)) is not None:
+            self.put(word, ids)
+        return ids
+
+    def turn(self) -> None:
+        """Begin another generation if the young one is full."""
+        if self.size > self.most:
+            self.young, self.old, self.size = {}, self.young, 0
 
 
-_ids, _cores = _Memory(), _Memory()
+_ids, _cores = _Memory(CACHED), _Memory(CACHED // 4)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -107,16 +114,12 @@ def _document_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
     over it, so a text's ids are those of its words."""
     for text in texts:
         words = text.split()
-        for word in set(words).difference(_ids):
-            _ids.put(word, _word_ids(word.decode("utf-8", "replace"), path))
-        yield b"".join(map(_ids.__getitem__, words))
-        _ids.trim()
-        _cores.trim(CACHED // 2)
-
-
-def _forget_words() -> None:
-    _ids.trim(0)
-    _cores.trim(0)
+        for word in set(words).difference(_ids.young):
+            if _ids.get(word) is None:
+                _ids.put(word, _word_ids(word.decode("utf-8", "replace"), path))
+        yield b"".join(map(_ids.young.__getitem__, words))
+        _ids.turn()
+        _cores.turn()
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -138,7 +141,7 @@ def _pieces(path: str, capacity: int, end_id: int):
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((doc, piece, start, length, crc), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return per_batch(run, _forget_words)
+    return per_batch(run)
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
