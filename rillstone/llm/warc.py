@@ -4,8 +4,9 @@ Writing: equal payloads are stored once. The page with the smallest id holds the
 others are revisits that refer to it. Payloads travel in HTTP messages with chunked transfer framing;
 long messages are cut into segments, a first record and continuation records.
 
-Reading: records of any archive files. Continuations are grouped by their origin, ordered by segment
-number and checked against the total length; then the chunks are decoded and digests verified.
+Reading: records of any archive files, in one pass. Continuations are grouped by their origin, ordered by
+segment number and checked against the total length; then the chunks are decoded and digests verified.
+What is damaged becomes a row that says so, and reading goes on at the next record.
 """
 
 from __future__ import annotations
@@ -53,8 +54,10 @@ def unchunk(data: bytes) -> bytes:
     """The body of chunked transfer framing; chunk extensions and trailers are passed over."""
     out, at = [], 0
     while True:
-        end = data.index(b"\r\n", at)
+        end = data.index(b"\r\n", at)  # none is a ValueError too
         size = int(data[at:end].split(b";")[0], 16)
+        if size < 0:
+            raise ValueError("a chunk has no size")
         if not size:
             return b"".join(out)
         part = data[end + 2 : end + 2 + size]
@@ -91,23 +94,50 @@ def records(page_id: int | None, url: str | None, payload: bytes, first: int | N
         yield _record([("WARC-Type", "continuation"), *ids, *last], message[at : at + segment])
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive."""
+def inflate(data: bytes) -> bytes:
+    """An archive's bytes: plain, or of one or more gzip members up to the first damage."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            for at in range(0, len(data), 1 << 16):
+                out.append(member.decompress(data[at : at + (1 << 16)]))
+                if member.eof:
+                    data = member.unused_data + data[at + (1 << 16) :]
+                    break
+            else:
+                return b"".join(out)
+        except zlib.error:
+            return b"".join(out)
+        if not data:
+            return b"".join(out)
+    return b"".join(out) or data
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers (names in lower case) and block of each record of an archive.
+
+    The block is None where a record is damaged: no version line, no length or one that reaches over the
+    end or does not end at a record's end. Reading goes on at the next version line.
+    """
     at = 0
     while at < len(data):
         if data[at : at + 2] == b"\r\n":
             at += 2
             continue
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
-        headers = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        size = int(headers["content-length"])
-        if end + 4 + size > len(data):
-            raise ValueError("the last record is cut short")
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        end, headers, size = data.find(b"\r\n\r\n", at), {}, -1
+        if data.startswith(b"WARC/", at) and end > 0:
+            lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+            headers = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+            size = _int(headers.get("content-length")) if "content-length" in headers else -1
+        after = end + 4 + size if size is not None and size >= 0 else -1
+        if 0 < after <= len(data) and (after == len(data) or data[after : after + 2] == b"\r\n"):
+            yield headers, data[end + 4 : after]
+            at = after
+            continue
+        yield headers, None
+        following = data.find(b"\r\nWARC/", at + 1)
+        at = following + 2 if following >= 0 else len(data)
 
 
 def payload_of(message: bytes) -> bytes:
@@ -149,16 +179,21 @@ _KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int6
 
 
 def _int(value: str | None) -> int | None:
-    return None if value is None else int(value)
+    return int(value) if value and value.isascii() and value.isdigit() else None
 
 
-def _row(headers: dict[str, str], message: bytes | None) -> tuple:
-    """A result row of a record: of a response from its whole message, of a revisit from its headers."""
+def _row(headers: dict[str, str], message: bytes | None, kind: str = "response") -> tuple:
+    """A result row of a record: of a response from its whole message, of others from their headers."""
     claimed = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    head = (headers["warc-record-id"], _int(headers.get("x-page-id")))
-    if message is None:
-        return (*head, None, claimed, "revisit", _int(headers.get("x-refers-to-page-id")), headers.get("warc-refers-to"), None)
-    payload = payload_of(message)
+    head = (headers.get("warc-record-id"), _int(headers.get("x-page-id")))
+    if kind == "revisit":
+        return (*head, None, claimed, kind, _int(headers.get("x-refers-to-page-id")), headers.get("warc-refers-to"), None)
+    try:
+        payload = payload_of(message or b"") if kind == "response" else None
+    except ValueError:
+        payload = None
+    if payload is None:
+        return (*head, None, claimed or None, "damaged", None, None, False)
     own = digest(payload)
     return (*head, len(payload), own, "response", None, None, own == claimed)
 
@@ -167,69 +202,70 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def _archives(batch: pa.RecordBatch) -> Iterator[bytes]:
-    for data in batch.column(0):
-        yield zlib.decompress(data.as_buffer(), wbits=47)
-
-
-def _whole(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for data in _archives(batch):
-        rows = []
-        for headers, block in parse(data):
-            if headers["warc-type"] == "revisit":
-                rows.append(_row(headers, None))
-            elif headers["warc-type"] == "response" and "warc-segment-number" not in headers:
-                rows.append(_row(headers, block))
-        yield _batch(rows, _NAMES_OF, _KINDS)
-
-
 _PART = "origin string, number int, total long, headers string, block binary"
+_PART_NAMES = ["origin", "number", "total", "headers", "block"]
+_PART_KINDS = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
 
 
-def _segments(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for data in _archives(batch):
-        rows = []
-        for headers, block in parse(data):
-            if "warc-segment-number" in headers:
-                first = headers["warc-type"] != "continuation"
-                origin = headers["warc-record-id" if first else "warc-segment-origin-id"]
-                rows.append((origin, int(headers["warc-segment-number"]), _int(headers.get("warc-segment-total-length")), json.dumps(headers) if first else None, block))
-        yield _batch(rows, ["origin", "number", "total", "headers", "block"], [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary()])
+def _found(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Result rows of whole records; of segmented ones the segments, with nulls in the other columns."""
+    for data in batch.column(0):
+        rows, none = [], (None,) * len(_PART_KINDS)
+        for headers, block in parse(inflate(data.as_py())):
+            kind, origin = headers.get("warc-type"), headers.get("warc-segment-origin-id")
+            number = _int(headers.get("warc-segment-number"))
+            first = number is not None and kind != "continuation"
+            origin = headers.get("warc-record-id") if first else origin
+            if block is None:
+                rows.append((*_row(headers, None, "damaged"), *none))
+            elif number is not None and origin is not None:
+                total = _int(headers.get("warc-segment-total-length"))
+                rows.append((*(None,) * len(_KINDS), origin, number, total, json.dumps(headers) if first else None, block))
+            elif kind in ("revisit", "response"):
+                rows.append((*_row(headers, block, kind), *none))
+        yield _batch(rows, _NAMES_OF + _PART_NAMES, _KINDS + _PART_KINDS)
 
 
 def _assemble(parts: pa.Table) -> pa.Table:
-    """One origin's segments, in order and whole, as a result row for each copy of its first record."""
+    """One origin's segments, in order, as a result row for each copy of its first record.
+
+    If segments are missing or their length is not the total, the row is that of a damaged record.
+    """
     rows = sorted(parts.to_pylist(), key=lambda r: r["number"])
     firsts = [json.loads(r["headers"]) for r in rows if r["headers"]]
     by_number = {r["number"]: r for r in rows}  # copies of a segment are equal
     message = b"".join(r["block"] for r in by_number.values())
-    total = rows[-1]["total"]
-    if not firsts or list(by_number) != list(range(1, len(by_number) + 1)) or total != len(message):
-        raise ValueError(f"segments of {rows[0]['origin']} are missing: {len(message)} of {total} bytes")
-    return pa.Table.from_batches([_batch([_row(h, message) for h in firsts], _NAMES_OF, _KINDS)])
+    whole = bool(firsts) and list(by_number) == list(range(1, len(by_number) + 1)) and rows[-1]["total"] == len(message)
+    out = [_row(h, message, "response" if whole else "damaged") for h in firsts or [{"warc-record-id": rows[0]["origin"]}]]
+    return pa.Table.from_batches([_batch(out, _NAMES_OF, _KINDS)])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and verified of each page in the archives.
 
-    A response is decoded from its record, or from its first record and continuations: missing segments or
-    a wrong total length are errors. verified tells whether the payload has the digest its record
-    claims. A revisit has the length of the payload it refers to, null if no archive holds that.
+    A response is decoded from its record, or from its first record and continuations. verified tells
+    whether the payload has the digest its record claims. A revisit has the length of the payload it
+    refers to, null if no archive holds that. A record that is cut short, has a broken header, framing
+    or segments that are missing or of a wrong total length, gives a row of record_type ``damaged`` with
+    what its header tells, no length, and verified false. Archives without records give no rows.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    whole = files.mapInArrow(per_batch(_whole), _ROW)
-    joined = files.mapInArrow(per_batch(_segments), _PART).groupBy("origin").applyInArrow(_assemble, _ROW)
-    found = stage(whole.union(joined), "archive-records")
+    parts = stage(files.mapInArrow(per_batch(_found), f"{_ROW}, {_PART}"), "archive-parts")
+    joined = parts.where("origin IS NOT NULL").select(*_PART_NAMES).groupBy("origin").applyInArrow(_assemble, _ROW)
+    found = stage(parts.where("origin IS NULL").select(*_NAMES_OF).union(joined), "archive-records")
     sizes = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_record"), F.col("payload_bytes").alias("size"), F.col("verified").alias("sound"))
     sizes = sizes.dropDuplicates(["refers_record"])
     out = ["page_id", F.coalesce("payload_bytes", "size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", F.coalesce("verified", "sound").alias("verified")]
     again = found.where("record_type = 'revisit'").join(sizes, "refers_record", "left").select(*out)
-    kept = found.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    kept = found.where("record_type <> 'revisit'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
     return kept.union(again)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write ``pages`` into the shared folder and read the archives back."""
+    """Write ``pages`` into the shared folder and read the archives back, see ``write`` and ``read``.
+
+    There is a row per row of ``pages``, so rows that repeat come back as often; an empty table gives none.
+    """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/archives/{uuid.uuid4().hex}"
     write(pages, path, least)

@@ -380,6 +380,38 @@ def test_chunks():
         warc.unchunk(b"5\r\nabc")
 
 
+def test_damaged_archives_give_rows(spark, tmp_path):
+    """Every kind of damage is a row, and what follows it is read."""
+    import gzip
+
+    made = {i: [r + b"\r\n\r\n" for r in warc.records(i, "u", f"<p>page {i}".encode() * 9000, None, 1 << 16)] for i in range(8)}
+    short = lambda i: next(warc.records(i, "u", b"short page", None)) + b"\r\n\r\n"
+    assert len(made[0]) == 2
+    bad_length = short(10).replace(b"Content-Length: ", b"Content-Length: 9")
+    bad_chunk = short(11).replace(b"a\r\nshort", b"z\r\nshort")
+    wrong = short(12).replace(b"short page", b"SHORT page")
+    no_type = b"WARC/1.1\r\nWARC-Record-ID: <x>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    files = {
+        "a": gzip.compress(b"".join([short(20), b"junk\r\n", bad_length, short(21), bad_chunk, wrong, no_type, short(22)[:-9]])),
+        "b": b"".join(gzip.compress(r) for r in [short(23), short(24)]),  # a member per record
+        "c": gzip.compress(b"".join([made[0][0], *made[1], made[2][1]])) + b"tail",  # 0 lacks its continuation, 2 its first record
+        "d": b"".join([short(25), made[3][1], made[3][0]]),  # not compressed, segments in another order
+        "e": gzip.compress(b"".join(short(i) for i in range(100, 400)))[:-2000], "f": b"", "g": gzip.compress(b""),
+    }
+    for name, data in files.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+    rows = warc.read(spark, str(tmp_path)).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.record_type, r.verified), set()).add(r.page_id)
+    got = by["response", True]
+    assert {20, 21, 23, 24, 25, 1, 3} == {i for i in got if i < 100} and 100 in got and 399 not in got
+    assert by["response", False] == {12}
+    assert {10, 11, 22, 0, None} <= by["damaged", False]
+    assert all(r.payload_bytes is None for r in rows if r.record_type == "damaged")
+    assert {r.payload_bytes for r in rows if r.page_id in (1, 3)} == {9000 * 9}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
