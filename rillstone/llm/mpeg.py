@@ -2,8 +2,9 @@
 
 A stream is an ID3v2 tag, a frame that holds the table of variable bitrates, and Layer III frames with
 checksums, whose main data carry the payload in units of 192 bytes. The reader takes any stream of
-MPEG-1 Layer III frames: it skips tags, resynchronises after junk, verifies checksums, reads
-the table and lists every frame.
+Layer III frames of MPEG-1, 2 or 2.5, mono or stereo: it skips tags, resynchronises after junk, verifies
+checksums, reads the table (Xing, Info or VBRI) and lists every frame. Free-format frames, whose headers
+give no bitrate, count as junk.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ from pyspark.sql import DataFrame
 
 from .common import per_batch, slices
 
-# Fixed values of the format: MPEG-1 Layer III bitrates (kbit/s) and sampling rates by header index.
+# Fixed values of the format: Layer III bitrates (kbit/s) by header index of MPEG-1 and of MPEG-2 and 2.5, sampling
+# rates of MPEG-1 (half of them in MPEG-2, a quarter in 2.5), and the size of the side information.
 BITRATES = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+LOW_BITRATES = [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160]
 RATES = [44100, 48000, 32000]
-SAMPLES = 1152
+SIDE_BYTES = {"MPEG-1 mono": 17, "MPEG-1 stereo": 32, "MPEG-2 mono": 9, "MPEG-2 stereo": 17}
+SAMPLES, LOW_SAMPLES = 1152, 576
 UNIT = 192
 HEADER, CRC, SIDE = 4, 2, 17  # a mono frame: header, checksum, side information, then main data
 #: Bitrate index of frames of one unit and of two; at 48 kHz they have 240 and 480 bytes.
@@ -112,6 +116,7 @@ class Stream:
     """What a stream holds: its tag's text, table, frame offsets and sizes, checksum errors and junk bytes."""
 
     length: int | None = None
+    samples: int = 0
     table_frames: int | None = None
     table_bytes: int | None = None
     toc: bytes = b""
@@ -122,26 +127,60 @@ class Stream:
     junk: int = 0
     payload: bytes = b""
 
+
+@dataclass(frozen=True)
+class Head:
+    """What a frame's header tells."""
+
+    size: int
+    side: int
+    samples: int
+    rate: int
+    guarded: bool
+
     @property
-    def samples(self) -> int:
-        return SAMPLES * len(self.offsets)
+    def body(self) -> int:
+        """Where the main data begin."""
+        return HEADER + CRC * self.guarded + self.side
+
+
+_heads: dict[bytes, Head | None] = {}  # by the three bytes after the first, of which streams have few
+
 
+def _read_head(b: bytes) -> Head | None:
+    version, index, rate = b[0] >> 3 & 3, b[1] >> 4, b[1] >> 2 & 3
+    if b[0] & 0xE0 != 0xE0 or version == 1 or b[0] >> 1 & 3 != 1 or not 0 < index < 15 or rate == 3:
+        return None
+    first, mono = version == 3, b[2] >> 6 == 3
+    per_second = RATES[rate] // {3: 1, 2: 2, 0: 4}[version]
+    samples, kbits = (SAMPLES, BITRATES) if first else (LOW_SAMPLES, LOW_BITRATES)
+    side = SIDE_BYTES[f"MPEG-{1 if first else 2} {'mono' if mono else 'stereo'}"]
+    return Head(samples // 8 * 1000 * kbits[index] // per_second + (b[1] >> 1 & 1), side, samples, per_second, not b[0] & 1)
 
-def _frame_size(data: bytes, at: int) -> int:
-    """The size of the frame whose header stands at ``at``; 0 if none does."""
-    if at + HEADER > len(data) or data[at] != 0xFF or data[at + 1] & 0xFE != 0xFA:
-        return 0
-    index, rate = data[at + 2] >> 4, data[at + 2] >> 2 & 3
-    if not 0 < index < 15 or rate == 3:
-        return 0
-    return 144000 * BITRATES[index] // RATES[rate] + (data[at + 2] >> 1 & 1)
 
+def _head(data: bytes, at: int) -> Head | None:
+    """The header at ``at``; None if there is none."""
+    if at + HEADER > len(data) or data[at] != 0xFF:
+        return None
+    key = data[at + 1 : at + HEADER]
+    if key not in _heads:
+        if len(_heads) > 4096:
+            _heads.clear()
+        _heads[key] = _read_head(key)
+    return _heads[key]
 
-def _sound(data: bytes, at: int) -> bool:
+
+def _covered(rows: np.ndarray, head: Head) -> np.ndarray:
+    """The bytes of frames that their checksums cover: half of the header, and the side information."""
+    return np.concatenate([rows[:, 2:HEADER], rows[:, HEADER + CRC : HEADER + CRC + head.side]], axis=1)
+
+
+def _sound(data: bytes, at: int, head: Head) -> bool:
     """Whether the frame at ``at`` has a checksum that holds."""
-    head = np.frombuffer(data, np.uint8, HEADER + CRC + SIDE, at)
-    covered = np.concatenate([head[2:HEADER], head[HEADER + CRC :]])[None]
-    return not head[1] & 1 and int(checksums(covered)[0]) == int(head[HEADER]) << 8 | int(head[HEADER + 1])
+    if not head.guarded or at + head.body > len(data):
+        return False
+    row = np.frombuffer(data, np.uint8, head.body, at)[None]
+    return int(checksums(_covered(row, head))[0]) == int(row[0, HEADER]) << 8 | int(row[0, HEADER + 1])
 
 
 def _tag_end(data: bytes, at: int) -> int:
@@ -165,10 +204,10 @@ def decode(data: bytes) -> Stream:
     out, at, headers = Stream(), _tag_end(data, 0), []
     out.length = _tag_length(data[:at])
     while at < len(data):
-        size = _frame_size(data, at)
-        after = at + size
-        if size and after <= len(data) and (after == len(data) or _frame_size(data, after) or data[after : after + 3] in (b"TAG", b"ID3") or _sound(data, at)):
-            headers.append((at, size))
+        head = _head(data, at)
+        after = at + head.size if head else at
+        if head and after <= len(data) and (after == len(data) or _head(data, after) or data[after : after + 3] in (b"TAG", b"ID3") or _sound(data, at, head)):
+            headers.append((at, head))
             at = after
         elif data[at : at + 3] == b"TAG":
             at = min(len(data), at + 128)
@@ -180,40 +219,56 @@ def decode(data: bytes) -> Stream:
             out.junk += next_sync - at
             at = next_sync
     if headers:
-        at, size = headers[0]
-        body = at + HEADER + (0 if data[at + 1] & 1 else CRC) + SIDE
-        if data[body : body + 4] in (b"Xing", b"Info"):
-            flags, place = int.from_bytes(data[body + 4 : body + 8], "big"), body + 8
-            if flags & 1:
-                out.table_frames = int.from_bytes(data[place : place + 4], "big")
-                place += 4
-            if flags & 2:
-                out.table_bytes = int.from_bytes(data[place : place + 4], "big")
-                place += 4
-            if flags & 4:
-                out.toc = data[place : place + 100]
+        out.rate = headers[0][1].rate
+        if _table(data, *headers[0], out):
             headers.pop(0)
-        out.rate = RATES[data[at + 2] >> 2 & 3]
-    out.offsets, out.sizes = [h[0] for h in headers], [h[1] for h in headers]
-    out.bad, out.payload = _main_data(np.frombuffer(data, np.uint8), headers)
+    out.offsets, out.sizes, out.samples = [at for at, _ in headers], [h.size for _, h in headers], sum(h.samples for _, h in headers)
+    out.bad, payload = _main_data(np.frombuffer(data, np.uint8), headers)
+    out.payload = b"" if out.length is None else payload  # streams of others carry sound
     return out
 
 
-def _main_data(raw: np.ndarray, headers: list[tuple[int, int]]) -> tuple[int, bytes]:
+def _table(data: bytes, at: int, head: Head, out: Stream) -> bool:
+    """Read the table of variable bitrates into ``out`` if the frame at ``at`` holds one."""
+    number = lambda place, n=4: int.from_bytes(data[place : place + n], "big")
+    place = at + head.body
+    if data[place : place + 4] in (b"Xing", b"Info"):
+        flags, place = number(place + 4), place + 8
+        if flags & 1:
+            out.table_frames, place = number(place), place + 4
+        if flags & 2:
+            out.table_bytes, place = number(place), place + 4
+        if flags & 4:
+            out.toc = data[place : place + 100]
+        return True
+    place = at + HEADER + 32  # a VBRI table stands there whatever the side information
+    if data[place : place + 4] == b"VBRI":
+        out.table_bytes, out.table_frames = number(place + 10), number(place + 14)
+        entries, scale, width = number(place + 18, 2), number(place + 20, 2), number(place + 22, 2)
+        steps = [number(place + 26 + i * width, width) * scale for i in range(entries)] if 0 < width <= 4 else []
+        total, so_far = max(sum(steps), 1), np.concatenate([[0], np.cumsum(steps)])
+        out.toc = bytes(int(so_far[p * len(steps) // 100]) * 255 // total for p in range(100)) if steps else b""
+        return True
+    return False
+
+
+def _main_data(raw: np.ndarray, headers: list[tuple[int, Head]]) -> tuple[int, bytes]:
     """Frames whose checksum fails, and the units of the others in order."""
-    place = np.array(headers, np.int64).reshape(-1, 2)
     parts, bad = {}, 0
-    for size in np.unique(place[:, 1]):
-        which = np.flatnonzero(place[:, 1] == size)
-        rows = raw[place[which, 0][:, None] + np.arange(size)]
-        body = HEADER + CRC + SIDE
-        guarded = rows[:, 1] & 1 == 0
-        stored = rows[:, HEADER].astype(np.uint32) << 8 | rows[:, HEADER + 1]
-        good = ~guarded | (checksums(np.concatenate([rows[:, 2:HEADER], rows[:, HEADER + CRC : body]], axis=1)) == stored)
-        bad += int((~good).sum())
-        for i, row, ok in zip(which.tolist(), rows, (good & guarded).tolist(), strict=True):
-            n = int(row[HEADER + CRC]) * UNIT
-            parts[i] = row[body : body + n].tobytes() if ok else b""
+    kinds: dict[Head, list[int]] = {}
+    for i, (_, head) in enumerate(headers):
+        kinds.setdefault(head, []).append(i)
+    for head, which in kinds.items():
+        if not head.guarded:
+            continue
+        places = np.array([headers[i][0] for i in which])
+        for lo in range(0, len(which), 4096):
+            rows = raw[places[lo : lo + 4096, None] + np.arange(max(head.size, head.body)).clip(max=head.size - 1)]
+            good = checksums(_covered(rows, head)) == (rows[:, HEADER].astype(np.uint32) << 8 | rows[:, HEADER + 1])
+            bad += int((~good).sum())
+            for i, row, ok in zip(which[lo : lo + 4096], rows, good.tolist(), strict=True):
+                n = int(row[HEADER + CRC]) * UNIT
+                parts[i] = row[head.body : head.body + n].tobytes() if ok else b""
     return bad, b"".join(parts[i] for i in sorted(parts))
 
 
@@ -248,14 +303,20 @@ def _decode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """doc_id and media (an MPEG audio stream) of each row of ``docs`` (doc_id, text); a null text counts as empty."""
+    """doc_id and media (an MPEG audio stream) of each row of ``docs`` (doc_id, text, any others).
+
+    A null text counts as empty. Rows that repeat get equal streams; an empty table gives no rows.
+    """
     return docs.select("doc_id", "text").mapInArrow(per_batch(_encode), "doc_id long, media binary")
 
 
 def from_media(media: DataFrame) -> DataFrame:
     """What the streams of ``media`` (doc_id, media) hold: payload, exact duration as samples over
-    sample_rate, byte offset of every frame, damage found and a feature text. Frames whose checksum
-    fails give no payload. A null or empty stream has no frames."""
+    sample_rate, byte offset of every frame, damage found and a feature text.
+
+    Frames whose checksum fails give no payload, nor do streams without the tag of ``to_media``. A null
+    or empty stream has no frames. Rows that repeat give equal rows; an empty table gives none.
+    """
     return media.select("doc_id", "media").mapInArrow(
         per_batch(_decode),
         "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, samples long, sample_rate int, "

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rillstone.llm import bpe, mpeg, ngram_lm, packing, quality, queries
+from rillstone.llm import bpe, hashing, mpeg, ngram_lm, packing, quality, queries
 from rillstone.llm.common import read
 
 
@@ -171,6 +171,50 @@ def test_media_damage():
     assert mpeg.decode(b"").samples == 0
 
 
+def other_stream(version, stereo, guarded, frames, table=b""):
+    """Frames as other encoders write them: version bits, stereo or mono, with checksums or not; a table in the first."""
+    side = {(True, True): 32, (True, False): 17, (False, True): 17, (False, False): 9}[version == 3, stereo]
+    rate = {3: 44100, 2: 22050, 0: 11025}[version]
+    out, sizes = [], []
+    for n in range(frames):
+        index, padding = (9, 5, 14)[n % 3], n % 2
+        kbits = ((128, 64, 320) if version == 3 else (80, 40, 160))[n % 3]
+        size = (144 if version == 3 else 72) * kbits * 1000 // rate + padding
+        head = bytes([0xFF, 0xE0 | version << 3 | 1 << 1 | (not guarded), index << 4 | padding << 1, 0x40 if stereo else 0xC0])
+        body = bytes((n * 7 + k) % 251 for k in range(side))
+        crc = int(mpeg.checksums(np.frombuffer(head[2:] + body, np.uint8)[None])[0]).to_bytes(2, "big") if guarded else b""
+        frame = head + crc + body + (table if n == 0 else b"")
+        out.append(frame.ljust(size, b"\x55"))
+        sizes.append(size)
+    return b"".join(out), sizes, rate
+
+
+@pytest.mark.parametrize("version", [3, 2, 0])
+@pytest.mark.parametrize("stereo", [True, False])
+@pytest.mark.parametrize("guarded", [True, False])
+def test_media_of_other_encoders(version, stereo, guarded):
+    xing = b"Xing" + (7).to_bytes(4, "big") + (12).to_bytes(4, "big") + (3456).to_bytes(4, "big") + bytes(range(100))
+    for table in (b"", xing):
+        data, sizes, rate = other_stream(version, stereo, guarded, 12, table)
+        got = mpeg.decode(b"ID3\x03\x00\x00\x00\x00\x00\x0a" + b"x" * 10 + data + b"TAG".ljust(128, b"\0"))
+        skip = 1 if table else 0
+        assert got.sizes == sizes[skip:] and got.offsets[0] == 20 + sum(sizes[:skip]) and got.rate == rate
+        assert got.samples == (1152 if version == 3 else 576) * (12 - skip) and (got.bad, got.junk, got.payload) == (0, 0, b"")
+        assert (got.table_frames, got.table_bytes, got.toc) == ((12, 3456, bytes(range(100))) if table else (None, None, b""))
+    if guarded:
+        broken = bytearray(data)
+        broken[sizes[0] + 8] ^= 1
+        assert mpeg.decode(bytes(broken)).bad == 1
+
+
+def test_media_table_of_another_kind():
+    vbri = b"VBRI" + bytes(6) + (9999).to_bytes(4, "big") + (8).to_bytes(4, "big") + b"".join(n.to_bytes(2, "big") for n in (4, 10, 2, 2)) + b"".join(n.to_bytes(2, "big") for n in (10, 20, 30, 40))
+    data, sizes, _ = other_stream(3, True, False, 8, vbri)
+    got = mpeg.decode(data)
+    assert (got.table_frames, got.table_bytes) == (8, 9999) and len(got.offsets) == 7
+    assert got.toc[0] == 0 and got.toc[50] == 30 * 255 // 100 and len(got.toc) == 100
+
+
 def test_media_query(spark, odd, none):
     back = {r.doc_id: r for r in mpeg.from_media(mpeg.to_media(odd)).collect()}
     for i, t in pairs(odd):
@@ -194,6 +238,43 @@ def test_quality(spark, odd, none, sf):
     assert {r.score for r in quality.classify(odd, labels.where("false")).collect()} == {0.5}
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def plain_score(text, value, bias):
+    """A document's score from the learned value of each bucket, feature by feature."""
+    byte, coef, p = hashing._EACH.tolist(), hashing._COEF.tolist(), int(hashing._P)
+    bucket = lambda key, salt: ((key + salt) * 0x9E3779B97F4A7C15 & M64) >> 64 - quality.BUCKET_BITS
+    raw, found = (text or "").encode(), []
+    words = [plain_mix(sum(byte[b] * pow(p, k, 1 << 64) for k, b in enumerate(w)) + (len(w) - 1) * coef[63] & M64) for w in raw.split()]
+    found += [bucket(w, 1) for w in words]
+    found += [0 if a == b else bucket(a * coef[0] + b & M64, 2) for a, b in zip(words[:-1], words[1:], strict=True)]
+    for size in (3, 4, 5):
+        for at in range(len(raw) - size + 1):
+            gram = raw[at : at + size]
+            if len(gram[1:-1].split()) == 1 and gram[1:-1].strip() == gram[1:-1]:
+                found.append(bucket(int.from_bytes(bytes(32 if b in b" \t\n\v\f\r" else b for b in gram), "little"), 2 + size))
+    return 1 / (1 + math.exp(-(sum(float(value[b]) for b in found) / max(len(found), 1) + bias)))
+
+
+def test_quality_scores_match_a_plain_sum(spark, odd, sf):
+    docs = odd.where("doc_id IS NULL OR doc_id <> 12").select("doc_id", "text").union(read(spark, sf, "documents").select("doc_id", "text").limit(40))
+    value, bias = quality.fit(read(spark, sf, "documents"), read(spark, sf, "labels"))
+    want = sorted((str(i), plain_score(t, value, bias)) for i, t in pairs(docs))
+    got = sorted((str(r.doc_id), r.score) for r in quality.score(docs, (value, bias)).collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-9)
+    kept = Counter((str(r.doc_id), r.text) for r in quality.keep_good(docs, read(spark, sf, "labels")).collect())
+    model = quality.fit(docs, read(spark, sf, "labels"))
+    assert kept == Counter((str(i), t) for i, t in pairs(docs) if plain_score(t, *model) >= quality.THRESHOLD)
+
+
 @pytest.mark.parametrize("name", ["op3_stupid_backoff", "op4_bpe_encode_decode", "op6_best_fit_packing", "op8_mpeg_audio_columns", "op9_subword_quality"])
 def test_query(spark, sf, name):
     ids = {r.doc_id for r in queries.QUERIES[name](spark, sf).select("doc_id").collect()}
