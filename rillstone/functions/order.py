@@ -28,24 +28,41 @@ def latest(col: Column | str, keys: Cols, order: Cols) -> Column:
     return F.last(col, ignorenulls=True).over(so_far(keys, order))
 
 
+#: Buckets whose counts are summed up in one task.
+SPAN = 1024
+
+
 def number(df: DataFrame, order: Cols, keys: Cols = (), bucket: Column | None = None, name: str = "rn") -> DataFrame:
     """Position of each row, from 1: within its key, or in the whole table if there are no keys.
 
-    Without keys ``bucket`` must be a column that never falls as rows go on in order, with few
-    rows per value (the hour of a time, say): rows are numbered within buckets, and the counts of
-    the earlier buckets, one row each, are joined on.
+    ``bucket`` must be a number that never falls as rows go on in order, with few rows per value (the
+    hour of a time, say): rows are numbered within buckets, and the counts of earlier buckets are joined
+    on. These are summed up within spans of SPAN buckets and over spans, so that one task sees a count per
+    span at most. Without keys a bucket is needed; with keys it keeps a key of many rows from being one task.
     """
-    if keys:
-        return df.withColumn(name, F.row_number().over(over(keys, order)))
     if bucket is None:
-        raise ValueError("a global order needs a bucket column")
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_before", before).drop("_n")
-    inside = rows.withColumn("_rn", F.row_number().over(over(["_bucket"], order)))
-    joined = inside.join(counts, inside["_bucket"].eqNullSafe(counts["_bucket"])).drop(counts["_bucket"])
-    return joined.withColumn(name, F.col("_before") + F.col("_rn")).drop("_bucket", "_before", "_rn")
+        if not keys:
+            raise ValueError("a global order needs a bucket column")
+        return df.withColumn(name, F.row_number().over(over(keys, order)))
+    keys = list(keys)
+    rows = df.withColumn("_bucket", bucket.cast("double"))
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")).withColumn("_span", F.floor(F.col("_bucket") / SPAN))
+    before = lambda part, by: F.coalesce(F.sum("_n").over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = counts.groupBy(*keys, "_span").agg(F.sum("_n").alias("_n")).withColumn("_spans_before", before(keys, "_span")).drop("_n")
+    counts = counts.withColumn("_own_before", before([*keys, "_span"], "_bucket"))
+    spans = spans.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_span").alias("_s__span"), "_spans_before")
+    counts = counts.join(spans, _all([F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in [*keys, "_span"]]))
+    counts = counts.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_bucket").alias("_c__bucket"), (F.col("_own_before") + F.col("_spans_before")).alias("_before"))
+    inside = rows.withColumn("_rn", F.row_number().over(over([*keys, "_bucket"], order)))
+    joined = inside.join(counts, _all([F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in [*keys, "_bucket"]]))
+    return joined.withColumn(name, F.col("_before") + F.col("_rn")).drop("_bucket", "_before", "_rn", "_c__bucket", *[f"_c_{k}" for k in keys])
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
 
 
 def tagged_union(sides: dict[str, DataFrame], columns: Cols) -> DataFrame:

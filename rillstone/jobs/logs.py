@@ -210,23 +210,34 @@ def s7(spark, d):
 
 
 def commands(spark, d):
-    """Events as publishes: a command id is used three times, a key four times; topics open and close."""
+    """Events as publishes: a command id is used three times, a key four times; topics open and close; their
+    commands have ids that publishes have too, and one close is a duplicate."""
     e = events(spark, d)
     n = F.col("event_id")
-    publish = e.select((n * 2 + 1).alias("ord"), F.lit("publish").alias("kind"), F.when(n % 211 == 0, "").otherwise(F.col("event_type")).alias("topic"), F.concat(F.lit("c"), F.when(n % 10 == 0, n - n % 30).otherwise(n).cast("string")).alias("command_id"), F.when(n % 4 == 0, F.concat(F.lit("i"), (n % 3000).cast("string"))).alias("idempotency_key"), F.col("cents").alias("payload"), F.col("ms").alias("now_ms"))
-    edge = lambda kind, of: e.where(F.col("event_type").isin(*of)).groupBy(F.col("event_type").alias("topic")).agg((F.min("event_id") * 2).alias("lo"), (F.max("event_id") - F.max("event_id") % 100).alias("hi"), F.min("ms").alias("now_ms")).select((F.col("lo") if kind == "ensure_topic" else F.col("hi")).alias("ord"), F.lit(kind).alias("kind"), "topic", F.lit(None).cast("string").alias("command_id"), F.lit(None).cast("string").alias("idempotency_key"), F.lit(None).cast("long").alias("payload"), "now_ms")
-    return publish.union(edge("ensure_topic", ["click", "view", "purchase", "signup"])).union(edge("close_topic", ["signup"]))
-
-
-BUS = f"""{E}, pb AS (SELECT event_id * 2 + 1 AS ord, CASE WHEN event_id % 211 = 0 THEN '' ELSE event_type END AS topic, 'c' || (CASE WHEN event_id % 10 = 0 THEN event_id - event_id % 30 ELSE event_id END) AS command_id,
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    publish = e.select((n * 2 + 1).alias("ord"), F.lit("publish").alias("kind"), F.when(n % 211 == 0, "").otherwise(F.col("event_type")).alias("topic"), text("c", F.when(n % 10 == 0, n - n % 30).otherwise(n)).alias("command_id"), F.when(n % 4 == 0, text("i", n % 3000)).alias("idempotency_key"), F.col("cents").alias("payload"), F.col("ms").alias("now_ms"))
+    edges = e.where("event_type <> 'error'").groupBy(F.col("event_type").alias("topic")).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.min("ms").alias("now_ms"))
+    edge = lambda kind, ord_, id_: edges.select(ord_.alias("ord"), F.lit(kind).alias("kind"), "topic", id_.alias("command_id"), F.lit(None).cast("string").alias("idempotency_key"), F.lit(None).cast("long").alias("payload"), "now_ms")
+    ensure = edge("ensure_topic", F.col("lo") * 2, text("c", F.col("lo") + 1))
+    early = edge("close_topic", F.col("lo") * 2 - 1, F.lit(None).cast("string")).where("topic = 'view'")
+    again = edge("close_topic", F.col("hi") * 2 - 400, text("c", F.col("lo") + 1)).where("topic = 'purchase'")
+    close = edge("close_topic", F.col("hi") * 2 - 300, text("x", F.col("hi"))).where("topic = 'signup'")
+    return publish.union(ensure).union(early).union(again).union(close)
+
+
+BUS = f"""{E}, pb AS (SELECT event_id * 2 + 1 AS ord, 'publish' AS kind, CASE WHEN event_id % 211 = 0 THEN '' ELSE event_type END AS topic, 'c' || (CASE WHEN event_id % 10 = 0 THEN event_id - event_id % 30 ELSE event_id END) AS command_id,
  CASE WHEN event_id % 4 = 0 THEN 'i' || (event_id % 3000) END AS ik, cents AS payload, ms AS now_ms FROM e),
-tp AS (SELECT event_type AS topic, min(event_id) * 2 AS f, CASE WHEN event_type = 'signup' THEN max(event_id) - max(event_id) % 100 END AS t FROM e WHERE event_type <> 'error' GROUP BY 1),
-a AS (SELECT pb.*, CASE WHEN pb.topic = '' THEN 'malformed-command' WHEN row_number() OVER (PARTITION BY command_id ORDER BY ord) > 1 THEN 'duplicate-command' END AS stop,
- CASE WHEN ord > t THEN 'closed-topic' WHEN NOT coalesce(ord > f, false) THEN 'unknown-topic' END AS bad FROM pb LEFT JOIN tp USING (topic)),
+ed AS (SELECT event_type AS topic, min(event_id) AS lo, max(event_id) AS hi, min(ms) AS now_ms FROM e WHERE event_type <> 'error' GROUP BY 1),
+cm AS (SELECT * FROM pb UNION ALL SELECT lo * 2, 'ensure_topic', topic, 'c' || (lo + 1), NULL, NULL, now_ms FROM ed UNION ALL SELECT lo * 2 - 1, 'close_topic', topic, NULL, NULL, NULL, now_ms FROM ed WHERE topic = 'view'
+ UNION ALL SELECT hi * 2 - 400, 'close_topic', topic, 'c' || (lo + 1), NULL, NULL, now_ms FROM ed WHERE topic = 'purchase' UNION ALL SELECT hi * 2 - 300, 'close_topic', topic, 'x' || hi, NULL, NULL, now_ms FROM ed WHERE topic = 'signup'),
+fr AS (SELECT *, CASE WHEN topic = '' THEN 'malformed-command' WHEN command_id IS NOT NULL AND row_number() OVER (PARTITION BY command_id, topic = '' ORDER BY ord) > 1 THEN 'duplicate-command' END AS stop FROM cm),
+op AS (SELECT topic, min(ord) AS f FROM fr WHERE kind = 'ensure_topic' AND stop IS NULL GROUP BY 1), tp AS (SELECT topic, f, (SELECT min(ord) FROM fr c WHERE c.kind = 'close_topic' AND c.stop IS NULL AND c.topic = op.topic AND c.ord > f) AS t FROM op),
+a AS (SELECT fr.*, CASE WHEN NOT coalesce(ord > f, false) THEN 'unknown-topic' WHEN ord > t THEN 'closed-topic' END AS bad FROM fr LEFT JOIN tp USING (topic) WHERE kind = 'publish'),
 b AS (SELECT *, min(CASE WHEN stop IS NULL AND bad IS NULL THEN ord END) OVER (PARTITION BY topic, ik) AS first FROM a),
 s AS (SELECT *, CASE WHEN stop IS NOT NULL THEN stop WHEN ik IS NOT NULL AND first < ord THEN 'duplicate-command' WHEN bad IS NOT NULL THEN bad ELSE 'published' END AS status FROM b),
 ms AS (SELECT topic, ord, payload, now_ms, row_number() OVER (PARTITION BY topic ORDER BY ord) AS seq FROM s WHERE status = 'published'),
-kept AS (SELECT * FROM ms QUALIFY row_number() OVER (PARTITION BY topic ORDER BY seq DESC) <= 500), hd AS (SELECT topic, min(seq) AS head_seq, max(seq) + 1 AS tail_seq FROM kept GROUP BY 1)"""
+kept AS (SELECT * FROM ms QUALIFY row_number() OVER (PARTITION BY topic ORDER BY seq DESC) <= 500), hd AS (SELECT topic, min(seq) AS head_seq, max(seq) + 1 AS tail_seq FROM kept GROUP BY 1),
+dl AS (SELECT ord, topic, status, row_number() OVER (ORDER BY ord) AS entry_seq FROM s WHERE status IN ('malformed-command', 'unknown-topic', 'closed-topic'))"""
 
 
 def messages(spark, d):
@@ -238,7 +249,7 @@ def m1(spark, d):
     return bus.publish(commands(spark, d)).select("ord", "status", "seq")
 
 
-@job("m2_dead_letters", f"{BUS} SELECT ord, status, row_number() OVER (ORDER BY ord) AS entry_seq FROM s WHERE status IN ('malformed-command', 'unknown-topic', 'closed-topic')")
+@job("m2_dead_letters", f"{BUS} SELECT ord, status, entry_seq FROM dl")
 def m2(spark, d):
     return bus.dead_letters(bus.publish(commands(spark, d))).select("ord", "status", "entry_seq")
 
@@ -254,26 +265,36 @@ def m3_heads(spark, d):
     return bus.heads(m, bus.retained(m, 500))
 
 
-@job("m4_topic_page", f"{BUS}, p AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY seq) AS r, count(*) OVER (PARTITION BY topic) AS c FROM ms WHERE seq > 50) SELECT topic, seq, payload, c > 100 AS has_more, max(seq) OVER (PARTITION BY topic) AS next_after FROM p WHERE r <= 100")
+@job("m4_topic_page", f"{BUS}, p AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY seq) AS r, count(*) OVER (PARTITION BY topic) AS c FROM ms WHERE seq > 50) SELECT topic, seq, payload, c > 100 AS has_more, CASE WHEN c > 100 THEN max(seq) OVER (PARTITION BY topic) END AS next_after FROM p WHERE r <= 100")
 def m4(spark, d):
     return bus.topic_page(messages(spark, d), 50).select("topic", "seq", "payload", "has_more", "next_after")
 
 
-def cursors(spark, d):
-    return events(spark, d).where("k < 4").groupBy(F.col("event_type").alias("topic"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("subscription_id")).agg((F.max("event_id") / 10).cast("long").alias("next_seq"))
+@job("m4_catalog_page", f"""{BUS}, ct AS (SELECT topic, t IS NOT NULL AS closed, coalesce(head_seq, 1) AS head_seq, coalesce(tail_seq, 1) AS next_seq, (SELECT count(*) FROM kept WHERE kept.topic = tp.topic) AS message_count FROM tp LEFT JOIN hd USING (topic))
+SELECT *, (SELECT count(*) FROM ct) > 3 AS has_more FROM ct ORDER BY topic LIMIT 3""")
+def m4_catalog(spark, d):
+    c = commands(spark, d)
+    m = bus.publish(c).where("status = 'published'")
+    return bus.catalog_page(bus.catalog(c, m, bus.retained(m, 500)), limit=3, include_closed=True)
 
 
-@job("m6_available", f"""{BUS}, cu AS (SELECT event_type AS topic, 's' || user_id AS subscription_id, max(event_id) // 10 AS next_seq FROM e WHERE k < 4 GROUP BY 1, 2)
-SELECT subscription_id, topic, seq, payload FROM cu JOIN hd USING (topic) JOIN kept USING (topic) WHERE next_seq >= head_seq AND seq >= next_seq AND seq < next_seq + 5""")
-def m6(spark, d):
-    m = messages(spark, d)
-    kept = bus.retained(m, 500).select("topic", "seq", "payload")
-    return bus.available(cursors(spark, d), kept, bus.heads(m, kept), 5)
+@job("m4_dead_letter_page", f"{BUS} SELECT ord, status, entry_seq, (SELECT count(*) FROM dl WHERE status = 'unknown-topic' AND entry_seq > 5) > 20 AS has_more FROM dl WHERE status = 'unknown-topic' AND entry_seq > 5 ORDER BY entry_seq LIMIT 20")
+def m4_dead_letters(spark, d):
+    letters = bus.dead_letters(bus.publish(commands(spark, d)))
+    return bus.dead_letter_page(letters, 5, 20, code="unknown-topic").select("ord", "status", "entry_seq", "has_more")
 
 
-@job("m6_available_to_all", f"""{BUS}, cu AS (SELECT event_type AS topic, 's' || user_id AS subscription_id, max(event_id) // 10 AS next_seq FROM e GROUP BY 1, 2)
-SELECT subscription_id, topic, seq, payload FROM cu JOIN hd USING (topic) JOIN kept USING (topic) WHERE next_seq >= head_seq AND seq >= next_seq AND seq < next_seq + 5""")
-def m6_all(spark, d):
+@job("m3_trims", f"{BUS} SELECT topic, seq, seq - 499 AS head_seq, 1 AS trim_count FROM ms WHERE seq > 500")
+def m3_trims(spark, d):
+    return bus.trims(messages(spark, d), 500)
+
+
+AVAILABLE = f"""{BUS}, cu AS (SELECT event_type AS topic, 's' || user_id AS subscription_id, max(event_id) // 10 AS next_seq FROM e GROUP BY 1, 2)
+SELECT subscription_id, topic, seq, payload FROM cu JOIN hd USING (topic) JOIN kept USING (topic) WHERE next_seq >= head_seq AND seq >= next_seq AND seq < next_seq + 5"""
+
+
+@job("m6_available", AVAILABLE)
+def m6(spark, d):
     """Subscriptions of all events."""
     m = messages(spark, d)
     kept = bus.retained(m, 500).select("topic", "seq", "payload")
@@ -281,14 +302,41 @@ def m6_all(spark, d):
     return bus.available(subscriptions.agg((F.max("event_id") / 10).cast("long").alias("next_seq")), kept, bus.heads(m, kept), 5)
 
 
-@job("m5_subscriptions")
-def m5(spark, d):
-    e = events(spark, d)
-    kind = F.when(F.col("event_type") == "signup", "subscribe").when(F.col("event_type") == "purchase", "seek").when((F.col("event_type") == "error") & (F.col("k") % 9 == 0), "close_subscription").otherwise("ack")
-    rows = e.select(F.col("event_id").alias("ord"), F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("topic"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("subscription_id"), kind.alias("kind"), F.col("k").cast("long").alias("seq"), F.when(F.col("k") % 2 == 0, "earliest").otherwise("latest").alias("start"), F.lit(1).alias("head_seq"), F.lit(80).alias("tail_seq"))
+@job("m6_available_to_all", AVAILABLE)
+def m6_all(spark, d):
+    return m6(spark, d)
+
+
+SUBSCRIPTIONS = """WITH RECURSIVE {events}, c AS (SELECT event_id AS ord, 't' || (user_id % 5) AS topic, 's' || user_id AS subscription_id,
+ CASE WHEN event_type = 'signup' THEN 'subscribe' WHEN event_type = 'purchase' THEN 'seek' WHEN event_type = 'error' AND k % 9 = 0 THEN 'close_subscription' ELSE 'ack' END AS kind, k AS seq,
+ CASE WHEN k % 3 = 0 THEN 'earliest' WHEN k % 3 = 1 THEN 'latest' END AS start, least(40, 1 + event_id // 50) AS head, 80 AS tail, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM e),
+f AS (SELECT DISTINCT topic, subscription_id, 0 AS rn, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS BIGINT) AS nx, false AS closed, false AS gap FROM c
+ UNION ALL SELECT topic, subscription_id, rn, ord, code, CASE WHEN code = 'subscribed' THEN want WHEN code = 'cursor-out-of-range' AND kind = 'subscribe' THEN head WHEN code = 'acked' THEN seq + 1 WHEN code = 'sought' THEN seq ELSE nx END,
+  closed OR code = 'closed', gap AND code <> 'sought' FROM (SELECT *, CASE WHEN kind = 'subscribe' THEN CASE WHEN nx IS NOT NULL THEN 'kept' WHEN want < head OR want > tail THEN 'cursor-out-of-range' ELSE 'subscribed' END
+   WHEN nx IS NULL THEN 'unknown-subscription' WHEN kind = 'close_subscription' THEN 'closed' WHEN closed THEN 'subscription-closed'
+   WHEN kind = 'ack' THEN CASE WHEN gap THEN 'retention-gap' WHEN seq < nx THEN 'source-cursor-stale' WHEN seq >= tail THEN 'cursor-out-of-range' ELSE 'acked' END
+   WHEN seq < head THEN 'retention-gap' WHEN seq > tail THEN 'cursor-out-of-range' ELSE 'sought' END AS code
+   FROM (SELECT c.*, CASE start WHEN 'earliest' THEN head WHEN 'latest' THEN tail ELSE seq END AS want, f.nx, f.closed, f.gap OR (NOT f.closed AND coalesce(f.nx < head, false)) AS gap FROM f JOIN c ON c.subscription_id = f.subscription_id AND c.rn = f.rn + 1)))
+"""
+
+
+def subscription_facts(spark, d):
+    e, k, n = events(spark, d), F.col("k"), F.col("event_id")
+    kind = F.when(F.col("event_type") == "signup", "subscribe").when(F.col("event_type") == "purchase", "seek").when((F.col("event_type") == "error") & (k % 9 == 0), "close_subscription").otherwise("ack")
+    rows = e.select(n.alias("ord"), F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("topic"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("subscription_id"), kind.alias("kind"), k.cast("long").alias("seq"), F.when(k % 3 == 0, "earliest").when(k % 3 == 1, "latest").alias("start"), F.least(F.lit(40), 1 + F.floor(n / 50)).alias("head_seq"), F.lit(80).alias("tail_seq"))
     return bus.subscriptions(rows)
 
 
+@job("m5_subscriptions", SUBSCRIPTIONS.format(events=EVENTS_SQL) + "SELECT ord, topic, subscription_id, code, nx AS next_seq, closed, gap AS retention_gap FROM f WHERE rn > 0")
+def m5(spark, d):
+    return subscription_facts(spark, d)
+
+
+@job("m5_cursors", SUBSCRIPTIONS.format(events=EVENTS_SQL) + "SELECT topic, subscription_id, nx AS next_seq, closed, gap AS retention_gap FROM f WHERE nx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY subscription_id ORDER BY rn DESC) = 1")
+def m5_cursors(spark, d):
+    return bus.cursors(subscription_facts(spark, d))
+
+
 @job("m7_event_message", f"""{E} SELECT event_id, event_type AS type, '{{"cents":' || cents || '}}' AS payload FROM e""")
 def m7(spark, d):
     e = events(spark, d)

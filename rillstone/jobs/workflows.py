@@ -175,7 +175,7 @@ def handled(spark, d):
 CQ = f"""{E}, c AS (SELECT event_id AS ord, CASE WHEN event_id % 301 = 0 THEN '' ELSE 'c' || (CASE WHEN event_id % 8 = 0 THEN event_id - event_id % 24 ELSE event_id END) END AS id, event_type AS command_type, user_id AS aggregate_id, cents, k FROM e),
 h AS (SELECT *, CASE WHEN id = '' THEN 'malformed-command' WHEN row_number() OVER (PARTITION BY id ORDER BY ord) > 1 THEN 'duplicate-command' WHEN command_type NOT IN ('click', 'purchase', 'view') THEN 'unknown-command' WHEN command_type = 'view' AND k % 5 = 0 THEN 'handler-failed' ELSE 'accepted' END AS status FROM c),
 ev AS (SELECT ord, id AS command_id, aggregate_id, i, CASE command_type WHEN 'click' THEN 'clicked' WHEN 'view' THEN 'viewed' ELSE ['paid', 'counted'][i + 1] END AS type, CASE WHEN command_type = 'view' THEN k WHEN i = 1 THEN 1 ELSE cents END AS payload FROM (SELECT *, unnest(range(0, CASE WHEN command_type = 'purchase' THEN 2 ELSE 1 END)) AS i FROM h WHERE status = 'accepted')),
-es AS (SELECT *, 'cqrs-event:["' || command_id || '","' || i || '"]' AS id, row_number() OVER (ORDER BY ord, i) AS seq FROM ev)"""
+es AS (SELECT *, 'cqrs-event:["' || command_id || '","' || (i + 1) || '"]' AS id, row_number() OVER (ORDER BY ord, i) AS seq FROM ev)"""
 
 
 @job("e1_cqrs_status", f"{CQ} SELECT ord, status FROM h")
@@ -188,10 +188,41 @@ def e1_events(spark, d):
     return cqrs.events(handled(spark, d)).select("id", "seq", "type", "payload", "aggregate_id")
 
 
-@job("e2_bounded_dedupe")
+CHECKED = f"""{E}, c AS (SELECT event_id AS ord, 'c' || event_id AS id, user_id AS aggregate_id, CASE WHEN k % 7 = 0 THEN '' WHEN k % 5 = 0 THEN 'odd' ELSE event_type END AS type, CASE WHEN k % 4 > 0 THEN 'e' || (event_id % 1500) END AS ev, cents FROM e),
+h AS (SELECT *, CASE WHEN type = '' THEN 'malformed-event' WHEN type = 'odd' THEN 'unknown-event' WHEN ev IS NOT NULL AND row_number() OVER (PARTITION BY ev, type IN ('', 'odd') ORDER BY ord) > 1 THEN 'duplicate-event' ELSE 'accepted' END AS status FROM c)"""
+
+
+def checked(spark, d):
+    """Commands with two drafts: the first at fault at times, with an id of its own at others; the second plain."""
+    n, k = F.col("event_id"), F.col("k")
+    kind = F.when(k % 7 == 0, "").when(k % 5 == 0, "odd").otherwise(F.col("event_type"))
+    rows = events(spark, d).select(n.alias("ord"), text("c", n).alias("id"), F.lit("do").alias("command_type"), F.col("user_id").alias("aggregate_id"), kind.alias("t"), F.when(k % 4 > 0, text("e", n % 1500)).alias("ev"), "cents")
+    draft = lambda t, p, i: F.struct(t.alias("type"), p.alias("payload"), i.cast("string").alias("id"))
+    drafts = F.array(draft(F.col("t"), F.col("cents"), F.col("ev")), draft(F.lit("counted"), F.lit(1).cast("long"), F.lit("")))
+    return cqrs.handle(rows, {"do": drafts}, F.floor(F.col("ord") / 500), ["click", "view", "purchase", "signup", "error", "counted"])
+
+
+@job("e1_event_checks", f"{CHECKED} SELECT ord, status FROM h")
+def e1_checks(spark, d):
+    return checked(spark, d).select("ord", "status")
+
+
+@job("e1_named_events", f"""{CHECKED} SELECT CASE WHEN i = 1 AND ev IS NOT NULL THEN ev ELSE 'cqrs-event:["' || id || '","' || i || '"]' END AS id, row_number() OVER (ORDER BY ord, i) AS seq, CASE WHEN i = 1 THEN type ELSE 'counted' END AS type, CASE WHEN i = 1 THEN cents ELSE 1 END AS payload
+FROM (SELECT *, unnest([1, 2]) AS i FROM h WHERE status = 'accepted')""")
+def e1_named(spark, d):
+    return cqrs.events(checked(spark, d)).select("id", "seq", "type", "payload")
+
+
+@job("e2_bounded_dedupe", f"""WITH RECURSIVE {EVENTS_SQL}, n AS (SELECT user_id, event_id AS ord, CAST(k % 12 AS VARCHAR) AS id, event_type || (k % 3) AS ev, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM e),
+f AS (SELECT user_id, ord, rn, 'accepted' AS code, [id] AS s, [ev] AS m, 0 AS ce, 0 AS ee FROM n WHERE rn = 1 UNION ALL
+ SELECT n.user_id, n.ord, n.rn, CASE WHEN list_contains(f.s, n.id) THEN 'duplicate-command' WHEN list_contains(f.m, n.ev) THEN 'duplicate-event' ELSE 'accepted' END,
+  CASE WHEN list_contains(f.s, n.id) THEN f.s ELSE list_append(f.s, n.id)[-5:] END, CASE WHEN list_contains(f.s, n.id) OR list_contains(f.m, n.ev) THEN f.m ELSE list_append(f.m, n.ev)[-3:] END,
+  f.ce + CASE WHEN NOT list_contains(f.s, n.id) AND len(f.s) >= 5 THEN 1 ELSE 0 END, f.ee + CASE WHEN NOT list_contains(f.s, n.id) AND NOT list_contains(f.m, n.ev) AND len(f.m) >= 3 THEN 1 ELSE 0 END
+ FROM f JOIN n ON n.user_id = f.user_id AND n.rn = f.rn + 1)
+SELECT user_id, ord, code, ce AS commands_evicted, ee AS events_evicted FROM f""")
 def e2(spark, d):
-    c = events(spark, d).select(F.col("event_id").alias("ord"), F.col("k").cast("string").alias("id"), "user_id")
-    return cqrs.bounded_dedupe(c, 5, ["user_id"])
+    c = events(spark, d).select(F.col("event_id").alias("ord"), (F.col("k") % 12).cast("string").alias("id"), F.concat("event_type", (F.col("k") % 3).cast("string")).alias("event_id"), "user_id")
+    return cqrs.bounded_dedupe(c, 5, ["user_id"], 3).select("user_id", "ord", "code", "commands_evicted", "events_evicted")
 
 
 @job("e3_audit", f"""{CQ}, n AS (SELECT *, CASE WHEN status = 'accepted' THEN CASE WHEN command_type = 'purchase' THEN 2 ELSE 1 END ELSE 0 END AS events FROM h)

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce as _reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.folds import keyed_fold
 from ..functions.order import Cols, number, over, so_far
 
 
@@ -51,18 +51,15 @@ def distinct_until_changed(df: DataFrame, value: str, order_by: Cols, partition_
 
 
 def distinct_until_moved(df: DataFrame, value: str, tolerance: float, order_by: Cols, partition_by: Cols) -> DataFrame:
-    """Rows that differ by more than ``tolerance`` from the last row *kept*; a fold per key."""
+    """Rows that differ by more than ``tolerance`` from the last row *kept*; a fold per key. A null or NaN value is kept."""
+    place = df.columns.index(value)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order_by), kind="stable")
-        kept, last = [], None
-        for x in rows[value]:
-            stay = last is None or not abs(x - last) <= tolerance
-            kept.append(stay)
-            last = x if stay else last
-        return rows[kept]
+    def step(last, row):
+        x = row[place]
+        stay = last is None or x is None or not abs(x - last) <= tolerance
+        return (x, [tuple(row)]) if stay else (last, [])
 
-    return df.groupBy(*partition_by).applyInPandas(fold, df.schema)
+    return keyed_fold(df, partition_by, order_by, step, lambda: None, df.schema)
 
 
 def stratify(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -157,16 +154,13 @@ def scan(df: DataFrame, order_by: Cols, partition_by: Cols, **folds: Column) ->
 
 def scan_with(df: DataFrame, step: Callable, seed: object, value: str, out: str, kind: T.DataType, order_by: Cols, partition_by: Cols) -> DataFrame:
     """A running fold by any function ``step(acc, x)``, in order, per key."""
+    place = df.columns.index(value)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order_by), kind="stable")
-        acc, values = seed, []
-        for x in rows[value]:
-            acc = step(acc, x)
-            values.append(acc)
-        return rows.assign(**{out: values})
+    def each(acc, row):
+        acc = step(acc, row[place])
+        return acc, [(*row, acc)]
 
-    return df.groupBy(*partition_by).applyInPandas(fold, T.StructType([*df.schema.fields, T.StructField(out, kind)]))
+    return keyed_fold(df, partition_by, order_by, each, lambda: seed, T.StructType([*df.schema.fields, T.StructField(out, kind)]))
 
 
 def reduce(df: DataFrame, partition_by: Cols, **folds: tuple[Column, object]) -> DataFrame:

@@ -1,70 +1,138 @@
 """Message bus: publish fold, dead letters, retention, pages, subscriptions and payload checks.
 
-Command rows have ord, kind, topic, command_id, idempotency_key, payload and now_ms, in order of ``ord``.
+Command rows have ord, kind, topic, command_id, idempotency_key, payload and now_ms (subscription_id, seq and
+start where a kind has them), in order of ``ord``.
 """
 
 from __future__ import annotations
 
 import json
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import over
+from ..functions.folds import keyed_fold
+from ..functions.order import number, over
 
 
-def publish(commands: DataFrame, strict: bool = True) -> DataFrame:
+#: Rows of a topic's order, by ``ord``, that are numbered in one task.
+PER_BUCKET = 1000
+
+
+def fresh(commands: DataFrame) -> DataFrame:
+    """Commands with ``_stop``: malformed-command (an empty topic or subscription id), else duplicate-command
+    (a command id that a well-formed command of any kind had before), else null.
+
+    Rows that cannot have a duplicate are parted by their ord, lest all rows without an id meet in one task.
+    """
+    blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    bad = blank("topic") & (F.col("kind") != "topic_policy")
+    if "subscription_id" in commands.columns:
+        bad = bad | (F.col("kind").isin("ack", "seek", "close_subscription") & blank("subscription_id"))
+    rows = commands.withColumn("_bad", bad).withColumn("_apart", F.when(F.col("_bad") | F.col("command_id").isNull(), F.col("ord")))
+    nth = F.row_number().over(over(["command_id", "_apart"], ["ord"]))
+    stop = F.when(F.col("_bad"), "malformed-command").when(nth > 1, "duplicate-command")
+    return rows.withColumn("_stop", stop).drop("_bad", "_apart")
+
+
+def topics(commands: DataFrame, strict: bool = True) -> DataFrame:
+    """topic, opened and closed: the ord from which it exists and of the first close after that (null if none).
+
+    If not strict a publish makes its topic too. ``commands`` as ``fresh`` gives them.
+    """
+    able = commands.where("_stop IS NULL")
+    opens = able.where(F.col("kind").isin("ensure_topic", *([] if strict else ["publish"])))
+    opened = opens.groupBy("topic").agg(F.min("ord").alias("opened"))
+    closes = able.where("kind = 'close_topic'").groupBy("topic", "ord").count().join(opened, "topic").where("ord > opened")
+    return opened.join(closes.groupBy("topic").agg(F.min("ord").alias("closed")), "topic", "left")
+
+
+def publish(commands: DataFrame, strict: bool = True, per_bucket: int = PER_BUCKET) -> DataFrame:
     """Publish commands with ``status`` (published, duplicate-command, malformed-command, unknown-topic,
     closed-topic) and the dense seq per topic, from 1, of published ones.
 
-    Checks go in order: an empty topic; a command id seen before, whatever became of it; an idempotency
-    key of a message *published* before; a topic that is not open. A topic is open from its first
-    ensure to its first close; if not strict any topic that was never closed is.
+    Checks go in order: an empty topic; a command id that a well-formed command of any kind had before,
+    whatever became of it; an idempotency key of a message *published* before; a topic that is not open. A
+    topic is open from its first ensure to the first close after it; if not strict a publish opens it too.
     """
-    topics = commands.groupBy("topic").agg(
-        F.min(F.when(F.col("kind") == "ensure_topic", F.col("ord"))).alias("_from"),
-        F.min(F.when(F.col("kind") == "close_topic", F.col("ord"))).alias("_to"),
-    )
-    rows = commands.where("kind = 'publish'").join(topics, "topic", "left")
-    nth = F.when(F.col("command_id").isNotNull(), F.row_number().over(over(["command_id"], ["ord"]))).otherwise(1)
-    rows = rows.withColumn("_nth", nth)
+    rows = fresh(commands)
+    known = topics(rows, strict).select(F.col("topic").alias("_topic"), F.col("opened").alias("_from"), F.col("closed").alias("_to"))
+    rows = rows.where("kind = 'publish'").join(known, F.col("topic") == F.col("_topic"), "left")
     closed = F.coalesce(F.col("ord") > F.col("_to"), F.lit(False))
-    opened = F.coalesce(F.col("ord") > F.col("_from"), F.lit(False)) | F.lit(not strict)
-    blank = F.coalesce(F.trim("topic") == "", F.lit(True))
-    stop = F.when(blank, "malformed-command").when(F.col("_nth") > 1, "duplicate-command").when(~closed & opened, None)
-    rows = rows.withColumn("_stop", stop).withColumn("_bad_topic", F.when(closed, "closed-topic").when(~opened, "unknown-topic"))
+    opened = F.coalesce(F.col("ord") >= F.col("_from"), F.lit(False))
+    rows = rows.withColumn("_bad_topic", F.when(~opened, "unknown-topic").when(closed, "closed-topic"))
     able = F.col("_stop").isNull() & F.col("_bad_topic").isNull()
-    rows = rows.withColumn("_able", able)
-    key = F.row_number().over(over(["topic", "idempotency_key", "_able"], ["ord"]))
-    same = F.col("idempotency_key").isNotNull() & F.col("_able") & (key > 1)
     # The key of a message published earlier turns a later command into a duplicate, whether or not its topic still is open.
-    first = F.min(F.when(F.col("_able"), F.col("ord"))).over(Window.partitionBy("topic", "idempotency_key"))
-    earlier = F.col("idempotency_key").isNotNull() & F.coalesce(first < F.col("ord"), F.lit(False))
-    status = F.when(F.col("_stop").isNotNull(), F.col("_stop")).when(same | earlier, "duplicate-command").when(F.col("_bad_topic").isNotNull(), F.col("_bad_topic")).otherwise("published")
-    rows = rows.withColumn("status", status)
-    seq = F.when(F.col("status") == "published", F.row_number().over(over(["topic", "status"], ["ord"])))
-    return rows.withColumn("seq", seq.cast("long")).drop("_from", "_to", "_nth", "_stop", "_bad_topic", "_able")
+    keyed = Window.partitionBy("topic", "idempotency_key", F.when(F.col("idempotency_key").isNull(), F.col("ord")))
+    first = F.min(F.when(able, F.col("ord"))).over(keyed)
+    again = F.coalesce(first < F.col("ord"), F.lit(False))
+    status = F.coalesce("_stop", F.when(again, "duplicate-command"), "_bad_topic", F.lit("published"))
+    rows = rows.withColumn("status", status).drop("_topic", "_from", "_to", "_stop", "_bad_topic")
+    rows = number(rows, ["ord"], ["topic", "status"], F.floor(F.col("ord") / per_bucket), "seq")
+    return rows.withColumn("seq", F.when(F.col("status") == "published", F.col("seq").cast("long")))
 
 
-def dead_letters(published: DataFrame, entries_per_bucket: int = 1000) -> DataFrame:
+def dead_letters(published: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame:
     """Rejected commands, numbered over all topics from 1 in order of ``ord`` without one task holding them."""
-    from ..functions.order import number
-
     bad = published.where(F.col("status").isin("malformed-command", "unknown-topic", "closed-topic"))
-    return number(bad, ["ord"], bucket=F.floor(F.col("ord") / entries_per_bucket), name="entry_seq")
+    return number(bad, ["ord"], bucket=F.floor(F.col("ord") / per_bucket), name="entry_seq")
+
+
+def dead_letter_page(letters: DataFrame, after: int = 0, limit: int = 100, topic: str | None = None, code: str | None = None) -> DataFrame:
+    """The next ``limit`` dead letters after an entry seq, of a topic and status if given, with has_more."""
+    rows = letters.where(F.col("entry_seq") > after)
+    rows = rows if topic is None else rows.where(F.col("topic") == topic)
+    rows = rows if code is None else rows.where(F.col("status") == code)
+    return _page(rows, "entry_seq", limit)
+
+
+def _page(rows: DataFrame, order: str, limit: int) -> DataFrame:
+    """The first ``limit`` rows and whether there are more: at most one row more than that is looked at."""
+    if limit <= 0:
+        raise ValueError("a page needs a positive limit")
+    some = rows.orderBy(order).limit(limit + 1)
+    nth = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order))
+    return some.withColumn("_r", nth).withColumn("has_more", F.count("*").over(Window.partitionBy(F.lit(1))) > limit).where(F.col("_r") <= limit).drop("_r")
+
+
+def catalog(commands: DataFrame, messages: DataFrame, left: DataFrame, strict: bool = True) -> DataFrame:
+    """topic, closed, head_seq, next_seq and message_count of every topic that was made."""
+    made = topics(fresh(commands), strict).select("topic", F.col("closed").isNotNull().alias("closed"))
+    kept = left.groupBy("topic").agg(F.count("*").alias("message_count"))
+    out = made.join(heads(messages, left), "topic", "left").join(kept, "topic", "left")
+    return out.select(
+        "topic", "closed", F.coalesce("head_seq", F.lit(1)).cast("long").alias("head_seq"), F.coalesce("tail_seq", F.lit(1)).cast("long").alias("next_seq"),
+        F.coalesce("message_count", F.lit(0)).cast("long").alias("message_count"),
+    )
+
+
+def catalog_page(entries: DataFrame, after: str = "", limit: int = 100, include_closed: bool = False) -> DataFrame:
+    """The next ``limit`` entries of a catalog after a topic, in order of topics, with has_more."""
+    rows = entries.where(F.col("topic") > after)
+    return _page(rows if include_closed else rows.where("not closed"), "topic", limit)
 
 
 def retained(messages: DataFrame, most: int | None = None, max_age_ms: int | None = None) -> DataFrame:
-    """Messages that are left after the last publish to their topic: the newest ``most``, none older than the age."""
-    newest = Window.partitionBy("topic").orderBy(F.desc("seq"))
-    rows = messages
+    """Messages that are left after the last publish to their topic: the newest ``most``, none older than the age.
+
+    The clock of a topic never goes back, so what age leaves is the end of the topic, and as seqs are
+    dense two aggregates per topic tell the rest.
+    """
+    if most is not None and most <= 0:
+        raise ValueError("policy-rejected: retention must leave a positive number of messages")
+    last = messages.groupBy(F.col("topic").alias("_topic")).agg(F.max("seq").alias("_last"), F.max_by("now_ms", "seq").alias("_now"))
+    rows = messages.join(last, F.col("topic") == F.col("_topic"))
     if max_age_ms is not None:
-        rows = rows.withColumn("_now", F.max_by("now_ms", "seq").over(Window.partitionBy("topic"))).where(F.col("now_ms") >= F.col("_now") - max_age_ms).drop("_now")
+        rows = rows.where(F.col("_now") - F.col("now_ms") <= max_age_ms)
     if most is not None:
-        rows = rows.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= most).drop("_r")
-    return rows
+        rows = rows.where(F.col("seq") > F.col("_last") - most)
+    return rows.drop("_topic", "_last", "_now")
+
+
+def trims(messages: DataFrame, most: int) -> DataFrame:
+    """A RetentionTrimmed fact per publish that pushed an older message out: topic, seq that did and head_seq after it."""
+    return messages.where(F.col("seq") > most).select("topic", "seq", (F.col("seq") - most + 1).alias("head_seq"), F.lit(1).alias("trim_count"))
 
 
 def heads(messages: DataFrame, left: DataFrame) -> DataFrame:
@@ -74,12 +142,16 @@ def heads(messages: DataFrame, left: DataFrame) -> DataFrame:
     return tail.join(head, "topic", "left").select("topic", F.coalesce("_head", "tail_seq").alias("head_seq"), "tail_seq")
 
 
-def topic_page(messages: DataFrame, after: int, limit: int = 100) -> DataFrame:
-    """Per topic the next messages after a seq, with has_more and next_after."""
-    rows = messages.where(F.col("seq") > after).withColumn("_r", F.row_number().over(over(["topic"], ["seq"]))).where(F.col("_r") <= limit + 1)
-    whole = Window.partitionBy("topic")
-    rows = rows.withColumn("has_more", F.max("_r").over(whole) > limit).withColumn("next_after", F.max(F.when(F.col("_r") <= limit, F.col("seq"))).over(whole))
-    return rows.where(F.col("_r") <= limit).drop("_r")
+def topic_page(messages: DataFrame, after: int | None = None, limit: int = 100) -> DataFrame:
+    """Per topic the next ``limit`` messages after a seq (None: from the head), with has_more and next_after (null
+    on the last page). Seqs of retained messages are dense, so two bounds per topic find the page."""
+    if limit <= 0:
+        raise ValueError("a page needs a positive limit")
+    ends = messages.groupBy(F.col("topic").alias("_topic")).agg(F.min("seq").alias("_head"), F.max("seq").alias("_last"))
+    start = F.greatest("_head", F.lit(0 if after is None else after + 1))
+    rows = messages.join(ends, F.col("topic") == F.col("_topic")).where((F.col("seq") >= start) & (F.col("seq") < start + limit))
+    more = F.col("_last") >= start + limit
+    return rows.withColumns({"has_more": more, "next_after": F.when(more, start + limit - 1)}).drop("_topic", "_head", "_last")
 
 
 def available(cursors: DataFrame, left: DataFrame, ends: DataFrame, limit: int) -> DataFrame:
@@ -92,33 +164,50 @@ def available(cursors: DataFrame, left: DataFrame, ends: DataFrame, limit: int)
     return wanted.select("subscription_id", "topic", "seq").join(left, ["topic", "seq"])
 
 
+_FACTS = "ord long, topic string, subscription_id string, code string, next_seq long, closed boolean, retention_gap boolean"
+
+
 def subscriptions(commands: DataFrame) -> DataFrame:
-    """Cursors after subscribe (start), ack, seek and close commands, each with the topic's head and tail of its time.
+    """A fact per subscribe (start), ack, seek and close command: its code, and the cursor after it.
 
-    Columns: ord, topic, subscription_id, kind, seq, start (earliest, latest or null with seq), head_seq,
-    tail_seq. Each subscription is replayed in order. Result: status, next_seq and rejected count.
+    Columns: ord, topic, subscription_id, kind, seq, start (earliest, latest or null with seq) and the
+    topic's head_seq and tail_seq (one past the last message) of its time. Codes: subscribed, kept (it
+    was there already), acked, sought, closed, or the issue. A start outside the topic is an issue and
+    counts as its head. A cursor that retention has passed is a gap until it seeks. Each subscription
+    is one ordered stream. The last fact is its cursor, see ``cursors``.
     """
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        cursor, open_, bad = None, False, 0
-        for r in rows.sort_values("ord").itertuples():
-            head, tail, seq = int(r.head_seq), int(r.tail_seq), r.seq
-            if r.kind == "subscribe" and not open_:
-                want = head if r.start == "earliest" else tail if r.start == "latest" else int(seq)
-                inside = head <= want <= tail
-                cursor, open_, bad = (want if inside else head), True, bad + (not inside)
-            elif r.kind == "ack" and open_ and cursor >= head and cursor <= seq < tail:
-                cursor = int(seq) + 1
-            elif r.kind == "seek" and open_ and head <= seq <= tail:
-                cursor = int(seq)
-            elif r.kind == "close_subscription" and open_:
-                open_ = False
-            else:
-                bad += 1
-        first = rows.iloc[0]
-        return pd.DataFrame({"topic": [first["topic"]], "subscription_id": [first["subscription_id"]], "open": [open_], "next_seq": [cursor], "rejected": [bad]})
-
-    return commands.groupBy("topic", "subscription_id").applyInPandas(replay, "topic string, subscription_id string, open boolean, next_seq long, rejected long")
+    def step(state, r):
+        cursor, closed, gap = state
+        if cursor is not None and not closed and cursor < r.head_seq:
+            gap = True
+        if r.kind == "subscribe":
+            code = "kept"
+            if cursor is None:
+                want = r.head_seq if r.start == "earliest" else r.tail_seq if r.start == "latest" else r.seq
+                inside = want is not None and r.head_seq <= want <= r.tail_seq
+                code, cursor = ("subscribed", want) if inside else ("cursor-out-of-range", r.head_seq)
+        elif cursor is None:
+            code = "unknown-subscription"
+        elif r.kind == "close_subscription":
+            code, closed = "closed", True
+        elif closed:
+            code = "subscription-closed"
+        elif r.kind == "ack":
+            code = "retention-gap" if gap else "source-cursor-stale" if r.seq < cursor else "cursor-out-of-range" if r.seq >= r.tail_seq else "acked"
+            cursor = r.seq + 1 if code == "acked" else cursor
+        else:
+            code = "retention-gap" if r.seq < r.head_seq else "cursor-out-of-range" if r.seq > r.tail_seq else "sought"
+            cursor, gap = (r.seq, False) if code == "sought" else (cursor, gap)
+        return (cursor, closed, gap), [(r.ord, r.topic, r.subscription_id, code, cursor, closed, gap)]
+
+    return keyed_fold(commands, ["topic", "subscription_id"], ["ord"], step, lambda: (None, False, False), _FACTS)
+
+
+def cursors(facts: DataFrame) -> DataFrame:
+    """topic, subscription_id, next_seq, closed and retention_gap of each subscription after its last command."""
+    last = facts.groupBy("topic", "subscription_id").agg(F.max_by(F.struct("next_seq", "closed", "retention_gap"), "ord").alias("c"))
+    return last.select("topic", "subscription_id", "c.*").where("next_seq IS NOT NULL")
 
 
 def _is(value, kind: str) -> bool:

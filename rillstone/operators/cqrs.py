@@ -5,64 +5,128 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.folds import keyed_fold
 from ..functions.ids import prefixed_key
 from ..functions.order import number, over
+from ..functions.staging import stage
 
 
-def handle(commands: DataFrame, handlers: dict[str, Column], bucket: Column) -> DataFrame:
+def handle(commands: DataFrame, handlers: dict[str, Column], bucket: Column, known_events: list[str] | None = None) -> DataFrame:
     """Commands (ord, id, command_type, any others) with status and ``drafts``, what their handler gives.
 
     Reject order: empty id or type, an id seen before (whatever became of it), no handler, a handler
-    that fails (null drafts). A handler is a column: an array of draft structs with ``type`` and ``payload``.
+    that fails (null drafts), then the first draft at fault: an empty type, a type that is not one of
+    ``known_events``, an event id that an accepted command or an earlier draft has. A handler is a column:
+    an array of draft structs with ``type``, ``payload`` and, if it names events itself, ``id``.
     ``bucket`` grows with ord, see ``number``; it numbers events over all commands.
     """
     blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
     rows = commands.withColumn("_bad", blank("id") | blank("command_type"))
-    rank = F.row_number().over(over(["id", "_bad"], ["ord"]))
+    # Rows without an id are all malformed and need no rank: their ord parts them, lest they meet in one task.
+    rank = F.row_number().over(over(["id", "_bad", "_apart"], ["ord"]))
     drafts = F.lit(None)
     for kind, column in handlers.items():
         drafts = F.when(F.col("command_type") == kind, column).otherwise(drafts)
-    rows = rows.withColumn("_rank", rank).withColumn("drafts", drafts)
+    rows = rows.withColumn("_apart", F.when(F.col("_bad"), F.col("ord"))).withColumn("_rank", rank).withColumn("drafts", drafts)
     status = (
         F.when(F.col("_bad"), "malformed-command").when(F.col("_rank") > 1, "duplicate-command")
         .when(~F.col("command_type").isin(*handlers), "unknown-command").when(F.col("drafts").isNull(), "handler-failed").otherwise("accepted")
     )
-    return rows.withColumn("status", status).drop("_bad", "_rank").withColumn("_bucket_of", bucket)
+    rows = rows.withColumn("status", status).drop("_bad", "_rank", "_apart")
+    named = "id" in rows.schema["drafts"].dataType.elementType.names
+    ids = F.transform("drafts", lambda d, i: _event_id(F.col("id"), d["id"] if named else None, i))
+    fault = lambda d, i: (
+        F.when(F.coalesce(d["type"] == "", F.lit(True)), "malformed-event")
+        .when(~d["type"].isin(*known_events) if known_events is not None else F.lit(False), "unknown-event")
+        .when(F.array_contains(F.slice(ids, 1, i), F.get(ids, i)), "duplicate-event")
+    )
+    faults = F.transform("drafts", lambda d, i: F.struct(i.alias("index"), fault(d, i).alias("code")))
+    rows = rows.withColumn("_fault", F.when(F.col("status") == "accepted", F.get(F.filter(faults, lambda f: f["code"].isNotNull()), F.lit(0))))
+    if named:
+        rows = rows.join(_taken(rows.where("status = 'accepted'").select("ord", "_fault", F.posexplode(ids).alias("index", "event"))), "ord", "left")
+        first = F.when(F.col("_fault").isNull() | (F.col("_index") < F.col("_fault.index")), F.col("_index"))
+        rows = rows.withColumn("status", F.when((F.col("status") == "accepted") & first.isNotNull(), "duplicate-event").otherwise(F.col("status"))).drop("_index")
+    status = F.when((F.col("status") == "accepted") & F.col("_fault").isNotNull(), F.col("_fault.code")).otherwise(F.col("status"))
+    return rows.withColumn("status", status).drop("_fault").withColumn("_bucket_of", bucket)
+
+
+def _event_id(command: Column, own: Column | None, index: Column) -> Column:
+    """A draft's own id unless it is empty, else one of the command's id and the draft's number from 1."""
+    made = prefixed_key("cqrs-event", command, index + 1)
+    return made if own is None else F.when(F.coalesce(own, F.lit("")) != "", own).otherwise(made)
+
+
+def _taken(drafts: DataFrame) -> DataFrame:
+    """ord and ``_index``, the first draft whose event id an accepted command before it has; for drafts (ord,
+    _fault, index, event) of commands that may be accepted.
+
+    Whether a command is accepted depends on those before it that share an id, so it is settled in rounds:
+    a command is accepted once no undecided one before it shares an id, and rejected once an accepted
+    one does. Rounds are written tables, as many as the longest chain of commands that share ids.
+    """
+    drafts = stage(drafts, "drafts")
+    open_ = stage(drafts.where("_fault IS NULL").select("ord", "event").distinct(), "undecided")
+    taken = stage(open_.select("event", F.col("ord").alias("by")).where("false"), "taken")
+    while not open_.isEmpty():
+        first = open_.groupBy("event").agg(F.min("ord").alias("first"))
+        ready = open_.join(first, "event").groupBy("ord").agg(F.max(F.col("ord") > F.col("first")).alias("waits")).where("not waits").select("ord")
+        new = stage(open_.join(ready, "ord").select("event", F.col("ord").alias("by")), "accepted")
+        taken = stage(taken.union(new), "taken")
+        hit = open_.join(new, "event").select("ord").distinct()  # the accepted ones and those they rule out
+        open_ = stage(open_.join(hit, "ord", "left_anti"), "undecided")
+    met = drafts.join(taken, "event").where(F.col("by") < F.col("ord"))
+    return met.groupBy("ord").agg(F.min("index").alias("_index"))
 
 
 def events(handled: DataFrame) -> DataFrame:
-    """Events of accepted commands: id ``cqrs-event:[command,index]`` and a dense seq from 1 over all commands."""
+    """Events of accepted commands: their own id or ``cqrs-event:[command,number]`` with numbers from 1 in each
+    command, and a dense seq from 1 over all commands."""
     rows = handled.where("status = 'accepted'").select("ord", F.col("id").alias("command_id"), "aggregate_id", "_bucket_of", F.posexplode("drafts").alias("index", "draft"))
-    rows = rows.select("*", "draft.type", "draft.payload", prefixed_key("cqrs-event", "command_id", F.col("index")).alias("id"))
+    own = F.col("draft.id") if "id" in rows.schema["draft"].dataType.names else None
+    rows = rows.select("*", "draft.type", "draft.payload", _event_id(F.col("command_id"), own, F.col("index")).alias("id"))
     return number(rows, ["ord", "index"], bucket=F.col("_bucket_of"), name="seq").drop("draft", "_bucket_of")
 
 
-def bounded_dedupe(commands: DataFrame, most: int, keys: list[str]) -> DataFrame:
-    """Commands with duplicate and evicted: only the last ``most`` accepted ids are remembered, first in first out.
+def bounded_dedupe(commands: DataFrame, most: int, keys: list[str], most_events: int | None = None) -> DataFrame:
+    """Commands with ``code``, and how many command and event ids were forgotten so far: only the last ``most``
+    command ids and ``most_events`` event ids (column ``event_id``, if given) are remembered, first in first out.
 
-    Eviction depends on what was accepted, so each key (a stream of commands) is replayed in order.
+    A command id is remembered whatever becomes of the command, an event id of accepted ones. What is
+    remembered depends on what was accepted, so each key (a stream of commands) is replayed in order;
+    rows have ord, id and any others.
     """
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        seen: OrderedDict = OrderedDict()
-        duplicate, evicted, gone = [], [], 0
-        for i in rows["id"]:
-            duplicate.append(i in seen)
-            if i not in seen:
-                seen[i] = None
-                if len(seen) > most:
-                    seen.popitem(last=False)
-                    gone += 1
-            evicted.append(gone)
-        return rows.assign(duplicate=duplicate, evicted=evicted)
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in commands.schema.fields)
-    return commands.groupBy(*keys).applyInPandas(replay, f"{kinds}, duplicate boolean, evicted long")
+    place = {c: commands.columns.index(c) for c in ("id", "event_id") if c in commands.columns}
+
+    def remember(ids: OrderedDict, i, limit: int) -> int:
+        ids[i] = None
+        if len(ids) > limit:
+            ids.popitem(last=False)
+            return 1
+        return 0
+
+    def step(state, row):
+        seen, made, gone, lost = state
+        i, code = row[place["id"]], "accepted"
+        if i is None or i == "":
+            code = "malformed-command"
+        elif i in seen:
+            code = "duplicate-command"
+        else:
+            gone += remember(seen, i, most)
+            if most_events is not None:
+                event = row[place["event_id"]]
+                if event in made:
+                    code = "duplicate-event"
+                else:
+                    lost += remember(made, event, most_events)
+        return (seen, made, gone, lost), [(*row, code, gone, lost)]
+
+    more = [T.StructField("code", T.StringType()), T.StructField("commands_evicted", T.LongType()), T.StructField("events_evicted", T.LongType())]
+    return keyed_fold(commands, keys, ["ord"], step, lambda: (OrderedDict(), OrderedDict(), 0, 0), T.StructType([*commands.schema.fields, *more]))
 
 
 def audit(handled: DataFrame) -> DataFrame:
@@ -84,25 +148,22 @@ def process(commands: DataFrame, step: Callable, initial, state_type: str) -> Da
     A step that raises leaves the state and gives status failed. Event and effect rows are numbered per process from 1.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out, n = initial, [], {"event": 0, "effect": 0}
-        for c in rows.sort_values("ord").itertuples():
-            try:
-                new, made, asked = step(state, c.command_type, c.payload)
-            except Exception:
-                out.append((c.process_id, c.ord, "failed", None, None, state))
-                continue
-            state = new
-            out.append((c.process_id, c.ord, "accepted", None, None, state))
-            for kind, names in (("event", made), ("effect", asked)):
-                for name in names:
-                    n[kind] += 1
-                    out.append((c.process_id, c.ord, kind, name, n[kind], state))
-        table = pd.DataFrame(out, columns=["process_id", "ord", "kind", "name", "seq", "state"])
-        return table.astype({"seq": "Int64"})
+    def each(kept, c):
+        state, n = kept
+        try:
+            new, made, asked = step(state, c.command_type, c.payload)
+        except Exception:
+            return kept, [(c.process_id, c.ord, "failed", None, None, state)]
+        out = [(c.process_id, c.ord, "accepted", None, None, new)]
+        count = dict(zip(("event", "effect"), n, strict=True))
+        for kind, names in (("event", made), ("effect", asked)):
+            for name in names:
+                count[kind] += 1
+                out.append((c.process_id, c.ord, kind, name, count[kind], new))
+        return (new, (count["event"], count["effect"])), out
 
     key = commands.schema["process_id"].dataType.simpleString()
-    return commands.groupBy("process_id").applyInPandas(run, f"process_id {key}, ord long, kind string, name string, seq long, state {state_type}")
+    return keyed_fold(commands, ["process_id"], ["ord"], each, lambda: (initial, (0, 0)), f"process_id {key}, ord long, kind string, name string, seq long, state {state_type}")
 
 
 def effect_commands(outcomes: DataFrame) -> DataFrame:
