@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import sys
 from collections.abc import Callable, Iterable, Iterator
@@ -47,6 +48,18 @@ def per_batch(
     return run
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """While it lasts, queries that run send at most so many rows at once to Python: for wide rows that are staged inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``column`` (a string or binary) has about ``most`` bytes."""
     size = 0

@@ -8,9 +8,10 @@ Plan of ``near_duplicates``:
    (partial aggregation, no pairs): links join sets, so ids may repeat or be missing;
 3. in each band bucket all members are linked to the bucket's smallest node, and these star pairs
    are verified on full sets; components of the verified links are found;
-4. buckets that still hold several components compare members of *different* components, block
-   by block on signatures, and what the signatures do not rule out is verified too. So every
-   pair that shares a bucket is either in one component already or compared; no bucket is capped.
+4. buckets that still hold several components compare members of *different* components, block by
+   block: pairs that their signatures do not rule out are verified on full sets in place, and a link
+   joins its components for the rest of the block. So every pair that shares a bucket is either in one
+   component already or compared, no bucket is capped, and a block gives fewer links than it has members.
 
 Nothing but a change counter reaches the driver.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import per_batch, sized, slices, stage
+from .common import arrow_rows, per_batch, sized, slices, stage
 
 #: Signature slots; the first BANDS * ROWS are dealt into bands. At a similarity of 0.85 a pair shares
 #: no bucket with odds of (1 - 0.85 ** 5) ** 20 = 8e-6.
@@ -143,6 +144,13 @@ def _sets(shingle: int):
     return per_batch(run)
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets (sorted hashes) are alike enough."""
+    at = np.searchsorted(x, y)
+    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verify(percent: int):
     """Rows a, b, x, y (their sets): those with 100 * |x & y| >= percent * |x | y|."""
 
@@ -151,10 +159,7 @@ def _verify(percent: int):
         for a, xs, ys in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
             if a != last:
                 last, x = a, np.frombuffer(xs.as_buffer(), np.uint64)
-            y = np.frombuffer(ys.as_buffer(), np.uint64)
-            at = np.searchsorted(x, y)
-            both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep.append(_linked(x, np.frombuffer(ys.as_buffer(), np.uint64), percent))
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return per_batch(run)
@@ -175,12 +180,15 @@ def _size_ok(x: str, y: str, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
+def sets_of(docs: DataFrame, ids: DataFrame, shingle: int = 5) -> DataFrame:
+    """set_id, elements: the shingle sets of the texts whose keys are in ``ids`` (set_id)."""
+    texts = docs.where(F.col("text").isNotNull()).select(text_key().alias("set_id"), "text").join(sized(ids), "set_id", "left_semi")
+    return stage(texts.dropDuplicates(["set_id"]).mapInArrow(_sets(shingle), "set_id binary, elements binary"), "sets")
+
+
 def verified_links(docs: DataFrame, pairs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
     """Of ``pairs`` (a, b: keys of texts) those whose full shingle sets are alike enough. Sets are made for paired texts only."""
-    ids = stage(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), "pair-texts")
-    texts = docs.where(F.col("text").isNotNull()).select(text_key().alias("set_id"), "text").join(sized(ids), "set_id", "left_semi")
-    sets = texts.dropDuplicates(["set_id"]).mapInArrow(_sets(shingle), "set_id binary, elements binary")
-    sets = stage(sets, "sets")
+    sets = sets_of(docs, stage(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), "pair-texts"), shingle)
     left = sets.select(F.col("set_id").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("set_id").alias("b"), F.col("elements").alias("y"))
     joined = pairs.hint("merge").join(right.hint("merge"), "b").join(left.hint("merge"), "a")
@@ -229,8 +237,8 @@ def components(links: DataFrame) -> DataFrame:
 def _cross(percent: int, least: float):
     """Compare members of different components, block pair by block pair; rows come sorted by block pair.
 
-    Columns: key, band, x, y (block pair), side (0, 1 or 2 = both), doc, label, n, sig, bands. A pair is
-    compared in the first band that it shares, so it is found once.
+    Columns: key, band, x, y (block pair), side (0, 1 or 2 = both), doc, label, n, sig, bands, elements. A pair
+    is compared in the first band that it shares. What comes out are links that join components.
     """
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
@@ -240,17 +248,24 @@ def _cross(percent: int, least: float):
         side = rows.column("side").to_numpy()
         keys = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
         earlier = keys[:, : rows.column("band")[0].as_py()]
+        sets, names = rows.column("elements").combine_chunks(), rows.column("doc").combine_chunks()
+        elements = lambda i: np.frombuffer(sets[int(i)].as_buffer(), np.uint64)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         a, b = [], []
         for i in left:
             j = right[(label[right] != label[i]) & ((side[right] != 2) | (side[i] != 2) | (doc[right] > doc[i]))]
             j = j[np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent]
             j = j[~(earlier[j] == earlier[i]).any(axis=1)]
-            if len(j):
-                j = j[(sig[j] == sig[i]).mean(axis=1) >= least]
-                own, others = rows.column("doc")[int(i)].as_py(), rows.column("doc").take(pa.array(j)).to_pylist()
-                a += [min(own, o) for o in others]
-                b += [max(own, o) for o in others]
+            if not len(j):
+                continue
+            alike = (sig[j] == sig[i]).mean(axis=1)
+            own = elements(i)
+            for k in j[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())]:
+                if label[k] != label[i] and _linked(own, elements(k), percent):
+                    pair = sorted((names[int(i)].as_py(), names[int(k)].as_py()))
+                    a.append(pair[0])
+                    b.append(pair[1])
+                    label[label == label[k]] = label[i]
         return pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in (a, b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,11 +315,9 @@ def classes(docs: DataFrame, percent: int = 85, shingle: int = 5, perms: int = P
     links = stage(verified_links(docs, stage(near, "near"), percent, shingle), "links")
     labels = components(links)
 
-    more = _open_pairs(members, shared, sig, labels, percent, least)
-    more = stage(more.distinct().join(star, ["a", "b"], "left_anti"), "more-pairs")
+    more = _open_links(docs, members, sig, labels, percent, least, shingle)
     if not more.isEmpty():
-        links = links.union(verified_links(docs, more, percent, shingle))
-        labels = components(stage(links, "all-links"))
+        labels = components(stage(links.union(more), "all-links"))
 
     # A set of one row without a link is a group of its own; rows of the others meet their group.
     named = reps.select("doc", "set_key", "low", "rows").join(labels, F.col("doc") == F.col("node"), "left").where("label IS NOT NULL OR rows > 1")
@@ -357,8 +370,8 @@ def keep_one(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     return kept.join(again, on, "left_anti").union(once).select("row.*")
 
 
-def _open_pairs(members: DataFrame, shared: DataFrame, sig: DataFrame, labels: DataFrame, percent: int, least: float) -> DataFrame:
-    """Pairs of different components that share a bucket and whose signatures do not rule out a link.
+def _open_links(docs: DataFrame, members: DataFrame, sig: DataFrame, labels: DataFrame, percent: int, least: float, shingle: int) -> DataFrame:
+    """Links that join different components whose members share a bucket.
 
     The most frequent component of a bucket is its main one; its members are never compared with
     each other. Blocks of at most about BLOCK members are compared, so no task holds a bucket.
@@ -387,6 +400,9 @@ def _open_pairs(members: DataFrame, shared: DataFrame, sig: DataFrame, labels: D
     main_side = F.transform(F.sequence(F.lit(0), bo - 1), lambda o: block(o, bo + mine, F.lit(1)))
     rows = rows.withColumn("to", F.explode(F.when(F.col("is_main"), main_side).otherwise(F.concat(with_others, with_main))))
     rows = rows.select("key", "band", F.col("to.x").alias("x"), F.col("to.y").alias("y"), F.col("to.side").cast("int").alias("side"), "doc", "label")
-    rows = rows.join(sig, rows["doc"] == sig["id"]).select("key", "band", "x", "y", "side", "doc", "label", "n", "sig", "bands")
-    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return rows.mapInArrow(_cross(percent, least), _PAIR)
+    rows = stage(rows, "block-rows")
+    sets = sets_of(docs, stage(rows.select(F.col("doc").alias("set_id")).distinct(), "open-texts"), shingle)
+    rows = rows.join(sig, rows["doc"] == sig["id"]).join(sets, rows["doc"] == sets["set_id"])
+    rows = rows.select("key", "band", "x", "y", "side", "doc", "label", "n", "sig", "bands", "elements").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    with arrow_rows(docs.sparkSession, BLOCK):  # rows hold whole sets
+        return stage(rows.mapInArrow(_cross(percent, least), _PAIR), "more-links")
