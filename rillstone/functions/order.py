@@ -35,27 +35,43 @@ SPAN = 1024
 def number(df: DataFrame, order: Cols, keys: Cols = (), bucket: Column | None = None, name: str = "rn") -> DataFrame:
     """Position of each row, from 1: within its key, or in the whole table if there are no keys.
 
+    Without keys a ``bucket`` is needed; with keys it keeps a key of many rows from being one task. See ``running_sum``.
+    """
+    if bucket is None and keys:
+        return df.withColumn(name, F.row_number().over(over(keys, order)))
+    return running_sum(df, F.lit(1), order, keys, bucket, name)
+
+
+def running_sum(df: DataFrame, value: Column, order: Cols, keys: Cols = (), bucket: Column | None = None, name: str = "total") -> DataFrame:
+    """The sum of ``value`` up to and with each row, within its key or in the whole table, see ``running_sums``."""
+    return running_sums(df, {name: value}, order, keys, bucket)
+
+
+def running_sums(df: DataFrame, values: dict[str, Column], order: Cols, keys: Cols = (), bucket: Column | None = None) -> DataFrame:
+    """Sums, by name, up to and with each row, within its key or in the whole table.
+
     ``bucket`` must be a number that never falls as rows go on in order, with few rows per value (the
-    hour of a time, say): rows are numbered within buckets, and the counts of earlier buckets are joined
-    on. These are summed up within spans of SPAN buckets and over spans, so that one task sees a count per
-    span at most. Without keys a bucket is needed; with keys it keeps a key of many rows from being one task.
+    hour of a time, say): sums run within buckets, and those of earlier buckets are joined on. These are
+    summed up within spans of SPAN buckets and over spans, so that one task sees a sum per span at most.
+    The input is read twice: stage it where it is costly, and where several such sums follow each other.
     """
     if bucket is None:
         if not keys:
             raise ValueError("a global order needs a bucket column")
-        return df.withColumn(name, F.row_number().over(over(keys, order)))
-    keys = list(keys)
-    rows = df.withColumn("_bucket", bucket.cast("double"))
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")).withColumn("_span", F.floor(F.col("_bucket") / SPAN))
-    before = lambda part, by: F.coalesce(F.sum("_n").over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = counts.groupBy(*keys, "_span").agg(F.sum("_n").alias("_n")).withColumn("_spans_before", before(keys, "_span")).drop("_n")
-    counts = counts.withColumn("_own_before", before([*keys, "_span"], "_bucket"))
-    spans = spans.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_span").alias("_s__span"), "_spans_before")
-    counts = counts.join(spans, _all([F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in [*keys, "_span"]]))
-    counts = counts.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_bucket").alias("_c__bucket"), (F.col("_own_before") + F.col("_spans_before")).alias("_before"))
-    inside = rows.withColumn("_rn", F.row_number().over(over([*keys, "_bucket"], order)))
-    joined = inside.join(counts, _all([F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in [*keys, "_bucket"]]))
-    return joined.withColumn(name, F.col("_before") + F.col("_rn")).drop("_bucket", "_before", "_rn", "_c__bucket", *[f"_c_{k}" for k in keys])
+        return df.withColumns({name: F.sum(value).over(so_far(keys, order)) for name, value in values.items()})
+    keys, ns = list(keys), range(len(values))
+    rows = df.withColumns({"_bucket": bucket.cast("double")} | {f"_x{i}": v for i, v in enumerate(values.values())})
+    sums = rows.groupBy(*keys, "_bucket").agg(*[F.sum(f"_x{i}").alias(f"_n{i}") for i in ns]).withColumn("_span", F.floor(F.col("_bucket") / SPAN))
+    before = lambda i, part, by: F.coalesce(F.sum(f"_n{i}").over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = sums.groupBy(*keys, "_span").agg(*[F.sum(f"_n{i}").alias(f"_n{i}") for i in ns]).withColumns({f"_s{i}": before(i, keys, "_span") for i in ns})
+    spans = spans.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_span").alias("_s__span"), *[f"_s{i}" for i in ns])
+    sums = sums.withColumns({f"_o{i}": before(i, [*keys, "_span"], "_bucket") for i in ns})
+    sums = sums.join(spans, _all([F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in [*keys, "_span"]]))
+    sums = sums.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_bucket").alias("_c__bucket"), *[(F.col(f"_o{i}") + F.col(f"_s{i}")).alias(f"_b{i}") for i in ns])
+    inside = rows.withColumns({f"_in{i}": F.sum(f"_x{i}").over(so_far([*keys, "_bucket"], order)) for i in ns})
+    joined = inside.join(sums, _all([F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in [*keys, "_bucket"]]))
+    joined = joined.withColumns({name: F.col(f"_b{i}") + F.coalesce(f"_in{i}", F.lit(0)) for i, name in enumerate(values)})
+    return joined.drop("_bucket", "_c__bucket", *[f"_c_{k}" for k in keys], *[f"{c}{i}" for c in ("_x", "_b", "_in") for i in ns])
 
 
 def _all(conditions: list[Column]) -> Column:

@@ -50,27 +50,43 @@ def c1_errors(spark, d):
     return collections.map_errors(map_changes(spark, d))
 
 
-@job("c2_index_snapshot", f"""{MAP}, ix AS (SELECT c.collection, c.seq, CASE WHEN c.kind = 'clear' THEN 'clear' WHEN c.kind = 'delete' AND n.cents % 2 = 0 THEN 'deleteMany' WHEN c.kind = 'delete' THEN 'delete' ELSE 'upsert' END AS kind, n.k % 20 AS p, n.event_type AS secondary, n.cents AS value FROM c JOIN n USING (collection, seq)),
+INDEX = f"""{MAP}, ix AS (SELECT c.collection, c.seq, CASE WHEN c.kind = 'clear' THEN 'clear' WHEN c.kind = 'delete' AND n.cents % 2 = 0 THEN 'deleteMany' WHEN c.kind = 'delete' THEN 'delete' ELSE 'upsert' END AS kind, n.k % 20 AS p, n.event_type AS secondary, n.cents AS value FROM c JOIN n USING (collection, seq)),
 cl AS (SELECT collection, max(seq) FILTER (kind = 'clear') AS cut FROM ix GROUP BY 1), r AS (SELECT ix.* FROM ix JOIN cl USING (collection) WHERE kind <> 'clear' AND (cut IS NULL OR seq > cut)),
 x AS (SELECT collection, seq, kind, unnest(CASE WHEN kind = 'deleteMany' THEN [p, (p + 1) % 20] ELSE [p] END) AS prim, secondary, value FROM r)
-SELECT collection, prim AS primary, secondary, value FROM x QUALIFY row_number() OVER (PARTITION BY collection, prim ORDER BY seq DESC) = 1 AND kind = 'upsert'""")
-def c2(spark, d):
+SELECT collection, prim AS primary, secondary, value FROM x QUALIFY row_number() OVER (PARTITION BY collection, prim ORDER BY seq DESC) = 1 AND kind = 'upsert'"""
+
+
+def index_changes(spark, d):
     p = F.col("k") % 20
     kind = F.when(F.expr(CLEARS), "clear").when(F.col("event_type") == "error", F.when(F.col("cents") % 2 == 0, "deleteMany").otherwise("delete")).otherwise("upsert")
     rows = changes(spark, d).withColumn("kind", kind).select("collection", "seq", "kind", p.alias("primary"), F.col("event_type").alias("secondary"), F.col("cents").alias("value"), F.array(p, (p + 1) % 20).alias("primaries"))
-    return collections.index_snapshot(rows)
+    return rows
+
+
+@job("c2_index_snapshot", INDEX)
+def c2(spark, d):
+    return collections.index_snapshot(index_changes(spark, d))
+
 
+@job("c5_restored_index", INDEX)
+def c5_index(spark, d):
+    return through_snapshot(index_changes(spark, d), collections.index_snapshot, collections.restore_index)
 
-LOG = f"""{E}, {N}, c AS (SELECT collection, seq, CASE WHEN {CLEARS} THEN 'clear' WHEN event_type = 'error' AND seq > 30 THEN 'trimHead' WHEN event_type = 'view' THEN 'appendMany' ELSE 'append' END AS kind, cents FROM n),
+
+LOG = f"""{E}, {N}, c0 AS (SELECT collection, seq, CASE WHEN {CLEARS} THEN 'clear' WHEN event_type = 'error' AND seq > 30 THEN 'trimHead' WHEN event_type = 'view' THEN 'appendMany' ELSE 'append' END AS kind, cents, k FROM n),
+ce AS (SELECT *, sum(CASE WHEN kind = 'clear' THEN 1 ELSE 0 END) OVER (PARTITION BY collection ORDER BY seq) AS era, CASE kind WHEN 'append' THEN 1 WHEN 'appendMany' THEN 2 WHEN 'trimHead' THEN -(1 + k % 3) ELSE 0 END AS d, CASE WHEN kind = 'clear' AND k > 7 THEN 5 END AS claim FROM c0),
+cn AS (SELECT *, sum(d) OVER (PARTITION BY collection, era ORDER BY seq) AS len FROM ce), held AS (SELECT collection, era + 1 AS era, arg_max(len, seq) AS len FROM cn GROUP BY 1, 2),
+le AS (SELECT collection, min(seq) AS seq, arg_min(error, seq) AS error FROM (SELECT cn.collection, cn.seq, CASE WHEN kind = 'trimHead' AND cn.len < 0 THEN 'trimHead exceeds length' WHEN claim <> coalesce(held.len, 0) THEN 'wrong clear count' END AS error FROM cn LEFT JOIN held ON held.collection = cn.collection AND held.era = cn.era) WHERE error IS NOT NULL GROUP BY 1),
+c AS (SELECT c0.collection, c0.seq, kind, cents, 1 + k % 3 AS trim FROM c0 LEFT JOIN le USING (collection) WHERE le.seq IS NULL OR c0.seq < le.seq),
 cl AS (SELECT collection, max(seq) FILTER (kind = 'clear') AS cut, FROM c GROUP BY 1), r AS (SELECT c.*, coalesce(cut, -1) AS cut FROM c JOIN cl USING (collection) WHERE cut IS NULL OR seq > cut),
 a AS (SELECT collection, seq, i, v FROM (SELECT collection, seq, unnest(CASE WHEN kind = 'append' THEN [0] ELSE [0, 1] END) AS i, cents FROM r WHERE kind IN ('append', 'appendMany')) t, LATERAL (SELECT cents + i AS v)),
-o AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY seq, i) AS pos FROM a), h AS (SELECT collection, coalesce(sum(1) FILTER (kind = 'trimHead'), 0) AS head FROM r GROUP BY 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY seq, i) AS pos FROM a), h AS (SELECT collection, coalesce(sum(trim) FILTER (kind = 'trimHead'), 0) AS head FROM r GROUP BY 1),
 sn AS (SELECT collection, CAST(pos - head - 1 AS BIGINT) AS position, v AS value FROM o JOIN h USING (collection) WHERE pos > head)"""
 
 
 def log_changes(spark, d):
     kind = F.when(F.expr(CLEARS), "clear").when((F.col("event_type") == "error") & (F.col("seq") > 30), "trimHead").when(F.col("event_type") == "view", "appendMany").otherwise("append")
-    return changes(spark, d).select("collection", "seq", kind.alias("kind"), F.col("cents").alias("value"), F.array("cents", F.col("cents") + 1).alias("values"), F.lit(1).alias("n"))
+    return changes(spark, d).select("collection", "seq", kind.alias("kind"), F.col("cents").alias("value"), F.array("cents", F.col("cents") + 1).alias("values"), (1 + F.col("k") % 3).alias("n"), F.when((kind == "clear") & (F.col("k") > 7), 5).alias("count"))
 
 
 @job("c3_log_snapshot", f"{LOG} SELECT * FROM sn")
@@ -78,18 +94,60 @@ def c3(spark, d):
     return collections.log_snapshot(log_changes(spark, d))
 
 
-@job("c4_list_snapshot", f"""WITH RECURSIVE {EVENTS_SQL}, {N}, m AS (SELECT *, event_type = 'error' AND lag(event_type) OVER (PARTITION BY collection ORDER BY seq) <> 'error' AS pop FROM n),
-f AS (SELECT collection, seq, [cents] AS xs FROM n WHERE seq = 0 UNION ALL
-SELECT n.collection, n.seq, CASE WHEN pop THEN xs[2:] WHEN event_type = 'signup' THEN list_prepend(cents, xs) ELSE list_append(xs, cents) END FROM f JOIN m n ON n.collection = f.collection AND n.seq = f.seq + 1),
-l AS (SELECT collection, arg_max(xs, seq) AS xs FROM f GROUP BY 1) SELECT collection, CAST(i - 1 AS BIGINT) AS position, xs[i] AS value FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM l)""")
+@job("c3_log_errors", f"{LOG} SELECT * FROM le")
+def c3_errors(spark, d):
+    return collections.log_errors(log_changes(spark, d))
+
+
+LIST = f"""WITH RECURSIVE {EVENTS_SQL}, {N}, m AS (SELECT *, CASE WHEN seq = 0 THEN 'append' WHEN event_type = 'error' AND k % 3 > 0 THEN 'pop' WHEN event_type = 'error' THEN 'trimHead' WHEN event_type = 'signup' THEN 'insert' ELSE 'append' END AS kind, k % 6 AS pl, CASE WHEN event_type = 'error' AND k = 50 THEN -1 END AS claim FROM n),
+f AS (SELECT collection, seq, [cents] AS xs, CAST(NULL AS VARCHAR) AS error FROM n WHERE seq = 0 UNION ALL
+ SELECT collection, seq, CASE WHEN error IS NOT NULL THEN xs WHEN kind = 'pop' THEN list_concat(list_slice(xs, 1, pl), list_slice(xs, pl + 2, len(xs))) WHEN kind = 'trimHead' THEN list_slice(xs, pl + 1, len(xs)) WHEN kind = 'insert' THEN list_concat(list_concat(list_slice(xs, 1, pl), [cents]), list_slice(xs, pl + 1, len(xs))) ELSE list_append(xs, cents) END, error
+ FROM (SELECT m.*, f.xs, coalesce(f.error, CASE WHEN kind = 'insert' AND pl > len(f.xs) THEN 'insert out of bounds' WHEN kind = 'pop' AND pl >= len(f.xs) THEN 'pop out of bounds' WHEN kind = 'pop' AND claim <> f.xs[pl + 1] THEN 'wrong pop value' WHEN kind = 'trimHead' AND pl > len(f.xs) THEN 'trimHead exceeds length' END) AS error
+  FROM f JOIN m ON m.collection = f.collection AND m.seq = f.seq + 1)),
+l AS (SELECT collection, arg_max(xs, seq) AS xs FROM f GROUP BY 1)"""
+
+
+def list_changes(spark, d):
+    k, kind = F.col("k"), F.col("event_type")
+    error = kind == "error"
+    kind = F.when(F.col("seq") == 0, "append").when(error & (k % 3 > 0), "pop").when(error, "trimHead").when(kind == "signup", "insert").otherwise("append")
+    value = F.when(kind != "pop", F.col("cents")).when(k == 50, -1)
+    return changes(spark, d).select("collection", "seq", kind.alias("kind"), (k % 6).alias("index"), value.alias("value"), F.array("cents").alias("values"), (k % 6).alias("n"))
+
+
+@job("c4_list_snapshot", f"{LIST} SELECT collection, CAST(i - 1 AS BIGINT) AS position, xs[i] AS value FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM l)")
 def c4(spark, d):
-    rows = changes(spark, d)
-    # A pop always follows an addition, so no list runs empty.
-    pop = (F.col("event_type") == "error") & (F.lag("event_type").over(over(["collection"], ["seq"])) != "error")
-    kind = F.when(F.col("seq") == 0, "append").when(pop, "pop").when(F.col("event_type") == "signup", "insert").otherwise("append")
-    index = F.when((kind == "pop") | (kind == "insert"), F.lit(0))
-    rows = rows.select("collection", "seq", kind.alias("kind"), index.alias("index"), F.col("cents").alias("value"), F.array("cents").alias("values"))
-    return collections.list_snapshot(rows)
+    return collections.list_snapshot(list_changes(spark, d))
+
+
+@job("c4_list_errors", f"{LIST} SELECT collection, min(seq) AS seq, min(error) AS error FROM f WHERE error IS NOT NULL GROUP BY 1")
+def c4_errors(spark, d):
+    return collections.list_errors(list_changes(spark, d))
+
+
+def cursors_of(rows):
+    return rows.select("collection").distinct().withColumn("cursor", F.when(F.col("collection") % 3 == 0, -1).otherwise(20))
+
+
+def through_snapshot(rows, fold, restore):
+    """State by way of a snapshot at the cursor and the changes after it."""
+    cursors = cursors_of(rows)
+    before = rows.join(cursors, "collection").where(F.col("seq") <= F.col("cursor")).drop("cursor")
+    return restore(fold(before), rows, cursors)[0]
+
+
+@job("c5_restored_log", f"{LOG} SELECT * FROM sn WHERE collection NOT IN (SELECT collection FROM le WHERE seq <= 20)")
+def c5_log(spark, d):
+    rows = log_changes(spark, d)
+    early = collections.log_errors(rows.where("seq <= 20")).select("collection")  # no snapshot is made of a log at fault
+    return through_snapshot(rows.join(early, "collection", "left_anti"), collections.log_snapshot, collections.restore_log)
+
+
+@job("c5_restored_list", f"{LIST} SELECT collection, CAST(i - 1 AS BIGINT) AS position, xs[i] AS value FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM l WHERE collection NOT IN (SELECT collection FROM f WHERE error IS NOT NULL AND seq <= 20))")
+def c5_list(spark, d):
+    rows = list_changes(spark, d)
+    early = collections.list_errors(rows.where("seq <= 20")).select("collection")  # no snapshot is made of a list at fault
+    return through_snapshot(rows.join(early, "collection", "left_anti"), collections.list_snapshot, collections.restore_list)
 
 
 @job("c5_restore", f"""{MAP}, cu AS (SELECT collection, CASE WHEN collection % 3 = 0 THEN -1 ELSE 20 END AS cursor FROM (SELECT DISTINCT collection FROM c)),
@@ -160,7 +218,7 @@ SELECT event_id, s.key IS NOT NULL AS hit, CASE WHEN s.key IS NULL THEN 'missing
 def c13(spark, d):
     keyed = events(spark, d).withColumn("key", ids.content_key("x:", ids.canonical_json(t=F.col("event_type"), k=F.col("k"))))
     store = keyed.where("event_type in ('click', 'view')").select("key", F.col("event_type").alias("value"))
-    return collections.content_lookup(keyed, store, strict=True).select("event_id", "hit", "error")
+    return collections.content_lookup(keyed, store, mode="read-strict").select("event_id", "hit", "error")
 
 
 TIERS = f"{E}, t0 AS (SELECT k AS key, min(cents) AS value FROM e WHERE event_type = 'error' AND k % 3 = 0 GROUP BY 1), t1 AS (SELECT k AS key, min(cents) AS value FROM e WHERE event_type = 'view' AND k % 2 = 0 GROUP BY 1), q AS (SELECT DISTINCT k AS key FROM e), f AS (SELECT key, coalesce(t0.value, t1.value) AS value, CASE WHEN t0.value IS NOT NULL THEN 0 WHEN t1.value IS NOT NULL THEN 1 ELSE -1 END AS tier FROM q LEFT JOIN t0 USING (key) LEFT JOIN t1 USING (key))"

@@ -6,11 +6,14 @@ come from aggregates per key (partial aggregation), not from sequential replay,
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import over
+from ..functions.folds import keyed_fold
+from ..functions.order import number, over, running_sum, running_sums
+from ..functions.staging import stage
 
 C = ["collection"]
 
@@ -30,8 +33,7 @@ def map_snapshot(changes: DataFrame) -> DataFrame:
 
 def map_errors(changes: DataFrame) -> DataFrame:
     """Changes that contradict the state before them: a delete of a missing key, a wrong ``previous`` or clear ``count``."""
-    clears = F.sum(F.when(F.col("kind") == "clear", 1).otherwise(0)).over(over(C, ["seq"]).rowsBetween(Window.unboundedPreceding, 0))
-    rows = changes.withColumn("_era", clears)
+    rows = stage(running_sum(changes, F.when(F.col("kind") == "clear", 1).otherwise(0), ["seq"], C, F.floor(F.col("seq") / PER_BUCKET), "_era"), "map-eras")
     w = over([*C, "_era", "k"], ["seq"])
     keyed = rows.where("kind <> 'clear'").withColumn("_before", F.lag("v").over(w)).withColumn("_was", F.lag("kind").over(w))
     live = F.coalesce(F.col("_was") == "set", F.lit(False))
@@ -55,61 +57,175 @@ def index_snapshot(changes: DataFrame) -> DataFrame:
     return last.where("last.kind = 'upsert'").select(*C, "primary", "last.secondary", "last.value")
 
 
+#: Changes of a collection that are summed up in one task.
+PER_BUCKET = 1000
+
+
+def _log_lengths(changes: DataFrame) -> DataFrame:
+    """Log changes with ``_size`` (values added), ``_era`` (clears so far), and in it up to the change ``_added``, the
+    values added, and ``_length``, the log's length if nothing was wrong before. A written table."""
+    size = F.when(F.col("kind") == "append", 1).when(F.col("kind") == "appendMany", F.coalesce(F.size("values"), F.lit(0))).otherwise(0)
+    bucket = F.floor(F.col("seq") / PER_BUCKET)
+    rows = stage(running_sum(changes.withColumn("_size", size), F.when(F.col("kind") == "clear", 1).otherwise(0), ["seq"], C, bucket, "_era"), "log-eras")
+    step = F.when(F.col("kind") == "trimHead", -F.col("n")).otherwise(F.col("_size"))
+    return stage(running_sums(rows, {"_length": step, "_added": F.col("_size")}, ["seq"], [*C, "_era"], bucket), "log-lengths")
+
+
+def _first_errors(rows: DataFrame) -> DataFrame:
+    has = "count" in rows.columns
+    rows = rows if has else rows.withColumn("count", F.lit(None).cast("long"))
+    cut = (F.col("kind") == "trimHead") & (F.col("_length") < 0)
+    ends = rows.groupBy(*C, "_era").agg(F.max_by("_length", "seq").alias("_held"))
+    ends = ends.select(F.col("collection").alias("_of"), (F.col("_era") + 1).alias("_next"), "_held")
+    rows = rows.join(ends, (F.col("collection") == F.col("_of")) & (F.col("_era") == F.col("_next")), "left")
+    wrong = (F.col("kind") == "clear") & (F.col("count") != F.coalesce("_held", F.lit(0)))
+    found = rows.withColumn("error", F.when(cut, "trimHead exceeds length").when(wrong, "wrong clear count")).where("error IS NOT NULL")
+    return found.groupBy(*C).agg(F.min_by(F.struct("seq", "error"), "seq").alias("f")).select(*C, "f.*")
+
+
+def log_errors(changes: DataFrame) -> DataFrame:
+    """collection, seq and error of the first change of each log that contradicts its state: a trim of more than the
+    log holds, or a clear whose ``count`` (if given) is not its length. A replay stops there."""
+    return _first_errors(_log_lengths(changes))
+
+
 def log_snapshot(changes: DataFrame) -> DataFrame:
-    """collection, position, value of what append, appendMany, trimHead (``n``) and clear changes leave."""
-    rows = _after_clear(changes)
-    added = rows.where(F.col("kind").isin("append", "appendMany"))
+    """collection, position, value of what append, appendMany, trimHead (``n``) and clear changes leave.
+
+    A log with an error (see ``log_errors``) is left as it was before that change; later ones do not count.
+    """
+    rows = _log_lengths(changes)
+    stop = _first_errors(rows).select(F.col("collection").alias("_of"), F.col("seq").alias("_stop"))
+    rows = rows.join(stop, F.col("collection") == F.col("_of"), "left").where("_stop IS NULL OR seq < _stop").drop("_of", "_stop")
+    head = rows.groupBy(*C, "_era").agg(F.coalesce(F.sum(F.when(F.col("kind") == "trimHead", F.col("n"))), F.lit(0)).alias("_head"))
+    head = head.groupBy(*C).agg(F.max_by(F.struct("_era", "_head"), "_era").alias("_h")).select(F.col("collection").alias("_of"), F.col("_h._era").alias("_last"), F.col("_h._head").alias("_head"))
+    last = rows.join(head, (F.col("collection") == F.col("_of")) & (F.col("_era") == F.col("_last"))).where("_size > 0")
     values = F.when(F.col("kind") == "append", F.array("value")).otherwise(F.col("values"))
-    added = added.select(*C, "seq", F.posexplode(values).alias("_i", "value"))
-    added = added.withColumn("_at", F.row_number().over(over(C, ["seq", "_i"])))
-    head = rows.groupBy(*C).agg(F.coalesce(F.sum(F.when(F.col("kind") == "trimHead", F.col("n"))), F.lit(0)).alias("_head"))
-    kept = added.join(head, C).where(F.col("_at") > F.col("_head"))
-    return kept.select(*C, (F.col("_at") - F.col("_head") - 1).alias("position"), "value")
+    added = last.select(*C, "_head", (F.col("_added") - F.col("_size")).alias("_start"), F.posexplode(values).alias("_i", "value"))
+    position = F.col("_start") + F.col("_i") - F.col("_head")
+    return added.where(position >= 0).select(*C, position.cast("long").alias("position"), "value")
+
+
+def _replay(changes: DataFrame) -> DataFrame:
+    """collection, position, value of each list, and seq and error of the change at which its replay stopped.
+
+    A list is one value of its collection, so its state is held whole by the task that replays it; the
+    changes themselves pass as a stream.
+    """
+    names = changes.columns
+
+    def fault(xs: list, r: dict) -> str | None:
+        at, n = r["index"], len(xs)
+        if r["kind"] in ("insert", "insertMany"):
+            return None if at is not None and 0 <= at <= n else "insert out of bounds"
+        if r["kind"] == "pop":
+            at = -1 if at is None else at
+            if not -n <= at < n:
+                return "pop out of bounds"
+            return None if r["value"] is None or xs[at] == r["value"] else "wrong pop value"
+        if r["kind"] == "trimHead":
+            return None if r["n"] <= n else "trimHead exceeds length"
+        if r["kind"] == "clear":
+            return None if r.get("count") is None or r["count"] == n else "wrong clear count"
+        return None
+
+    def step(state, row):
+        xs, stop = state
+        r = dict(zip(names, row, strict=True))
+        if stop is None and (error := fault(xs, r)):
+            stop = (r["seq"], error)
+        if stop is not None:
+            return (xs, stop), []
+        kind, at = r["kind"], r["index"]
+        if kind in ("append", "appendMany"):
+            xs.extend([r["value"]] if kind == "append" else r["values"] or [])
+        elif kind in ("insert", "insertMany"):
+            xs[at:at] = [r["value"]] if kind == "insert" else r["values"] or []
+        elif kind == "pop":
+            xs.pop(-1 if at is None else at)
+        elif kind == "trimHead":
+            del xs[: r["n"]]
+        elif kind == "clear":
+            xs.clear()
+        return (xs, stop), []
+
+    def finish(key, state):
+        xs, stop = state
+        yield from ((*key, i, x, None, None) for i, x in enumerate(xs))
+        if stop is not None:
+            yield (*key, None, None, *stop)
+
+    kinds = f"collection {changes.schema['collection'].dataType.simpleString()}, position long, value {changes.schema['value'].dataType.simpleString()}, seq long, error string"
+    return keyed_fold(changes, C, ["seq"], step, lambda: ([], None), kinds, finish)
 
 
 def list_snapshot(changes: DataFrame) -> DataFrame:
     """collection, position, value after positional changes; each collection is replayed in order.
 
-    Replay starts after the last clear. Kinds: append, appendMany, insert, insertMany (``index``), pop
-    (``index``, from the end if negative, the last one if null). A position out of bounds is an error.
+    Kinds: append, appendMany, insert, insertMany (``index``), pop (``index``, from the end if negative, the
+    last one if null), trimHead (``n``), clear (``count``). A list with an error (see ``list_errors``) is
+    left as it was before that change.
     """
+    return _replay(changes).where("position IS NOT NULL").select(*C, "position", "value")
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list = []
-        for r in rows.sort_values("seq").itertuples():
-            if r.kind in ("append", "appendMany"):
-                out.extend([r.value] if r.kind == "append" else list(r.values_))
-            elif r.kind in ("insert", "insertMany"):
-                at = int(r.index_)
-                if not 0 <= at <= len(out):
-                    raise ValueError(f"insert at {at} of {len(out)}")
-                out[at:at] = [r.value] if r.kind == "insert" else list(r.values_)
-            elif r.kind == "pop":
-                at = -1 if pd.isna(r.index_) else int(r.index_)
-                if not -len(out) <= at < len(out):
-                    raise ValueError(f"pop at {at} of {len(out)}")
-                out.pop(at)
-        return pd.DataFrame({"collection": rows["collection"].iloc[0], "position": range(len(out)), "value": out})
-
-    rows = _after_clear(changes).where("kind <> 'clear'").withColumnsRenamed({"index": "index_", "values": "values_"})
-    kinds = f"collection {changes.schema['collection'].dataType.simpleString()}, position long, value {changes.schema['value'].dataType.simpleString()}"
-    return rows.select("collection", "seq", "kind", "index_", "value", "values_").groupBy(*C).applyInPandas(replay, kinds)
 
+def list_errors(changes: DataFrame) -> DataFrame:
+    """collection, seq and error of the change at which a list's replay stops: a position out of bounds, a pop whose
+    ``value`` is not what stood there, a trim of more than there is, a wrong clear count. Null values are not checked."""
+    return _replay(changes).where("error IS NOT NULL").select(*C, "seq", "error")
 
-def restore_map(snapshot: DataFrame, changes: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """State from a snapshot (collection, k, v) at a cursor (collection, cursor; -1 for none) and later changes.
 
-    The second table has a row per collection: applied, cursor, contiguous and the source (empty,
-    snapshot, changes, snapshot+changes). Contiguity is one aggregate, not a walk.
+def restored(changes: DataFrame, cursors: DataFrame) -> DataFrame:
+    """What a restore from a snapshot at a cursor (collection, cursor; -1 for none) and later changes is made of.
+
+    A row per collection: applied, cursor, contiguous and source (empty, snapshot, changes,
+    snapshot+changes). Contiguity is one aggregate, not a walk.
     """
     later = changes.join(cursors, C).where(F.col("seq") > F.col("cursor"))
-    base = snapshot.join(cursors, C).select(*C, F.col("cursor").alias("seq"), F.lit("set").alias("kind"), "k", "v")
-    state = map_snapshot(base.unionByName(later.select(*C, "seq", "kind", "k", "v")))
     got = later.groupBy(*C).agg(F.count("*").alias("applied"), F.min("seq").alias("_low"), F.max("seq").alias("_high"))
     meta = cursors.join(got, C, "left").withColumn("applied", F.coalesce("applied", F.lit(0)))
     whole = (F.col("applied") == 0) | ((F.col("_low") == F.col("cursor") + 1) & (F.col("_high") - F.col("_low") + 1 == F.col("applied")))
     source = F.when((F.col("cursor") >= 0) & (F.col("applied") > 0), "snapshot+changes").when(F.col("cursor") >= 0, "snapshot").when(F.col("applied") > 0, "changes").otherwise("empty")
-    return state, meta.select(*C, "applied", F.coalesce("_high", "cursor").alias("cursor"), whole.alias("contiguous"), source.alias("source"))
+    return meta.select(*C, "applied", F.coalesce("_high", "cursor").alias("cursor"), whole.alias("contiguous"), source.alias("source"))
+
+
+def wrong_kinds(frames: DataFrame, kind: str) -> DataFrame:
+    """Snapshot or change frames (collection, collection_kind, any others) that are not of the kind to restore."""
+    return frames.where(~F.col("collection_kind").eqNullSafe(F.lit(kind)))
+
+
+def restore_map(snapshot: DataFrame, changes: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """State of maps from a snapshot (collection, k, v) at its cursor and later changes, and what it is made of."""
+    later = changes.join(cursors, C).where(F.col("seq") > F.col("cursor"))
+    base = snapshot.join(cursors, C).select(*C, F.col("cursor").alias("seq"), F.lit("set").alias("kind"), "k", "v")
+    return map_snapshot(base.unionByName(later.select(*C, "seq", "kind", "k", "v"))), restored(changes, cursors)
+
+
+def restore_index(snapshot: DataFrame, changes: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``restore_map``, for an index (collection, primary, secondary, value)."""
+    later = changes.join(cursors, C).where(F.col("seq") > F.col("cursor")).drop("cursor")
+    base = snapshot.join(cursors, C).select(*C, F.col("cursor").alias("seq"), F.lit("upsert").alias("kind"), "primary", "secondary", "value")
+    return index_snapshot(base.unionByName(later, allowMissingColumns=True)), restored(changes, cursors)
+
+
+#: Positions of a snapshot stand before all changes.
+_BEFORE = -(1 << 40)
+
+
+def _positions_first(snapshot: DataFrame, changes: DataFrame, cursors: DataFrame) -> DataFrame:
+    later = changes.join(cursors, C).where(F.col("seq") > F.col("cursor")).drop("cursor")
+    base = snapshot.select(*C, (F.col("position") + _BEFORE).alias("seq"), F.lit("append").alias("kind"), "value")
+    return base.unionByName(later, allowMissingColumns=True)
+
+
+def restore_log(snapshot: DataFrame, changes: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``restore_map``, for logs (collection, position, value)."""
+    return log_snapshot(_positions_first(snapshot, changes, cursors)), restored(changes, cursors)
+
+
+def restore_list(snapshot: DataFrame, changes: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``restore_map``, for lists (collection, position, value)."""
+    return list_snapshot(_positions_first(snapshot, changes, cursors)), restored(changes, cursors)
 
 
 def keep_last(df: DataFrame, n: int, order: list[str], keys: list[str]) -> DataFrame:
@@ -168,13 +284,28 @@ def verified(frames: DataFrame) -> DataFrame:
     return frames.withColumn("verified", F.col("checksum") == F.sha2("change", 256))
 
 
-def content_lookup(requests: DataFrame, store: DataFrame, key: str = "key", strict: bool = False) -> DataFrame:
-    """Requests with the stored value and hit; a miss is an error row if the mode is strict."""
-    out = requests.join(store.select(key, "value").dropDuplicates([key]), key, "left")
+#: What a content store does in each mode: look up, report misses as errors, store, forget.
+MODES = {"read": (True, False, False, False), "read-strict": (True, True, True, True), "write": (False, False, True, False), "read-write": (True, False, True, True)}
+
+
+def content_lookup(requests: DataFrame, store: DataFrame, key: str = "key", mode: str = "read") -> DataFrame:
+    """Requests with the stored value and hit; in mode read-strict a miss is an error row, in write all are misses."""
+    looks, strict, _, _ = MODES[mode]
+    kept = store.select(key, "value").dropDuplicates([key])
+    out = requests.join(kept if looks else kept.where("false"), key, "left")
     hit = F.col("value").isNotNull()
     return out.withColumn("hit", hit).withColumn("error", F.when(~hit & F.lit(strict), "missing entry"))
 
 
+def content_apply(store: DataFrame, asks: DataFrame, mode: str, key: str = "key") -> DataFrame:
+    """A store (key, value) after asks (key, ord, kind store or forget, value), in order, as far as the mode lets them:
+    read stores nothing, read and write forget nothing."""
+    _, _, stores, forgets = MODES[mode]
+    able = [k for k, on in (("store", stores), ("forget", forgets)) if on]
+    asks = asks.where(F.col("kind").isin(*able)) if able else asks.where("false")
+    return upsert(store, asks.withColumn("value", F.when(F.col("kind") == "store", F.col("value"))), key, "ord")
+
+
 def tiered(keys: DataFrame, tiers: list[DataFrame], key: str = "key") -> DataFrame:
     """Keys with the value of the first tier that has it and the tier's number, -1 if none has."""
     out, values = keys, []
@@ -205,21 +336,39 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, order: str) -> DataFr
     return last.select(key, "_w.value").where("value is not null")
 
 
-def append(log: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
-    """New rows with the dense seq that follows a log's last one, per collection; from 0 on an empty log."""
+def append(log: DataFrame, new: DataFrame, order: list[str], bucket: Column | None = None) -> DataFrame:
+    """New rows with the dense seq that follows a log's last one, per collection; from 0 on an empty log.
+
+    ``bucket`` keeps a collection of many new rows from being one task, see ``number``.
+    """
     last = log.groupBy(*C).agg(F.max("seq").alias("_last"))
-    rows = new.withColumn("_r", F.row_number().over(over(C, order))).join(last, C, "left")
+    rows = number(new, order, C, bucket, "_r").join(last, C, "left")
     return rows.withColumn("seq", (F.coalesce("_last", F.lit(-1)) + F.col("_r")).cast("long")).drop("_last", "_r")
 
 
 def log_page(log: DataFrame, after: int, limit: int) -> DataFrame:
-    """Per collection the next ``limit`` rows, with done and next_after: one row more is looked at."""
-    w = over(C, ["seq"])
-    rows = log.where(F.col("seq") > after).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit + 1)
-    whole = Window.partitionBy(*C)
-    rows = rows.withColumn("done", F.max("_r").over(whole) <= limit)
-    rows = rows.withColumn("next_after", F.max(F.when(F.col("_r") <= limit, F.col("seq"))).over(whole))
-    return rows.where(F.col("_r") <= limit).drop("_r")
+    """Per collection the next ``limit`` rows after a seq, with done and next_after. Seqs are dense, so two bounds
+    per collection find the page."""
+    ends = log.groupBy(F.col("collection").alias("_of")).agg(F.min("seq").alias("_head"), F.max("seq").alias("_last"))
+    start = F.greatest("_head", F.lit(after + 1))
+    rows = log.join(ends, F.col("collection") == F.col("_of")).where((F.col("seq") >= start) & (F.col("seq") < start + limit))
+    out = rows.withColumns({"done": F.col("_last") < start + limit, "next_after": F.least(F.col("_last"), start + limit - 1)})
+    return out.drop("_of", "_head", "_last")
+
+
+def truncate_after(log: DataFrame, seq: int) -> DataFrame:
+    """A log without the rows after a seq."""
+    return log.where(F.col("seq") <= seq)
+
+
+def log_sizes(log: DataFrame) -> DataFrame:
+    """collection and size of each log."""
+    return log.groupBy(*C).agg(F.count("*").alias("size"))
+
+
+def with_prefix(table: DataFrame, prefix: str, key: str = "key") -> DataFrame:
+    """Entries of a keyed table whose key begins with a prefix."""
+    return table.where(F.col(key).startswith(prefix))
 
 
 def snapshot_points(changes: DataFrame, every: int) -> DataFrame:
@@ -229,15 +378,16 @@ def snapshot_points(changes: DataFrame, every: int) -> DataFrame:
     return last.select(*C, cursor.cast("long").alias("cursor")).where("cursor >= 0")
 
 
-def compacted(changes: DataFrame, every: int) -> tuple[DataFrame, DataFrame]:
-    """Snapshot rows at each collection's last point, and the change frames after it, which is all a restore needs."""
+def compacted(changes: DataFrame, every: int, fold: Callable[[DataFrame], DataFrame] = map_snapshot) -> tuple[DataFrame, DataFrame]:
+    """Snapshot rows at each collection's last point, and the change frames after it, which is all a restore needs.
+
+    ``fold`` is the snapshot of the collections' kind: map, index, log or list.
+    """
     points = snapshot_points(changes, every)
     rows = changes.join(points, C, "left").withColumn("cursor", F.coalesce("cursor", F.lit(-1)))
-    return map_snapshot(rows.where("seq <= cursor")), rows.where("seq > cursor").drop("cursor")
+    return fold(rows.where("seq <= cursor").drop("cursor")), rows.where("seq > cursor").drop("cursor")
 
 
 def observed(rows: DataFrame, path: Column, prefix: str, order: list[str], bucket: Column) -> DataFrame:
     """Rows under a path prefix as an event log: path and a dense seq from 1 over all of them."""
-    from ..functions.order import number
-
     return number(rows.withColumn("path", path).where(F.col("path").startswith(prefix)), order, bucket=bucket, name="seq")
