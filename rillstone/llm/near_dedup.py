@@ -234,11 +234,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross(percent: int, least: float):
+def _cross(percent: int, least: float, verify: bool):
     """Compare members of different components, block pair by block pair; rows come sorted by block pair.
 
-    Columns: key, band, x, y (block pair), side (0, 1 or 2 = both), doc, label, n, sig, bands, elements. A pair
-    is compared in the first band that it shares. What comes out are links that join components.
+    Columns: key, band, x, y (block pair), side (0, 1 or 2 = both), doc, label, n, sig, bands. A pair is
+    compared in the first band that it shares. What comes out are the members (key, x, y, doc) of pairs
+    that signatures do not rule out, or with ``verify`` and the members' elements the links that join components.
     """
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
@@ -248,9 +249,10 @@ def _cross(percent: int, least: float):
         side = rows.column("side").to_numpy()
         keys = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
         earlier = keys[:, : rows.column("band")[0].as_py()]
-        sets, names = rows.column("elements").combine_chunks(), rows.column("doc").combine_chunks()
+        names, sets = rows.column("doc").combine_chunks(), rows.column("elements").combine_chunks() if verify else None
         elements = lambda i: np.frombuffer(sets[int(i)].as_buffer(), np.uint64)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        met = np.zeros(len(doc), bool)
         a, b = [], []
         for i in left:
             j = right[(label[right] != label[i]) & ((side[right] != 2) | (side[i] != 2) | (doc[right] > doc[i]))]
@@ -259,6 +261,10 @@ def _cross(percent: int, least: float):
             if not len(j):
                 continue
             alike = (sig[j] == sig[i]).mean(axis=1)
+            if not verify:
+                met[j[alike >= least]] = True
+                met[i] |= bool((alike >= least).any())
+                continue
             own = elements(i)
             for k in j[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())]:
                 if label[k] != label[i] and _linked(own, elements(k), percent):
@@ -266,6 +272,9 @@ def _cross(percent: int, least: float):
                     a.append(pair[0])
                     b.append(pair[1])
                     label[label == label[k]] = label[i]
+        if not verify:
+            own = rows.select(["key", "x", "y", "doc"]).filter(pa.array(met)).combine_chunks()
+            return pa.RecordBatch.from_arrays([c.combine_chunks() for c in own.columns], own.schema.names)
         return pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in (a, b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,9 +409,14 @@ def _open_links(docs: DataFrame, members: DataFrame, sig: DataFrame, labels: Dat
     main_side = F.transform(F.sequence(F.lit(0), bo - 1), lambda o: block(o, bo + mine, F.lit(1)))
     rows = rows.withColumn("to", F.explode(F.when(F.col("is_main"), main_side).otherwise(F.concat(with_others, with_main))))
     rows = rows.select("key", "band", F.col("to.x").alias("x"), F.col("to.y").alias("y"), F.col("to.side").cast("int").alias("side"), "doc", "label")
-    rows = stage(rows, "block-rows")
-    sets = sets_of(docs, stage(rows.select(F.col("doc").alias("set_id")).distinct(), "open-texts"), shingle)
-    rows = rows.join(sig, rows["doc"] == sig["id"]).join(sets, rows["doc"] == sets["set_id"])
-    rows = rows.select("key", "band", "x", "y", "side", "doc", "label", "n", "sig", "bands", "elements").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    columns = ["key", "band", "x", "y", "side", "doc", "label", "n", "sig", "bands"]
+    rows = stage(rows.join(sig, rows["doc"] == sig["id"]).select(*columns), "block-rows")
+    dealt = lambda r: r.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    # Sets are sent to blocks for members of pairs that signatures do not rule out only.
+    met = dealt(rows).mapInArrow(_cross(percent, least, False), "key long, x int, y int, doc binary")
+    met = stage(met.distinct(), "candidates")
+    sets = sets_of(docs, stage(met.select(F.col("doc").alias("set_id")).distinct(), "open-texts"), shingle)
+    open_rows = rows.join(sized(met), ["key", "x", "y", "doc"], "left_semi").select(*columns)
+    open_rows = open_rows.join(sets, open_rows["doc"] == sets["set_id"]).select(*columns, "elements")
     with arrow_rows(docs.sparkSession, BLOCK):  # rows hold whole sets
-        return stage(rows.mapInArrow(_cross(percent, least), _PAIR), "more-links")
+        return stage(dealt(open_rows).mapInArrow(_cross(percent, least, True), _PAIR), "more-links")
