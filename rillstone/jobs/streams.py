@@ -34,39 +34,71 @@ def st2(spark, d):
     return streaming.run_to_table(out.select("user_id", F.unix_millis("window.start").alias("start_ms"), "n", "cents"), "tumbling")
 
 
-@job("st3_distinct", f"{E} SELECT event_id, event_type FROM (SELECT *, lag(event_type) OVER {W} AS p, row_number() OVER {W} AS rn FROM e) WHERE rn = 1 OR p <> event_type")
+#: A fold has seen what the last watermark has passed.
+PASSED = "ms <= (SELECT max(ms) - 3600000 FROM e)"
+LATE = "1 hour"
+
+
+@job("st3_distinct", f"{E} SELECT event_id, event_type FROM (SELECT *, lag(event_type) OVER {W} AS p, row_number() OVER {W} AS rn FROM e) WHERE (rn = 1 OR p <> event_type) AND {PASSED}")
 def st3_distinct(spark, d):
     def step(state, row):
         return (row.event_type,), [] if state[0] == row.event_type else [(row.event_id, row.event_type)]
 
-    return streaming.run_to_table(streaming.fold(stream(spark, d), "user_id", ["ms", "event_id"], step, "last string", (None,), "event_id long, event_type string"), "distinct")
+    return streaming.run_to_table(streaming.fold(stream(spark, d), "user_id", "ts", LATE, ["ms", "event_id"], step, (None,), "event_id long, event_type string"), "distinct")
 
 
-@job("st3_scan", f"{E} SELECT event_id, CAST(sum(cents) OVER {W} AS BIGINT) AS total, lag(cents) OVER {W} AS previous FROM e")
+@job("st3_scan", f"{E} SELECT event_id, CAST(sum(cents) OVER {W} AS BIGINT) AS total, lag(cents) OVER {W} AS previous FROM e WHERE {PASSED}")
 def st3_scan(spark, d):
     def step(state, row):
         total = state[0] + row.cents
         return (total, row.cents), [(row.event_id, total, state[1])]
 
-    return streaming.run_to_table(streaming.fold(stream(spark, d), "user_id", ["ms", "event_id"], step, "total long, last long", (0, None), "event_id long, total long, previous long"), "scan")
+    return streaming.run_to_table(streaming.fold(stream(spark, d), "user_id", "ts", LATE, ["ms", "event_id"], step, (0, None), "event_id long, total long, previous long"), "scan")
 
 
-@job("st3_throttle", f"""WITH RECURSIVE {EVENTS_SQL}, n AS (SELECT *, row_number() OVER {W} AS rn FROM e),
+GREEDY = f"""WITH RECURSIVE {EVENTS_SQL}, n AS (SELECT *, row_number() OVER {W} AS rn FROM e WHERE {PASSED}),
 f AS (SELECT user_id, event_id, ms, rn, ms AS w FROM n WHERE rn = 1 UNION ALL
- SELECT n.user_id, n.event_id, n.ms, n.rn, CASE WHEN n.ms - f.w >= {HALF_DAY} THEN n.ms ELSE f.w END FROM f JOIN n ON n.user_id = f.user_id AND n.rn = f.rn + 1) SELECT event_id FROM f WHERE w = ms""")
+ SELECT n.user_id, n.event_id, n.ms, n.rn, CASE WHEN n.ms - f.w >= {HALF_DAY} THEN n.ms ELSE f.w END FROM f JOIN n ON n.user_id = f.user_id AND n.rn = f.rn + 1)"""
+
+
+@job("st3_throttle", f"{GREEDY} SELECT event_id FROM f WHERE w = ms")
 def st3_throttle(spark, d):
-    def step(state, row):
-        if state[0] is not None and row.ms - state[0] < HALF_DAY:
-            return state, []
-        return (row.ms,), [(row.event_id,)]
+    return streaming.run_to_table(streaming.throttle(stream(spark, d), "user_id", "ts", "event_id", HALF_DAY, LATE), "throttle")
+
+
+@job("st3_rate_limit", f"{GREEDY} SELECT event_id, row_number() OVER (PARTITION BY user_id, w ORDER BY rn) <= 2 AS allowed FROM f")
+def st3_rate_limit(spark, d):
+    return streaming.run_to_table(streaming.rate_limit(stream(spark, d), "user_id", "ts", "event_id", 2, HALF_DAY, LATE), "rate-limit")
 
-    return streaming.run_to_table(streaming.fold(stream(spark, d), "user_id", ["ms", "event_id"], step, "opened long", (None,), "event_id long"), "throttle")
+
+@job("st3_pairwise", f"{E} SELECT * FROM (SELECT user_id, lag(event_id) OVER {W} AS previous, event_id AS current FROM e WHERE {PASSED}) WHERE previous IS NOT NULL")
+def st3_pairwise(spark, d):
+    return streaming.run_to_table(streaming.pairwise(stream(spark, d), "user_id", "ts", "event_id", LATE), "pairwise")
+
+
+@job("st3_breaker", f"""{E}, x AS (SELECT *, max(CASE WHEN event_type NOT IN ('error', 'view') THEN rn END) OVER {W} AS ok FROM (SELECT *, row_number() OVER {W} AS rn FROM e WHERE {PASSED}))
+SELECT event_id, rn - coalesce(ok, 0) AS failures, CASE WHEN rn - coalesce(ok, 0) >= 2 THEN 'open' ELSE 'closed' END AS state FROM x""")
+def st3_breaker(spark, d):
+    rows = stream(spark, d).withColumn("failed", F.col("event_type").isin("error", "view"))
+    return streaming.run_to_table(streaming.breaker(rows, "user_id", "ts", "event_id", "failed", 2, LATE), "breaker")
 
 
 @job("st4_debounce", f"""{E}, n AS (SELECT *, lead(ms) OVER {W} AS nx FROM e), m AS (SELECT max(ms) - 3600000 AS w FROM e)
-SELECT user_id, ms AS at_ms, event_id FROM n, m WHERE (nx - ms >= {HALF_DAY}) OR (nx IS NULL AND ms + {HALF_DAY} <= w)""")
+SELECT user_id, ms AS at_ms, event_id FROM n, m WHERE (nx IS NULL OR nx - ms >= {HALF_DAY}) AND ms + {HALF_DAY} <= w""")
 def st4(spark, d):
-    return streaming.run_to_table(streaming.debounce(stream(spark, d), "user_id", "ts", "event_id", HALF_DAY, "1 hour"), "debounce")
+    return streaming.run_to_table(streaming.debounce(stream(spark, d), "user_id", "ts", "event_id", HALF_DAY, LATE), "debounce")
+
+
+@job("st4_audit", f"{GREEDY} SELECT user_id, w + {HALF_DAY} AS emit_at, arg_max(event_id, rn) AS event_id FROM f WHERE w + {HALF_DAY} <= (SELECT max(ms) - 3600000 FROM e) GROUP BY user_id, w")
+def st4_audit(spark, d):
+    return streaming.run_to_table(streaming.audit(stream(spark, d), "user_id", "ts", "event_id", HALF_DAY, LATE), "audit")
+
+
+@job("st4_timeout", f"""{E}, m AS (SELECT max(ms) - 3600000 AS w FROM e), n AS (SELECT *, coalesce(lead(ms) OVER {W}, 9000000000000) - ms >= {2 * HALF_DAY} AND ms + {2 * HALF_DAY} <= w AS gap FROM e, m),
+g AS (SELECT user_id, min(ms) FILTER (gap) AS at FROM n GROUP BY 1) SELECT user_id, ms AS at_ms, event_id, CAST(NULL AS VARCHAR) AS error FROM n JOIN g USING (user_id) WHERE {PASSED} AND (at IS NULL OR ms <= at)
+UNION ALL SELECT user_id, at + {2 * HALF_DAY}, NULL, 'timeout: no value within {2 * HALF_DAY}ms' FROM g WHERE at IS NOT NULL""".replace(" AS at ", " AS gap_at ").replace("at IS", "gap_at IS").replace("ms <= at)", "ms <= gap_at)").replace("user_id, at +", "user_id, gap_at +"))
+def st4_timeout(spark, d):
+    return streaming.run_to_table(streaming.timeout(stream(spark, d), "user_id", "ts", "event_id", 2 * HALF_DAY, LATE), "timeout")
 
 
 @job("st6_dedupe", f"{E} SELECT DISTINCT user_id, event_type FROM e")

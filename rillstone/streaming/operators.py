@@ -1,12 +1,15 @@
 """The stream forms: stateless operators, windows with watermarks, keyed folds, event-time timers, idempotent sinks.
 
-Stateless batch operators (map, keep, stratify, merge) take a streaming DataFrame as they are. Late rows
-are dropped by the watermark; within a micro-batch a fold sorts its key's rows.
+Stateless batch operators (map, keep, stratify, merge) take a streaming DataFrame as they are. Keyed folds wait
+until the watermark has passed a row, so rows that come out of order within the lateness are folded in order,
+in whatever micro-batches they come; later ones are dropped by the watermark.
 """
 
 from __future__ import annotations
 
+import pickle
 import uuid
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,52 +38,126 @@ def dedupe(stream: DataFrame, at: str, late: str, keys: list[str]) -> DataFrame:
     return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def fold(stream: DataFrame, key: str, order: list[str], step: Callable, state: str, initial: tuple, out: str) -> DataFrame:
-    """A fold per key over micro-batches: ``step(state tuple, row)`` gives (new state, list of output tuples).
+def fold(
+    stream: DataFrame, key: str, at: str, late: str, order: list[str], step: Callable, initial: tuple, out: str,
+    due: Callable | None = None, fire: Callable | None = None, forget_ms: int | None = None,
+) -> DataFrame:
+    """A fold per key in event-time order: ``step(state, row)`` gives (new state, list of output tuples).
 
-    Distinct-until-changed, scan, pairwise, buffers, throttle, breaker and the bus and process folds are steps.
+    ``at`` is the event time (row.at_ms in milliseconds), ``late`` how long rows may come out of order,
+    ``order`` the columns that order rows totally, at first. Rows wait in the key's state until the watermark has
+    passed them; rows behind it are dropped, and rows after the last watermark stay waiting. A step may set a
+    timer: ``due(state)`` is its time or None, ``fire(state)`` gives (new state, outputs). A timer that is due exactly
+    when a row arrives fires first. A key without a row for more than
+    ``forget_ms`` of event time is forgotten and begins anew.
     """
+    rows = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).withColumn("at_ms", F.unix_millis(at))
     names = [c.split()[0] for c in out.split(", ")]
+    plain = lambda x: None if x is None or x != x else x.item() if hasattr(x, "item") else x
+    row_of = namedtuple("row_of", rows.columns, rename=True)
+    places = [rows.columns.index(c) for c in order]
+
+    def advance(state, made: list, until: int):
+        while due and (when := due(state)) is not None and when <= until:
+            state, more = fire(state)
+            made += more
+        return state
 
     def run(_: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        current = kept.get if kept.exists else initial
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        made: list[tuple] = []
-        for row in rows.itertuples(index=False):
-            current, more = step(current, row)
+        state, waiting, last = pickle.loads(kept.get[0]) if kept.exists else (initial, [], None)
+        now, made = kept.getCurrentWatermarkMs(), []
+        if not kept.hasTimedOut:
+            for batch in batches:
+                waiting += [tuple(map(plain, values)) for values in zip(*(batch[c].astype(object) for c in batch.columns), strict=True)]
+        elif forget_ms is not None and not waiting and (due is None or due(state) is None) and (last or 0) + forget_ms < now:
+            kept.remove()
+            return
+        waiting = sorted(map(lambda v: row_of(*v), waiting), key=lambda r: [(r[p] is not None, r[p]) for p in places])
+        ready = [r for r in waiting if r.at_ms <= now]
+        waiting = [tuple(r) for r in waiting if r.at_ms > now]
+        for row in ready:
+            state = advance(state, made, row.at_ms)
+            if forget_ms is not None and last is not None and row.at_ms - last > forget_ms:
+                state = initial
+            state, more = step(state, row)
             made += more
-        kept.update(tuple(current))
-        yield pd.DataFrame(made, columns=names)
+            last = row.at_ms
+        state = advance(state, made, now)
+        kept.update((pickle.dumps((state, waiting, last)),))
+        wakes = [row_of(*v).at_ms for v in waiting] + ([due(state)] if due and due(state) is not None else [])
+        if not wakes and forget_ms is not None:
+            wakes = [(last or 0) + forget_ms]
+        if wakes:
+            kept.setTimeoutTimestamp(max(min(wakes), now + 1))
+        yield pd.DataFrame({c: pd.Series([m[i] for m in made], dtype=object) for i, c in enumerate(names)})
 
-    return stream.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(run, out, "data binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def debounce(stream: DataFrame, key: str, at: str, value: str, ms: int, late: str) -> DataFrame:
-    """key, at_ms and value of rows without a later row of their key within ``ms``; a timer on event time fires
-    once the watermark has passed the gap, and a later row in time replaces what is pending."""
-    rows = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
-    rows = rows.select(key, at, F.unix_millis(at).alias("at_ms"), value)
-    key_type, value_type = rows.schema[key].dataType.simpleString(), rows.schema[value].dataType.simpleString()
+    """key, at_ms and value of rows without a later row of their key within ``ms``, once the watermark has passed the gap."""
+    kinds = dict(stream.dtypes)
+    step = lambda state, row: ((getattr(row, key), row.at_ms, getattr(row, value)), [])
+    due = lambda state: None if state is None else state[1] + ms
+    return fold(stream, key, at, late, [at, value], step, None, f"{key} {kinds[key]}, at_ms long, {value} {kinds[value]}", due, lambda state: (None, [state]))
 
-    def run(group: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        if kept.hasTimedOut:
-            at_ms, x = kept.get
-            kept.remove()
-            yield pd.DataFrame({key: [group[0]], "at_ms": [at_ms], value: [x]})
-            return
-        own = pd.concat(list(batches))[["at_ms", value]]
-        if kept.exists:
-            own = pd.concat([pd.DataFrame([kept.get], columns=["at_ms", value]), own])
-        own = own.sort_values(["at_ms", value])
-        gap = own["at_ms"].shift(-1) - own["at_ms"]
-        last = own.iloc[-1]
-        kept.update((int(last["at_ms"]), last[value].item() if hasattr(last[value], "item") else last[value]))
-        kept.setTimeoutTimestamp(max(int(last["at_ms"]) + ms, kept.getCurrentWatermarkMs() + 1))
-        quiet = own[gap >= ms]
-        yield pd.DataFrame({key: group[0], "at_ms": quiet["at_ms"], value: quiet[value]})
-
-    out = f"{key} {key_type}, at_ms long, {value} {value_type}"
-    return rows.groupBy(key).applyInPandasWithState(run, out, f"at_ms long, {value} {value_type}", "append", GroupStateTimeout.EventTimeTimeout)
+
+def audit(stream: DataFrame, key: str, at: str, value: str, ms: int, late: str) -> DataFrame:
+    """A row opens a window of ``ms``; at its end (``emit_at``) the latest row's value is emitted."""
+    kinds = dict(stream.dtypes)
+    step = lambda state, row: ((getattr(row, key), state[1] if state else row.at_ms + ms, getattr(row, value)), [])
+    due = lambda state: None if state is None else state[1]
+    return fold(stream, key, at, late, [at, value], step, None, f"{key} {kinds[key]}, emit_at long, {value} {kinds[value]}", due, lambda state: (None, [state]))
+
+
+def timeout(stream: DataFrame, key: str, at: str, value: str, ms: int, late: str) -> DataFrame:
+    """Values of each key up to its first gap of ``ms``; there the key ends with an error row at the time the timer fired."""
+    kinds = dict(stream.dtypes)
+
+    def step(state, row):
+        if state is not None and state[2]:
+            return state, []
+        return (getattr(row, key), row.at_ms, False), [(getattr(row, key), row.at_ms, getattr(row, value), None)]
+
+    def fire(state):
+        own, last, _ = state
+        return (own, last, True), [(own, last + ms, None, f"timeout: no value within {ms}ms")]
+
+    due = lambda state: None if state is None or state[2] else state[1] + ms
+    return fold(stream, key, at, late, [at, value], step, None, f"{key} {kinds[key]}, at_ms long, {value} {kinds[value]}, error string", due, fire)
+
+
+def throttle(stream: DataFrame, key: str, at: str, value: str, ms: int, late: str) -> DataFrame:
+    """Leading edge: a row is emitted, then rows of its key are ignored for ``ms``."""
+    step = lambda opened, row: (opened, []) if opened is not None and row.at_ms - opened < ms else (row.at_ms, [(getattr(row, value),)])
+    return fold(stream, key, at, late, [at, value], step, None, f"{value} {dict(stream.dtypes)[value]}", forget_ms=ms)
+
+
+def rate_limit(stream: DataFrame, key: str, at: str, value: str, most: int, ms: int, late: str) -> DataFrame:
+    """Fixed windows that open at the first row after the last one's end: allowed tells whether a row is among its first ``most``."""
+
+    def step(state, row):
+        opened, n = state if state and row.at_ms - state[0] < ms else (row.at_ms, 0)
+        return (opened, n + 1), [(getattr(row, value), n < most)]
+
+    return fold(stream, key, at, late, [at, value], step, None, f"{value} {dict(stream.dtypes)[value]}, allowed boolean", forget_ms=ms)
+
+
+def pairwise(stream: DataFrame, key: str, at: str, value: str, late: str) -> DataFrame:
+    """previous and current value of each key from its second row on."""
+    kind = dict(stream.dtypes)[value]
+    step = lambda last, row: ((getattr(row, value),), [(getattr(row, key), last[0], getattr(row, value))] if last else [])
+    return fold(stream, key, at, late, [at, value], step, None, f"{key} {dict(stream.dtypes)[key]}, previous {kind}, current {kind}")
+
+
+def breaker(stream: DataFrame, key: str, at: str, order: str, failed: str, threshold: int, late: str) -> DataFrame:
+    """The breaker's state after each row: open from ``threshold`` failures in a row on, until a success closes it."""
+
+    def step(n, row):
+        n = n + 1 if getattr(row, failed) else 0
+        return n, [(getattr(row, order), n, "open" if n >= threshold else "closed")]
+
+    return fold(stream, key, at, late, [at, order], step, 0, f"{order} {dict(stream.dtypes)[order]}, failures long, state string")
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
