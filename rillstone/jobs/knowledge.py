@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..functions.order import number
 from ..operators import cron, graphs, memory, resilience
 from ..sources.tables import EVENTS_SQL, FRAGMENTS_SQL, KEY, ORDER, events, fragments, read
 from .registry import job
@@ -169,34 +170,29 @@ def k12(spark, d):
     return memory.consolidation(requests, outcomes).select("idx", "id", "record_id", "status")
 
 
-@job("k13_pack_context", """WITH en AS (SELECT source AS ctx, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS rank, 'f' || doc_id AS fragment_id FROM documents),
-tx AS (SELECT 'f' || doc_id AS fragment_id, left(text, 40) AS text FROM documents WHERE doc_id % 7 > 0),
-j AS (SELECT ctx, rank, '[' || fragment_id || '] ' || text AS part FROM en LEFT JOIN tx USING (fragment_id)),
+PACK = """WITH j AS (SELECT source AS ctx, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS rank, '[f' || doc_id || '] ' || text AS part FROM documents),
 s AS (SELECT *, sum(length(part)) OVER w + 3 * (count(part) OVER w - 1) AS size FROM j WINDOW w AS (PARTITION BY ctx ORDER BY rank)),
-c AS (SELECT *, max(CASE WHEN part IS NOT NULL AND size > 500 THEN 1 ELSE 0 END) OVER (PARTITION BY ctx ORDER BY rank) AS ov FROM s)
-SELECT ctx, coalesce(string_agg(CASE WHEN ov = 0 THEN part END, ' | ' ORDER BY rank), '') AS text, CAST(sum(CASE WHEN ov = 0 AND part IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, max(ov) = 1 AS truncated FROM c GROUP BY ctx""")
-def k13(spark, d):
-    from ..functions.order import over
+c AS (SELECT *, max(CASE WHEN part IS NOT NULL AND size > {0} THEN 1 ELSE 0 END) OVER (PARTITION BY ctx ORDER BY rank) AS ov FROM s)
+SELECT ctx, coalesce(string_agg(CASE WHEN ov = 0 THEN part END, ' | ' ORDER BY rank), '') AS text, CAST(sum(CASE WHEN ov = 0 AND part IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, max(ov) = 1 AS truncated FROM c GROUP BY ctx"""
+
 
+def packed(spark, d, budget):
+    """Every document and its whole text, by source; documents without a text are missing ones."""
     docs = read(spark, d, "documents")
     fid = F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("fragment_id")
-    entries = docs.select(F.col("source").alias("ctx"), F.row_number().over(over(["source"], ["doc_id"])).alias("rank"), fid)
-    texts = docs.where("doc_id % 7 > 0").select(F.col("doc_id").alias("idx"), fid, F.substring("text", 1, 40).alias("text"))
-    return memory.pack_context(entries, texts, 500, " | ", True, ["ctx"])
+    ranked = number(docs.select("source", "doc_id"), ["doc_id"], ["source"], F.floor(F.col("doc_id") / 1000), "rank")
+    entries = ranked.select(F.col("source").alias("ctx"), F.col("rank").cast("int").alias("rank"), fid)
+    return memory.pack_context(entries, docs.where("text IS NOT NULL").select(F.col("doc_id").alias("idx"), fid, "text"), budget, " | ", True, ["ctx"])
 
 
-@job("k13_pack_whole_texts", """WITH j AS (SELECT source AS ctx, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS rank, '[f' || doc_id || '] ' || text AS part FROM documents),
-s AS (SELECT *, sum(length(part)) OVER w + 3 * (count(part) OVER w - 1) AS size FROM j WINDOW w AS (PARTITION BY ctx ORDER BY rank)),
-c AS (SELECT *, max(CASE WHEN part IS NOT NULL AND size > 20000 THEN 1 ELSE 0 END) OVER (PARTITION BY ctx ORDER BY rank) AS ov FROM s)
-SELECT ctx, coalesce(string_agg(CASE WHEN ov = 0 THEN part END, ' | ' ORDER BY rank), '') AS text, CAST(sum(CASE WHEN ov = 0 AND part IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, max(ov) = 1 AS truncated FROM c GROUP BY ctx""")
-def k13_whole(spark, d):
-    """k13 over every document and its whole text."""
-    from ..functions.order import over
+@job("k13_pack_context", PACK.format(100_000))
+def k13(spark, d):
+    return packed(spark, d, 100_000)
 
-    docs = read(spark, d, "documents")
-    fid = F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("fragment_id")
-    entries = docs.select(F.col("source").alias("ctx"), F.row_number().over(over(["source"], ["doc_id"])).alias("rank"), fid)
-    return memory.pack_context(entries, docs.select(F.col("doc_id").alias("idx"), fid, "text"), 20_000, " | ", True, ["ctx"])
+
+@job("k13_pack_whole_texts", PACK.format(20_000))
+def k13_whole(spark, d):
+    return packed(spark, d, 20_000)
 
 
 EDGES = "ed AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
@@ -207,28 +203,12 @@ def edges(spark, d):
     return t("customer", "c", "c_custkey", "n", "c_nationkey").union(t("supplier", "s", "s_suppkey", "n", "s_nationkey")).union(t("nation", "n", "n_nationkey", "r", "n_regionkey"))
 
 
-@job("g1_reachable", f"""WITH RECURSIVE {EDGES}, u AS (SELECT DISTINCT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed),
-b AS (SELECT 's' || s_suppkey AS source, 's' || s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey < 3 UNION SELECT source, u.b, depth + 1 FROM b JOIN u ON u.a = b.node WHERE depth < 3)
-SELECT source, node, min(depth) AS depth FROM b WHERE node <> source GROUP BY 1, 2""")
-def g1(spark, d):
-    sources = read(spark, d, "supplier").where("s_suppkey < 3").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
-    return graphs.reachable(edges(spark, d), sources, "both", 3)
-
-
-@job("g2_explain_path", f"""WITH RECURSIVE {EDGES}, u AS (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed),
-q AS (SELECT 's' || s_suppkey AS source, 'r' || r_regionkey AS target FROM supplier, region WHERE s_suppkey < 6),
-b AS (SELECT DISTINCT source, source AS node, [source] AS path FROM q UNION SELECT source, u.b, list_append(path, u.b) FROM b JOIN u ON u.a = b.node WHERE len(path) < 6 AND NOT list_contains(path, u.b) AND u.b NOT LIKE 's%' AND u.b NOT LIKE 'c%'),
-w AS (SELECT source, node, arg_min(path, (len(path), path)) AS path FROM b GROUP BY 1, 2)
-SELECT q.source, q.target, array_to_string(w.path, '>') AS path, CASE WHEN w.path IS NULL THEN 'no path' ELSE 'ok' END AS reason FROM q LEFT JOIN w ON w.source = q.source AND w.node = q.target""")
-def g2(spark, d):
-    sources = read(spark, d, "supplier").where("s_suppkey < 6").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source"))
-    pairs = sources.crossJoin(read(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("target")))
-    down = graphs.shortest_paths(edges(spark, d), pairs, "both", 5)
-    return down.select("source", "target", F.array_join("path", ">").alias("path"), "reason")
+FROM_ALL = f"""WITH {EDGES}, d1 AS (SELECT src AS source, dst AS node FROM ed), d2 AS (SELECT d1.source, ed.dst AS node FROM d1 JOIN ed ON ed.src = d1.node)
+SELECT source, node, 1 AS depth FROM (SELECT DISTINCT * FROM d1 WHERE source LIKE 's%') UNION ALL SELECT source, node, 2 FROM (SELECT DISTINCT * FROM d2 WHERE source LIKE 's%')"""
 
 
-@job("g1_reachable_from_all", f"""WITH {EDGES}, d1 AS (SELECT src AS source, dst AS node FROM ed), d2 AS (SELECT d1.source, ed.dst AS node FROM d1 JOIN ed ON ed.src = d1.node)
-SELECT source, node, 1 AS depth FROM (SELECT DISTINCT * FROM d1 WHERE source LIKE 's%') UNION ALL SELECT source, node, 2 FROM (SELECT DISTINCT * FROM d2 WHERE source LIKE 's%')""")
+@job("g1_reachable", FROM_ALL)
+@job("g1_reachable_from_all", FROM_ALL)
 def g1_all(spark, d):
     """Downwards from every supplier."""
     sources = read(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
@@ -244,9 +224,13 @@ def g1_nations(spark, d):
     return graphs.reachable(edges(spark, d), sources, "both", 3)
 
 
-@job("g2_explain_all_paths", f"""WITH {EDGES}, q AS (SELECT 's' || s_suppkey AS source, 'r' || r_regionkey AS target FROM supplier, region),
+ALL_PATHS = f"""WITH {EDGES}, q AS (SELECT 's' || s_suppkey AS source, 'r' || r_regionkey AS target FROM supplier, region),
 w AS (SELECT DISTINCT x.src AS source, x.dst AS mid, y.dst AS target FROM ed x JOIN ed y ON y.src = x.dst WHERE x.src LIKE 's%')
-SELECT q.source, q.target, w.source || '>' || mid || '>' || w.target AS path, CASE WHEN w.source IS NULL THEN 'no path' ELSE 'ok' END AS reason FROM q LEFT JOIN w USING (source, target)""")
+SELECT q.source, q.target, w.source || '>' || mid || '>' || w.target AS path, CASE WHEN w.source IS NULL THEN 'no path' ELSE 'ok' END AS reason FROM q LEFT JOIN w USING (source, target)"""
+
+
+@job("g2_explain_path", ALL_PATHS)
+@job("g2_explain_all_paths", ALL_PATHS)
 def g2_all(spark, d):
     """Downwards from every supplier to every region."""
     sources = read(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source"))
@@ -254,6 +238,28 @@ def g2_all(spark, d):
     return graphs.shortest_paths(edges(spark, d), pairs).select("source", "target", F.array_join("path", ">").alias("path"), "reason")
 
 
+@job("g1_cut_short", f"WITH {EDGES} SELECT DISTINCT x.src AS source FROM ed x JOIN ed y ON y.src = x.dst WHERE x.src LIKE 's%'")
+def g1_cut(spark, d):
+    """Suppliers from which one step down is not all."""
+    sources = read(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    return graphs.cut_short(edges(spark, d), sources, "down", 1)
+
+
+@job("g2_path_reasons", f"""WITH {EDGES}, q AS (SELECT 's' || s_suppkey AS source, 'r' || r_regionkey AS target FROM supplier, region UNION ALL SELECT 'n' || n_nationkey, 'c1' FROM nation UNION ALL SELECT 'gone', 'r0' UNION ALL SELECT 's1', 'nowhere'),
+nd AS (SELECT src AS id FROM ed UNION SELECT dst FROM ed), w AS (SELECT DISTINCT source FROM (SELECT x.src AS source FROM ed x JOIN ed y ON y.src = x.dst))
+SELECT source, target, CASE WHEN source NOT IN (SELECT id FROM nd) THEN 'no such source' WHEN target NOT IN (SELECT id FROM nd) THEN 'no such target' WHEN source IN (SELECT source FROM w) THEN 'depth exceeded' ELSE 'no path' END AS reason FROM q""")
+def g2_reasons(spark, d):
+    """One step down is too little for suppliers, whose nations go on to regions, and all there is for nations."""
+    e = edges(spark, d)
+    pair = lambda a, b: F.struct(a.alias("source"), b.alias("target"))
+    s, n = (read(spark, d, t).select(F.concat(F.lit(t[0]), F.col(c).cast("string")).alias("source")) for t, c in (("supplier", "s_suppkey"), ("nation", "n_nationkey")))
+    r = read(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("target"))  # five rows
+    odd = e.limit(1).select(F.explode(F.array(pair(F.lit("gone"), F.lit("r0")), pair(F.lit("s1"), F.lit("nowhere")))).alias("p")).select("p.*")
+    pairs = s.crossJoin(F.broadcast(r)).union(n.withColumn("target", F.lit("c1"))).union(odd)
+    nodes = e.select(F.col("src").alias("id")).union(e.select("dst"))
+    return graphs.shortest_paths(e, pairs, "down", 1, nodes).select("source", "target", "reason")
+
+
 @job("g3_islands", "SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
 def g3(spark, d):
     urgent = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")

@@ -118,24 +118,26 @@ def q8(spark, d):
 def order_schedules(spark, d):
     o, n = read(spark, d, "orders"), F.col("o_orderkey")
     day = F.floor(epoch_ms("o_orderdate") / DAY)
-    return o.select(n.alias("ord"), text("s", n % 9000).alias("schedule_id"), (day * DAY).alias("ready_at_ms"), F.when(n % 4 == 0, day * DAY + 20 * DAY).alias("deadline_ms"))
+    return o.select((n * 2).alias("ord"), text("s", n % 9000).alias("schedule_id"), (day * DAY).alias("ready_at_ms"), F.when(n % 4 == 0, day * DAY + 20 * DAY).alias("deadline_ms"))
 
 
 def clocks(spark, d):
-    """A tick per month of order dates; every seventh goes back a little."""
+    """A tick per month of order dates, some before and some after the schedules; every seventh goes back a little."""
     o = read(spark, d, "orders")
     months = o.select(F.floor(epoch_ms("o_orderdate") / (30 * DAY)).alias("m")).distinct()
-    return months.select((F.lit(1 << 40) + F.col("m")).alias("ord"), (F.col("m") * 30 * DAY - F.when(F.col("m") % 7 == 0, 45 * DAY).otherwise(0)).alias("now_ms"))
+    return months.select(((F.col("m") - 260) * 101 + 1).alias("ord"), (F.col("m") * 30 * DAY - F.when(F.col("m") % 7 == 0, 45 * DAY).otherwise(0)).alias("now_ms"))
 
 
-RDY = f"""WITH s AS (SELECT o_orderkey AS ord, 's' || (o_orderkey % 9000) AS schedule_id, epoch_ms(o_orderdate) // {DAY} * {DAY} AS ready_at_ms, CASE WHEN o_orderkey % 4 = 0 THEN epoch_ms(o_orderdate) // {DAY} * {DAY} + {20 * DAY} END AS deadline_ms FROM orders),
+RDY = f"""WITH s AS (SELECT o_orderkey * 2 AS ord, 's' || (o_orderkey % 9000) AS schedule_id, epoch_ms(o_orderdate) // {DAY} * {DAY} AS ready_at_ms, CASE WHEN o_orderkey % 4 = 0 THEN epoch_ms(o_orderdate) // {DAY} * {DAY} + {20 * DAY} END AS deadline_ms FROM orders),
 k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY schedule_id ORDER BY ord) = 1), m AS (SELECT DISTINCT epoch_ms(o_orderdate) // {30 * DAY} AS m FROM orders),
-c AS (SELECT m AS ord, m * {30 * DAY} - CASE WHEN m % 7 = 0 THEN {45 * DAY} ELSE 0 END AS now_ms FROM m), cc AS (SELECT * FROM c QUALIFY now_ms >= coalesce(max(now_ms) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), now_ms))"""
+c AS (SELECT (m - 260) * 101 + 1 AS ord, m * {30 * DAY} - CASE WHEN m % 7 = 0 THEN {45 * DAY} ELSE 0 END AS now_ms FROM m), cc AS (SELECT * FROM c QUALIFY now_ms >= coalesce(max(now_ms) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), now_ms))"""
 
 
-@job("r1_readiness", f"""{RDY} SELECT schedule_id, 'pending' AS fact, NULL AS now_ms FROM k UNION ALL
-SELECT schedule_id, 'ready', min(now_ms) FROM k JOIN cc ON now_ms >= ready_at_ms GROUP BY 1 UNION ALL
-SELECT schedule_id, 'overdue', min(now_ms) FROM k JOIN cc ON now_ms > deadline_ms AND now_ms >= ready_at_ms GROUP BY 1""")
+@job("r1_readiness", f"""{RDY}, l AS (SELECT k.*, (SELECT arg_max(now_ms, cc.ord) FROM cc WHERE cc.ord < k.ord) AS lt FROM k),
+x AS (SELECT *, CASE WHEN lt >= ready_at_ms THEN lt ELSE (SELECT arg_min(now_ms, cc.ord) FROM cc WHERE cc.ord > l.ord AND now_ms >= ready_at_ms) END AS ready,
+ CASE WHEN lt > greatest(ready_at_ms, deadline_ms) THEN lt ELSE (SELECT arg_min(now_ms, cc.ord) FROM cc WHERE cc.ord > l.ord AND now_ms > greatest(ready_at_ms, deadline_ms)) END AS over FROM l)
+SELECT schedule_id, 'pending' AS fact, lt AS now_ms FROM x WHERE lt IS NULL OR lt < ready_at_ms UNION ALL SELECT schedule_id, 'ready', ready FROM x WHERE ready IS NOT NULL
+UNION ALL SELECT schedule_id, 'overdue', over FROM x WHERE deadline_ms IS NOT NULL AND over IS NOT NULL""")
 def r1(spark, d):
     return readiness.project(order_schedules(spark, d), clocks(spark, d))
 

@@ -40,25 +40,49 @@ def reachable(edges: DataFrame, sources: DataFrame, direction: str = "down", max
     return seen.where("depth > 0")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, direction: str = "down", max_depth: int = 20) -> DataFrame:
+def cut_short(edges: DataFrame, sources: DataFrame, direction: str = "down", max_depth: int = 20) -> DataFrame:
+    """Sources (``source``) for which ``reachable`` with ``max_depth`` leaves nodes out: one step more finds new ones."""
+    more = reachable(edges, sources, direction, max_depth + 1)
+    return more.where(F.col("depth") > max_depth).select("source").distinct()
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, direction: str = "down", max_depth: int = 20, nodes: DataFrame | None = None) -> DataFrame:
     """source, target, path and reason of each pair: the shortest path, of equal ones the smallest by node ids.
 
-    Reasons: ok, no path (the frontier ran out) or depth exceeded.
+    Reasons, pair by pair: ok; no such source or no such target, if ``nodes`` (id) are given and lack it; no
+    path (the source's frontier ran out) or depth exceeded (it had not yet).
     """
     steps = written(_directed(edges, direction))
     open_pairs = pairs.select("source", "target").distinct()
     best = written(open_pairs.select("source", F.col("source").alias("node"), F.array("source").alias("path")).distinct())
-    frontier, ran_out = best, False
-    for _ in range(max_depth):
+    frontier = best
+    for _ in range(max_depth + 1):
         following = frontier.join(steps, frontier["node"] == steps["a"]).select("source", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
         new = following.groupBy("source", "node").agg(F.min("path").alias("path")).join(best.select("source", "node"), ["source", "node"], "left_anti")
-        new = written(new.select("source", "node", "path"))
-        if new.isEmpty():
-            ran_out = True
+        frontier = written(new.select("source", "node", "path"))
+        if frontier.isEmpty():
             break
-        best, frontier = written(best.union(new)), new
-    found = open_pairs.join(best.withColumnRenamed("node", "target"), ["source", "target"], "left")
-    return found.withColumn("reason", F.when(F.col("path").isNotNull(), "ok").otherwise(F.lit("no path" if ran_out else "depth exceeded")))
+        best = written(best.union(frontier))
+    # The step beyond max_depth tells which sources had more to see; its paths do not count.
+    within = best.where(F.size("path") <= max_depth + 1)
+    going = best.where(F.size("path") > max_depth + 1).select("source").distinct().withColumn("_going", F.lit(True))
+    found = open_pairs.join(within.withColumnRenamed("node", "target"), ["source", "target"], "left").join(going, "source", "left")
+    reason = F.when(F.col("path").isNotNull(), "ok")
+    if nodes is not None:
+        ids = nodes.select("id").distinct()
+        found = found.join(ids.select(F.col("id").alias("source"), F.lit(True).alias("_s")), "source", "left").join(ids.select(F.col("id").alias("target"), F.lit(True).alias("_t")), "target", "left")
+        reason = F.when(F.col("_s").isNull(), "no such source").when(F.col("_t").isNull(), "no such target").when(F.col("path").isNotNull(), "ok")
+    return found.select("source", "target", "path", reason.when(F.col("_going"), "depth exceeded").otherwise("no path").alias("reason"))
+
+
+def cycles(edges: DataFrame, sources: DataFrame, max_depth: int = 20) -> DataFrame:
+    """source and path of the shortest way from each source (column ``node``) along edges back to itself, where there is one."""
+    steps = written(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
+    loops = steps.where("a = b").join(sources.select(F.col("node").alias("a")).distinct(), "a").select(F.col("a").alias("source"), F.array("a", "b").alias("path"))
+    ends = sources.select(F.col("node").alias("source")).distinct().join(steps, F.col("source") == F.col("b")).where("a <> b").select("source", F.col("a").alias("target"))
+    there = shortest_paths(edges, ends, "down", max_depth - 1).where("reason = 'ok'").select("source", F.concat("path", F.array("source")).alias("path"))
+    best = there.union(loops).groupBy("source").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("p"))
+    return best.select("source", "p.path")
 
 
 def islands(nodes: DataFrame, edges: DataFrame, internal: str = "__internal__/") -> DataFrame:

@@ -103,9 +103,13 @@ def retrieve(df: DataFrame, vector: list[float] | None, limit: int, **query) ->
     return kept.withColumn("score", score).orderBy(F.desc("score"), F.desc("confidence"), F.desc("t_ns"), "idx").limit(limit)
 
 
-def retrieve_all(df: DataFrame, queries: DataFrame, limit: int, shards: int = 16, blocks: int = 1) -> DataFrame:
+def retrieve_all(df: DataFrame, queries: DataFrame, limit: int, shard_rows: int = 16_384, block_rows: int = 2_048) -> DataFrame:
     """The best fragments of each row of ``queries`` (query_id, vector): shards of fragments meet blocks of
-    queries as matrices, keep their local best, and those are merged per query. No row pairs are made."""
+    queries as matrices, keep their local best, and those are merged per query. No row pairs are made.
+
+    Shards and blocks have about so many rows, so what meets in one task does not grow with the tables.
+    """
+    shards, blocks = max(1, -(-df.count() // shard_rows)), max(1, -(-queries.count() // block_rows))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = df.where("embedding is not null").select(deal("idx", shards).alias("shard"), every(blocks).alias("block"), "id", "idx", "confidence", "t_ns", "embedding")
@@ -118,7 +122,11 @@ def retrieve_all(df: DataFrame, queries: DataFrame, limit: int, shards: int = 16
             norm = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
             scores = np.divide(a @ b.T, norm, out=np.zeros(norm.shape), where=norm > 0)
             for j, q in enumerate(asked["query_id"]):
-                best = np.lexsort((own["idx"], -own["t_ns"], -own["confidence"], -scores[:, j]))[:limit]
+                some = np.arange(len(own))
+                if len(own) > limit:  # all that are no worse than the limit-th score
+                    some = np.flatnonzero(scores[:, j] >= -np.partition(-scores[:, j], limit - 1)[limit - 1])
+                near = own.iloc[some]
+                best = some[np.lexsort((near["idx"], -near["t_ns"], -near["confidence"], -scores[some, j]))[:limit]]
                 parts.append(own.iloc[best][["id", "idx", "confidence", "t_ns"]].assign(query_id=q, score=scores[best, j]))
         return pd.concat(parts)[["query_id", "id", "idx", "confidence", "t_ns", "score"]]
 
