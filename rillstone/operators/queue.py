@@ -6,10 +6,12 @@ are the unit of parallelism. Everything around the fold is plain aggregates and
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import keyed_fold
 from ..functions.ids import prefixed_key
 from ..functions.order import over
 
@@ -32,131 +34,196 @@ def admit(messages: DataFrame) -> DataFrame:
     return rows.withColumn("kind", F.when(first, "WorkAdmitted").otherwise("AdmissionDeduped")).withColumn("state", F.when(late, "scheduled").otherwise("ready"))
 
 
-def _fold(lease_ms: int, attempts: int, retry_ms: int):
-    """One queue's commands, in order, as its records; rejected ones are rows of kind Issue."""
-
-    def run(commands: pd.DataFrame) -> pd.DataFrame:
-        works: dict[str, dict] = {}
-        seen: set = set()
-        out: list[tuple] = []
-        queue_id = commands["queue_id"].iloc[0]
-        numbers = {"record": 0, "lease": 0, "admission": 0}
-
-        def emit(kind, c, work=None, due=None, reason=None):
-            if kind != "Issue":
-                numbers["record"] += 1
-            w = work or {}
-            out.append((queue_id, numbers["record"] if kind != "Issue" else None, kind, w.get("id", c["work_id"]), c["command_id"], w.get("lease"), w.get("attempt"), w.get("worker"), due, reason, c["now_ms"]))
-
-        def free(work, state, due=None):
-            work.update(state=state, due=due, lease=None, worker=None, until=None)
-
-        def expire(work, c):
-            emit("LeaseExpired", c, work)
-            free(work, "ready")
-            if work["attempt"] >= attempts:
-                emit("WorkDeadLettered", c, work, reason="attempts-exhausted")
-                work["state"] = "dead"
-
-        def ready(work, now):
-            return work["state"] == "ready" or (work["state"] in ("scheduled", "retry-wait") and work["due"] <= now)
-
-        def held(c):
-            work = works.get(c["work_id"])
-            if work is None:
-                return None, "unknown-work"
-            if work["state"] in TERMINAL:
-                return None, "terminal-work"
-            if work["state"] != "leased":
-                return None, "lease-not-current"
-            for name, want, reason in (("lease", c["lease_id"], "stale-lease"), ("attempt", c["attempt"], "attempt-mismatch"), ("worker", c["worker_id"], "worker-mismatch")):
-                if want is not None and want == want and work[name] != want:
-                    return None, reason
-            if work["until"] <= c["now_ms"]:
-                expire(work, c)
-                return None, "lease-expired"
-            return work, None
-
-        for c in commands.sort_values("ord").to_dict("records"):
-            c = {k: None if v is None or v != v else v for k, v in c.items()}
-            kind, now = c["kind"], c["now_ms"]
-            if not c["command_id"] or (kind not in ("claim", "expire_leases") and not c["work_id"]):
-                emit("Issue", c, reason="malformed-command")
-                continue
-            if c["command_id"] in seen:
-                emit("Issue", c, reason="duplicate-command")
+class _Queue:
+    """The works of one queue. Ready works wait in a heap by admission, delayed ones and leases in heaps by time;
+    entries that no longer fit their work are passed over when they come up."""
+
+    def __init__(self, lease_ms: int, attempts: int, retry_ms: int):
+        self.lease_ms, self.attempts, self.retry_ms = lease_ms, attempts, retry_ms
+        self.works: dict[str, dict] = {}
+        self.ready: list[tuple] = []
+        self.delayed: list[tuple] = []
+        self.leases: list[tuple] = []
+        self.numbers = {"record": 0, "lease": 0, "admission": 0}
+        self.out: list[tuple] = []
+
+    def emit(self, kind, c, work=None, due=None, reason=None):
+        if kind != "Issue":
+            self.numbers["record"] += 1
+        w = work or {}
+        seq = self.numbers["record"] if kind != "Issue" else None
+        self.out.append((c["queue_id"], seq, kind, w.get("id", c["work_id"]), c["command_id"], w.get("lease"), w.get("attempt"), w.get("worker"), due, reason, c["now_ms"]))
+
+    def free(self, work, state, due=None):
+        work.update(state=state, due=due, lease=None, worker=None, until=None)
+        if state == "ready":
+            heapq.heappush(self.ready, (work["seq"], work["id"]))
+        elif state in ("scheduled", "retry-wait"):
+            heapq.heappush(self.delayed, (due, work["seq"], work["id"]))
+
+    def expire(self, work, c):
+        self.emit("LeaseExpired", c, work)
+        dead = work["attempt"] >= self.attempts
+        self.free(work, "dead" if dead else "ready")
+        if dead:
+            self.emit("WorkDeadLettered", c, work, reason="attempts-exhausted")
+
+    def expired(self, c) -> list[dict]:
+        """Works whose lease has ended, in order of admission; the asked one alone if one is asked for."""
+        now = c["now_ms"]
+        if c["work_id"] is not None:
+            work = self.works.get(c["work_id"])
+            return [work] if work and work["state"] == "leased" and work["until"] <= now else []
+        found = {}
+        while self.leases and self.leases[0][0] <= now:
+            until, _, work_id = heapq.heappop(self.leases)
+            if self.works[work_id]["until"] == until:
+                found[work_id] = self.works[work_id]
+        return sorted(found.values(), key=lambda w: w["seq"])
+
+    def is_ready(self, work, now) -> bool:
+        return work["state"] == "ready" or (work["state"] in ("scheduled", "retry-wait") and work["due"] <= now)
+
+    def able(self, c) -> list[dict]:
+        """The first ready works, as many as the claim's limit."""
+        now, most = c["now_ms"], int(c["limit"] or 1)
+        if c["work_id"] is not None:
+            work = self.works.get(c["work_id"])
+            return [work][:most] if work and self.is_ready(work, now) else []
+        while self.delayed and self.delayed[0][0] <= now:
+            due, seq, work_id = heapq.heappop(self.delayed)
+            work = self.works[work_id]
+            if work["state"] in ("scheduled", "retry-wait") and work["due"] == due:
+                heapq.heappush(self.ready, (seq, work_id))
+        found, later = [], []
+        while self.ready and len(found) < most:
+            seq, work_id = heapq.heappop(self.ready)
+            work = self.works[work_id]
+            if work in found:
                 continue
-            seen.add(c["command_id"])
-            if kind == "submit":
-                if c["work_id"] in works:
-                    emit("AdmissionDeduped", c)
-                    continue
-                numbers["admission"] += 1
-                due = c["not_before_ms"]
-                later = due is not None and due > now
-                works[c["work_id"]] = work = {"id": c["work_id"], "seq": numbers["admission"], "state": "scheduled" if later else "ready", "due": due, "attempt": 0, "lease": None, "worker": None, "until": None}
-                emit("WorkAdmitted", c, work, due)
-            elif kind in ("claim", "expire_leases"):
-                for work in [w for w in works.values() if w["state"] == "leased" and w["until"] <= now and c["work_id"] in (None, w["id"])]:
-                    expire(work, c)
-                if kind == "expire_leases":
-                    continue
-                able = sorted((w for w in works.values() if c["work_id"] in (None, w["id"]) and ready(w, now)), key=lambda w: (w["seq"], w["id"]))[: int(c["limit"] or 1)]
-                if not able:
-                    emit("Issue", c, reason="not-ready")
-                for work in able:
-                    numbers["lease"] += 1
-                    work.update(state="leased", lease=f"lease-{numbers['lease']}", attempt=work["attempt"] + 1, worker=c["worker_id"], until=now + lease_ms, due=None)
-                    emit("WorkClaimed", c, work, work["until"])
-            elif kind == "cancel":
-                work = works.get(c["work_id"])
-                if work is None or work["state"] in TERMINAL:
-                    emit("Issue", c, reason="unknown-work" if work is None else "terminal-work")
-                    continue
-                free(work, "canceled")
-                emit("WorkCanceled", c, work)
-            elif kind == "schedule":
-                work = works.get(c["work_id"])
-                if work is None or work["state"] in (*TERMINAL, "leased"):
-                    emit("Issue", c, reason="unknown-work" if work is None else "already-leased" if work["state"] == "leased" else "terminal-work")
-                    continue
-                free(work, "scheduled", c["not_before_ms"] or now)
-                emit("WorkScheduled", c, work, work["due"])
+            if self.is_ready(work, now):
+                found.append(work)
+            elif work["state"] in ("scheduled", "retry-wait"):  # the clock went back
+                later.append((work["due"], seq, work_id))
+        for entry in later:
+            heapq.heappush(self.delayed, entry)
+        return found
+
+    def held(self, c):
+        work = self.works.get(c["work_id"])
+        if work is None:
+            return None, "unknown-work"
+        if work["state"] in TERMINAL:
+            return None, "terminal-work"
+        if work["state"] != "leased":
+            return None, "lease-not-current"
+        for name, want, reason in (("lease", c["lease_id"], "stale-lease"), ("attempt", c["attempt"], "attempt-mismatch"), ("worker", c["worker_id"], "worker-mismatch")):
+            if want is not None and work[name] != want:
+                return None, reason
+        if work["until"] <= c["now_ms"]:
+            self.expire(work, c)
+            return None, "lease-expired"
+        return work, None
+
+    def lease(self, work, now):
+        work["until"] = now + self.lease_ms
+        heapq.heappush(self.leases, (work["until"], work["seq"], work["id"]))
+
+    def apply(self, c: dict) -> list[tuple]:
+        """One command's records and issues."""
+        self.out = []
+        kind, now = c["kind"], c["now_ms"]
+        if not c["command_id"] or (kind not in ("claim", "expire_leases") and not c["work_id"]):
+            self.emit("Issue", c, reason="malformed-command")
+        elif c["_again"]:
+            self.emit("Issue", c, reason="duplicate-command")
+        elif kind == "submit":
+            self.submit(c)
+        elif kind in ("claim", "expire_leases"):
+            self.claim(c)
+        elif kind in ("cancel", "schedule"):
+            self.move(c)
+        else:
+            work, reason = self.held(c)
+            if work is None:
+                self.emit("Issue", c, reason=reason)
+            elif kind == "renew_lease":
+                self.lease(work, now)
+                self.emit("LeaseRenewed", c, work, work["until"])
+            elif kind == "release":
+                self.emit("WorkReleased", c, work)
+                self.free(work, "ready")
+            elif kind == "complete":
+                self.emit("AttemptCompleted", c, work)
+                self.emit("WorkCompleted", c, work)
+                self.free(work, "completed")
+            elif kind == "fail":
+                self.fail(c, work)
             else:
-                work, reason = held(c)
-                if work is None:
-                    emit("Issue", c, reason=reason)
-                elif kind == "renew_lease":
-                    work["until"] = now + lease_ms
-                    emit("LeaseRenewed", c, work, work["until"])
-                elif kind == "release":
-                    emit("WorkReleased", c, work)
-                    free(work, "ready")
-                elif kind == "complete":
-                    emit("AttemptCompleted", c, work)
-                    emit("WorkCompleted", c, work)
-                    free(work, "completed")
-                elif kind == "fail":
-                    emit("AttemptFailed", c, work)
-                    if c["retryable"] is not False and work["attempt"] < attempts:
-                        free(work, "retry-wait" if retry_ms else "ready", now + retry_ms)
-                        emit("RetryScheduled", c, work, work["due"], "retry-policy")
-                    else:
-                        emit("WorkDeadLettered", c, work, reason="attempts-exhausted")
-                        free(work, "dead")
-                else:
-                    emit("Issue", c, reason="malformed-command")
-        names = [f.split()[0] for f in RECORD.split(", ")]
-        table = pd.DataFrame(out, columns=names)
-        return table.astype({n: "Int64" for n in ("record_seq", "attempt", "due_ms", "now_ms")})
-
-    return run
+                self.emit("Issue", c, reason="malformed-command")
+        return self.out
+
+    def submit(self, c):
+        if c["work_id"] in self.works:
+            self.emit("AdmissionDeduped", c)
+            return
+        self.numbers["admission"] += 1
+        due = c["not_before_ms"]
+        self.works[c["work_id"]] = work = {"id": c["work_id"], "seq": self.numbers["admission"], "attempt": 0}
+        self.free(work, "scheduled" if due is not None and due > c["now_ms"] else "ready", due)
+        self.emit("WorkAdmitted", c, work, due)
+
+    def claim(self, c):
+        for work in self.expired(c):
+            self.expire(work, c)
+        if c["kind"] == "expire_leases":
+            return
+        able = self.able(c)
+        if not able:
+            self.emit("Issue", c, reason="not-ready")
+        for work in able:
+            self.numbers["lease"] += 1
+            work.update(state="leased", lease=f"lease-{self.numbers['lease']}", attempt=work["attempt"] + 1, worker=c["worker_id"], due=None)
+            self.lease(work, c["now_ms"])
+            self.emit("WorkClaimed", c, work, work["until"])
+
+    def move(self, c):
+        work, cancel = self.works.get(c["work_id"]), c["kind"] == "cancel"
+        if work is None or work["state"] in TERMINAL or (work["state"] == "leased" and not cancel):
+            self.emit("Issue", c, reason="unknown-work" if work is None else "terminal-work" if work["state"] in TERMINAL else "already-leased")
+        elif cancel:
+            self.free(work, "canceled")
+            self.emit("WorkCanceled", c, work)
+        else:
+            self.free(work, "scheduled", c["not_before_ms"] or c["now_ms"])
+            self.emit("WorkScheduled", c, work, work["due"])
+
+    def fail(self, c, work):
+        self.emit("AttemptFailed", c, work)
+        if c["retryable"] is not False and work["attempt"] < self.attempts:
+            self.free(work, "retry-wait" if self.retry_ms else "ready", c["now_ms"] + self.retry_ms)
+            self.emit("RetryScheduled", c, work, work["due"], "retry-policy")
+        else:
+            self.emit("WorkDeadLettered", c, work, reason="attempts-exhausted")
+            self.free(work, "dead")
 
 
 def fold(commands: DataFrame, lease_ms: int, attempts: int, retry_ms: int = 0) -> DataFrame:
     """Commands (queue_id, ord, command_id, kind, work_id, lease_id, attempt, worker_id, limit, not_before_ms,
-    retryable, now_ms) of all queues as records and issues."""
-    return commands.groupBy("queue_id").applyInPandas(_fold(lease_ms, attempts, retry_ms), RECORD)
+    retryable, now_ms) of all queues as records and issues.
+
+    Spark finds commands that repeat an id and passes each queue's commands on in order, as a stream; what a
+    task holds is the works of one queue. A command costs the logarithm of their number.
+    """
+    formed = (F.coalesce("command_id", F.lit("")) != "") & (F.col("kind").isin("claim", "expire_leases") | (F.coalesce("work_id", F.lit("")) != ""))
+    nth = F.row_number().over(over(["queue_id", "command_id", "_apart"], ["ord"]))
+    rows = commands.withColumn("_apart", F.when(~formed, F.col("ord"))).withColumn("_again", formed & (nth > 1)).drop("_apart")
+    names = rows.columns
+
+    def step(queue, row):
+        return queue, queue.apply(dict(zip(names, row, strict=True)))
+
+    return keyed_fold(rows, ["queue_id"], ["ord"], step, lambda: _Queue(lease_ms, attempts, retry_ms), RECORD)
 
 
 #: The state a record leaves its work in; other kinds change none.
