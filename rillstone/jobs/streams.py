@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import basic
 from ..sources import files
-from ..sources.tables import EVENTS_SQL, epoch_ms
+from ..sources.tables import EVENTS_SQL, epoch_ms, events
 from ..streaming import operators as streaming
 from .registry import job
 
@@ -106,7 +106,22 @@ def st6(spark, d):
     return streaming.run_to_table(streaming.dedupe(stream(spark, d), "ts", "60 days", ["user_id", "event_type"]).select("user_id", "event_type"), "dedupe")
 
 
-@job("s5_file_events")
+@job("s5_file_events", f"""{E}, fl AS (SELECT event_type AS t, user_id, count(*) AS length, max(ms) AS modified, count(*) FILTER (ms <= half) AS length0, max(ms) FILTER (ms <= half) AS modified0 FROM e, (SELECT avg(ms) AS half FROM e) GROUP BY 1, 2),
+b AS (SELECT t || '/' || user_id || '.log' AS path, t || user_id AS id, length0 AS length, modified0 AS modified FROM fl WHERE length0 > 0 AND user_id % 10 <> 9 AND t <> 'signup'),
+a AS (SELECT (CASE t WHEN 'view' THEN 'viewed' ELSE t END) || '/' || user_id || '.log' AS path, t || user_id AS id, length, modified FROM fl WHERE t NOT IN ('error', 'signup') AND user_id % 10 <> 9)
+SELECT a.path, CASE WHEN b.id IS NULL THEN 'create' WHEN a.path <> b.path THEN 'rename' ELSE 'change' END AS kind, CASE WHEN a.path <> b.path THEN b.path END AS old_path FROM a LEFT JOIN b USING (id) WHERE b.id IS NULL OR a.path <> b.path OR a.length <> b.length OR a.modified <> b.modified
+UNION ALL SELECT path, 'delete', NULL FROM b WHERE id NOT IN (SELECT id FROM a)""")
 def s5(spark, d):
-    events = files.file_events(None, files.listing(spark, d, "*.parquet"))
-    return events.select(F.element_at(F.split("path", "/"), -1).alias("name"), "kind")
+    """A log file per type and user, as it was at half of the time and is now: errors are gone, views have another folder."""
+    e = events(spark, d)
+    half = e.agg(F.avg("ms").alias("half"))  # one row
+    at = lambda rows, folder: rows.groupBy("event_type", "user_id").agg(F.count("*").alias("length"), F.max("ms").alias("modified")).select(F.concat(folder, F.lit("/"), F.col("user_id").cast("string"), F.lit(".log")).alias("path"), "length", "modified", F.concat("event_type", F.col("user_id").cast("string")).alias("file_id"))
+    before = at(e.join(F.broadcast(half)).where(F.col("ms") <= F.col("half")), F.col("event_type"))
+    after = at(e.where("event_type <> 'error'"), F.when(F.col("event_type") == "view", "viewed").otherwise(F.col("event_type")))
+    return files.file_events(before, after, ["click/**", "view*/*.log", "purchase/*", "error/**"], ["**/*9.log"])
+
+
+@job("s5_initial_scan", f"{E} SELECT DISTINCT event_type || '/' || user_id AS path, 'create' AS kind FROM e WHERE event_type IN ('click', 'error')")
+def s5_scan(spark, d):
+    found = events(spark, d).select(F.concat("event_type", F.lit("/"), F.col("user_id").cast("string")).alias("path")).distinct()
+    return files.file_events(None, found, ["click/*", "error/?**"]).select("path", "kind")

@@ -113,3 +113,16 @@ def test_paths_by_source_and_cycles(spark):
     found = graphs.cycles(edges, nodes.withColumnRenamed("id", "node"))
     assert {r.source: list(r.path) for r in found.collect()} == {"b": ["b", "c", "d", "b"], "c": ["c", "d", "b", "c"], "d": ["d", "b", "c", "d"], "z": ["z", "z"]}
     assert {r.source for r in graphs.cut_short(edges, nodes.withColumnRenamed("id", "node"), "down", 1).collect()} == {"a", "b", "c", "d"}
+
+
+def test_staged_tables_are_cleared(spark):
+    from rillstone.functions import staging
+
+    table = staging.stage(spark.range(5), "five")
+    assert table.count() == 5
+    folder = staging._staged(spark).removeprefix("file://")
+    import os
+
+    assert os.listdir(folder)
+    staging.clear_staged(spark)
+    assert not os.path.exists(folder)
