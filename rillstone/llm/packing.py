@@ -24,7 +24,7 @@ CAPACITY = 2048
 GROUPS, SMALL = 512, 128
 SALTS = 64
 #: Bytes of words and ids of a generation that a Python worker remembers, and what an entry costs besides.
-CACHED, ENTRY = 40 << 20, 200
+CACHED, ENTRY = 60 << 20, 160
 _tokenizers: dict = {}
 
 
