@@ -80,6 +80,20 @@ def q4(spark, d):
     return queue.available(queue.states(order_records(spark, d)), 60_000, 50).select("queue_id", "work_id")
 
 
+@job("q4_work_snapshots", f"""{REC} SELECT st.queue_id, st.work_id, state, CASE WHEN state = 'leased' THEN lease_id END AS active_lease, (SELECT count(*) FROM rr WHERE rr.work_id = st.work_id AND rr.queue_id = st.queue_id) AS records,
+ (SELECT max(rr.record_seq) FROM rr WHERE rr.queue_id = st.queue_id) AS as_of_record_seq FROM st""")
+def q4_snapshots(spark, d):
+    return queue.work_snapshots(order_records(spark, d))
+
+
+@job("q4_dead_letter_page", f"""{REC}, p AS (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY record_seq) AS r, count(*) OVER (PARTITION BY queue_id) AS c FROM rr WHERE kind = 'RetryScheduled' AND record_seq > 100)
+SELECT queue_id, work_id, record_seq, c > 20 AS has_more, CASE WHEN c > 20 THEN max(record_seq) OVER (PARTITION BY queue_id) END AS next_after FROM p WHERE r <= 20""")
+def q4_dead_letters(spark, d):
+    """Retries count as given up here, so that there are dead letters."""
+    r = order_records(spark, d).withColumn("kind", F.when(F.col("kind") == "RetryScheduled", "WorkDeadLettered").otherwise(F.col("kind")))
+    return queue.dead_letter_page(r, 20, 100).select("queue_id", "work_id", "record_seq", "has_more", "next_after")
+
+
 @job("q5_command_errors", """WITH c AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN '' ELSE 'c' || event_id END AS command_id, ['claim', 'complete', 'submit'][event_id % 3 + 1] AS kind, CASE WHEN event_id % 7 > 0 THEN 'w' END AS work_id, CASE WHEN event_id % 11 > 0 THEN 'l' END AS lease_id, event_id % 13 AS lim, 'q' || (user_id % 2) AS queue_id FROM events)
 SELECT event_id, CASE WHEN command_id = '' OR (kind <> 'claim' AND work_id IS NULL) OR (kind = 'complete' AND lease_id IS NULL) OR (kind = 'claim' AND lim <= 0) THEN 'malformed-command' WHEN queue_id <> 'q0' THEN 'queue-mismatch' END AS error FROM c""")
 def q5(spark, d):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folds import keyed_fold
@@ -253,6 +253,24 @@ def dead_letters(records: DataFrame) -> DataFrame:
     return records.where("kind = 'WorkDeadLettered'")
 
 
+def dead_letter_page(records: DataFrame, limit: int, after: int = 0) -> DataFrame:
+    """Per queue the next ``limit`` dead letters after a record seq, with has_more and next_after (null on the last page)."""
+    if limit <= 0:
+        raise ValueError("a page needs a positive limit")
+    w = over(["queue_id"], ["record_seq"])
+    rows = dead_letters(records).where(F.col("record_seq") > after).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit + 1)
+    rows = rows.withColumn("has_more", F.max("_r").over(Window.partitionBy("queue_id")) > limit).where(F.col("_r") <= limit)
+    return rows.withColumn("next_after", F.when(F.col("has_more"), F.max("record_seq").over(Window.partitionBy("queue_id")))).drop("_r")
+
+
+def work_snapshots(records: DataFrame) -> DataFrame:
+    """queue_id, work_id, state, active_lease (of leased works), records and as_of_record_seq (of the queue) of each work."""
+    per_work = records.where("record_seq IS NOT NULL").groupBy("queue_id", "work_id").agg(F.count("*").alias("records"), F.max("record_seq").alias("_last"))
+    per_queue = per_work.groupBy("queue_id").agg(F.max("_last").alias("as_of_record_seq"))
+    out = states(records).join(per_work.drop("_last"), ["queue_id", "work_id"]).join(per_queue, "queue_id")
+    return out.select("queue_id", "work_id", "state", F.when(F.col("state") == "leased", F.col("lease_id")).alias("active_lease"), "records", "as_of_record_seq")
+
+
 def command_errors(commands: DataFrame, queue_id: str | None = None) -> DataFrame:
     """Commands with ``error``: what can be told without the queue's state."""
     needs_lease = F.col("kind").isin("renew_lease", "release", "complete", "fail")
