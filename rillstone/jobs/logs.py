@@ -342,9 +342,9 @@ def m4_dead_letters(spark, d):
     return bus.dead_letter_page(letters, 5, 20, code="unknown-topic").select("ord", "status", "entry_seq", "has_more")
 
 
-@job("m3_trims", f"{BUS} SELECT topic, seq, seq - 499 AS head_seq, 1 AS trim_count FROM ms WHERE seq > 500")
+@job("m3_trims", f"{BUS} SELECT topic, seq, seq - 49 AS head_seq, 1 AS trim_count FROM ms WHERE seq > 50")
 def m3_trims(spark, d):
-    return bus.trims(messages(spark, d), 500)
+    return bus.trims(messages(spark, d), 50)
 
 
 AVAILABLE = f"""{BUS}, cu AS (SELECT event_type AS topic, 's' || user_id AS subscription_id, max(event_id) // 10 AS next_seq FROM e GROUP BY 1, 2)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.folds import keyed_fold
 from ..functions.order import number, over
+from ..functions.staging import stage
 
 
 #: Rows of a topic's order, by ``ord``, that are numbered in one task.
@@ -68,7 +69,7 @@ def publish(commands: DataFrame, strict: bool = True, per_bucket: int = PER_BUCK
     first = F.min(F.when(able, F.col("ord"))).over(keyed)
     again = F.coalesce(first < F.col("ord"), F.lit(False))
     status = F.coalesce("_stop", F.when(again, "duplicate-command"), "_bad_topic", F.lit("published"))
-    rows = rows.withColumn("status", status).drop("_topic", "_from", "_to", "_stop", "_bad_topic")
+    rows = stage(rows.withColumn("status", status).drop("_topic", "_from", "_to", "_stop", "_bad_topic"), "publishes")  # numbering reads it twice
     rows = number(rows, ["ord"], ["topic", "status"], F.floor(F.col("ord") / per_bucket), "seq")
     return rows.withColumn("seq", F.when(F.col("status") == "published", F.col("seq").cast("long")))
 

@@ -88,7 +88,8 @@ def events(handled: DataFrame) -> DataFrame:
     rows = handled.where("status = 'accepted'").select("ord", F.col("id").alias("command_id"), "aggregate_id", "_bucket_of", F.posexplode("drafts").alias("index", "draft"))
     own = F.col("draft.id") if "id" in rows.schema["draft"].dataType.names else None
     rows = rows.select("*", "draft.type", "draft.payload", _event_id(F.col("command_id"), own, F.col("index")).alias("id"))
-    return number(rows, ["ord", "index"], bucket=F.col("_bucket_of"), name="seq").drop("draft", "_bucket_of")
+    rows = stage(rows.drop("draft"), "events")  # numbering reads it twice
+    return number(rows, ["ord", "index"], bucket=F.col("_bucket_of"), name="seq").drop("_bucket_of")
 
 
 def bounded_dedupe(commands: DataFrame, most: int, keys: list[str], most_events: int | None = None) -> DataFrame:
