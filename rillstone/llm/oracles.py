@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ngram_lm, secrets
+from . import ngram_lm, secrets, vector_codes
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
@@ -74,10 +74,38 @@ names AS (SELECT r, a, b, kind, {secrets.KINDS!r}[kind + 1] || ':' || a || ':' |
 x AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(s, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(s, ',' ORDER BY a, kind) AS spans FROM names GROUP BY 1)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN x USING (r)"""
 
+
+
+def _codes() -> str:
+    """Each round of the codebooks as two tables: entries by part of a vector, then sums of the parts by entry."""
+    near = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    at = lambda t, i: f"{t} AS MATERIALIZED (SELECT r, part, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT p.r, p.part, c.k, {near} AS d FROM p JOIN c{i} c USING (part)) GROUP BY 1, 2)"
+    out = []
+    for i in range(vector_codes.ROUNDS):
+        out.append(at(f"a{i}", i))
+        out.append(f"s{i} AS (SELECT part, k, axis, sum(x[axis])::BIGINT AS s, count(*) AS n FROM p JOIN a{i} USING (r, part), range(1, (SELECT w FROM dims) + 1) AS t(axis) GROUP BY 1, 2, 3)")
+        out.append(f"u{i} AS (SELECT part, k, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY axis) AS x FROM s{i} GROUP BY 1, 2)")
+        out.append(f"c{i + 1} AS MATERIALIZED (SELECT c.part, c.k, coalesce(u.x, c.x) AS x FROM c{i} c LEFT JOIN u{i} u ON u.part = c.part AND u.k = c.k)")
+    last = vector_codes.ROUNDS
+    rounds, parts, entries = ",\n".join([*out, at("final", last)]), vector_codes.PARTS, vector_codes.ENTRIES
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, embedding, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+dims AS (SELECT greatest(1, (max(len(e)) + {parts - 1}) // {parts}) AS w FROM v), o AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS k FROM v QUALIFY k < {entries}),
+p AS MATERIALIZED (SELECT r, part, list_resize(e, {parts} * w, 0)[part * w + 1 : (part + 1) * w] AS x FROM v, dims, range({parts}) AS t(part)),
+c0 AS MATERIALIZED (SELECT part, k, x FROM p JOIN o USING (r)),
+{rounds},
+f AS (SELECT r, string_agg(lpad(to_hex(k), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM final GROUP BY 1),
+b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, k)) AS codebooks_sha256 FROM c{last})
+SELECT vec_id, label, lower(code) AS code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM v JOIN f USING (r), b"""
+
+
+CODES = _codes()
+
 ORACLE_SQL = {
     "op2_warc_round_trip": WARC,
     "op3_stupid_backoff": SCORES,
     "op5_exact_top_k": TOP_K,
     "op7_minhash_near_dedup": NEAR,
     "op10_linked_secrets": SECRETS,
+    "op13_vector_codes": CODES,
 }

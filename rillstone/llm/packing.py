@@ -7,51 +7,54 @@ their ordinal within their length, counted over salted groups: nothing whole pas
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_batch, slices, stage
+from .common import per_batch, sized, slices, stage
 
 CAPACITY = 2048
 #: Equal-cardinality groups of large lengths; lengths up to SMALL are placed by best fit.
 GROUPS, SMALL = 512, 128
-SALTS = 64
+#: Rows of a length that are numbered in one task, about.
+PER_SALT = 50_000
 #: Bytes of words and ids of a generation that a Python worker remembers, and what an entry costs besides.
 CACHED, ENTRY = 60 << 20, 160
 _tokenizers: dict = {}
 
 
-class _Memory:
-    """Ids by word, in two generations: when the young one is full the old one is forgotten, but for what is used again."""
+class _Memory(dict):
+    """Ids by word; unknown words are made. When it is full, ``turn`` begins another one, and what is not used again goes."""
 
-    def __init__(self, most: int):
-        self.most, self.size, self.young, self.old = most, 0, {}, {}
+    def __init__(self, most: int, make: Callable[[bytes | str], bytes], old: dict | None = None):
+        super().__init__()
+        self.most, self.make, self.size, self.old = most, make, 0, old or {}
 
-    def put(self, word: bytes | str, ids: bytes) -> bytes:
-        self.young[word] = ids
+    def __missing__(self, word: bytes | str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
+        self[word] = ids
         self.size += len(word) + len(ids) + ENTRY
         return ids
 
-    def get(self, word: bytes | str) -> bytes | None:
-        ids = self.young.get(word)
-        if ids is None and (ids := self.old.get(word)) is not None:
-            self.put(word, ids)
-        return ids
-
-    def turn(self) -> None:
-        """Begin another generation if the young one is full."""
-        if self.size > self.most:
-            self.young, self.old, self.size = {}, self.young, 0
+    def turn(self) -> _Memory:
+        if self.size <= self.most:
+            return self
+        self.old = {}
+        return _Memory(self.most, self.make, self)
 
 
-_ids, _cores = _Memory(CACHED), _Memory(CACHED // 4)
+#: Per tokenizer file what a worker remembers: ids of words, ids of the model's plain pre-tokens.
+_ids: dict[str, _Memory] = {}
+_cores: dict[str, _Memory] = {}
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -94,32 +97,31 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
-def _word_ids(word: str, path: str) -> bytes:
+def _core_ids(core: str, path: str) -> bytes:
+    letters = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
+    return array("I", [t.id for t in tokenizer(path).model.tokenize(letters)]).tobytes()
+
+
+def _word_ids(word: bytes, path: str) -> bytes:
     """A word's ids. Plain words skip normaliser and pre-tokeniser, which would leave them as they are."""
-    plain = _PLAIN.fullmatch(word.lower())
+    text = word.decode("utf-8", "replace")
+    plain = _PLAIN.fullmatch(text.lower())
     if not plain:
-        return array("I", tokenizer(path).encode(word, add_special_tokens=False).ids).tobytes()
-    out = b""
-    for core in filter(None, plain.groups()):
-        ids = _cores.get(core)
-        if ids is None:
-            letters = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
-            ids = _cores.put(core, array("I", [t.id for t in tokenizer(path).model.tokenize(letters)]).tobytes())
-        out += ids
-    return out
+        return array("I", tokenizer(path).encode(text, add_special_tokens=False).ids).tobytes()
+    core, signs = plain.groups()
+    known = _cores[path]
+    return (known[core] if core else b"") + (known[signs] if signs else b"")
 
 
-def _document_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
+def document_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian uint32. The tokenizer drops white space and never joins
     over it, so a text's ids are those of its words."""
+    if path not in _ids:
+        _ids[path] = _Memory(CACHED, functools.partial(_word_ids, path=path))
+        _cores[path] = _Memory(CACHED // 4, functools.partial(_core_ids, path=path))
     for text in texts:
-        words = text.split()
-        for word in set(words).difference(_ids.young):
-            if _ids.get(word) is None:
-                _ids.put(word, _word_ids(word.decode("utf-8", "replace"), path))
-        yield b"".join(map(_ids.young.__getitem__, words))
-        _ids.turn()
-        _cores.turn()
+        yield b"".join(map(_ids[path].__getitem__, text.split()))
+        _ids[path], _cores[path] = _ids[path].turn(), _cores[path].turn()
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -129,7 +131,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         for part in slices(batch, 1, 2 << 20):
             doc, piece, start, length, crc = [], [], [], [], []
             texts = [t.encode() if t else b"" for t in part.column(1).to_pylist()]
-            for doc_id, ids in zip(part.column(0).to_pylist(), _document_ids(texts, path), strict=True):
+            for doc_id, ids in zip(part.column(0).to_pylist(), document_ids(texts, path), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
@@ -299,19 +301,36 @@ def _placed(table: np.ndarray):
     return per_batch(run)
 
 
+def histogram(made: DataFrame) -> dict[int, int]:
+    """How many rows have each ``length``; lengths are at most a sequence's, so it has few entries."""
+    return {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
+
+
+def with_ordinal(made: DataFrame, counts: dict[int, int], order: list[str]) -> DataFrame:
+    """Rows with their ``ordinal`` (from 0) among those of their ``length``, in no order that means anything.
+
+    Rows of a length are dealt into salts by their number, so that a length that many rows have is no
+    hot key; ``order`` must tell rows apart that are not interchangeable, so that a task that runs again
+    numbers them alike.
+    """
+    many = [(n, c // PER_SALT + 1) for n, c in counts.items() if c > PER_SALT]
+    salts = F.lit(1) if not many else F.coalesce(F.create_map(*[F.lit(x) for row in many for x in row])[F.col("length").cast("int")], F.lit(1))
+    rows = made.withColumn("salt", F.pmod(F.xxhash64(*order), salts))
+    per_salt = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per_salt = sized(stage(per_salt.select("length", "salt", before.alias("before")), "salts"))
+    number = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order))
+    return rows.withColumn("number", number).join(per_salt, ["length", "salt"]).withColumn("ordinal", F.col("before") + F.col("number") - 1).drop("salt", "before", "number")
+
+
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each document.
 
     Null texts count as empty: they hold the end id alone. Rows that repeat or have no doc_id are
     packed like any other. An empty table gives no rows.
     """
-    made = stage(pieces(docs, path, capacity, end_id), "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
-    per_salt = made.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per_salt = stage(per_salt.withColumn("before", before), "salts")  # at most capacity * SALTS rows
-    counts = {r["length"]: r["n"] for r in per_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    made = stage(pieces(docs, path, capacity, end_id), "pieces")
+    counts = histogram(made)
     table, _ = plan(counts, capacity)
-    number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
-    numbered = made.withColumn("number", number).join(F.broadcast(per_salt.select("length", "salt", "before")), ["length", "salt"])
-    numbered = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("number") - 1).alias("ordinal"))
+    numbered = with_ordinal(made, counts, ["doc_id", "piece", "ids_crc32"])
     return numbered.mapInArrow(_placed(table), PIECES + ", sequence_id long, offset long")

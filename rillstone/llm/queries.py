@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, mpeg, near_dedup, ngram_lm, packing, quality, secrets, topk, warc
+from . import bpe, extraction, histogram_packing, mpeg, near_dedup, ngram_lm, packing, periodic_runs, quality, secrets, topk, vector_codes, warc
 from .common import read
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -72,6 +72,18 @@ def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(periodic_runs.planted(read(spark, sf_dir, "documents")))
+
+
+def op12_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_main_text": op1_main_text,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -83,4 +95,7 @@ QUERIES: dict[str, Query] = {
     "op8_mpeg_audio_columns": op8_mpeg_audio_columns,
     "op9_subword_quality": op9_subword_quality,
     "op10_linked_secrets": op10_linked_secrets,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_histogram_packing": op12_histogram_packing,
+    "op13_vector_codes": op13_vector_codes,
 }
