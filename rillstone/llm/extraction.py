@@ -30,6 +30,8 @@ VOID = "area base br col embed hr img input link meta param source track wbr"
 BLOCK = "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody thead tfoot tr ul caption"
 FURNITURE = "nav footer aside form button menu dialog"
 OPTIONAL_END = "p li td th tr dd dt option"
+INLINE = "a abbr b bdi bdo cite code data del dfn em i ins kbd mark q s samp small span strong sub sup time u var"
+RUNNING = "p li td th dd dt h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption"
 HINTS = (
     "ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert "
     "sidebar aside widget nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus reply replies respond "
@@ -45,43 +47,62 @@ PLACES = (
 SHOWN = 5
 TAGS = " ".join(dict.fromkeys(f"{RAW} {VOID} {BLOCK} {FURNITURE} {OPTIONAL_END} header a b i em strong span u s small sub sup code q cite font label time mark".split()))
 
-_RAW, _VOID, _BLOCK, _FURNITURE, _OPTIONAL, _HINTS, _PLACES, _TAGS = (frozenset(x.split()) for x in (RAW, VOID, BLOCK, FURNITURE, OPTIONAL_END, HINTS, PLACES, TAGS))
+_RAW, _VOID, _BLOCK, _FURNITURE, _OPTIONAL, _HINTS, _PLACES, _TAGS, _INLINE, _RUNNING = (frozenset(x.split()) for x in (RAW, VOID, BLOCK, FURNITURE, OPTIONAL_END, HINTS, PLACES, TAGS, INLINE, RUNNING))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>)|([^>]*(?:>|\Z)))",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+>)|([^<>]*(?:>|\Z))|([^<>]*))",
     re.S,
 )
 #: The same without regard to quotes, for what follows a quote that is never closed.
-_PLAIN_TOKEN = re.compile(_TOKEN.pattern.replace(r"""(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>""", "(?!)"), re.S)
+_PLAIN_TOKEN = re.compile(_TOKEN.pattern.replace(r"""(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+>""", "(?!)"), re.S)
 #: What may stand in a head; the first other element ends it, as its end tag may be left out.
 IN_HEAD = "base basefont bgsound link meta noframes noscript script style template title"
 _IN_HEAD = frozenset(IN_HEAD.split())
 #: End tags of raw elements, in a page of any letters: lower() would move places behind U+0130.
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in _RAW}
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]\S*)))?""")
 #: Parts of a name: letters, with digits behind them at most.
 _PART = re.compile(r"(?<![a-z0-9])[a-z]+(?=[0-9]*(?![a-z0-9]))")
-_HIDDEN = re.compile(r"""\shidden(?=[\s=>/])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _CONTENT = frozenset(["article", "main"])
 #: Weights without labelled pages: a tag costs a word, one of running text far less, a piece of furniture two words.
 DEFAULT = {"word": 1.0, "furniture": -2.0, "tag": -1.0} | dict.fromkeys("p a b i em strong u span br h1 h2 h3 h4 h5 h6 li sup sub q code".split(), -0.1)
 
 
-def _names(attributes: str) -> Iterator[tuple[str, list[str]]]:
+def _attributes(rest: str) -> Iterator[tuple[str, str]]:
+    """Names, in lower case, and values of a tag's attributes, one after another."""
+    for m in _ATTRIBUTE.finditer(rest):
+        yield m[1].lower(), m[2] or m[3] or m[4] or ""
+
+
+def _names(rest: str) -> Iterator[tuple[str, list[str]]]:
     """The names in an element's class, id and role, in lower case, with their parts."""
-    for m in _NAMED.finditer(attributes):
-        for name in (m[2] or m[3] or m[4] or "").split():
-            yield name.lower(), _PART.findall(re.sub("([a-z])([A-Z])", r"\1 \2", name).lower())
+    for attribute, value in _attributes(rest):
+        if attribute in ("class", "id", "role"):
+            for name in value.split():
+                yield name.lower(), _PART.findall(re.sub("([a-z])([A-Z])", r"\1 \2", name).lower())
+
+
+def _is_text(m: re.Match) -> bool:
+    """Whether what looks like a tag is text, as in ``a<b and c``: it does not close before the next ``<`` and has no attributes."""
+    return m[5] is not None and not m[1] and "=" not in m[5] and not (m[2].lower() in _BLOCK | _FURNITURE and not m[5].strip())
 
 
-def _is_furniture(name: str, attributes: str, in_content: bool, outside: Collection[str]) -> bool:
+def _is_hidden(rest: str) -> bool:
+    return any(a == "hidden" or (a == "aria-hidden" and v.strip().lower() == "true") or (a == "style" and _UNSEEN.search(v)) for a, v in _attributes(rest))
+
+
+def _is_furniture(name: str, rest: str, in_content: bool, running: bool, outside: Collection[str]) -> bool:
+    """Whether an element is a piece of furniture. In running text an inline element is none for its names."""
     if name in _FURNITURE or (name == "header" and not in_content):
         return True
-    if name in _CONTENT or name in ("html", "body") or len(attributes) < 5:
+    if name in _CONTENT or name in ("html", "body") or len(rest) < 5:
         return False
-    if _HIDDEN.search(attributes):
+    if _is_hidden(rest):
         return True
-    for own, parts in _names(attributes):
+    if running and name in _INLINE:
+        return False
+    for own, parts in _names(rest):
         while len(parts) > 1 and parts[-1] in _PLACES:
             parts.pop()
         if own in outside or (parts and parts[-1] in _HINTS):
@@ -124,12 +145,14 @@ def _head_end(page: str, at: int) -> int:
         if page[at : m.start()].strip():
             return at
         name = (m[2] or "").lower()
+        if name and _is_text(m):
+            return m.start()
         if m[1] and name == "head":
             return m.end()
         if name and not m[1] and name not in _IN_HEAD or m[1] and name in ("body", "html"):
             return m.start()
         at = m.end()
-        if name in _RAW and not m[1] and not m[3].endswith("/>"):
+        if name in _RAW and not m[1] and not (m[3] or m[4] or m[5]).endswith("/>"):
             at = _raw_end(page, at, name)
     return at if page[at:].strip() else len(page)
 
@@ -140,20 +163,24 @@ def tokens(page: str, outside: Collection[str] = ()) -> Iterator[tuple[str, str,
     ``outside`` are names of furniture. Every character is looked at a few times at most."""
     at, end, pattern = 0, len(page), _TOKEN
     furniture = _Open()
-    content = 0
+    content, running = 0, False
     while at < end:
         m = pattern.search(page, at)
         start = m.start() if m else end
+        if text_too := bool(m and m[2] and _is_text(m)):
+            start = m.end()
         if start > at:
-            yield "text", page[at:start], bool(furniture.names), content > 0
+            text = page[at:start]
+            running = running or not text.isspace()
+            yield "text", text, bool(furniture.names), content > 0
         if not m:
             return
         at = m.end()
-        if not m[2]:
-            continue
-        closing, name, rest = bool(m[1]), m[2].lower(), m[3] or m[4]
-        if m[4] is not None:  # a quote is left open: later tags are read without regard to quotes
+        if m[3] is None and m[2]:  # a quote may be left open: later tags are read without regard to quotes
             pattern = _PLAIN_TOKEN
+        if not m[2] or text_too:
+            continue
+        closing, name, rest = bool(m[1]), m[2].lower(), m[3] or m[4] or m[5]
         if name in _RAW:
             if not closing and not rest.endswith("/>"):
                 at = _head_end(page, at) if name == "head" else _raw_end(page, at, name)
@@ -167,33 +194,50 @@ def tokens(page: str, outside: Collection[str] = ()) -> Iterator[tuple[str, str,
                 furniture.close(name)
             elif furniture.names and furniture.names[0] in _OPTIONAL and name in _BLOCK:
                 furniture.clear()
-            if furniture.names or _is_furniture(name, rest, content > 0, outside):
+            if furniture.names or _is_furniture(name, rest, content > 0, running, outside):
                 furniture.push(name)
             content += name in _CONTENT
+        if name not in _INLINE and name not in _VOID:
+            running = name in _RUNNING and not closing
         does = "block" if name in _BLOCK or name in _FURNITURE or name == "header" else "space" if name in ("br", "td", "th", "img", "option") else ""
         yield (name if name in _TAGS else "other"), does, bool(furniture.names) or (closing and held), content > 0
 
 
 def names_of(page: str) -> Counter:
-    """Words of text under each name (class, id or role) of a page with a marked article, inside and outside it."""
+    """Words of text under each name (class, id or role) of a page with a marked article, inside and outside it.
+
+    Words are counted once; a name gets those between its first open element and its last end.
+    """
     out, marked, at, end, pattern = Counter(), False, 0, len(page), _TOKEN
     stack: list[tuple[str, tuple[str, ...]]] = []  # open elements and their names
-    held: Counter = Counter()  # names of open elements
+    held: dict[str, list[int]] = {}  # per name its open elements, and words inside and outside articles before them
+    words = [0, 0]
     content = 0
+
+    def leave(names: tuple[str, ...]) -> None:
+        for name in names:
+            held[name][0] -= 1
+            if not held[name][0]:
+                _, outer, inner = held.pop(name)
+                for side, n in ((False, words[0] - outer), (True, words[1] - inner)):
+                    if n:
+                        out[name, side] += n
+
     while at < end:
         m = pattern.search(page, at)
         start = m.start() if m else end
-        if held and (n := len(page[at:start].split())):
-            for name, c in held.items():
-                if c:
-                    out[name, content > 0] += n
+        if text_too := bool(m and m[2] and _is_text(m)):
+            start = m.end()
+        if held:
+            words[content > 0] += len(page[at:start].split())
         if not m:
             break
         at = m.end()
-        if not m[2]:
+        if m[3] is None and m[2]:
+            pattern = _PLAIN_TOKEN
+        if not m[2] or text_too:
             continue
-        tag, rest = m[2].lower(), m[3] or m[4]
-        pattern = _PLAIN_TOKEN if m[4] is not None else pattern
+        tag, rest = m[2].lower(), m[3] or m[4] or m[5]
         if tag in _RAW:
             if not m[1] and not rest.endswith("/>"):
                 at = _head_end(page, at) if tag == "head" else _raw_end(page, at, tag)
@@ -202,7 +246,7 @@ def names_of(page: str) -> Counter:
             if any(t == tag for t, _ in stack[-64:]):
                 while stack:
                     last, own = stack.pop()
-                    held.subtract(own)
+                    leave(own)
                     if last == tag:
                         break
         elif tag not in _VOID and not rest.endswith("/>"):
@@ -210,7 +254,10 @@ def names_of(page: str) -> Counter:
             marked |= content > 0
             own = tuple({name for name, _ in _names(rest)}) if len(rest) > 5 else ()
             stack.append((tag, own))
-            held.update(own)
+            for name in own:
+                held.setdefault(name, [0, *words])[0] += 1
+    for _, own in stack:
+        leave(own)
     return out if marked else Counter()
 
 

@@ -195,7 +195,7 @@ def _tag_end(data: bytes, at: int) -> int:
 def _tag_length(tag: bytes) -> int | None:
     at = tag.find(b"\x03payload\x00")
     text = tag[at + 9 :].rstrip(b"\x00") if at >= 0 else b""
-    return int(text) if text.isdigit() else None
+    return int(text) if text.isdigit() and len(text) < 19 else None
 
 
 def decode(data: bytes) -> Stream:

@@ -30,6 +30,8 @@ SEGMENT, CHUNK = 1 << 16, 1 << 14
 #: Records per archive file at most, so that a file fits in memory however large the input is.
 RECORDS = 4000
 _END = "\r\n\r\n"
+_WHOLE = re.compile(r"-?0{0,99}[0-9]{1,19}", re.A)
+_HEX = re.compile(rb"0*[0-9a-fA-F]{1,15}")
 _DATE = "1970-01-01T00:00:00Z"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -55,9 +57,10 @@ def unchunk(data: bytes) -> bytes:
     out, at = [], 0
     while True:
         end = data.index(b"\r\n", at)  # none is a ValueError too
-        size = int(data[at:end].split(b";")[0], 16)
-        if size < 0:
+        size = data[at:end].split(b";")[0].strip()
+        if not _HEX.fullmatch(size):
             raise ValueError("a chunk has no size")
+        size = int(size, 16)
         if not size:
             return b"".join(out)
         part = data[end + 2 : end + 2 + size]
@@ -141,9 +144,21 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
 
 
 def payload_of(message: bytes) -> bytes:
-    """The body of an HTTP message, its transfer framing undone."""
+    """The body of an HTTP message, its transfer codings undone, the last first. A coding that is unknown or broken is a ValueError."""
     head, _, body = message.partition(b"\r\n\r\n")
-    return unchunk(body) if b"transfer-encoding: chunked" in head.lower() else body
+    fields = (line.partition(b":") for line in head.split(b"\r\n")[1:])
+    codings = [c.strip().lower() for name, _, value in fields if name.strip().lower() == b"transfer-encoding" for c in value.split(b",")]
+    for coding in reversed([c for c in codings if c]):
+        if coding == b"chunked":
+            body = unchunk(body)
+        elif coding in (b"gzip", b"x-gzip", b"deflate"):
+            try:
+                body = zlib.decompress(body, wbits=15 if coding == b"deflate" else 31)
+            except zlib.error as e:
+                raise ValueError("a coding is broken") from e
+        elif coding != b"identity":
+            raise ValueError("a coding is unknown")
+    return body
 
 
 def _write(segment: int):
@@ -178,8 +193,12 @@ _NAMES_OF = [c.split()[0] for c in _ROW.split(", ")]
 _KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
 
 
-def _int(value: str | None) -> int | None:
-    return int(value) if value and value.isascii() and value.isdigit() else None
+def _int(value: str | None, bits: int = 63) -> int | None:
+    """A whole number of a header; None if it is none, or one that ``bits`` and a sign do not hold."""
+    if not value or not _WHOLE.fullmatch(value):
+        return None
+    number = int(value)
+    return number if -(1 << bits) <= number < 1 << bits else None
 
 
 def _row(headers: dict[str, str], message: bytes | None, kind: str = "response") -> tuple:
@@ -213,7 +232,7 @@ def _found(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, none = [], (None,) * len(_PART_KINDS)
         for headers, block in parse(inflate(data.as_py())):
             kind, origin = headers.get("warc-type"), headers.get("warc-segment-origin-id")
-            number = _int(headers.get("warc-segment-number"))
+            number = _int(headers.get("warc-segment-number"), 31)
             first = number is not None and kind != "continuation"
             origin = headers.get("warc-record-id") if first else origin
             if block is None:

@@ -317,6 +317,39 @@ def test_main_text_keeps_names_that_only_hold_a_hint():
     assert "gone" not in text and text.endswith("the last of it") and len(text.split("\n")) == 8
 
 
+def test_main_text_keeps_text_by_its_attributes():
+    """Values are not attributes, names only count in class, id and role, and inline elements of running text are no furniture."""
+    words = "one two three four"
+    kept = [
+        '<p title="A hidden gem">{}</p>', '<p><a href="/x?id=search">{}</a></p>', '<p><a href="/q?class=legal">{}</a></p>', '<p data-id="notice">{}</p>', '<p data-role=navigation>{}</p>',
+        '<p>a <span class="social">{}</span></p>', '<p><em class="search">{}</em></p>', '<p title="x > y" data-x=\'style="display:none"\'>{}</p>', "<p data-hidden=1 title=aria-hidden=true>{}</p>",
+        '<p>so <strong id="comment">{}</strong></p>', '<blockquote><cite class="share">{}</cite></blockquote>', '<p title = " class=ad ">{}</p>',
+    ]
+    for weights in (extraction.DEFAULT, extraction.learn(extraction.token_counts(PAGE))):
+        for piece in kept:
+            page = f"<article><p>{words}</p>{piece.format('kept here')}<p>{words}</p></article>"
+            assert "kept here" in extraction.main_text(page, weights), piece
+            assert not any(furniture for *_, furniture, _ in extraction.tokens(page)), piece
+        gone = ["<p hidden>{}</p>", "<p hidden=''>{}</p>", '<div ARIA-HIDDEN = "true">{}</div>', "<div style='color:red; display : none'>{}</div>", '<div title="x" class=notice>{}</div>', '<span class="advert">{}</span>', "<p>a <b hidden>{}</b></p>"]
+        for piece in gone:
+            assert "gone" not in extraction.main_text(f"<article><p>{words}</p>{piece.format('gone away')}<p>{words}</p></article>", weights), piece
+    say = lambda page: extraction.main_text(page, extraction.DEFAULT)
+    assert say(f"<pre>{words} if a<b and c</pre><p>{words}</p>") == f"{words} if a<b and c\n{words}"
+    assert say(f"<p>{words} 1<2 and x<y, x <z<b>bold</b></p>") == f"{words} 1<2 and x<y, x <zbold"
+    assert say(f"<p>{words}</p<p class='x' <b>{words}</b>") == f"{words}\n{words}"
+    assert say(f"<script <p>{words}</p>") == "" or words in say(f"<script <p>{words}</p>")
+
+
+def test_names_of_pages_with_many_names():
+    import time
+
+    page = "<article>" + "".join(f'<div id="n{i}" class="c">w{i}</div>' for i in range(100_000)) + "</article><div class='c'>x y</div>"
+    began = time.perf_counter()
+    out = extraction.names_of(page)
+    assert time.perf_counter() - began < 10
+    assert out["c", True] == 100_000 and out["c", False] == 2 and out["n7", True] == 1 and len(out) == 100_002
+
+
 def test_main_text_learns_names_of_furniture(spark):
     page = '<body><div class="wrap"><div class="zq">{0} buy this now</div><article><p class="lead">the words of article {0} are here</p></article></div></body>'
     rows = [(i, "u", page.format(i)) for i in range(20)] + [(20, "u", '<body><div class="zq">no no</div><p>plain page words</p></body>'), (1, "u", None)]
@@ -412,6 +445,45 @@ def test_damaged_archives_give_rows(spark, tmp_path):
     assert {r.payload_bytes for r in rows if r.page_id in (1, 3)} == {9000 * 9}
 
 
+def test_archive_headers_never_break_the_reader(spark, tmp_path):
+    """Random numbers, cuts and bytes in headers: every archive gives rows."""
+    rng = random.Random(17)
+    whole = [r + b"\r\n\r\n" for i in range(6) for r in warc.records(i, "u", b"<p>page " * 9000 if i % 2 else b"short", None, 1 << 16)]
+    numbers = [b"99999999999999999999", b"9" * 5000, b"-1", b"1e9", b"", b"0x10", "\u0663".encode(), b"99999999999", b"007"]
+    names = [b"X-Page-Id", b"WARC-Segment-Number", b"Content-Length", b"WARC-Segment-Total-Length", b"X-Refers-To-Page-Id", b"WARC-Type", b"WARC-Record-ID", b"WARC-Segment-Origin-ID"]
+    for n in range(150):
+        data = bytearray(b"".join(rng.sample(whole, 4)))
+        for _ in range(rng.randint(1, 4)):
+            name = rng.choice(names)
+            at = [m.start() for m in re.finditer(re.escape(name) + b": ", data)]
+            if at:
+                place = rng.choice(at) + len(name) + 2
+                data[place : data.index(b"\r\n", place)] = rng.choice(numbers)
+            if rng.random() < 0.3:
+                cut = rng.randrange(len(data))
+                del data[cut : cut + rng.randint(1, 200)]
+        (tmp_path / f"{n}.warc").write_bytes(bytes(data))
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert {"damaged", "response"} <= {r.record_type for r in rows} and len(rows) > 300
+    assert all(-(2**63) <= r.page_id < 2**63 for r in rows if r.page_id is not None)
+
+
+def test_transfer_codings_are_undone():
+    import gzip
+    import zlib
+
+    head = b"HTTP/1.1 200 OK\r\nX: transfer-encoding: chunked\r\n"
+    framed = warc.chunked(b"hello")
+    for field, body in {
+        b"": b"hello", b"Transfer-Encoding:chunked\r\n": framed, b"TRANSFER-ENCODING:\t Chunked \r\n": framed, b"Transfer-Encoding: gzip, chunked\r\n": warc.chunked(gzip.compress(b"hello")),
+        b"Transfer-Encoding: deflate\r\nA: b\r\nTransfer-Encoding: chunked\r\n": warc.chunked(zlib.compress(b"hello")), b"Transfer-Encoding: identity\r\n": b"hello",
+    }.items():
+        assert warc.payload_of(head + field + b"\r\n" + body) == b"hello"
+    for field, body in ((b"br", b"hello"), (b"gzip", b"hello"), (b"chunked", b"-5\r\nhello"), (b"chunked", b"+5\r\nhello\r\n0\r\n\r\n"), (b"chunked", b"f" * 500 + b"\r\n")):
+        with pytest.raises(ValueError):
+            warc.payload_of(head + b"Transfer-Encoding: " + field + b"\r\n\r\n" + body)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
