@@ -6,7 +6,7 @@ Rows are never pulled to one task: a global order is built from counts per bucke
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -55,22 +55,36 @@ def running_sums(df: DataFrame, values: dict[str, Column], order: Cols, keys: Co
     summed up within spans of SPAN buckets and over spans, so that one task sees a sum per span at most.
     The input is read twice: stage it where it is costly, and where several such sums follow each other.
     """
+    return _running(df, values, order, keys, bucket, F.sum, lambda before, own: F.coalesce(before, F.lit(0)) + F.coalesce(own, F.lit(0)))
+
+
+def running_max(df: DataFrame, values: dict[str, Column], order: Cols, keys: Cols = (), bucket: Column | None = None) -> DataFrame:
+    """The greatest values, by name, up to and with each row, nulls passed over; see ``running_sums``.
+
+    A struct that begins with the order makes it the last value so far.
+    """
+    return _running(df, values, order, keys, bucket, F.max, F.greatest)
+
+
+def _running(df: DataFrame, values: dict[str, Column], order: Cols, keys: Cols, bucket: Column | None, agg: Callable[[str], Column], merge: Callable[[Column, Column], Column]) -> DataFrame:
+    """``agg`` up to each row; ``merge`` puts together what is before and what is own, either may be null."""
     if bucket is None:
         if not keys:
             raise ValueError("a global order needs a bucket column")
-        return df.withColumns({name: F.sum(value).over(so_far(keys, order)) for name, value in values.items()})
+        made = df.withColumns({f"_x{i}": v for i, v in enumerate(values.values())})
+        return made.withColumns({name: agg(f"_x{i}").over(so_far(keys, order)) for i, name in enumerate(values)}).drop(*[f"_x{i}" for i in range(len(values))])
     keys, ns = list(keys), range(len(values))
     rows = df.withColumns({"_bucket": bucket.cast("double")} | {f"_x{i}": v for i, v in enumerate(values.values())})
-    sums = rows.groupBy(*keys, "_bucket").agg(*[F.sum(f"_x{i}").alias(f"_n{i}") for i in ns]).withColumn("_span", F.floor(F.col("_bucket") / SPAN))
-    before = lambda i, part, by: F.coalesce(F.sum(f"_n{i}").over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = sums.groupBy(*keys, "_span").agg(*[F.sum(f"_n{i}").alias(f"_n{i}") for i in ns]).withColumns({f"_s{i}": before(i, keys, "_span") for i in ns})
+    sums = rows.groupBy(*keys, "_bucket").agg(*[agg(f"_x{i}").alias(f"_n{i}") for i in ns]).withColumn("_span", F.floor(F.col("_bucket") / SPAN))
+    before = lambda i, part, by: agg(f"_n{i}").over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    spans = sums.groupBy(*keys, "_span").agg(*[agg(f"_n{i}").alias(f"_n{i}") for i in ns]).withColumns({f"_s{i}": before(i, keys, "_span") for i in ns})
     spans = spans.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_span").alias("_s__span"), *[f"_s{i}" for i in ns])
     sums = sums.withColumns({f"_o{i}": before(i, [*keys, "_span"], "_bucket") for i in ns})
     sums = sums.join(spans, _all([F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in [*keys, "_span"]]))
-    sums = sums.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_bucket").alias("_c__bucket"), *[(F.col(f"_o{i}") + F.col(f"_s{i}")).alias(f"_b{i}") for i in ns])
-    inside = rows.withColumns({f"_in{i}": F.sum(f"_x{i}").over(so_far([*keys, "_bucket"], order)) for i in ns})
+    sums = sums.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_bucket").alias("_c__bucket"), *[merge(F.col(f"_s{i}"), F.col(f"_o{i}")).alias(f"_b{i}") for i in ns])
+    inside = rows.withColumns({f"_in{i}": agg(f"_x{i}").over(so_far([*keys, "_bucket"], order)) for i in ns})
     joined = inside.join(sums, _all([F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in [*keys, "_bucket"]]))
-    joined = joined.withColumns({name: F.col(f"_b{i}") + F.coalesce(f"_in{i}", F.lit(0)) for i, name in enumerate(values)})
+    joined = joined.withColumns({name: merge(F.col(f"_b{i}"), F.col(f"_in{i}")) for i, name in enumerate(values)})
     return joined.drop("_bucket", "_c__bucket", *[f"_c_{k}" for k in keys], *[f"{c}{i}" for c in ("_x", "_b", "_in") for i in ns])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.order import over
+from ..functions.staging import stage
 from ..operators import bus, collections
 from ..sources.tables import EVENTS_SQL, KEY, ORDER, events, read
 from .registry import job
@@ -268,34 +269,71 @@ def s7(spark, d):
 
 
 def commands(spark, d):
-    """Events as publishes: a command id is used three times, a key four times; topics open and close; their
-    commands have ids that publishes have too, and one close is a duplicate."""
+    """Events as publishes: a command id is used three times, a key four times; topics open and close, the policy
+    switches; every third event is a subscription command too. Commands of all kinds share ids, and one close is a duplicate."""
     e = events(spark, d)
-    n = F.col("event_id")
+    n, k = F.col("event_id"), F.col("k")
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    publish = e.select((n * 2 + 1).alias("ord"), F.lit("publish").alias("kind"), F.when(n % 211 == 0, "").otherwise(F.col("event_type")).alias("topic"), text("c", F.when(n % 10 == 0, n - n % 30).otherwise(n)).alias("command_id"), F.when(n % 4 == 0, text("i", n % 3000)).alias("idempotency_key"), F.col("cents").alias("payload"), F.col("ms").alias("now_ms"))
+    none = F.lit(None).cast("string")
+    publish = e.select((n * 8 + 7).alias("ord"), F.lit("publish").alias("kind"), F.when(n % 211 == 0, "").otherwise(F.col("event_type")).alias("topic"), text("c", F.when(n % 10 == 0, n - n % 30).otherwise(n)).alias("command_id"), F.when(n % 4 == 0, text("i", n % 3000)).alias("idempotency_key"), F.col("cents").alias("payload"), F.col("ms").alias("now_ms"))
     edges = e.where("event_type <> 'error'").groupBy(F.col("event_type").alias("topic")).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.min("ms").alias("now_ms"))
-    edge = lambda kind, ord_, id_: edges.select(ord_.alias("ord"), F.lit(kind).alias("kind"), "topic", id_.alias("command_id"), F.lit(None).cast("string").alias("idempotency_key"), F.lit(None).cast("long").alias("payload"), "now_ms")
-    ensure = edge("ensure_topic", F.col("lo") * 2, text("c", F.col("lo") + 1))
-    early = edge("close_topic", F.col("lo") * 2 - 1, F.lit(None).cast("string")).where("topic = 'view'")
-    again = edge("close_topic", F.col("hi") * 2 - 400, text("c", F.col("lo") + 1)).where("topic = 'purchase'")
-    close = edge("close_topic", F.col("hi") * 2 - 300, text("x", F.col("hi"))).where("topic = 'signup'")
-    return publish.union(ensure).union(early).union(again).union(close)
-
-
-BUS = f"""{E}, pb AS (SELECT event_id * 2 + 1 AS ord, 'publish' AS kind, CASE WHEN event_id % 211 = 0 THEN '' ELSE event_type END AS topic, 'c' || (CASE WHEN event_id % 10 = 0 THEN event_id - event_id % 30 ELSE event_id END) AS command_id,
- CASE WHEN event_id % 4 = 0 THEN 'i' || (event_id % 3000) END AS ik, cents AS payload, ms AS now_ms FROM e),
+    edge = lambda kind, ord_, id_: edges.select(ord_.alias("ord"), F.lit(kind).alias("kind"), "topic", id_.alias("command_id"), none.alias("idempotency_key"), F.lit(None).cast("long").alias("payload"), "now_ms")
+    ensure = edge("ensure_topic", F.col("lo") * 8, text("c", F.col("lo") + 1))
+    early = edge("close_topic", F.col("lo") * 8 - 6, none).where("topic = 'view'")
+    again = edge("close_topic", F.col("hi") * 8 - 1598, text("c", F.col("lo") + 1)).where("topic = 'purchase'")
+    close = edge("close_topic", F.col("hi") * 8 - 1198, text("x", F.col("hi"))).where("topic = 'signup'")
+    policy = e.where("event_id % 1000 = 500").select((n * 8 + 3).alias("ord"), F.lit("topic_policy").alias("kind"), F.when(n % 2000 == 500, "create").otherwise("strict").alias("policy"), F.when(n % 3 == 0, text("c", n - 1)).alias("command_id"))
+    kind = F.when(k.isin(1, 5), "subscribe").when(k.isin(2, 34), "seek").when((k == 89) & (n % 2 == 0), "close_subscription").otherwise("ack")
+    topic = F.element_at(F.array(*map(F.lit, SUBSCRIBED)), (F.col("user_id") % len(SUBSCRIBED) + 1).cast("int"))
+    subscribed = e.where("event_id % 3 = 0").select(
+        (n * 8 + 5).alias("ord"), kind.alias("kind"), topic.alias("topic"), F.when(kind.isin("ack", "seek") & (n % 9 == 0), text("c", n)).alias("command_id"), F.when((n % 97 == 0) & (kind != "subscribe"), "").otherwise(text("s", F.col("user_id") % 40)).alias("subscription_id"),
+        F.greatest(F.lit(0), F.floor(n * 2 / 13) + k - 60).cast("long").alias("seq"), F.when(k == 1, F.when(F.col("user_id") % 2 == 0, "earliest").otherwise("latest")).alias("start"),
+    )
+    rows = publish.union(ensure).union(early).union(again).union(close)
+    return rows.unionByName(policy, allowMissingColumns=True).unionByName(subscribed, allowMissingColumns=True)
+
+
+#: The topics of subscriptions; one that never is.
+SUBSCRIBED = ["click", "view", "purchase", "signup", "error", "nowhere"]
+MOST, AGE = 300, 345_600_000
+
+BUS = f"""{E}, pb AS (SELECT event_id * 8 + 7 AS ord, 'publish' AS kind, CASE WHEN event_id % 211 = 0 THEN '' ELSE event_type END AS topic, 'c' || (CASE WHEN event_id % 10 = 0 THEN event_id - event_id % 30 ELSE event_id END) AS command_id,
+ CASE WHEN event_id % 4 = 0 THEN 'i' || (event_id % 3000) END AS ik, cents AS payload, ms AS now_ms, NULL::VARCHAR AS policy, NULL::VARCHAR AS sid, NULL::BIGINT AS sseq, NULL::VARCHAR AS start FROM e),
 ed AS (SELECT event_type AS topic, min(event_id) AS lo, max(event_id) AS hi, min(ms) AS now_ms FROM e WHERE event_type <> 'error' GROUP BY 1),
-cm AS (SELECT * FROM pb UNION ALL SELECT lo * 2, 'ensure_topic', topic, 'c' || (lo + 1), NULL, NULL, now_ms FROM ed UNION ALL SELECT lo * 2 - 1, 'close_topic', topic, NULL, NULL, NULL, now_ms FROM ed WHERE topic = 'view'
- UNION ALL SELECT hi * 2 - 400, 'close_topic', topic, 'c' || (lo + 1), NULL, NULL, now_ms FROM ed WHERE topic = 'purchase' UNION ALL SELECT hi * 2 - 300, 'close_topic', topic, 'x' || hi, NULL, NULL, now_ms FROM ed WHERE topic = 'signup'),
-fr AS (SELECT *, CASE WHEN topic = '' THEN 'malformed-command' WHEN command_id IS NOT NULL AND row_number() OVER (PARTITION BY command_id, topic = '' ORDER BY ord) > 1 THEN 'duplicate-command' END AS stop FROM cm),
-op AS (SELECT topic, min(ord) AS f FROM fr WHERE kind = 'ensure_topic' AND stop IS NULL GROUP BY 1), tp AS (SELECT topic, f, (SELECT min(ord) FROM fr c WHERE c.kind = 'close_topic' AND c.stop IS NULL AND c.topic = op.topic AND c.ord > f) AS t FROM op),
-a AS (SELECT fr.*, CASE WHEN NOT coalesce(ord > f, false) THEN 'unknown-topic' WHEN ord > t THEN 'closed-topic' END AS bad FROM fr LEFT JOIN tp USING (topic) WHERE kind = 'publish'),
-b AS (SELECT *, min(CASE WHEN stop IS NULL AND bad IS NULL THEN ord END) OVER (PARTITION BY topic, ik) AS first FROM a),
-s AS (SELECT *, CASE WHEN stop IS NOT NULL THEN stop WHEN ik IS NOT NULL AND first < ord THEN 'duplicate-command' WHEN bad IS NOT NULL THEN bad ELSE 'published' END AS status FROM b),
+sb AS (SELECT *, CASE WHEN k IN (1, 5) THEN 'subscribe' WHEN k IN (2, 34) THEN 'seek' WHEN k = 89 AND event_id % 2 = 0 THEN 'close_subscription' ELSE 'ack' END AS kind FROM e WHERE event_id % 3 = 0),
+cm AS (SELECT * FROM pb UNION ALL SELECT lo * 8, 'ensure_topic', topic, 'c' || (lo + 1), NULL, NULL, now_ms, NULL, NULL, NULL, NULL FROM ed UNION ALL SELECT lo * 8 - 6, 'close_topic', topic, NULL, NULL, NULL, now_ms, NULL, NULL, NULL, NULL FROM ed WHERE topic = 'view'
+ UNION ALL SELECT hi * 8 - 1598, 'close_topic', topic, 'c' || (lo + 1), NULL, NULL, now_ms, NULL, NULL, NULL, NULL FROM ed WHERE topic = 'purchase' UNION ALL SELECT hi * 8 - 1198, 'close_topic', topic, 'x' || hi, NULL, NULL, now_ms, NULL, NULL, NULL, NULL FROM ed WHERE topic = 'signup'
+ UNION ALL SELECT event_id * 8 + 3, 'topic_policy', NULL, CASE WHEN event_id % 3 = 0 THEN 'c' || (event_id - 1) END, NULL, NULL, NULL, CASE WHEN event_id % 2000 = 500 THEN 'create' ELSE 'strict' END, NULL, NULL, NULL FROM e WHERE event_id % 1000 = 500
+ UNION ALL SELECT event_id * 8 + 5, kind, {SUBSCRIBED!r}[user_id % {len(SUBSCRIBED)} + 1], CASE WHEN kind IN ('ack', 'seek') AND event_id % 9 = 0 THEN 'c' || event_id END, NULL, NULL, NULL, NULL, CASE WHEN event_id % 97 = 0 AND kind <> 'subscribe' THEN '' ELSE 's' || (user_id % 40) END,
+  greatest(0, event_id * 2 // 13 + k - 60), CASE WHEN k = 1 THEN CASE WHEN user_id % 2 = 0 THEN 'earliest' ELSE 'latest' END END FROM sb),
+md AS (SELECT *, coalesce(topic = '' OR sid = '', false) AS bad FROM cm),
+fr AS (SELECT *, last_value(CASE WHEN kind = 'topic_policy' AND stop IS NULL THEN policy END IGNORE NULLS) OVER (ORDER BY ord) = 'create' AS creates
+ FROM (SELECT *, CASE WHEN bad THEN 'malformed-command' WHEN command_id IS NOT NULL AND row_number() OVER (PARTITION BY command_id, bad ORDER BY ord) > 1 THEN 'duplicate-command' END AS stop FROM md)),
+op AS (SELECT topic, min(ord) AS f FROM fr WHERE (kind = 'ensure_topic' OR (kind = 'publish' AND creates)) AND stop IS NULL GROUP BY 1), tp AS (SELECT topic, f, (SELECT min(ord) FROM fr c WHERE c.kind = 'close_topic' AND c.stop IS NULL AND c.topic = op.topic AND c.ord > f) AS t FROM op),
+a AS (SELECT fr.*, CASE WHEN NOT coalesce(ord >= f, false) THEN 'unknown-topic' WHEN ord > t THEN 'closed-topic' END AS bad_topic FROM fr LEFT JOIN tp USING (topic) WHERE kind = 'publish'),
+b AS (SELECT *, min(CASE WHEN stop IS NULL AND bad_topic IS NULL THEN ord END) OVER (PARTITION BY topic, ik) AS first FROM a),
+s AS (SELECT *, CASE WHEN stop IS NOT NULL THEN stop WHEN ik IS NOT NULL AND first < ord THEN 'duplicate-command' WHEN bad_topic IS NOT NULL THEN bad_topic ELSE 'published' END AS status FROM b),
 ms AS (SELECT topic, ord, payload, now_ms, row_number() OVER (PARTITION BY topic ORDER BY ord) AS seq FROM s WHERE status = 'published'),
 kept AS (SELECT * FROM ms QUALIFY row_number() OVER (PARTITION BY topic ORDER BY seq DESC) <= 500), hd AS (SELECT topic, min(seq) AS head_seq, max(seq) + 1 AS tail_seq FROM kept GROUP BY 1),
-dl AS (SELECT ord, topic, status, row_number() OVER (ORDER BY ord) AS entry_seq FROM s WHERE status IN ('malformed-command', 'unknown-topic', 'closed-topic'))"""
+dl AS (SELECT ord, topic, status, row_number() OVER (ORDER BY ord) AS entry_seq FROM s WHERE status IN ('malformed-command', 'unknown-topic', 'closed-topic')),
+ck AS (SELECT topic, ord, seq, max(now_ms) OVER (PARTITION BY topic ORDER BY ord) AS clock FROM ms),
+hs AS (SELECT *, greatest(1, seq - {MOST - 1}, 1 + count(*) OVER (PARTITION BY topic ORDER BY clock RANGE BETWEEN UNBOUNDED PRECEDING AND {AGE + 1} PRECEDING)) AS head_seq FROM ck),
+lg AS (SELECT *, head_seq - lag(head_seq, 1, 1) OVER (PARTITION BY topic ORDER BY seq) AS trimmed FROM hs)"""
+#: Subscription commands against the topics of their time, one after another.
+CURSORS = BUS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+sc AS (SELECT c.ord, c.topic, c.sid, c.kind, c.sseq, c.start, CASE WHEN f < c.ord THEN coalesce(lg.head_seq, 1) END AS head, CASE WHEN f < c.ord THEN coalesce(lg.seq + 1, 1) END AS tail, row_number() OVER (PARTITION BY c.topic, c.sid ORDER BY c.ord) AS rn,
+ lead(c.ord) OVER (PARTITION BY c.topic, c.sid ORDER BY c.ord) AS upto FROM (SELECT * FROM fr WHERE stop IS NULL AND sid IS NOT NULL) c LEFT JOIN op ON op.topic = c.topic ASOF LEFT JOIN lg ON lg.topic = c.topic AND lg.ord < c.ord),
+f AS (SELECT DISTINCT topic, sid, 0 AS rn, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS BIGINT) AS upto, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS BIGINT) AS nx, false AS closed, false AS gap FROM sc
+ UNION ALL SELECT topic, sid, rn, ord, upto, code, CASE WHEN code = 'subscribed' THEN want WHEN code = 'cursor-out-of-range' AND kind = 'subscribe' THEN head WHEN code = 'acked' THEN sseq + 1 WHEN code = 'sought' THEN sseq ELSE nx END,
+  closed OR code = 'closed', gap AND code <> 'sought' FROM (SELECT *, CASE WHEN kind = 'subscribe' THEN CASE WHEN nx IS NOT NULL THEN 'kept' WHEN head IS NOT NULL AND (want < head OR want > tail) THEN 'cursor-out-of-range' ELSE 'subscribed' END
+   WHEN head IS NULL THEN 'unknown-topic' WHEN nx IS NULL THEN 'unknown-subscription' WHEN kind = 'close_subscription' THEN 'closed' WHEN closed THEN 'subscription-closed'
+   WHEN kind = 'ack' THEN CASE WHEN gap THEN 'retention-gap' WHEN sseq < nx THEN 'source-cursor-stale' WHEN sseq >= tail THEN 'cursor-out-of-range' ELSE 'acked' END
+   WHEN sseq < head THEN 'retention-gap' WHEN sseq > tail THEN 'cursor-out-of-range' ELSE 'sought' END AS code
+   FROM (SELECT sc.*, CASE start WHEN 'earliest' THEN coalesce(head, 1) WHEN 'latest' THEN coalesce(tail, 1) ELSE sseq END AS want, f.nx, f.closed, f.gap OR (NOT f.closed AND f.nx IS NOT NULL AND coalesce(greatest(f.nx, 1) < head, false)) AS gap
+    FROM f JOIN sc ON sc.topic = f.topic AND sc.sid = f.sid AND sc.rn = f.rn + 1))),
+gp AS (SELECT f.topic, sid, min(lg.ord) AS ord, nx, arg_min(head_seq, lg.ord) AS head FROM f JOIN lg ON lg.topic = f.topic AND lg.trimmed > 0 AND lg.ord > f.ord AND lg.ord < coalesce(upto, 1000000000000) AND lg.head_seq > greatest(nx, 1)
+ WHERE nx IS NOT NULL AND NOT closed AND NOT gap AND f.rn > 0 GROUP BY f.topic, sid, f.rn, nx)
+"""
 
 
 def messages(spark, d):
@@ -342,9 +380,14 @@ def m4_dead_letters(spark, d):
     return bus.dead_letter_page(letters, 5, 20, code="unknown-topic").select("ord", "status", "entry_seq", "has_more")
 
 
-@job("m3_trims", f"{BUS} SELECT topic, seq, seq - 49 AS head_seq, 1 AS trim_count FROM ms WHERE seq > 50")
+def log_of(spark, d):
+    return bus.timed(messages(spark, d), MOST, AGE)
+
+
+@job("m3_trims", f"{BUS} SELECT topic, ord, seq, head_seq, trimmed AS trim_count FROM lg WHERE trimmed > 0")
 def m3_trims(spark, d):
-    return bus.trims(messages(spark, d), 50)
+    """Trims by count and by age."""
+    return bus.trims(log_of(spark, d))
 
 
 AVAILABLE = f"""{BUS}, cu AS (SELECT event_type AS topic, 's' || user_id AS subscription_id, max(event_id) // 10 AS next_seq FROM e GROUP BY 1, 2)
@@ -360,46 +403,69 @@ def m6(spark, d):
     return bus.available(subscriptions.agg((F.max("event_id") / 10).cast("long").alias("next_seq")), kept, bus.heads(m, kept), 5)
 
 
-@job("m6_available_to_all", AVAILABLE)
-def m6_all(spark, d):
-    return m6(spark, d)
-
-
-SUBSCRIPTIONS = """WITH RECURSIVE {events}, c AS (SELECT event_id AS ord, 't' || (user_id % 5) AS topic, 's' || user_id AS subscription_id,
- CASE WHEN event_type = 'signup' THEN 'subscribe' WHEN event_type = 'purchase' THEN 'seek' WHEN event_type = 'error' AND k % 9 = 0 THEN 'close_subscription' ELSE 'ack' END AS kind, k AS seq,
- CASE WHEN k % 3 = 0 THEN 'earliest' WHEN k % 3 = 1 THEN 'latest' END AS start, least(40, 1 + event_id // 50) AS head, 80 AS tail, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM e),
-f AS (SELECT DISTINCT topic, subscription_id, 0 AS rn, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS BIGINT) AS nx, false AS closed, false AS gap FROM c
- UNION ALL SELECT topic, subscription_id, rn, ord, code, CASE WHEN code = 'subscribed' THEN want WHEN code = 'cursor-out-of-range' AND kind = 'subscribe' THEN head WHEN code = 'acked' THEN seq + 1 WHEN code = 'sought' THEN seq ELSE nx END,
-  closed OR code = 'closed', gap AND code <> 'sought' FROM (SELECT *, CASE WHEN kind = 'subscribe' THEN CASE WHEN nx IS NOT NULL THEN 'kept' WHEN want < head OR want > tail THEN 'cursor-out-of-range' ELSE 'subscribed' END
-   WHEN nx IS NULL THEN 'unknown-subscription' WHEN kind = 'close_subscription' THEN 'closed' WHEN closed THEN 'subscription-closed'
-   WHEN kind = 'ack' THEN CASE WHEN gap THEN 'retention-gap' WHEN seq < nx THEN 'source-cursor-stale' WHEN seq >= tail THEN 'cursor-out-of-range' ELSE 'acked' END
-   WHEN seq < head THEN 'retention-gap' WHEN seq > tail THEN 'cursor-out-of-range' ELSE 'sought' END AS code
-   FROM (SELECT c.*, CASE start WHEN 'earliest' THEN head WHEN 'latest' THEN tail ELSE seq END AS want, f.nx, f.closed, f.gap OR (NOT f.closed AND coalesce(f.nx < head, false)) AS gap FROM f JOIN c ON c.subscription_id = f.subscription_id AND c.rn = f.rn + 1)))
-"""
+def subscribed(spark, d):
+    """Facts and gaps of all subscriptions, on the topics that the same commands made."""
+    c = stage(commands(spark, d), "bus-commands")
+    log = stage(bus.timed(bus.publish(c).where("status = 'published'"), MOST, AGE), "topic-log")
+    return bus.subscription_gaps(bus.as_of(c, log), log)
 
 
-def subscription_facts(spark, d):
-    e, k, n = events(spark, d), F.col("k"), F.col("event_id")
-    kind = F.when(F.col("event_type") == "signup", "subscribe").when(F.col("event_type") == "purchase", "seek").when((F.col("event_type") == "error") & (k % 9 == 0), "close_subscription").otherwise("ack")
-    rows = e.select(n.alias("ord"), F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("topic"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("subscription_id"), kind.alias("kind"), k.cast("long").alias("seq"), F.when(k % 3 == 0, "earliest").when(k % 3 == 1, "latest").alias("start"), F.least(F.lit(40), 1 + F.floor(n / 50)).alias("head_seq"), F.lit(80).alias("tail_seq"))
-    return bus.subscriptions(rows)
-
-
-@job("m5_subscriptions", SUBSCRIPTIONS.format(events=EVENTS_SQL) + "SELECT ord, topic, subscription_id, code, nx AS next_seq, closed, gap AS retention_gap FROM f WHERE rn > 0")
+@job("m5_subscriptions", CURSORS + "SELECT ord, topic, sid AS subscription_id, code, nx AS next_seq, closed, gap AS retention_gap FROM f WHERE rn > 0")
 def m5(spark, d):
-    return subscription_facts(spark, d)
+    return subscribed(spark, d)[0]
 
 
-@job("m5_cursors", SUBSCRIPTIONS.format(events=EVENTS_SQL) + "SELECT topic, subscription_id, nx AS next_seq, closed, gap AS retention_gap FROM f WHERE nx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY subscription_id ORDER BY rn DESC) = 1")
+@job("m5_cursors", CURSORS + "SELECT topic, sid AS subscription_id, nx AS next_seq, closed, gap AS retention_gap FROM f WHERE nx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY topic, sid ORDER BY rn DESC) = 1")
 def m5_cursors(spark, d):
-    return bus.cursors(subscription_facts(spark, d))
+    return bus.cursors(subscribed(spark, d)[0])
+
 
+@job("m5_retention_gaps", CURSORS + "SELECT topic, sid AS subscription_id, ord, nx AS next_seq, head AS head_seq FROM gp")
+def m5_gaps(spark, d):
+    return subscribed(spark, d)[1]
 
-@job("m7_event_message", f"""{E} SELECT event_id, event_type AS type, '{{"cents":' || cents || '}}' AS payload FROM e""")
+
+@job("m6_available_to_all", CURSORS + f""", cu AS (SELECT topic, sid, nx FROM f WHERE nx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY topic, sid ORDER BY rn DESC) = 1), ends AS (SELECT topic, max(head_seq) AS h FROM lg GROUP BY 1)
+SELECT sid AS subscription_id, cu.topic, seq, payload FROM cu JOIN ends ON ends.topic = cu.topic JOIN ms ON ms.topic = cu.topic WHERE nx >= h AND seq >= nx AND seq < nx + 5""")
+def m6_all(spark, d):
+    """What each subscription finds at its cursor after all commands, in the topics that retention left."""
+    c = stage(commands(spark, d), "bus-commands")
+    sent = stage(bus.publish(c).where("status = 'published'"), "published")
+    log = stage(bus.timed(sent, MOST, AGE), "topic-log")
+    ends = log.groupBy("topic").agg(F.max("head_seq").alias("head_seq"))
+    left = sent.join(ends, "topic").where("seq >= head_seq").select("topic", "seq", "payload")
+    return bus.available(bus.cursors(bus.subscription_gaps(bus.as_of(c, log), log)[0]).select("topic", "subscription_id", "next_seq"), left, ends, 5)
+
+
+@job("m2_issues", CURSORS + """, al AS (SELECT ord, topic, NULL AS sid, status AS code FROM s UNION ALL SELECT ord, topic, NULL, stop FROM fr WHERE kind <> 'publish' AND stop IS NOT NULL
+ UNION ALL SELECT ord, topic, NULL, 'unknown-topic' FROM fr LEFT JOIN op USING (topic) WHERE kind = 'close_topic' AND stop IS NULL AND coalesce(ord < f, true) UNION ALL SELECT ord, topic, sid, code FROM f WHERE rn > 0 UNION ALL SELECT ord, NULL, sid, 'retention-gap' FROM gp)
+SELECT ord, topic, sid AS subscription_id, code, row_number() OVER (ORDER BY ord, sid NULLS FIRST) AS entry_seq FROM al WHERE code NOT IN ('published', 'duplicate-command', 'subscribed', 'kept', 'acked', 'sought', 'closed')""")
+def m2_issues(spark, d):
+    """Every dead letter, of publishes, topics and subscriptions, in one order."""
+    c = stage(commands(spark, d), "bus-commands")
+    published = stage(bus.publish(c), "published")
+    log = stage(bus.timed(published.where("status = 'published'"), MOST, AGE), "topic-log")
+    return bus.issues(c, published, *bus.subscription_gaps(bus.as_of(c, log), log))
+
+
+@job("s8_to_topic", f"""{E}, c AS (SELECT event_id * 2 AS ord, CASE WHEN event_type = 'purchase' THEN 'sales' ELSE 'doubts' END AS topic, cents AS payload FROM e WHERE event_type IN ('purchase', 'error')), o AS (SELECT min(event_id) * 2 + 1 AS f FROM e)
+SELECT ord, topic, payload, CASE WHEN topic = 'sales' AND ord > f THEN 'published' ELSE 'unknown-topic' END AS status, CASE WHEN topic = 'sales' AND ord > f THEN row_number() OVER (PARTITION BY topic, ord > f ORDER BY ord) END AS seq FROM c, o""")
+def s8_to_topic(spark, d):
+    """Two sources feed a topic each; one topic is there from the first event on, the other never."""
+    e = events(spark, d).withColumn("ord", F.col("event_id") * 2)
+    ensure = e.agg((F.min("ord") + 1).alias("ord")).select("ord", F.lit("ensure_topic").alias("kind"), F.lit("sales").alias("topic"))
+    sales, doubts = (bus.to_topic(e.where(F.col("event_type") == kind), topic, "cents", "ord", "ms") for kind, topic in (("purchase", "sales"), ("error", "doubts")))
+    return bus.publish(sales.union(doubts).unionByName(ensure, allowMissingColumns=True)).select("ord", "topic", "payload", "status", "seq")
+
+
+@job("m7_event_message", f"""{E} SELECT event_id, CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 31 = 0 THEN NULL ELSE 'e' || event_id END AS id, CASE WHEN event_id % 29 <> 0 THEN event_type END AS type, '{{"cents":' || cents || '}}' AS payload,
+ 'u' || user_id AS subject_id, ms AS occurred_at_ms, CASE WHEN event_id % 29 = 0 THEN 'eventMessage.type must be non-empty' WHEN event_id % 13 = 0 OR event_id % 31 = 0 THEN 'eventMessage.id must be non-empty' END AS error FROM e""")
 def m7(spark, d):
-    e = events(spark, d)
-    ok = (F.col("event_type") != "") & F.col("event_id").isNotNull()
-    return e.where(ok).select("event_id", F.col("event_type").alias("type"), ids.canonical_json(cents=F.col("cents")).alias("payload"))
+    """Every event as a message; those without a type or an id are error rows."""
+    e, n = events(spark, d), F.col("event_id")
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    id_ = F.when(n % 13 == 0, "").when(n % 31 != 0, text("e", "event_id"))
+    return bus.event_message(e, id_, F.when(n % 29 != 0, F.col("event_type")), ids.canonical_json(cents=F.col("cents")), subject_id=text("u", "user_id"), occurred_at_ms=F.col("ms")).select("event_id", "id", "type", "payload", "subject_id", "occurred_at_ms", "error")
 
 
 @job("m8_validate_payloads", """SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89) AS valid, CASE WHEN CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) NOT IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89) THEN '$.k' END AS path FROM events""")

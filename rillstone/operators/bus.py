@@ -1,7 +1,8 @@
 """Message bus: publish fold, dead letters, retention, pages, subscriptions and payload checks.
 
-Command rows have ord, kind, topic, command_id, idempotency_key, payload and now_ms (subscription_id, seq and
-start where a kind has them), in order of ``ord``.
+Command rows have ord, kind, topic, command_id, idempotency_key, payload and now_ms (subscription_id, seq,
+start and policy where a kind has them), in order of ``ord``. Everything that one command finds as an earlier one
+left it (the policy, a topic's head and tail) is looked up as of its ``ord``.
 """
 
 from __future__ import annotations
@@ -9,11 +10,11 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folds import keyed_fold
-from ..functions.order import number, over
+from ..functions.order import number, over, running_max, running_sum
 from ..functions.staging import stage
 
 
@@ -37,13 +38,23 @@ def fresh(commands: DataFrame) -> DataFrame:
     return rows.withColumn("_stop", stop).drop("_bad", "_apart")
 
 
-def topics(commands: DataFrame, strict: bool = True) -> DataFrame:
+def with_policy(commands: DataFrame, strict: bool = True, per_bucket: int = PER_BUCKET) -> DataFrame:
+    """Commands as ``fresh`` gives them, with ``_creates``: whether a publish makes its topic, by the last topic_policy
+    command (``policy``: strict or create) before it, and by ``strict`` before the first. Without a policy column that alone counts."""
+    if "policy" not in commands.columns:
+        return commands.withColumn("_creates", F.lit(not strict))
+    set_ = F.when((F.col("kind") == "topic_policy") & F.col("_stop").isNull(), F.struct("ord", "policy"))
+    rows = running_max(stage(commands, "commands"), {"_policy": set_}, ["ord"], bucket=F.floor(F.col("ord") / per_bucket))
+    return rows.withColumn("_creates", F.coalesce(F.col("_policy.policy") == "create", F.lit(not strict))).drop("_policy")
+
+
+def topics(commands: DataFrame) -> DataFrame:
     """topic, opened and closed: the ord from which it exists and of the first close after that (null if none).
 
-    If not strict a publish makes its topic too. ``commands`` as ``fresh`` gives them.
+    ``commands`` as ``with_policy`` gives them.
     """
     able = commands.where("_stop IS NULL")
-    opens = able.where(F.col("kind").isin("ensure_topic", *([] if strict else ["publish"])))
+    opens = able.where((F.col("kind") == "ensure_topic") | ((F.col("kind") == "publish") & F.col("_creates")))
     opened = opens.groupBy("topic").agg(F.min("ord").alias("opened"))
     closes = able.where("kind = 'close_topic'").groupBy("topic", "ord").count().join(opened, "topic").where("ord > opened")
     return opened.join(closes.groupBy("topic").agg(F.min("ord").alias("closed")), "topic", "left")
@@ -55,10 +66,11 @@ def publish(commands: DataFrame, strict: bool = True, per_bucket: int = PER_BUCK
 
     Checks go in order: an empty topic; a command id that a well-formed command of any kind had before,
     whatever became of it; an idempotency key of a message *published* before; a topic that is not open. A
-    topic is open from its first ensure to the first close after it; if not strict a publish opens it too.
+    topic is open from its first ensure to the first close after it; a publish opens it too if the policy
+    of its time is to create (``strict`` says so before the first policy command).
     """
-    rows = fresh(commands)
-    known = topics(rows, strict).select(F.col("topic").alias("_topic"), F.col("opened").alias("_from"), F.col("closed").alias("_to"))
+    rows = with_policy(fresh(commands), strict, per_bucket)
+    known = topics(rows).select(F.col("topic").alias("_topic"), F.col("opened").alias("_from"), F.col("closed").alias("_to"))
     rows = rows.where("kind = 'publish'").join(known, F.col("topic") == F.col("_topic"), "left")
     closed = F.coalesce(F.col("ord") > F.col("_to"), F.lit(False))
     opened = F.coalesce(F.col("ord") >= F.col("_from"), F.lit(False))
@@ -69,11 +81,31 @@ def publish(commands: DataFrame, strict: bool = True, per_bucket: int = PER_BUCK
     first = F.min(F.when(able, F.col("ord"))).over(keyed)
     again = F.coalesce(first < F.col("ord"), F.lit(False))
     status = F.coalesce("_stop", F.when(again, "duplicate-command"), "_bad_topic", F.lit("published"))
-    rows = stage(rows.withColumn("status", status).drop("_topic", "_from", "_to", "_stop", "_bad_topic"), "publishes")  # numbering reads it twice
+    rows = stage(rows.withColumn("status", status).drop("_topic", "_from", "_to", "_stop", "_bad_topic", "_creates"), "publishes")  # numbering reads it twice
     rows = number(rows, ["ord"], ["topic", "status"], F.floor(F.col("ord") / per_bucket), "seq")
     return rows.withColumn("seq", F.when(F.col("status") == "published", F.col("seq").cast("long")))
 
 
+#: What an event message may carry beside id, type and payload.
+EVENT_FIELDS = ("key", "subject_id", "correlation_id", "causation_id", "occurred_at_ms", "actor", "evidence_refs", "schema", "metadata")
+
+
+def event_message(rows: DataFrame, id_: Column, type_: Column, payload: Column, **fields: Column) -> DataFrame:
+    """Rows with id, type, payload and the given EVENT_FIELDS of an event message, and ``error``: null, or what is wrong with it (the type first)."""
+    if unknown := fields.keys() - set(EVENT_FIELDS):
+        raise ValueError(f"no field of an event message: {', '.join(sorted(unknown))}")
+    blank = lambda c: F.coalesce(c == "", F.lit(True))
+    error = F.when(blank(type_), "eventMessage.type must be non-empty").when(blank(id_), "eventMessage.id must be non-empty")
+    return rows.withColumns({"id": id_, "type": type_, "payload": payload, "error": error} | fields)
+
+
+def to_topic(rows: DataFrame, topic: str, payload: str, order: str, now_ms: str | None = None) -> DataFrame:
+    """Publish commands of a source's rows, in its order, without ids or keys: what a topic fed by the source is sent."""
+    none = F.lit(None).cast("string")
+    now = F.col(now_ms) if now_ms else F.lit(None).cast("long")
+    return rows.select(F.col(order).alias("ord"), F.lit("publish").alias("kind"), F.lit(topic).alias("topic"), none.alias("command_id"), none.alias("idempotency_key"), F.col(payload).alias("payload"), now.alias("now_ms"))
+
+
 def dead_letters(published: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame:
     """Rejected commands, numbered over all topics from 1 in order of ``ord`` without one task holding them."""
     bad = published.where(F.col("status").isin("malformed-command", "unknown-topic", "closed-topic"))
@@ -99,7 +131,7 @@ def _page(rows: DataFrame, order: str, limit: int) -> DataFrame:
 
 def catalog(commands: DataFrame, messages: DataFrame, left: DataFrame, strict: bool = True) -> DataFrame:
     """topic, closed, head_seq, next_seq and message_count of every topic that was made."""
-    made = topics(fresh(commands), strict).select("topic", F.col("closed").isNotNull().alias("closed"))
+    made = topics(with_policy(fresh(commands), strict)).select("topic", F.col("closed").isNotNull().alias("closed"))
     kept = left.groupBy("topic").agg(F.count("*").alias("message_count"))
     out = made.join(heads(messages, left), "topic", "left").join(kept, "topic", "left")
     return out.select(
@@ -131,9 +163,39 @@ def retained(messages: DataFrame, most: int | None = None, max_age_ms: int | Non
     return rows.drop("_topic", "_last", "_now")
 
 
-def trims(messages: DataFrame, most: int) -> DataFrame:
-    """A RetentionTrimmed fact per publish that pushed an older message out: topic, seq that did and head_seq after it."""
-    return messages.where(F.col("seq") > most).select("topic", "seq", (F.col("seq") - most + 1).alias("head_seq"), F.lit(1).alias("trim_count"))
+#: Milliseconds of a topic's clock whose messages are counted in one task.
+SLOT = 600_000
+
+
+def timed(messages: DataFrame, most: int | None = None, max_age_ms: int | None = None, per_bucket: int = PER_BUCKET, slot: int = SLOT) -> DataFrame:
+    """Published messages with head_seq after each publish and trimmed, by how much it moved the head.
+
+    A publish to a topic drops what is older than the age by the topic's clock (the greatest now_ms so far),
+    then all but the newest ``most``. Seqs are dense, so the head follows from the number of messages whose
+    time is before the age: a running count in which each publish also asks at its own time less the age.
+    """
+    if most is not None and most <= 0:
+        raise ValueError("policy-rejected: retention must leave a positive number of messages")
+    by_ord = F.floor(F.col("ord") / per_bucket)
+    rows = messages.select("topic", "ord", "seq", "now_ms")
+    head = F.lit(1) if most is None else F.greatest(F.lit(1), F.col("seq") - most + 1)
+    if max_age_ms is not None:
+        rows = stage(running_max(rows, {"clock": F.col("now_ms")}, ["ord"], ["topic"], by_ord), "clocks")
+        asks = rows.select("topic", "ord", "seq", (F.col("clock") - max_age_ms).alias("at"), F.lit(0).alias("n"))
+        both = asks.unionByName(rows.select("topic", "ord", "seq", F.col("clock").alias("at"), F.lit(1).alias("n")))
+        counted = running_sum(both, F.col("n"), ["at", "n", "ord"], ["topic"], F.floor(F.col("at") / slot), "gone").where("n = 0")
+        rows = counted.select("topic", "ord", "seq", "gone")
+        head = F.greatest(head, F.col("gone") + 1)
+    rows = rows.select("topic", "ord", "seq", head.cast("long").alias("head_seq"))
+    # Seqs are dense, so the head before a publish stands one seq earlier.
+    before = rows.select("topic", (F.col("seq") + 1).alias("seq"), F.col("head_seq").alias("_before"))
+    rows = rows.join(before, ["topic", "seq"], "left").withColumn("trimmed", F.col("head_seq") - F.coalesce("_before", F.lit(1)))
+    return rows.select("topic", "ord", "seq", "head_seq", "trimmed")
+
+
+def trims(log: DataFrame) -> DataFrame:
+    """A RetentionTrimmed fact per publish that moved its topic's head: topic, ord, seq that did, head_seq and trim_count. ``log`` is ``timed``'s."""
+    return log.where("trimmed > 0").select("topic", "ord", "seq", "head_seq", F.col("trimmed").alias("trim_count"))
 
 
 def heads(messages: DataFrame, left: DataFrame) -> DataFrame:
@@ -165,29 +227,42 @@ def available(cursors: DataFrame, left: DataFrame, ends: DataFrame, limit: int)
     return wanted.select("subscription_id", "topic", "seq").join(left, ["topic", "seq"])
 
 
-_FACTS = "ord long, topic string, subscription_id string, code string, next_seq long, closed boolean, retention_gap boolean"
+def as_of(commands: DataFrame, log: DataFrame, strict: bool = True, per_bucket: int = PER_BUCKET) -> DataFrame:
+    """Well-formed subscription commands (subscribe, ack, seek, close_subscription) with head_seq and tail_seq of their
+    topic at their time, null before it exists. ``log`` is ``timed``'s, of the same commands."""
+    rows = stage(with_policy(fresh(commands), strict, per_bucket), "commands-of-all-kinds")
+    own = rows.where(F.col("kind").isin("subscribe", "ack", "seek", "close_subscription") & F.col("_stop").isNull())
+    opened = topics(rows).select("topic", F.col("opened").alias("ord"), F.lit(1).cast("long").alias("_head"), F.lit(1).cast("long").alias("_tail"))
+    moved = log.select("topic", "ord", F.col("head_seq").alias("_head"), (F.col("seq") + 1).alias("_tail"))
+    names = ["ord", "topic", "subscription_id", "kind", "seq", "start"]
+    both = own.select(*names).unionByName(opened.union(moved), allowMissingColumns=True)
+    both = running_max(both, {"head_seq": F.col("_head"), "tail_seq": F.col("_tail")}, ["ord"], ["topic"], F.floor(F.col("ord") / per_bucket))
+    return both.where("kind IS NOT NULL").select(*names, "head_seq", "tail_seq")
 
 
-def subscriptions(commands: DataFrame) -> DataFrame:
-    """A fact per subscribe (start), ack, seek and close command: its code, and the cursor after it.
+_FACTS = "ord long, topic string, subscription_id string, code string, next_seq long, closed boolean, retention_gap boolean"
 
-    Columns: ord, topic, subscription_id, kind, seq, start (earliest, latest or null with seq) and the
-    topic's head_seq and tail_seq (one past the last message) of its time. Codes: subscribed, kept (it
-    was there already), acked, sought, closed, or the issue. A start outside the topic is an issue and
-    counts as its head. A cursor that retention has passed is a gap until it seeks. Each subscription
-    is one ordered stream. The last fact is its cursor, see ``cursors``.
-    """
+
+def _facts(commands: DataFrame) -> DataFrame:
+    """The facts of ``subscriptions``, and a row without ord wherever a cursor may be overtaken by retention after it: with
+    code overtaken where a later command has found it so, else open."""
 
     def step(state, r):
         cursor, closed, gap = state
-        if cursor is not None and not closed and cursor < r.head_seq:
+        out = []
+        if cursor is not None and not closed and not gap and r.head_seq is not None and max(cursor, 1) < r.head_seq:
             gap = True
+            out.append((None, r.topic, r.subscription_id, "overtaken", cursor, False, True))
         if r.kind == "subscribe":
             code = "kept"
-            if cursor is None:
+            if cursor is None and r.head_seq is None:
+                code, cursor = "subscribed", r.seq if r.start is None else 1
+            elif cursor is None:
                 want = r.head_seq if r.start == "earliest" else r.tail_seq if r.start == "latest" else r.seq
                 inside = want is not None and r.head_seq <= want <= r.tail_seq
                 code, cursor = ("subscribed", want) if inside else ("cursor-out-of-range", r.head_seq)
+        elif r.head_seq is None:
+            code = "unknown-topic"
         elif cursor is None:
             code = "unknown-subscription"
         elif r.kind == "close_subscription":
@@ -200,9 +275,63 @@ def subscriptions(commands: DataFrame) -> DataFrame:
         else:
             code = "retention-gap" if r.seq < r.head_seq else "cursor-out-of-range" if r.seq > r.tail_seq else "sought"
             cursor, gap = (r.seq, False) if code == "sought" else (cursor, gap)
-        return (cursor, closed, gap), [(r.ord, r.topic, r.subscription_id, code, cursor, closed, gap)]
+        return (cursor, closed, gap), [*out, (r.ord, r.topic, r.subscription_id, code, cursor, closed, gap)]
+
+    def end(key, state):
+        cursor, closed, gap = state
+        return [] if cursor is None or closed or gap else [(None, *key, "open", cursor, False, False)]
+
+    return keyed_fold(commands, ["topic", "subscription_id"], ["ord"], step, lambda: (None, False, False), _FACTS, end)
+
 
-    return keyed_fold(commands, ["topic", "subscription_id"], ["ord"], step, lambda: (None, False, False), _FACTS)
+def subscriptions(commands: DataFrame) -> DataFrame:
+    """A fact per subscribe (start), ack, seek and close command: its code, and the cursor after it.
+
+    Columns: ord, topic, subscription_id, kind, seq, start (earliest, latest or null with seq) and the
+    topic's head_seq and tail_seq (one past the last message) of its time, as ``as_of`` gives them; null: no such topic.
+    Codes: subscribed, kept (it was there already), acked, sought, closed, or the issue. A start outside
+    the topic is an issue and counts as its head; one at a topic that is not there yet is taken as it is.
+    A cursor that retention has passed is a gap until it seeks. Each subscription is one ordered
+    stream. The last fact is its cursor, see ``cursors``.
+    """
+    return _facts(commands).where("ord IS NOT NULL")
+
+
+def subscription_gaps(commands: DataFrame, log: DataFrame, per_bucket: int = PER_BUCKET) -> tuple[DataFrame, DataFrame]:
+    """The facts of ``subscriptions`` over commands as ``as_of`` gives them, and a row per time that a trim overtakes an open cursor.
+
+    A gap has topic, subscription_id, ord of the publish whose trim did it, next_seq and head_seq after
+    it; a subscription has the next one only after a seek. A cursor is overtaken by the trim that takes
+    its message: the last one that began at or before it.
+    """
+    facts = stage(_facts(commands), "subscription-facts")
+    moves = log.where("trimmed > 0").select("topic", (F.col("head_seq") - F.col("trimmed")).alias("at"), F.struct((F.col("head_seq") - F.col("trimmed")).alias("from"), "head_seq", "ord").alias("trim"))
+    cursors_ = facts.where("ord IS NULL").select("topic", "subscription_id", "next_seq", F.greatest("next_seq", F.lit(1)).alias("at"))
+    both = stage(moves.unionByName(cursors_, allowMissingColumns=True).withColumn("asks", F.col("trim").isNull()), "trims-and-cursors")
+    found = running_max(both, {"last": F.col("trim")}, ["at", "asks", "subscription_id"], ["topic"], F.floor(F.col("at") / per_bucket))
+    gone = found.where(F.col("asks") & (F.col("last.head_seq") > F.col("at")))
+    return facts.where("ord IS NOT NULL"), gone.select("topic", "subscription_id", F.col("last.ord").alias("ord"), "next_seq", F.col("last.head_seq").alias("head_seq"))
+
+
+ISSUES = ("malformed-command", "unknown-topic", "closed-topic", "unknown-subscription", "subscription-closed", "retention-gap", "source-cursor-stale", "cursor-out-of-range")
+
+
+def issues(commands: DataFrame, published: DataFrame, facts: DataFrame, gaps: DataFrame, strict: bool = True, duplicates: bool = False, per_bucket: int = PER_BUCKET) -> DataFrame:
+    """Every dead letter of the bus, numbered from 1 as they came: entry_seq, ord, topic, subscription_id and code.
+
+    Of a publish come its own issue and then those of the subscriptions that its trim overtook, by their id.
+    Duplicates are issues if asked, else they are status facts only.
+    """
+    text = lambda c: F.col(c) if isinstance(c, str) else c
+    row = lambda df, code, topic="topic", sub=None: df.select("ord", text(topic).alias("topic"), (F.lit(None).cast("string") if sub is None else text(sub)).alias("subscription_id"), text(code).alias("code"))
+    rows = stage(with_policy(fresh(commands), strict, per_bucket), "commands-with-stops")
+    stopped = row(rows.where("kind <> 'publish' AND _stop IS NOT NULL"), "_stop")
+    known = topics(rows).select(F.col("topic").alias("_topic"), "opened")
+    closes = rows.where("kind = 'close_topic' AND _stop IS NULL").join(known, F.col("topic") == F.col("_topic"), "left").where("opened IS NULL OR ord < opened")
+    every = row(published.where("status <> 'published'"), "status").union(stopped).union(row(closes, F.lit("unknown-topic")))
+    every = every.union(row(facts, "code", sub="subscription_id")).union(row(gaps, F.lit("retention-gap"), F.lit(None).cast("string"), "subscription_id"))
+    every = stage(every.where(F.col("code").isin(*ISSUES, *(["duplicate-command"] if duplicates else []))), "issues")
+    return number(every, ["ord", "subscription_id"], bucket=F.floor(F.col("ord") / per_bucket), name="entry_seq")
 
 
 def cursors(facts: DataFrame) -> DataFrame:
