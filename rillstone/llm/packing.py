@@ -24,7 +24,7 @@ CAPACITY = 2048
 #: Equal-cardinality groups of large lengths; lengths up to SMALL are placed by best fit.
 GROUPS, SMALL = 512, 128
 #: Rows of a length that are numbered in one task, about.
-PER_SALT = 50_000
+PER_SALT = 2000
 #: Bytes of words and ids of a generation that a Python worker remembers, and what an entry costs besides.
 CACHED, ENTRY = 60 << 20, 160
 _tokenizers: dict = {}
@@ -91,7 +91,8 @@ def encode_words(words: list[str], path: str) -> list[list[int]]:
 
 
 #: Words of letters that need no composition, then signs: two pre-tokens, given to the model as they are.
-_PLAIN = re.compile(r"([a-zà-öø-ÿ]*)([.,;:!?*#$%&|()-]*)")
+_SIGNS = ".,;:!?*#$%&|()-"
+_PLAIN = re.compile(rf"[a-zà-öø-ÿ]*[{re.escape(_SIGNS)}]*")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: How the byte-level vocabulary writes bytes: printable ones as themselves, the others from U+0100 on.
 BYTE_LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -105,10 +106,11 @@ def _core_ids(core: str, path: str) -> bytes:
 def _word_ids(word: bytes, path: str) -> bytes:
     """A word's ids. Plain words skip normaliser and pre-tokeniser, which would leave them as they are."""
     text = word.decode("utf-8", "replace")
-    plain = _PLAIN.fullmatch(text.lower())
-    if not plain:
+    lower = text.lower()
+    core = lower.rstrip(_SIGNS)
+    if not (core.isascii() and core.isalpha()) and not _PLAIN.fullmatch(lower):
         return array("I", tokenizer(path).encode(text, add_special_tokens=False).ids).tobytes()
-    core, signs = plain.groups()
+    signs = lower[len(core) :]
     known = _cores[path]
     return (known[core] if core else b"") + (known[signs] if signs else b"")
 
