@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..operators import basic
 from ..sources import files
 from ..sources.tables import EVENTS_SQL, epoch_ms, events
 from ..streaming import operators as streaming
+from ..streaming import stateful
+from . import workflows
 from .registry import job
 
 E = f"WITH {EVENTS_SQL}"
@@ -17,7 +22,7 @@ HALF_DAY = 43_200_000
 
 def stream(spark, d):
     rows = streaming.read_stream(spark, f"{d}/events.parquet")
-    return rows.withColumn("ms", epoch_ms("ts")).withColumn("cents", F.round(F.col("value") * 100).cast("long")).drop("value", "props")
+    return rows.withColumn("ms", epoch_ms("ts")).withColumn("cents", F.round(F.col("value") * 100).cast("long")).withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("int")).drop("value", "props")
 
 
 @job("st1_stateless", f"{E} SELECT event_id, 'large' AS branch FROM e WHERE cents > 8000 AND event_type <> 'error' UNION ALL SELECT event_id, 'paid' FROM e WHERE event_type = 'purchase'")
@@ -83,6 +88,64 @@ def st3_breaker(spark, d):
     return streaming.run_to_table(streaming.breaker(rows, "user_id", "ts", "event_id", "failed", 2, LATE), "breaker")
 
 
+@job("st3_buffer_count", f"{E} SELECT user_id, list(cents ORDER BY ms, event_id) AS values FROM (SELECT *, row_number() OVER {W} AS rn FROM e WHERE {PASSED}) GROUP BY user_id, (rn - 1) // 5 HAVING count(*) = 5")
+def st3_buffer_count(spark, d):
+    rows = stream(spark, d).select("user_id", "ts", "event_id", "cents")
+    return streaming.run_to_table(stateful.buffer_count(rows, "user_id", "ts", ["event_id"], "cents", 5, LATE), "buffer-count")
+
+
+@job("st3_publish", f"""{E}, cm AS (SELECT event_id AS ord, ms, event_type AS topic, CASE WHEN event_type = 'signup' AND k = 89 AND event_id % 3 = 0 THEN 'close_topic' WHEN k < 3 THEN 'ensure_topic' ELSE 'publish' END AS kind, CASE WHEN event_id % 7 = 0 THEN 'c' || (event_id % 1050) END AS cid,
+ CASE WHEN event_id % 5 = 0 THEN 'i' || (event_id % 1400) END AS ik FROM e WHERE {PASSED}), fr AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY ms, ord) AS rn, cid IS NOT NULL AND row_number() OVER (PARTITION BY topic, cid ORDER BY ms, ord) > 1 AS dup FROM cm),
+op AS (SELECT topic, min(rn) AS f FROM fr WHERE kind = 'ensure_topic' AND NOT dup GROUP BY 1), cl AS (SELECT fr.topic, min(rn) AS t FROM fr JOIN op ON op.topic = fr.topic AND rn > f WHERE kind = 'close_topic' AND NOT dup GROUP BY 1),
+a AS (SELECT fr.*, CASE WHEN coalesce(rn < f, true) THEN 'unknown-topic' WHEN rn > t THEN 'closed-topic' END AS bad FROM fr LEFT JOIN op USING (topic) LEFT JOIN cl USING (topic) WHERE kind = 'publish'),
+s AS (SELECT *, CASE WHEN dup OR (ik IS NOT NULL AND coalesce(min(CASE WHEN NOT dup AND bad IS NULL THEN rn END) OVER (PARTITION BY topic, ik) < rn, false)) THEN 'duplicate-command' ELSE coalesce(bad, 'published') END AS status FROM a)
+SELECT ord, status, CASE WHEN status = 'published' THEN row_number() OVER (PARTITION BY topic, status ORDER BY rn) END AS seq FROM s""")
+def st3_publish(spark, d):
+    n, k, kind = F.col("event_id"), F.col("k"), F.col("event_type")
+    given = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    rows = stream(spark, d).select(
+        "ts", n.alias("ord"), kind.alias("topic"), F.when((kind == "signup") & (k == 89) & (n % 3 == 0), "close_topic").when(k < 3, "ensure_topic").otherwise("publish").alias("kind"),
+        F.when(n % 7 == 0, given("c", n % 1050)).alias("command_id"), F.when(n % 5 == 0, given("i", n % 1400)).alias("idempotency_key"),
+    )
+    return streaming.run_to_table(stateful.publish(rows, "ts", LATE), "publish")
+
+
+def _views(row):
+    if row.k % 5 == 0:
+        raise ValueError(row.k)
+    return [("viewed", row.k)]
+
+
+@job("st3_cqrs", f"""{E}, h AS (SELECT *, 'c' || (event_id % 900) AS id, CASE WHEN row_number() OVER (PARTITION BY user_id, event_id % 900 ORDER BY ms, event_id) > 1 THEN 'duplicate-command' WHEN event_type NOT IN ('click', 'purchase', 'view') THEN 'unknown-command' WHEN event_type = 'view' AND k % 5 = 0 THEN 'handler-failed' ELSE 'accepted' END AS status FROM e WHERE {PASSED}),
+v AS (SELECT *, unnest(CASE event_type WHEN 'click' THEN [1] WHEN 'view' THEN [1] ELSE [1, 2] END) AS i FROM h WHERE status = 'accepted')
+SELECT event_id AS ord, status, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS type, CAST(NULL AS BIGINT) AS payload FROM h UNION ALL
+SELECT event_id, 'event', 'cqrs-event:["' || id || '","' || i || '"]', row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id, i), CASE event_type WHEN 'click' THEN 'clicked' WHEN 'view' THEN 'viewed' ELSE ['paid', 'counted'][i] END, CASE WHEN event_type = 'view' THEN k WHEN i = 2 THEN 1 ELSE cents END FROM v""")
+def st3_cqrs(spark, d):
+    handlers = {"click": lambda r: [("clicked", r.cents)], "purchase": lambda r: [("paid", r.cents), ("counted", 1)], "view": _views}
+    rows = stream(spark, d).select("user_id", "ts", "cents", "k", F.col("event_id").alias("ord"), F.concat(F.lit("c"), (F.col("event_id") % 900).cast("string")).alias("id"), F.col("event_type").alias("command_type"))
+    return streaming.run_to_table(stateful.handle(rows, "user_id", "ts", LATE, handlers), "cqrs")
+
+
+@job("st3_process", workflows.PROCESS.format(events=EVENTS_SQL, order="ms, event_id", where=PASSED) + workflows.FACTS)
+def st3_process(spark, d):
+    rows = workflows.process_commands(stream(spark, d)).select("process_id", "ts", "ord", "id", "command_type", "cents", "k")
+    return streaming.run_to_table(stateful.process(rows, "ts", LATE, workflows.reduce_event, 0, "long"), "process")
+
+
+@job("st7_effects", f"""{E} SELECT 'sales' AS topic, 'u' || user_id || 'k' || k AS idempotency_key, count(*) OVER () AS effects FROM (SELECT DISTINCT user_id, k FROM e WHERE event_type = 'purchase')""")
+def st7_effects(spark, d):
+    """Purchases to an outbox, once per key: the run breaks between the effects of its batch and their ledger, and is begun again."""
+    rows = stream(spark, d).where("event_type = 'purchase'").select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("k"), F.col("k").cast("string")).alias("idempotency_key"), "event_id")
+    name = f"sales-{uuid.uuid4().hex}"
+    sent = lambda fresh: fresh.select(F.lit("sales").alias("topic"), "idempotency_key")
+    try:
+        streaming.effect_once(rows, name, "idempotency_key", sent, broken_at=0)
+    except StreamingQueryException:
+        pass
+    ledger = streaming.effect_once(rows, name, "idempotency_key", sent)
+    return ledger.effects().withColumn("effects", F.lit(ledger.applied().count()))
+
+
 @job("st4_debounce", f"""{E}, n AS (SELECT *, lead(ms) OVER {W} AS nx FROM e), m AS (SELECT max(ms) - 3600000 AS w FROM e)
 SELECT user_id, ms AS at_ms, event_id FROM n, m WHERE (nx IS NULL OR nx - ms >= {HALF_DAY}) AND ms + {HALF_DAY} <= w""")
 def st4(spark, d):

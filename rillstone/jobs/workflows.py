@@ -253,16 +253,40 @@ def e4(spark, d):
     return cqrs.project(made, ["paid", "clicked"], ["aggregate_id"], total=F.sum("payload"), n=F.count("*"), last=F.max_by("payload", "seq"))
 
 
-@job("e5_process", f"""{E}, w AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS era FROM e)
-SELECT user_id AS process_id, event_id AS ord, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'accepted' END AS kind, CAST(coalesce(sum(CASE WHEN event_type IN ('click', 'view', 'purchase') THEN cents ELSE 0 END) OVER (PARTITION BY user_id, era ORDER BY event_id), 0) AS BIGINT) AS state FROM w""")
-def e5(spark, d):
-    def step(state, kind, payload):
-        if kind == "error":
-            raise ValueError(kind)
-        return (0, ["reset"], []) if kind == "signup" else (state + payload, ["added"], ["notify"] if kind == "purchase" else [])
+PROCESS = """WITH RECURSIVE {events}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS rn, CASE WHEN event_id % 41 = 0 THEN '' ELSE 'c' || event_id END AS id, CASE WHEN event_id % 43 = 0 THEN '' ELSE event_type END AS ct FROM e WHERE {where}),
+f AS (SELECT DISTINCT user_id, 0 AS rn, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS VARCHAR) AS code, 0::BIGINT AS state, 0::BIGINT AS es, 0::BIGINT AS fs, 0::BIGINT AS errors, []::VARCHAR[] AS seen, []::VARCHAR[] AS made, []::VARCHAR[] AS eff, CAST(NULL AS BIGINT) AS cents, CAST(NULL AS VARCHAR) AS ct FROM n
+ UNION ALL SELECT user_id, rn, ord, code, CASE WHEN code IS NOT NULL THEN state WHEN ct = 'signup' THEN 0 ELSE state + cents END, CASE WHEN code IS NULL THEN es + len(ev) ELSE es END, CASE WHEN code IS NULL THEN fs + len(ef) ELSE fs END, errors + CASE WHEN code IS NULL THEN 0 ELSE 1 END,
+  CASE WHEN code IS NULL THEN list_concat(seen, list_concat(list_transform(ev, lambda x: 'e' || x), list_transform(ef, lambda x: 'f' || x))) ELSE seen END, CASE WHEN code IS NULL THEN ev ELSE [] END, CASE WHEN code IS NULL THEN ef ELSE [] END, cents, ct FROM (
+  SELECT *, CASE WHEN id = '' OR ct = '' THEN 'malformed-command' WHEN ct = 'error' THEN 'reducer-threw' WHEN k = 34 OR list_contains(seen, 'e' || ev[1]) THEN 'malformed-event' WHEN k = 55 OR (len(ef) > 0 AND list_contains(seen, 'f' || ef[1])) THEN 'malformed-effect' END AS code FROM (
+   SELECT n.user_id, n.rn, n.event_id AS ord, n.id, n.ct, n.k, n.cents, f.state, f.es, f.fs, f.errors, f.seen,
+    list_concat([CASE WHEN n.k % 3 = 0 THEN 'x' || (n.event_id % 50) ELSE 'process-event:["' || n.id || '","' || (f.es + 1) || '"]' END], CASE WHEN n.ct = 'purchase' THEN ['process-event:["' || n.id || '","' || (f.es + 2) || '"]'] ELSE [] END) AS ev,
+    CASE WHEN n.ct = 'purchase' THEN ['f' || (n.event_id % 40)] ELSE [] END AS ef FROM f JOIN n ON n.user_id = f.user_id AND n.rn = f.rn + 1)))
+"""
+FACTS = """SELECT user_id AS process_id, ord, CASE WHEN code IS NULL THEN 'accepted' ELSE 'failed' END AS kind, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS name, rn AS seq, CAST(NULL AS BIGINT) AS payload, code, es AS event_seq, fs AS effect_seq, rn AS command_count, errors AS error_count, state FROM f WHERE rn > 0
+UNION ALL SELECT user_id, ord, 'event', made[i], CASE WHEN i = 2 THEN 'paid' WHEN ct = 'signup' THEN 'reset' ELSE 'added' END, es - len(made) + i, CASE WHEN i = 1 THEN cents END, NULL, es, fs, rn, errors, state FROM (SELECT *, unnest(range(1, len(made) + 1)) AS i FROM f)
+UNION ALL SELECT user_id, ord, 'effect', eff[i], 'notify', fs - len(eff) + i, state, NULL, es, fs, rn, errors, state FROM (SELECT *, unnest(range(1, len(eff) + 1)) AS i FROM f)"""
+
+
+def reduce_event(state, c):
+    """Events as commands of their user's process: some ids are given, some drafts are malformed, errors raise."""
+    if c.command_type == "error":
+        raise ValueError(c.command_type)
+    new = 0 if c.command_type == "signup" else state + c.cents
+    kind = "" if c.k == 34 else "reset" if c.command_type == "signup" else "added"
+    made = [(kind, c.cents, f"x{c.ord % 50}" if c.k % 3 == 0 else None)]
+    asked = [("" if c.k == 55 else "notify", new, f"f{c.ord % 40}")] if c.command_type == "purchase" else [("", None, None)] if c.k == 55 else []
+    return new, made + (["paid"] if c.command_type == "purchase" else []), asked
+
+
+def process_commands(rows):
+    n = F.col("event_id")
+    return rows.withColumns({"process_id": F.col("user_id"), "ord": n, "id": F.when(n % 41 == 0, "").otherwise(text("c", n)), "command_type": F.when(n % 43 == 0, "").otherwise(F.col("event_type"))})
 
-    c = events(spark, d).select(F.col("user_id").alias("process_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("command_type"), F.col("cents").alias("payload"))
-    return cqrs.process(c, step, 0, "long").where("kind in ('accepted', 'failed')").select("process_id", "ord", "kind", "state")
+
+@job("e5_process", PROCESS.format(events=EVENTS_SQL, order="event_id", where="true") + FACTS)
+def e5(spark, d):
+    """Every fact: outcomes, events and effects, with cursor and state."""
+    return cqrs.process(process_commands(events(spark, d)), reduce_event, 0, "long")
 
 
 @job("e6_effect_commands", """WITH o AS (SELECT event_id, ['result', 'failure', 'cancel', 'other'][event_id % 4 + 1] AS kind, CASE WHEN event_id % 3 = 0 THEN 1 END AS value, CASE WHEN event_id % 5 = 0 THEN 'x' END AS error FROM events)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,28 +144,96 @@ def project(events: DataFrame, types: list[str], keys: list[str], **folds: Colum
     return events.where(F.col("type").isin(types)).groupBy(*keys).agg(*[c.alias(n) for n, c in folds.items()])
 
 
-def process(commands: DataFrame, step: Callable, initial, state_type: str) -> DataFrame:
-    """State machine per process: ``step(state, command_type, payload)`` gives (state, event types, effect types).
+def event_id(command: str, number: int, kind: str = "cqrs-event") -> str:
+    """The default id of a command's event: the kind and a JSON array of strings."""
+    return f"{kind}:{json.dumps([command, str(number)], separators=(',', ':'), ensure_ascii=False)}"
 
-    A step that raises leaves the state and gives status failed. Event and effect rows are numbered per process from 1.
-    """
 
-    def each(kept, c):
-        state, n = kept
+class Kept:
+    """A process: its state, how many events, effects, commands, errors and audit rows there were, and the ids it gave out."""
+
+    def __init__(self, state, events: int = 0, effects: int = 0, commands: int = 0, errors: int = 0, audits: int = 0):
+        self.state, self.events, self.effects, self.commands, self.errors, self.audits = state, events, effects, commands, errors, audits
+        self.seen: tuple = (set(), set())
+
+
+def _drafted(drafts: Iterable, kind: str, command: str, before: int, seen) -> list[tuple[str, str, object]]:
+    """(id, type, payload) of drafts; a ValueError if one has no type or an id that was given out before."""
+    out, own = [], set()
+    for n, draft in enumerate(drafts, before + 1):
+        type_, payload, id_ = draft if isinstance(draft, tuple) else (draft, None, None)
+        if not type_:
+            raise ValueError(f"{kind} draft without a type")
+        id_ = id_ or event_id(command, n, f"process-{kind}")
+        if id_ in own or id_ in seen:
+            raise ValueError(f"duplicate {kind} {id_}")
+        own.add(id_)
+        out.append((id_, type_, payload))
+    return out
+
+
+def reduce_command(kept: Kept, c: tuple, step: Callable) -> list[tuple]:
+    """One command's facts (see ``process``); all of it happens or nothing does."""
+    kept.commands += 1
+    code, made = None, ([], [])
+    if not c.id or not c.command_type:
+        code = "malformed-command"
+    else:
         try:
-            new, made, asked = step(state, c.command_type, c.payload)
+            new, *drafts = step(kept.state, c)
         except Exception:
-            return kept, [(c.process_id, c.ord, "failed", None, None, state)]
-        out = [(c.process_id, c.ord, "accepted", None, None, new)]
-        count = dict(zip(("event", "effect"), n, strict=True))
-        for kind, names in (("event", made), ("effect", asked)):
-            for name in names:
-                count[kind] += 1
-                out.append((c.process_id, c.ord, kind, name, count[kind], new))
-        return (new, (count["event"], count["effect"])), out
-
-    key = commands.schema["process_id"].dataType.simpleString()
-    return keyed_fold(commands, ["process_id"], ["ord"], each, lambda: (initial, (0, 0)), f"process_id {key}, ord long, kind string, name string, seq long, state {state_type}")
+            code = "reducer-threw"
+        else:
+            try:
+                kind = "event"
+                made = (_drafted(drafts[0], kind, c.id, kept.events, kept.seen[0]), [])
+                kind = "effect"
+                made = (made[0], _drafted(drafts[1], kind, c.id, kept.effects, kept.seen[1]))
+            except ValueError:
+                code, made = f"malformed-{kind}", ([], [])
+    rows = []
+    if code is None:
+        kept.state = new
+    else:
+        kept.errors += 1
+    for n, (kind, drafts) in enumerate((("event", made[0]), ("effect", made[1]))):
+        for id_, type_, payload in drafts:
+            kept.seen[n].add(id_)
+            if kind == "event":
+                kept.events += 1
+            else:
+                kept.effects += 1
+            rows.append((kind, id_, type_, kept.events if kind == "event" else kept.effects, payload, None))
+    kept.audits += 1
+    status = ("accepted" if code is None else "failed", None, None, kept.audits, None, code)
+    counters = (kept.events, kept.effects, kept.commands, kept.errors, kept.state)
+    return [(c.process_id, c.ord, *row, *counters) for row in [status, *rows]]
+
+
+def facts_type(process_id: T.DataType, state_type: str, payload_type: str = "long") -> T.StructType:
+    kinds = T.StructType.fromDDL(
+        f"ord long, kind string, id string, name string, seq long, payload {payload_type}, code string, event_seq long, effect_seq long, command_count long, error_count long, state {state_type}"
+    )
+    return T.StructType([T.StructField("process_id", process_id), *kinds.fields])
+
+
+def process(commands: DataFrame, step: Callable, initial, state_type: str, payload_type: str = "long") -> DataFrame:
+    """A state machine per process over commands (process_id, ord, id, command_type, any others).
+
+    ``step(state, command)`` gives (state, event drafts, effect drafts); a draft is a type, or (type, payload, id), an
+    empty id standing for the default one. A command's facts: a row of kind accepted or failed with its ``code`` and
+    the audit number, then, if it was accepted, its events and effects with id, name (their type) and seq,
+    dense per process from 1. All rows tell the cursor and the state after the command.
+
+    Codes, in order: malformed-command (an empty id or type), reducer-threw, malformed-event, malformed-effect (an
+    empty type, or an id that another draft or an accepted command of the process has). Whatever the
+    code, state and ids stay as they were; commands and errors are counted. A task holds the ids of one process.
+    """
+
+    def each(kept, c):
+        return kept, reduce_command(kept, c, step)
+
+    return keyed_fold(commands, ["process_id"], ["ord"], each, lambda: Kept(initial), facts_type(commands.schema["process_id"].dataType, state_type, payload_type))
 
 
 def effect_commands(outcomes: DataFrame) -> DataFrame:

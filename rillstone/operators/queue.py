@@ -34,7 +34,7 @@ def admit(messages: DataFrame) -> DataFrame:
     return rows.withColumn("kind", F.when(first, "WorkAdmitted").otherwise("AdmissionDeduped")).withColumn("state", F.when(late, "scheduled").otherwise("ready"))
 
 
-class _Queue:
+class Queue:
     """The works of one queue. Ready works wait in a heap by admission, delayed ones and leases in heaps by time;
     entries that no longer fit their work are passed over when they come up."""
 
@@ -208,6 +208,11 @@ class _Queue:
             self.free(work, "dead")
 
 
+def is_formed(c: dict) -> bool:
+    """Whether a command has an id, and a work if its kind needs one."""
+    return bool(c["command_id"]) and (c["kind"] in ("claim", "expire_leases") or bool(c["work_id"]))
+
+
 def fold(commands: DataFrame, lease_ms: int, attempts: int, retry_ms: int = 0) -> DataFrame:
     """Commands (queue_id, ord, command_id, kind, work_id, lease_id, attempt, worker_id, limit, not_before_ms,
     retryable, now_ms) of all queues as records and issues.
@@ -223,7 +228,7 @@ def fold(commands: DataFrame, lease_ms: int, attempts: int, retry_ms: int = 0) -
     def step(queue, row):
         return queue, queue.apply(dict(zip(names, row, strict=True)))
 
-    return keyed_fold(rows, ["queue_id"], ["ord"], step, lambda: _Queue(lease_ms, attempts, retry_ms), RECORD)
+    return keyed_fold(rows, ["queue_id"], ["ord"], step, lambda: Queue(lease_ms, attempts, retry_ms), RECORD)
 
 
 #: The state a record leaves its work in; other kinds change none.

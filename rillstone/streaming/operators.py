@@ -7,17 +7,19 @@ in whatever micro-batches they come; later ones are dropped by the watermark.
 
 from __future__ import annotations
 
+import contextlib
 import pickle
 import uuid
 from collections import namedtuple
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.staging import shared_dir
+from ..functions.staging import shared_dir, stage
+from . import stateful
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -160,18 +162,94 @@ def breaker(stream: DataFrame, key: str, at: str, order: str, failed: str, thres
     return fold(stream, key, at, late, [at, order], step, 0, f"{order} {dict(stream.dtypes)[order]}, failures long, state string")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+@contextlib.contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _base(spark: SparkSession, name: str, resume: bool) -> str:
+    """The folder of a stream's checkpoint and tables: a new one, or the one that earlier runs of the name had."""
+    return f"{shared_dir(spark)}/streams/{name}" + ("" if resume else f"-{uuid.uuid4().hex}")
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", resume: bool = False) -> DataFrame:
     """Run a stream over all that is there now into a written table, and read that. Checkpoint and table lie
-    in the shared folder; the file sink writes each batch once."""
+    in the shared folder; the file sink writes each batch once. With ``resume`` a later run of the name, also of another
+    application, goes on where the last one ended or failed, with its state and offsets."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/table").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    base = _base(spark, name, resume)
+    with _settings(spark, **dict([stateful.PROVIDER])):
+        query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/table").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
 
 
-def once_per_key(stream: DataFrame, name: str, effect: Callable[[DataFrame, int], None]) -> None:
-    """Run an effect per micro-batch; it gets the batch's number, by which a replay can be told."""
-    base = f"{shared_dir(stream.sparkSession)}/streams/{name}-{uuid.uuid4().hex}"
+def once_per_key(stream: DataFrame, name: str, effect: Callable[[DataFrame, int], None], resume: bool = False) -> None:
+    """Run an effect per micro-batch; it gets the batch's number, by which a replay can be told. After a failure a
+    run with ``resume`` begins with the batch that failed, with the same rows and number."""
+    base = _base(stream.sparkSession, name, resume)
     query = stream.writeStream.foreachBatch(effect).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+class Ledger:
+    """Effects that stand once per id, whatever fails between the batch's rows and its commit.
+
+    Below the stream's folder lie ``effects`` and ``ledger``, a folder per batch number in each. A batch's
+    effects are written first and its ids then, both replacing what an earlier try of the same batch left;
+    effects count once the ledger has their batch. Ids of earlier batches are passed over. So a replay, which has
+    the batch's rows and number again, leaves what a first run would have left.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base = spark, _base(spark, name, True)
+        self.name = name
+
+    def _table(self, folder: str) -> DataFrame | None:
+        path = f"{self.base}/{folder}"
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+        return self.spark.read.option("recursiveFileLookup", False).option("basePath", path).parquet(path) if there else None
+
+    def apply(self, rows: DataFrame, batch: int, key: str, effect: Callable[[DataFrame], DataFrame], broken: bool = False) -> None:
+        """The effects of a batch's rows whose ``key`` no earlier batch had, one row per key: the first by all columns.
+
+        ``broken`` makes it fail where it hurts most, with the effects written and their ids not.
+        """
+        nth = F.row_number().over(Window.partitionBy(key).orderBy(*rows.columns))
+        fresh = rows.withColumn("_n", nth).where("_n = 1").drop("_n")
+        if (done := self._table("ledger")) is not None:
+            fresh = fresh.join(done.where(F.col("batch") < batch).select(F.col("id").alias(key)), key, "left_anti")
+        fresh = stage(fresh, "ledger-batch")
+        self.write("effects", effect(fresh), batch)
+        if broken:
+            raise RuntimeError("broken between effects and ledger")
+        self.write("ledger", fresh.select(F.lit(self.name).alias("query"), F.col(key).alias("id")), batch)
+
+    def write(self, folder: str, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.base}/{folder}/batch={batch}")
+
+    def applied(self) -> DataFrame:
+        """query, id and batch of every id whose effect stands."""
+        return self._table("ledger")
+
+    def effects(self) -> DataFrame:
+        """The effects of all batches that the ledger has."""
+        return self._table("effects").join(self.applied().select("batch").distinct(), "batch", "left_semi").drop("batch")
+
+
+def effect_once(stream: DataFrame, name: str, key: str, effect: Callable[[DataFrame], DataFrame], broken_at: int | None = None) -> Ledger:
+    """Run an effect that gives rows, once per value of ``key`` over all runs of the name; see ``Ledger``.
+
+    ``broken_at`` is a drill: this run fails in the batch of that number.
+    """
+    ledger = Ledger(stream.sparkSession, name)
+    once_per_key(stream, name, lambda rows, batch: ledger.apply(rows, batch, key, effect, batch == broken_at), resume=True)
+    return ledger
