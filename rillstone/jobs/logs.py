@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions.order import over
 from ..functions.staging import stage
-from ..operators import bus, collections
+from ..operators import bus, caches, collections, mutations
 from ..sources.tables import EVENTS_SQL, KEY, ORDER, events, read
 from .registry import job
 
@@ -206,6 +206,73 @@ def c11(spark, d):
     return collections.deltas(state(e.where("event_type = 'click'")), state(e.where("event_type in ('view', 'click')")), ["user_id", "k"], "v")
 
 
+def calls(spark, d):
+    """A user's events as calls on collections."""
+    k = F.col("k")
+    return events(spark, d).withColumns({"collection": F.col("user_id"), "ord": F.col("event_id"), "many": F.array((k % 10).cast("long"), ((k + 3) % 10).cast("long"), (k % 10).cast("long")), "short": (F.col("event_type") == "signup") & (k < 10)})
+
+
+CALLS = f"""{E}, m AS (SELECT user_id AS collection, event_id AS ord, cents, k, event_type AS t, CASE WHEN {CLEARS} THEN 'clear' WHEN event_type = 'error' THEN CASE WHEN k % 2 = 1 THEN 'delete' ELSE 'delete_many' END WHEN event_type = 'purchase' THEN 'set_many' ELSE 'set' END AS op FROM e)"""
+ITEMS = CALLS + """, x AS (SELECT *, unnest(CASE op WHEN 'set_many' THEN [0, 1] WHEN 'delete_many' THEN [0, 1, 2] ELSE [0] END) AS i FROM m WHERE op <> '{without}'),
+y AS (SELECT *, CASE WHEN op = 'delete_many' AND i = 1 THEN (k + 3) % 10 WHEN op = 'set_many' THEN (k + i) % 10 WHEN op <> 'clear' THEN k % 10 END AS key, cents + i AS v, op LIKE 'set%' AS put, sum(CASE WHEN op = 'clear' THEN 1 ELSE 0 END) OVER (PARTITION BY collection ORDER BY ord, i) AS era FROM x),
+z AS (SELECT *, coalesce(lag(put) OVER w, false) AS live, lag(v) OVER w AS was FROM y WHERE op <> 'clear' WINDOW w AS (PARTITION BY collection, era, key ORDER BY ord, i)),
+c AS (SELECT y.*, n FROM y JOIN (SELECT collection, era + 1 AS era, CAST(sum(CASE WHEN put AND NOT live THEN 1 WHEN NOT put AND live THEN -1 ELSE 0 END) AS BIGINT) AS n FROM z GROUP BY 1, 2) USING (collection, era) WHERE op = 'clear' AND n > 0)"""
+
+
+@job("c11_map_mutations", ITEMS.format(without="none") + """, d AS (SELECT collection, ord, i, CASE WHEN put THEN 'set' ELSE 'delete' END AS kind, key AS k, CASE WHEN put THEN v END AS v, CASE WHEN NOT put THEN was END AS previous, CAST(NULL AS BIGINT) AS count FROM z WHERE put OR live UNION ALL SELECT collection, ord, i, 'clear', NULL, NULL, NULL, n FROM c)
+SELECT collection, row_number() OVER (PARTITION BY collection ORDER BY ord, i) - 1 AS seq, ord, kind, k, v, previous, count FROM d""")
+def c11_maps(spark, d):
+    """Sets, deletes and clears, many at once or one by one: only what changes a map is a change."""
+    k, t = F.col("k"), F.col("event_type")
+    op = F.when(F.col("short"), "clear").when(t == "error", F.when(k % 2 == 1, "delete").otherwise("delete_many")).when(t == "purchase", "set_many").otherwise("set")
+    entry = lambda i: F.struct(((k + i) % 10).cast("long").alias("k"), (F.col("cents") + i).alias("v"))
+    rows = calls(spark, d).select("collection", "ord", op.alias("op"), (k % 10).cast("long").alias("k"), F.col("cents").alias("v"), F.array(entry(0), entry(1)).alias("entries"), F.col("many").alias("keys"))
+    return mutations.map_changes(rows)
+
+
+@job("c11_index_mutations", ITEMS.format(without="set_many") + """, d AS (SELECT collection, ord, 0 AS i, CASE WHEN put THEN 'upsert' ELSE 'delete' END AS kind, key AS "primary", CASE WHEN put THEN t END AS secondary, CASE WHEN put THEN cents END AS value, CAST(NULL AS BIGINT[]) AS primaries, CAST(NULL AS BIGINT) AS count FROM z WHERE (put OR live) AND op <> 'delete_many'
+ UNION ALL SELECT collection, ord, 0, 'deleteMany', NULL, NULL, NULL, list(key ORDER BY i)::BIGINT[], NULL FROM z WHERE op = 'delete_many' AND live GROUP BY 1, 2 UNION ALL SELECT collection, ord, 0, 'clear', NULL, NULL, NULL, NULL, n FROM c)
+SELECT collection, row_number() OVER (PARTITION BY collection ORDER BY ord) - 1 AS seq, ord, kind, "primary", secondary, value, primaries, count FROM d""")
+def c11_indexes(spark, d):
+    k, t = F.col("k"), F.col("event_type")
+    op = F.when(F.col("short"), "clear").when(t == "error", F.when(k % 2 == 1, "delete").otherwise("delete_many")).otherwise("upsert")
+    rows = calls(spark, d).where("event_type <> 'purchase'").select("collection", "ord", op.alias("op"), (k % 10).cast("long").alias("primary"), t.alias("secondary"), F.col("cents").alias("value"), F.col("many").alias("keys"))
+    return mutations.index_changes(rows)
+
+
+@job("c11_log_mutations", f"""WITH RECURSIVE {EVENTS_SQL}, m AS (SELECT user_id AS collection, event_id AS ord, CASE WHEN event_type = 'error' THEN 'trim_head' WHEN {CLEARS} THEN 'clear' WHEN event_type IN ('view', 'purchase') THEN 'append_many' ELSE 'append' END AS op, cents AS value, CASE WHEN k % 5 = 0 THEN [] ELSE [cents, k] END AS vs, k % 6 AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM e),
+f AS (SELECT DISTINCT collection, 0 AS rn, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS BIGINT) AS value, CAST([] AS BIGINT[]) AS vs, 0::BIGINT AS took, 0::BIGINT AS cut, 0::BIGINT AS len FROM m
+ UNION ALL SELECT collection, rn, ord, op, value, vs, took, greatest(0, grown - 12), least(12, grown) FROM (SELECT m.*, CASE m.op WHEN 'trim_head' THEN least(m.n, f.len) WHEN 'clear' THEN f.len ELSE 0 END AS took,
+  CASE m.op WHEN 'append' THEN f.len + 1 WHEN 'append_many' THEN f.len + len(m.vs) WHEN 'clear' THEN 0 ELSE f.len - least(m.n, f.len) END AS grown FROM f JOIN m ON m.collection = f.collection AND m.rn = f.rn + 1)),
+d AS (SELECT collection, ord, 0 AS i, CASE op WHEN 'append_many' THEN 'appendMany' WHEN 'trim_head' THEN 'trimHead' ELSE op END AS kind, CASE WHEN op = 'append' THEN value END AS value, CASE WHEN op = 'append_many' THEN vs END AS "values", CASE WHEN op = 'trim_head' THEN took END AS n, CASE WHEN op = 'clear' THEN took END AS count
+  FROM f WHERE rn > 0 AND (op = 'append' OR (op = 'append_many' AND len(vs) > 0) OR took > 0) UNION ALL SELECT collection, ord, 1, 'trimHead', NULL, NULL, cut, NULL FROM f WHERE cut > 0)
+SELECT collection, row_number() OVER (PARTITION BY collection ORDER BY ord, i) - 1 AS seq, ord, kind, value, "values", n, count FROM d""")
+def c11_logs(spark, d):
+    """Logs of at most twelve values: trims by call and by capacity."""
+    k, t = F.col("k"), F.col("event_type")
+    op = F.when(t == "error", "trim_head").when(F.col("short"), "clear").when(t.isin("view", "purchase"), "append_many").otherwise("append")
+    values = F.when(k % 5 != 0, F.array("cents", k.cast("long")))
+    return mutations.log_changes(calls(spark, d).select("collection", "ord", op.alias("op"), F.col("cents").alias("value"), values.alias("values"), (k % 6).cast("long").alias("n")), 12)
+
+
+@job("c11_list_mutations", f"""WITH RECURSIVE {EVENTS_SQL}, m AS (SELECT user_id AS collection, event_id AS ord, CASE WHEN event_type = 'error' THEN 'pop' WHEN {CLEARS} THEN 'clear' WHEN event_type = 'view' THEN 'insert' WHEN event_type = 'purchase' THEN 'insert_many' WHEN event_type = 'signup' THEN 'append_many' ELSE 'append' END AS op, cents AS value, [cents, k] AS vs,
+ CASE WHEN event_type = 'error' THEN CASE WHEN k % 3 = 0 THEN -1 ELSE k % 7 - 3 END WHEN event_type = 'view' THEN k % 6 ELSE k % 4 END AS pos, event_type = 'error' AND k % 3 = 0 AS bare, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM e),
+f AS (SELECT DISTINCT collection, 0 AS rn, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS VARCHAR) AS error, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS value, CAST([] AS BIGINT[]) AS vs, 0::BIGINT AS held, 0::BIGINT AS cut, CAST([] AS BIGINT[]) AS xs FROM m
+ UNION ALL SELECT collection, rn, ord, op, error, CASE WHEN error IS NOT NULL AND bare THEN NULL WHEN error IS NULL AND op = 'pop' THEN pl ELSE pos END, CASE WHEN error IS NULL AND op = 'pop' THEN xs[pl + 1] ELSE value END, vs, len(xs), greatest(0, len(grown) - 8), list_slice(grown, greatest(0, len(grown) - 8) + 1, len(grown)) FROM (
+  SELECT *, CASE WHEN error IS NOT NULL THEN xs WHEN op = 'pop' THEN list_concat(list_slice(xs, 1, pl), list_slice(xs, pl + 2, len(xs))) WHEN op = 'clear' THEN [] WHEN op = 'insert' THEN list_concat(list_concat(list_slice(xs, 1, pos), [value]), list_slice(xs, pos + 1, len(xs)))
+   WHEN op = 'insert_many' THEN list_concat(list_concat(list_slice(xs, 1, pos), vs), list_slice(xs, pos + 1, len(xs))) WHEN op = 'append_many' THEN list_concat(xs, vs) ELSE list_append(xs, value) END AS grown FROM (
+   SELECT m.*, f.xs, CASE WHEN m.pos < 0 THEN m.pos + len(f.xs) ELSE m.pos END AS pl, CASE WHEN m.op LIKE 'insert%' AND m.pos > len(f.xs) THEN 'insert out of bounds' WHEN m.op = 'pop' AND (m.pos >= len(f.xs) OR m.pos < -len(f.xs)) THEN 'pop out of bounds' END AS error FROM f JOIN m ON m.collection = f.collection AND m.rn = f.rn + 1))),
+d AS (SELECT collection, ord, 0 AS i, CASE WHEN error IS NOT NULL THEN 'error' WHEN op = 'append_many' THEN 'appendMany' WHEN op = 'insert_many' THEN 'insertMany' ELSE op END AS kind, CASE WHEN op LIKE 'insert%' OR op = 'pop' THEN pos END AS "index", CASE WHEN error IS NULL AND op IN ('append', 'insert', 'pop') THEN value END AS value,
+  CASE WHEN error IS NULL AND op LIKE '%many' THEN vs END AS "values", CAST(NULL AS BIGINT) AS n, CASE WHEN op = 'clear' THEN held END AS count, error FROM f WHERE rn > 0 AND (op <> 'clear' OR held > 0) UNION ALL SELECT collection, ord, 1, 'trimHead', NULL, NULL, NULL, cut, NULL, NULL FROM f WHERE cut > 0)
+SELECT collection, CASE WHEN error IS NULL THEN row_number() OVER (PARTITION BY collection, error IS NULL ORDER BY ord, i) - 1 END AS seq, ord, kind, "index", value, "values", n, count, error FROM d""")
+def c11_lists(spark, d):
+    """Lists of at most eight values: positional calls, some out of bounds."""
+    k, t = F.col("k"), F.col("event_type")
+    op = F.when(t == "error", "pop").when(F.col("short"), "clear").when(t == "view", "insert").when(t == "purchase", "insert_many").when(t == "signup", "append_many").otherwise("append")
+    at = F.when(t == "error", F.when(k % 3 != 0, k % 7 - 3)).when(t == "view", k % 6).otherwise(k % 4)
+    return mutations.list_changes(calls(spark, d).select("collection", "ord", op.alias("op"), at.cast("long").alias("index"), F.col("cents").alias("value"), F.array("cents", k.cast("long")).alias("values")), 8)
+
+
 @job("c12_wal_frames", f"""{E}, {N}, b AS (SELECT 'user/' || collection || '/' || lpad(CAST(seq AS VARCHAR), 20, '0') AS frame_key, '{{"cents":' || cents || ',"kind":"' || event_type || '"}}' AS change FROM n)
 SELECT frame_key, sha256(change) AS checksum, true AS verified FROM b""")
 def c12(spark, d):
@@ -246,6 +313,39 @@ def c14_promotions(spark, d):
     return collections.promotions(found(spark, d)).select("key", "value", "to_tier")
 
 
+CACHE = f"""WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT event_id AS ord, CASE WHEN event_type = 'purchase' THEN 'put' WHEN event_type = 'error' THEN CASE WHEN k % 2 = 1 THEN 'remove' ELSE 'invalidate' END WHEN event_type = 'signup' AND k > 30 THEN 'policy' ELSE 'request' END AS kind, 'u' || (user_id % 60) AS key, k % 3 AS tier, cents, CASE WHEN event_id % 7 > 0 THEN event_id END AS loaded, ['none', 'all', '0'][k % 3 + 1] AS policy FROM e),
+p AS (SELECT ord, CASE WHEN kind = 'policy' THEN 'request' ELSE kind END AS kind, CASE WHEN kind = 'policy' THEN last_value(CASE WHEN kind IN ('request', 'invalidate') THEN key END IGNORE NULLS) OVER (ORDER BY ord) ELSE key END AS key, tier, cents, loaded, coalesce(last_value(CASE WHEN kind = 'policy' THEN policy END IGNORE NULLS) OVER (ORDER BY ord), 'none') AS policy FROM o),
+m AS (SELECT *, kind IN ('request', 'invalidate') AS looks, row_number() OVER (PARTITION BY key ORDER BY ord) AS rn, CASE WHEN kind IN ('request', 'invalidate') THEN sum(CASE WHEN kind IN ('request', 'invalidate') THEN 1 ELSE 0 END) OVER (ORDER BY ord) END::BIGINT AS request_seq FROM p WHERE key IS NOT NULL),
+f AS (SELECT DISTINCT key, 0 AS rn, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS request_seq, false AS looks, 'none' AS policy, CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS found, CAST(NULL AS BIGINT) AS v0, CAST(NULL AS BIGINT) AS v1, CAST(NULL AS BIGINT) AS v2 FROM m
+ UNION ALL SELECT key, rn, ord, kind, request_seq, looks, policy, src, found, CASE WHEN kind = 'put' AND tier = 0 THEN cents WHEN kind = 'remove' AND tier = 0 THEN NULL WHEN looks AND found IS NOT NULL AND policy <> 'none' AND src > 0 THEN found ELSE v0 END,
+  CASE WHEN kind = 'put' AND tier = 1 THEN cents WHEN kind = 'remove' AND tier = 1 THEN NULL WHEN looks AND found IS NOT NULL AND policy = 'all' AND src > 1 THEN found ELSE v1 END, CASE WHEN kind = 'put' AND tier = 2 THEN cents WHEN kind = 'remove' AND tier = 2 THEN NULL WHEN looks AND found IS NOT NULL AND policy = 'all' AND src > 2 THEN found ELSE v2 END
+ FROM (SELECT m.*, f.v0, f.v1, f.v2, CASE WHEN f.v0 IS NOT NULL THEN 0 WHEN f.v1 IS NOT NULL THEN 1 WHEN f.v2 IS NOT NULL THEN 2 ELSE 3 END AS src, coalesce(f.v0, f.v1, f.v2, m.loaded) AS found FROM f JOIN m ON m.key = f.key AND m.rn = f.rn + 1)),
+l AS (SELECT *, unnest(range(0, src + 1)) AS t FROM f WHERE looks), q AS (SELECT *, unnest(CASE policy WHEN 'all' THEN range(0, src) WHEN '0' THEN range(0, least(src, 1)) ELSE [] END) AS t FROM f WHERE looks AND found IS NOT NULL)
+"""
+
+
+def cache(spark, d):
+    """Events as operations on a cache of three tiers over an origin; policies switch as it goes."""
+    e, k, t, n = events(spark, d), F.col("k"), F.col("event_type"), F.col("event_id")
+    kind = F.when(t == "purchase", "put").when(t == "error", F.when(k % 2 == 1, "remove").otherwise("invalidate")).when((t == "signup") & (k > 30), "policy").otherwise("request")
+    policy = F.element_at(F.array(*map(F.lit, ["none", "all", "0"])), (k % 3 + 1).cast("int"))
+    rows = e.select(n.alias("ord"), kind.alias("kind"), F.concat(F.lit("u"), (F.col("user_id") % 60).cast("string")).alias("key"), (k % 3).alias("tier"), F.col("cents").alias("value"), F.when(n % 7 > 0, n).alias("loaded"), policy.alias("policy"))
+    return caches.cache_events(rows, 3)
+
+
+@job("c14_cache_events", CACHE + """SELECT ord, key, request_seq, kind AS event, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS tier, CAST(NULL AS BIGINT) AS value FROM f WHERE looks
+UNION ALL SELECT ord, key, request_seq, 'lookup', CASE WHEN t = src AND found IS NOT NULL THEN 'hit' ELSE 'miss' END, CASE WHEN t = 3 THEN -1 ELSE t END, CASE WHEN t = src THEN found END FROM l
+UNION ALL SELECT ord, key, request_seq, 'promotion', 'ok', t, found FROM q UNION ALL SELECT ord, key, request_seq, 'fill', CASE WHEN found IS NULL THEN 'miss' ELSE 'hit' END, CASE WHEN found IS NULL THEN NULL WHEN src = 3 THEN -1 ELSE src END, found FROM f WHERE looks""")
+def c14_events(spark, d):
+    return cache(spark, d).drop("n")
+
+
+@job("c14_cache_status", CACHE + """SELECT key, request_seq, CASE WHEN found IS NULL THEN 'miss' ELSE 'hit' END AS outcome, CASE WHEN found IS NULL THEN NULL WHEN src = 3 THEN -1 ELSE src END AS tier, found AS value, src + 1 AS asked,
+ CASE WHEN found IS NULL OR policy = 'none' THEN 0 WHEN policy = '0' THEN least(src, 1) ELSE src END AS promoted FROM f WHERE looks""")
+def c14_status(spark, d):
+    return caches.status(cache(spark, d))
+
+
 @job("s6_append_log", f"""{E}, {N}, old AS (SELECT collection, max(seq) AS m FROM n WHERE event_type = 'click' GROUP BY 1)
 SELECT n.event_id, CAST(coalesce(m, -1) + row_number() OVER (PARTITION BY n.collection ORDER BY n.seq) AS BIGINT) AS seq FROM n LEFT JOIN old USING (collection) WHERE event_type = 'view'""")
 def s6(spark, d):

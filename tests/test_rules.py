@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rillstone.functions.order import number, running_sum
-from rillstone.operators import basic, bus, collections, cqrs, graphs
+from rillstone.operators import basic, bus, caches, collections, cqrs, graphs, mutations
 
 EVENT = 'cqrs-event:["{}","{}"]'
 
@@ -126,3 +127,81 @@ def test_staged_tables_are_cleared(spark):
     assert os.listdir(folder)
     staging.clear_staged(spark)
     assert not os.path.exists(folder)
+
+
+def test_changes_of_calls_fold_to_what_the_calls_leave(spark):
+    """Random calls on maps, indexes, logs and lists: folding the changes equals replaying the calls."""
+    rng = random.Random(21)
+    ops, maps, indexes, logs, lists = [], {}, {}, {}, {}
+    for n in range(600):
+        c, k, v = rng.randrange(4), rng.randrange(6), rng.randrange(100)
+        keys = [rng.randrange(6) for _ in range(rng.randrange(4))]
+        op = rng.choice(["set", "set_many", "delete", "delete_many", "clear"] if rng.random() < 0.9 else ["set"])
+        m, i = maps.setdefault(c, {}), indexes.setdefault(c, {})
+        if op == "set":
+            m[k] = i[k] = v
+        elif op == "set_many":
+            m.update((x, v + x) for x in keys)
+        elif op == "delete":
+            m.pop(k, None), i.pop(k, None)
+        elif op == "delete_many":
+            [m.pop(x, None) for x in keys], [i.pop(x, None) for x in keys]
+        else:
+            m.clear(), i.clear()
+        ops.append((c, n, op, k, v, [(x, v + x) for x in keys], keys))
+    table = spark.createDataFrame(ops, "collection long, ord long, op string, k long, v long, entries array<struct<k:long,v:long>>, keys array<long>")
+    changes = mutations.map_changes(table)
+    assert {(r.collection, r.k, r.v) for r in collections.map_snapshot(changes).collect()} == {(c, k, v) for c, m in maps.items() for k, v in m.items()}
+    assert collections.map_errors(changes).count() == 0
+    seqs = {}
+    for r in changes.orderBy("collection", "seq").collect():
+        assert r.seq == seqs.get(r.collection, -1) + 1
+        seqs[r.collection] = r.seq
+    rows = table.where("op <> 'set_many'").selectExpr("collection", "ord", "if(op = 'set', 'upsert', op) AS op", "k AS primary", "'s' AS secondary", "v AS value", "keys")
+    made = mutations.index_changes(rows)
+    assert {(r.collection, r.primary, r.value) for r in collections.index_snapshot(made).collect()} == {(c, k, v) for c, m in indexes.items() for k, v in m.items()}
+    assert all(r.primaries and len(set(r.primaries)) == len(r.primaries) for r in made.where("kind = 'deleteMany'").collect())
+
+    calls = []
+    for n in range(600):
+        c, v, at = rng.randrange(4), rng.randrange(100), rng.choice([None, *range(-3, 7)])
+        values = [rng.randrange(100) for _ in range(rng.randrange(9))]
+        op = rng.choice(["append", "append_many", "insert", "insert_many", "pop", "trim_head", "clear"] if n % 9 == 0 else ["append", "append_many", "insert", "insert_many", "pop", "trim_head"])
+        log, xs = logs.setdefault(c, []), lists.setdefault(c, [])
+        if op in ("append", "append_many"):
+            more = [v] if op == "append" else values
+            log += more
+            xs += more
+        elif op in ("insert", "insert_many") and at is not None and 0 <= at <= len(xs):
+            xs[at:at] = [v] if op == "insert" else values
+        elif op == "pop" and -len(xs) <= (-1 if at is None else at) < len(xs):
+            xs.pop(-1 if at is None else at)
+        elif op == "trim_head":
+            del log[: v % 4]
+        elif op == "clear":
+            log.clear(), xs.clear()
+        del log[:-10], xs[:-10]
+        calls.append((c, n, op, v, values, at, v % 4))
+    table = spark.createDataFrame(calls, "collection long, ord long, op string, value long, values array<long>, index long, n long")
+    positions = lambda state: {(c, p, x) for c, own in state.items() for p, x in enumerate(own)}
+    made = mutations.log_changes(table, 10)
+    assert {tuple(r) for r in collections.log_snapshot(made).collect()} == positions(logs) and collections.log_errors(made).count() == 0
+    made = mutations.list_changes(table, 10).where("kind <> 'error'").drop("error")
+    assert {tuple(r) for r in collections.list_snapshot(made).collect()} == positions(lists) and collections.list_errors(made).count() == 0
+    assert mutations.list_changes(table, 10).where("kind = 'error'").count() > 10
+    with pytest.raises(ValueError):
+        mutations.log_changes(table, 0)
+
+
+def test_a_cache_over_time(spark):
+    rows = [
+        (1, "put", "a", 2, 7, None, None), (2, "request", "a", None, None, None, None), (3, "policy", None, None, None, None, "all"), (4, "request", "a", None, None, None, None), (5, "request", "b", None, None, 9, None),
+        (6, "remove", "a", 0, None, None, None), (7, "invalidate", "a", None, None, None, None), (8, "policy", None, None, None, None, "1,5"), (9, "request", "c", None, None, 4, None), (10, "request", "d", None, None, None, None),
+    ]
+    ops = spark.createDataFrame(rows, "ord long, kind string, key string, tier long, value long, loaded long, policy string")
+    out = {r.request_seq: r for r in caches.status(caches.cache_events(ops, 3, per_bucket=2)).collect()}
+    got = [(out[n].key, out[n].outcome, out[n].tier, out[n].value, out[n].asked, out[n].promoted) for n in sorted(out)]
+    # found in tier 2, not copied; the policy looks a up again and copies it; then tier 0 has it
+    assert got[:3] == [("a", "hit", 2, 7, 3, 0), ("a", "hit", 2, 7, 3, 2), ("a", "hit", 0, 7, 1, 0)]
+    assert got[3:] == [("b", "hit", -1, 9, 4, 3), ("a", "hit", 1, 7, 2, 1), ("a", "hit", 0, 7, 1, 0), ("c", "hit", -1, 4, 4, 1), ("d", "miss", None, None, 4, 0)]
+    assert caches.targets("2,0,9", 2) == [0] and caches.targets("none", 3) == []
