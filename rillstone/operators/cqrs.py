@@ -14,6 +14,7 @@ from ..functions.folds import keyed_fold
 from ..functions.ids import prefixed_key
 from ..functions.order import number, over
 from ..functions.staging import stage
+from . import graphs
 
 
 def handle(commands: DataFrame, handlers: dict[str, Column], bucket: Column, known_events: list[str] | None = None) -> DataFrame:
@@ -65,22 +66,26 @@ def _taken(drafts: DataFrame) -> DataFrame:
     """ord and ``_index``, the first draft whose event id an accepted command before it has; for drafts (ord,
     _fault, index, event) of commands that may be accepted.
 
-    Whether a command is accepted depends on those before it that share an id, so it is settled in rounds:
-    a command is accepted once no undecided one before it shares an id, and rejected once an accepted
-    one does. Rounds are written tables, as many as the longest chain of commands that share ids.
+    Whether a command is accepted depends on those before it that share an id, and so on. Commands that hang
+    together by shared ids form components (``graphs.components``, rounds by the logarithm of a component's width); each is one
+    ordered stream of commands, with the ids taken so far as its state.
     """
     drafts = stage(drafts, "drafts")
-    open_ = stage(drafts.where("_fault IS NULL").select("ord", "event").distinct(), "undecided")
-    taken = stage(open_.select("event", F.col("ord").alias("by")).where("false"), "taken")
-    while not open_.isEmpty():
-        first = open_.groupBy("event").agg(F.min("ord").alias("first"))
-        ready = open_.join(first, "event").groupBy("ord").agg(F.max(F.col("ord") > F.col("first")).alias("waits")).where("not waits").select("ord")
-        new = stage(open_.join(ready, "ord").select("event", F.col("ord").alias("by")), "accepted")
-        taken = stage(taken.union(new), "taken")
-        hit = open_.join(new, "event").select("ord").distinct()  # the accepted ones and those they rule out
-        open_ = stage(open_.join(hit, "ord", "left_anti"), "undecided")
-    met = drafts.join(taken, "event").where(F.col("by") < F.col("ord"))
-    return met.groupBy("ord").agg(F.min("index").alias("_index"))
+    shared = drafts.groupBy("event").agg(F.min("ord").alias("first"), F.max("ord").alias("_last")).where("first < _last").drop("_last")
+    linked = stage(drafts.join(shared, "event"), "shared-drafts")
+    parts = graphs.components(linked.where("ord <> first").select(F.col("ord").alias("a"), F.col("first").alias("b")))
+    own = linked.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("index", "event"))).alias("drafts"), F.max(F.col("_fault").isNotNull()).alias("bad"))
+    rows = own.join(parts, F.col("ord") == F.col("node")).select("component", "ord", "drafts", "bad")
+
+    def step(taken, r):
+        met = next((x["index"] for x in r.drafts if x["event"] in taken), None)
+        if met is None and not r.bad:
+            taken.update(x["event"] for x in r.drafts)
+        return taken, [] if met is None else [(r.ord, met)]
+
+    kind = linked.schema
+    out = T.StructType([T.StructField("ord", kind["ord"].dataType), T.StructField("_index", kind["index"].dataType)])
+    return keyed_fold(rows, ["component"], ["ord"], step, set, out)
 
 
 def events(handled: DataFrame) -> DataFrame:

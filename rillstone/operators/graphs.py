@@ -85,6 +85,28 @@ def cycles(edges: DataFrame, sources: DataFrame, max_depth: int = 20) -> DataFra
     return best.select("source", "p.path")
 
 
+def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """node and component, the smallest node reachable, of every end of an edge (a, b), whatever its direction.
+
+    Each round hangs larger neighbours of a node on its smallest one, then smaller ones, until nothing changes: ways
+    get half as long each time, so rounds follow the logarithm of a component's width. A round is a written table.
+    """
+    links = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    for _ in range(rounds):
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        new = written(small.where("u <> v").distinct())
+        # A star's centre never is an end that hangs on another: then every node is one step from its component.
+        done = new.join(new.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+        if done and new.select("u").distinct().count() == new.count():
+            return new.select(F.col("u").alias("node"), F.col("v").alias("component")).union(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        links = new
+    raise RuntimeError("components did not settle")
+
+
 def islands(nodes: DataFrame, edges: DataFrame, internal: str = "__internal__/") -> DataFrame:
     """Nodes (id) with no edge in or out, internal ones excluded."""
     ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()

@@ -6,12 +6,18 @@ says otherwise, and filters never run before it, since they would change who win
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import over
+from ..functions.order import over, running_sum
+from ..functions.staging import stage
+
+#: Entries of a context that are summed up in one task.
+PER_BUCKET = 1000
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -216,23 +222,26 @@ def pack_context(entries: DataFrame, texts: DataFrame, most: int | None, separat
     Packing stops at the first part that does not fit. The first text per fragment counts. missing
     counts entries without a text that come before the stop; truncated tells that parts were left out.
     """
-    keys = keys or []
-    first = texts.groupBy("fragment_id").agg(F.min_by("text", "idx").alias("text"))
-    rows = entries.join(first, "fragment_id", "left")
+    if not keys:
+        return pack_context(entries.withColumn("_all", F.lit(0)), texts, most, separator, with_ids, ["_all"]).drop("_all")
+    first = texts.groupBy("fragment_id").agg(F.min_by(F.struct(F.col("idx").alias("_idx"), F.length("text").alias("_size")), "idx").alias("_t"))
+    rows = entries.join(first, "fragment_id", "left").select(*keys, "rank", "fragment_id", "_t._idx", "_t._size")
+    # Lengths alone tell where each context stops; only texts before that are looked up.
+    whole = F.col("_size") + len(separator) + (F.length("fragment_id") + 3 if with_ids else F.lit(0))
+    rows = stage(running_sum(stage(rows, "entries"), F.coalesce(whole, F.lit(0)), ["rank"], keys, F.floor(F.col("rank") / PER_BUCKET), "_total"), "entry-sizes")
+    past = F.lit(False) if most is None else F.coalesce(F.col("_total") - len(separator) > most, F.lit(False))
+    stops = rows.groupBy(*keys).agg(F.min(F.when(past, F.col("rank"))).alias("_stop"))
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+    within = rows.join(stops, same(rows, stops)).select(rows["*"], "_stop").where("_stop IS NULL OR rank < _stop")
+    counts = within.groupBy(*keys).agg(F.count(F.when(F.col("_size").isNull(), 1)).alias("missing"))
+    chosen = stage(within.where("_size IS NOT NULL").select(*keys, "rank", "fragment_id", "_idx"), "chosen-entries")
+    found = chosen.join(texts.select("fragment_id", F.col("idx").alias("_idx"), "text"), ["fragment_id", "_idx"]).dropDuplicates([*keys, "rank"])
     part = F.concat(F.lit("["), "fragment_id", F.lit("] "), "text") if with_ids else F.col("text")
-    rows = rows.withColumn("part", part)
-    w = over(keys, ["rank"]).rowsBetween(Window.unboundedPreceding, 0)
-    there = F.col("part").isNotNull()
-    size = F.sum(F.when(there, F.length("part"))).over(w) + len(separator) * (F.sum(there.cast("int")).over(w) - 1)
-    over_limit = F.lit(False) if most is None else F.coalesce(size > most, F.lit(False))
-    rows = rows.withColumn("_over", F.max((there & over_limit).cast("int")).over(w))
-    fits = F.col("_over") == 0
-    lists = F.transform(F.array_sort(F.collect_list(F.when(fits & there, F.struct("rank", "part")))), lambda s: s["part"])
-    return rows.groupBy(*keys).agg(
-        F.array_join(lists, separator).alias("text"),
-        F.sum((fits & ~there).cast("int")).alias("missing"),
-        (F.max("_over") == 1).alias("truncated"),
-    )
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))), lambda s: s["part"])
+    texts_of = found.groupBy(*keys).agg(F.array_join(lists, separator).alias("text"))
+    out = stops.join(texts_of, same(stops, texts_of), "left").select(stops["*"], "text")
+    out = out.join(counts, same(out, counts), "left").select(out["*"], "missing")
+    return out.select(*keys, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("missing", F.lit(0)).alias("missing"), F.col("_stop").isNotNull().alias("truncated"))
 
 
 def record_frames(records: DataFrame, keys: list[str], seq: Column) -> DataFrame:

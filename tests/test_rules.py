@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillstone.functions.order import number, running_sum
-from rillstone.operators import basic, bus, caches, collections, cqrs, graphs, mutations
+from rillstone.operators import basic, bus, caches, collections, cqrs, graphs, memory, mutations, readiness
 
 EVENT = 'cqrs-event:["{}","{}"]'
 
@@ -205,3 +205,98 @@ def test_a_cache_over_time(spark):
     assert got[:3] == [("a", "hit", 2, 7, 3, 0), ("a", "hit", 2, 7, 3, 2), ("a", "hit", 0, 7, 1, 0)]
     assert got[3:] == [("b", "hit", -1, 9, 4, 3), ("a", "hit", 1, 7, 2, 1), ("a", "hit", 0, 7, 1, 0), ("c", "hit", -1, 4, 4, 1), ("d", "miss", None, None, 4, 0)]
     assert caches.targets("2,0,9", 2) == [0] and caches.targets("none", 3) == []
+
+
+def plain_readiness(schedules, ticks):
+    out, best, good = set(), None, []
+    for o, now in sorted(ticks):
+        if best is None or now >= best:
+            good.append((o, now))
+            best = now
+    for o, i, ready, deadline in schedules:
+        last = max((t for t in good if t[0] < o), default=(None, None))[1]
+        if last is None or last < ready:
+            out.add((i, "pending", last))
+        later = [n for t, n in good if t > o]
+        for fact, at in (("ready", ready), ("overdue", None if deadline is None else max(ready, deadline) + 1)):
+            if at is not None:
+                now = last if last is not None and last >= at else next((n for n in later if n >= at), None)
+                if now is not None:
+                    out.add((i, fact, now))
+    return out
+
+
+def test_readiness_of_random_schedules(spark):
+    rng = random.Random(31)
+    for most in (0, 1, 60):
+        ticks = [(2 * n + (n % 3 > 0), n * 50 + rng.randrange(-200, 200)) for n in range(most)]
+        schedules = [(2 * rng.randrange(70), f"s{n}", r := rng.randrange(4000), rng.choice([None, r + rng.randrange(600)])) for n in range(80)]
+        schedules = list({s[0]: s for s in schedules}.values())
+        out = readiness.project(spark.createDataFrame(schedules, "ord long, schedule_id string, ready_at_ms long, deadline_ms long"), spark.createDataFrame(ticks, "ord long, now_ms long"), 7, 300)
+        assert {tuple(r) for r in out.collect()} == plain_readiness(schedules, ticks) and out.count() == len(plain_readiness(schedules, ticks))
+
+
+def test_readiness_of_many_ticks_and_one_hot_time(spark):
+    """200,000 ticks, and ten thousand schedules for one moment: no array of ticks, no cross join, no window without a key."""
+    ticks = spark.range(200_000).select((F.col("id") * 2 + 1).alias("ord"), (F.col("id") * 1000).alias("now_ms"))
+    schedules = spark.range(10_000).select((F.col("id") * 2).alias("ord"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("schedule_id"), F.lit(150_000_500).cast("long").alias("ready_at_ms"), F.when(F.col("id") % 2 == 0, F.lit(190_000_000)).cast("long").alias("deadline_ms"))
+    out = readiness.project(schedules, ticks)
+    got = {(r.fact, r.now_ms, r["count"]) for r in out.where("fact <> 'pending'").groupBy("fact", "now_ms").count().collect()}
+    assert got == {("ready", 150_001_000, 10_000), ("overdue", 190_001_000, 5_000)} and out.where("fact = 'pending'").count() == 10_000
+
+
+def test_components(spark):
+    rng = random.Random(41)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5000, 6000 + i) for i in range(50)] + [(7, 7)]
+    label = {v: v for e in edges if e[0] != e[1] for v in e}
+
+    def root(v):
+        while label[v] != v:
+            v = label[v]
+        return v
+
+    for a, b in edges:
+        if a != b and root(a) != root(b):
+            label[max(root(a), root(b))] = min(root(a), root(b))
+    out = graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {(r.node, r.component) for r in out} == {(v, root(v)) for v in label} and len(out) == len(label)
+    assert graphs.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_chain_of_commands_that_share_event_ids(spark, monkeypatch):
+    """Ten thousand commands, each sharing an id with the next: every second one is accepted, in few written tables."""
+    tables = []
+    for module in (cqrs, graphs):
+        monkeypatch.setattr(module, "stage", lambda df, name, to=module.stage: (tables.append(name), to(df, name))[1])
+    n = F.col("id")
+    e = lambda i: F.concat(F.lit("e"), i.cast("string"))
+    draft = lambda i: F.struct(F.lit("made").alias("type"), n.alias("payload"), e(i).alias("id"))
+    rows = spark.range(10_000).select(n.alias("ord"), F.array(draft(n), draft(n + 1)).alias("own"), F.concat(F.lit("c"), n.cast("string")).alias("id"), F.lit("do").alias("command_type"), F.lit(1).alias("aggregate_id"))
+    out = cqrs.handle(rows, {"do": F.col("own")}, F.floor(F.col("ord") / 500))
+    got = {(r.status, r.odd, r["count"]) for r in out.groupBy("status", (F.col("ord") % 2).alias("odd")).count().collect()}
+    assert got == {("accepted", 0, 5000), ("duplicate-event", 1, 5000)}
+    assert len(tables) <= 20, tables
+
+
+def test_context_of_one_source_that_has_all_texts(spark):
+    rng = random.Random(51)
+    for most in (None, 50, 400, 0):
+        texts = [(n, f"f{n % 90}", "x" * rng.randrange(0, 30)) for n in range(120) if n % 7]
+        entries = [(c, r, f"f{rng.randrange(110)}") for c in ("a", None) for r in range(60)] + [("b", 0, "none")]
+        first = {}
+        for _, f, t in texts:
+            first.setdefault(f, t)
+        want = {}
+        for c in ("a", None, "b"):
+            parts, missing, cut = [], 0, False
+            for _, _, f in sorted((e for e in entries if e[0] == c), key=lambda e: e[1]):
+                if f not in first:
+                    missing += 1
+                    continue
+                if most is not None and len(" | ".join([*parts, f"[{f}] {first[f]}"])) > most:
+                    cut = True
+                    break
+                parts.append(f"[{f}] {first[f]}")
+            want[c] = (" | ".join(parts), missing, cut)
+        out = memory.pack_context(spark.createDataFrame(entries, "ctx string, rank int, fragment_id string"), spark.createDataFrame(texts, "idx long, fragment_id string, text string"), most, " | ", True, ["ctx"])
+        assert {r.ctx: (r.text, r.missing, r.truncated) for r in out.collect()} == want
