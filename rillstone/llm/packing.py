@@ -7,8 +7,8 @@ their ordinal within their length, counted over salted groups: nothing whole pas
 
 from __future__ import annotations
 
-import functools
 import re
+import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -25,8 +25,8 @@ CAPACITY = 2048
 GROUPS, SMALL = 512, 128
 #: Rows of a length that are numbered in one task, about.
 PER_SALT = 2000
-#: Bytes of words and ids of a generation that a Python worker remembers, and what an entry costs besides.
-CACHED, ENTRY = 60 << 20, 160
+#: Bytes of words and ids of a generation that a Python worker remembers, of pre-tokens, and what an entry costs besides.
+CACHED, CORES, ENTRY = 60 << 20, 40 << 20, 160
 _tokenizers: dict = {}
 
 
@@ -98,29 +98,34 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
-def _core_ids(core: str, path: str) -> bytes:
-    letters = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
-    return array("I", [t.id for t in tokenizer(path).model.tokenize(letters)]).tobytes()
+def _memories(path: str) -> tuple[_Memory, _Memory]:
+    """Empty memories of words and of the model's plain pre-tokens, which the first asks."""
+    whole, tokenize, pack = tokenizer(path), tokenizer(path).model.tokenize, struct.pack
 
+    def core_ids(core: str) -> bytes:
+        ids = [t.id for t in tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        return pack(f"<{len(ids)}I", *ids)
 
-def _word_ids(word: bytes, path: str) -> bytes:
-    """A word's ids. Plain words skip normaliser and pre-tokeniser, which would leave them as they are."""
-    text = word.decode("utf-8", "replace")
-    lower = text.lower()
-    core = lower.rstrip(_SIGNS)
-    if not (core.isascii() and core.isalpha()) and not _PLAIN.fullmatch(lower):
-        return array("I", tokenizer(path).encode(text, add_special_tokens=False).ids).tobytes()
-    signs = lower[len(core) :]
-    known = _cores[path]
-    return (known[core] if core else b"") + (known[signs] if signs else b"")
+    def word_ids(word: bytes) -> bytes:
+        """Plain words skip normaliser and pre-tokeniser, which would leave them as they are."""
+        text = word.decode("utf-8", "replace")
+        lower = text.lower()
+        core = lower.rstrip(_SIGNS)
+        if not (core.isascii() and core.isalpha()) and not _PLAIN.fullmatch(lower):
+            return array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
+        cores = _cores[path]
+        if len(core) == len(lower):
+            return cores[core]
+        return (cores[core] if core else b"") + cores[lower[len(core) :]]
+
+    return _Memory(CACHED, word_ids), _Memory(CORES, core_ids)
 
 
 def document_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian uint32. The tokenizer drops white space and never joins
     over it, so a text's ids are those of its words."""
     if path not in _ids:
-        _ids[path] = _Memory(CACHED, functools.partial(_word_ids, path=path))
-        _cores[path] = _Memory(CACHED // 4, functools.partial(_core_ids, path=path))
+        _ids[path], _cores[path] = _memories(path)
     for text in texts:
         yield b"".join(map(_ids[path].__getitem__, text.split()))
         _ids[path], _cores[path] = _ids[path].turn(), _cores[path].turn()
