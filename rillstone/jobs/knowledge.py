@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.order import number
+from ..functions.order import number, over
 from ..operators import cron, graphs, memory, resilience
 from ..sources.tables import EVENTS_SQL, FRAGMENTS_SQL, KEY, ORDER, events, fragments, read
 from .registry import job
@@ -281,6 +281,42 @@ def g4(spark, d):
     return graphs.diff((before, e.where(~F.col("dst").startswith("r"))), (after, e.where(~F.col("src").startswith("c1"))))
 
 
+#: Customers under their nations under their regions; nations are named, but every third; regions are known by their first customer's prefix.
+NESTED = """WITH c AS (SELECT c_custkey AS n, c_nationkey AS nk, n_regionkey AS rk, c_mktsegment AS seg FROM customer JOIN nation ON n_nationkey = c_nationkey),
+nn AS (SELECT n_nationkey AS nk, n_regionkey AS rk, n_name AS name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS idx FROM nation),
+b AS (SELECT 'c' || n AS id, seg AS meta, nk, rk FROM c WHERE rk <> 4 UNION ALL SELECT 'R' || n_regionkey || '::hub', 'hub', NULL, n_regionkey FROM (SELECT DISTINCT n_regionkey FROM nation) WHERE n_regionkey <> 4),
+a AS (SELECT 'c' || n AS id, CASE WHEN n % 11 = 0 THEN 'X' ELSE seg END AS meta, nk, rk FROM c WHERE rk <> 0 AND nk <> 7 UNION ALL SELECT 'R' || n_regionkey || '::hub', 'hub', NULL, n_regionkey FROM (SELECT DISTINCT n_regionkey FROM nation) WHERE n_regionkey <> 0),
+pb AS (SELECT 'R' || rk AS path FROM (SELECT DISTINCT rk FROM nn) WHERE rk <> 4 UNION ALL SELECT CASE WHEN nk % 3 > 0 THEN name ELSE 'R' || rk || '/' || idx END FROM nn WHERE rk <> 4),
+pa AS (SELECT 'R' || rk AS path FROM (SELECT DISTINCT rk FROM nn) WHERE rk <> 0 UNION ALL SELECT CASE WHEN nk % 3 > 0 THEN name ELSE 'R' || rk || '/' || idx END FROM nn WHERE rk <> 0 AND nk <> 7),
+eb AS (SELECT 'R' || rk || '::hub' AS src, id AS dst FROM b WHERE nk IS NOT NULL), ea AS (SELECT 'R' || rk || '::hub' AS src, id AS dst FROM a WHERE nk IS NOT NULL)
+SELECT CASE WHEN b.id IS NULL THEN 'node added' WHEN a.id IS NULL THEN 'node removed' ELSE 'meta changed' END AS change, coalesce(b.id, a.id) AS a, NULL AS b FROM b FULL JOIN a ON a.id = b.id WHERE a.meta IS DISTINCT FROM b.meta
+UNION ALL SELECT 'edge added', src, dst FROM (SELECT * FROM ea EXCEPT SELECT * FROM eb) UNION ALL SELECT 'edge removed', src, dst FROM (SELECT * FROM eb EXCEPT SELECT * FROM ea)
+UNION ALL SELECT 'subgraph mounted', path, NULL FROM (SELECT * FROM pa EXCEPT SELECT * FROM pb) UNION ALL SELECT 'subgraph unmounted', path, NULL FROM (SELECT * FROM pb EXCEPT SELECT * FROM pa)"""
+
+
+@job("g4_nested_diff", NESTED)
+def g4_nested(spark, d):
+    """Regions hold nations, nations customers: one region leaves, one comes, a nation is unmounted inside another, and metas change."""
+    nations = read(spark, d, "nation").select(F.col("n_nationkey").alias("nk"), F.col("n_regionkey").alias("rk"), F.col("n_name").alias("name"))
+    customers = read(spark, d, "customer").select(F.col("c_custkey").alias("n"), F.col("c_nationkey").alias("nk"), F.col("c_mktsegment").alias("seg")).join(nations.drop("name"), "nk")
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    hub = F.concat(text("R", "rk"), F.lit("::hub"))
+    idx = (F.row_number().over(over(["rk"], ["nk"])) - 1).alias("idx")
+
+    def snapshot(without: int, unmounted: int, meta):
+        inside, regions = customers.where((F.col("rk") != without) & (F.col("nk") != unmounted)), nations.select("rk").distinct().where(F.col("rk") != without)
+        nodes = inside.select(text("n", "nk").alias("subgraph"), "n", text("c", "n").alias("id"), meta.alias("meta")).union(regions.select(text("r", "rk").alias("subgraph"), F.lit(0), hub, F.lit("hub")))
+        edges = inside.select(text("r", "rk").alias("subgraph"), hub.alias("src"), text("c", "n").alias("dst"))
+        named = F.when(F.col("nk") % 3 > 0, F.col("name"))
+        inner = nations.select("nk", "rk", text("n", "nk").alias("subgraph"), text("r", "rk").alias("parent"), idx, named.alias("name")).where((F.col("rk") != without) & (F.col("nk") != unmounted))
+        none = F.lit(None).cast("string")
+        outer = regions.select(text("r", "rk").alias("subgraph"), none.alias("parent"), F.col("rk").alias("idx"), none.alias("name"))
+        return nodes, edges, outer.union(inner.select("subgraph", "parent", F.col("idx").cast("int"), "name"))
+
+    before = snapshot(4, -1, F.col("seg"))
+    return graphs.nested_diff(before, snapshot(0, 7, F.when(F.col("n") % 11 == 0, "X").otherwise(F.col("seg"))))
+
+
 @job("g5_profile_counts", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def g5(spark, d):
     nodes = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 97).alias("invokes"))

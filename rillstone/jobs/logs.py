@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions.order import over
 from ..functions.staging import stage
-from ..operators import bus, caches, collections, mutations
+from ..operators import bus, caches, chains, collections, mutations
 from ..sources.tables import EVENTS_SQL, KEY, ORDER, events, read
 from .registry import job
 
@@ -586,6 +586,37 @@ def c6_frames(spark, d):
     return collections.compacted(map_changes(spark, d), 25)[1].select("collection", "seq", "kind")
 
 
+AT_POINTS = "p AS (SELECT collection, unnest(range(1, (max(seq) + 1) // 10 + 1)) * 10 - 1 AS cursor FROM {rows} GROUP BY 1)"
+
+
+@job("c6_map_points", f"""{MAP}, {AT_POINTS.format(rows="c")}, q AS (SELECT c.*, cursor FROM c JOIN p USING (collection) WHERE seq <= cursor), t AS (SELECT collection, cursor, max(seq) FILTER (kind = 'clear') AS cut FROM q GROUP BY 1, 2)
+SELECT collection, cursor, k, v FROM (SELECT q.* FROM q JOIN t USING (collection, cursor) WHERE kind <> 'clear' AND (cut IS NULL OR seq > cut)) QUALIFY row_number() OVER (PARTITION BY collection, cursor, k ORDER BY seq DESC) = 1 AND kind = 'set'""")
+def c6_map_points(spark, d):
+    """All maps after every ten changes."""
+    return chains.map_chain(map_changes(spark, d), 10)
+
+
+INDEX_ROWS = f"""{MAP}, ix AS (SELECT c.collection, c.seq, CASE WHEN c.kind = 'clear' THEN 'clear' WHEN c.kind = 'delete' AND n.cents % 2 = 0 THEN 'deleteMany' WHEN c.kind = 'delete' THEN 'delete' ELSE 'upsert' END AS kind, n.k % 20 AS p, n.event_type AS secondary, n.cents AS value FROM c JOIN n USING (collection, seq))"""
+
+
+@job("c6_index_points", f"""{INDEX_ROWS}, {AT_POINTS.format(rows="ix")}, q AS (SELECT ix.collection, cursor, seq, kind, unnest(CASE WHEN kind = 'deleteMany' THEN [ix.p, (ix.p + 1) % 20] ELSE [ix.p] END) AS k, secondary, value FROM ix JOIN p USING (collection) WHERE seq <= cursor),
+t AS (SELECT collection, cursor, max(seq) FILTER (kind = 'clear') AS cut FROM q GROUP BY 1, 2)
+SELECT collection, cursor, k AS primary, secondary, value FROM (SELECT q.* FROM q JOIN t USING (collection, cursor) WHERE kind <> 'clear' AND (cut IS NULL OR seq > cut)) QUALIFY row_number() OVER (PARTITION BY collection, cursor, k ORDER BY seq DESC) = 1 AND kind = 'upsert'""")
+def c6_index_points(spark, d):
+    return chains.index_chain(index_changes(spark, d), 10)
+
+
+@job("c6_log_points", LOG.replace("WITH ", "WITH RECURSIVE ", 1) + """, g AS (SELECT collection, 0::BIGINT AS done, CAST([] AS BIGINT[]) AS xs FROM c WHERE seq = 0 UNION ALL SELECT c.collection, c.seq + 1, CASE kind WHEN 'clear' THEN [] WHEN 'append' THEN list_append(xs, cents) WHEN 'appendMany' THEN list_concat(xs, [cents, cents + 1]) ELSE list_slice(xs, trim + 1, len(xs)) END FROM g JOIN c ON c.collection = g.collection AND c.seq = g.done)
+SELECT collection, done - 1 AS cursor, CAST(i - 1 AS BIGINT) AS position, xs[i] AS value FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM g WHERE done > 0 AND done % 10 = 0)""")
+def c6_log_points(spark, d):
+    return chains.log_chain(log_changes(spark, d), 10)
+
+
+@job("c6_list_points", f"{LIST} SELECT collection, seq AS cursor, CAST(i - 1 AS BIGINT) AS position, xs[i] AS value FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM f WHERE (seq + 1) % 10 = 0 AND error IS NULL)")
+def c6_list_points(spark, d):
+    return chains.list_chain(list_changes(spark, d), 10)
+
+
 @job("s9_observe_log", f"""{E} SELECT event_id, 'app/' || event_type || '/' || user_id AS path, row_number() OVER (ORDER BY ms, event_id) AS seq FROM e WHERE event_type LIKE 's%'""")
 def s9(spark, d):
     e = events(spark, d)

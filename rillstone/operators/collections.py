@@ -106,6 +106,37 @@ def log_snapshot(changes: DataFrame) -> DataFrame:
     return added.where(position >= 0).select(*C, position.cast("long").alias("position"), "value")
 
 
+def list_fault(xs: list, r: dict) -> str | None:
+    """What is wrong with a change of a list as it is, or None."""
+    at, n = r["index"], len(xs)
+    if r["kind"] in ("insert", "insertMany"):
+        return None if at is not None and 0 <= at <= n else "insert out of bounds"
+    if r["kind"] == "pop":
+        at = -1 if at is None else at
+        if not -n <= at < n:
+            return "pop out of bounds"
+        return None if r["value"] is None or xs[at] == r["value"] else "wrong pop value"
+    if r["kind"] == "trimHead":
+        return None if r["n"] <= n else "trimHead exceeds length"
+    if r["kind"] == "clear":
+        return None if r.get("count") is None or r["count"] == n else "wrong clear count"
+    return None
+
+
+def list_apply(xs: list, r: dict) -> None:
+    kind, at = r["kind"], r["index"]
+    if kind in ("append", "appendMany"):
+        xs.extend([r["value"]] if kind == "append" else r["values"] or [])
+    elif kind in ("insert", "insertMany"):
+        xs[at:at] = [r["value"]] if kind == "insert" else r["values"] or []
+    elif kind == "pop":
+        xs.pop(-1 if at is None else at)
+    elif kind == "trimHead":
+        del xs[: r["n"]]
+    elif kind == "clear":
+        xs.clear()
+
+
 def _replay(changes: DataFrame) -> DataFrame:
     """collection, position, value of each list, and seq and error of the change at which its replay stopped.
 
@@ -114,39 +145,13 @@ def _replay(changes: DataFrame) -> DataFrame:
     """
     names = changes.columns
 
-    def fault(xs: list, r: dict) -> str | None:
-        at, n = r["index"], len(xs)
-        if r["kind"] in ("insert", "insertMany"):
-            return None if at is not None and 0 <= at <= n else "insert out of bounds"
-        if r["kind"] == "pop":
-            at = -1 if at is None else at
-            if not -n <= at < n:
-                return "pop out of bounds"
-            return None if r["value"] is None or xs[at] == r["value"] else "wrong pop value"
-        if r["kind"] == "trimHead":
-            return None if r["n"] <= n else "trimHead exceeds length"
-        if r["kind"] == "clear":
-            return None if r.get("count") is None or r["count"] == n else "wrong clear count"
-        return None
-
     def step(state, row):
         xs, stop = state
         r = dict(zip(names, row, strict=True))
-        if stop is None and (error := fault(xs, r)):
+        if stop is None and (error := list_fault(xs, r)):
             stop = (r["seq"], error)
-        if stop is not None:
-            return (xs, stop), []
-        kind, at = r["kind"], r["index"]
-        if kind in ("append", "appendMany"):
-            xs.extend([r["value"]] if kind == "append" else r["values"] or [])
-        elif kind in ("insert", "insertMany"):
-            xs[at:at] = [r["value"]] if kind == "insert" else r["values"] or []
-        elif kind == "pop":
-            xs.pop(-1 if at is None else at)
-        elif kind == "trimHead":
-            del xs[: r["n"]]
-        elif kind == "clear":
-            xs.clear()
+        if stop is None:
+            list_apply(xs, r)
         return (xs, stop), []
 
     def finish(key, state):

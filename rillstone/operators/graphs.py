@@ -6,6 +6,8 @@ plan does not grow and lost executors cost one round at most.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,6 +127,45 @@ def diff(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame]
     return out.union(e.select(edge.alias("change"), F.col("src").alias("a"), F.col("dst").alias("b"))).where("change is not null")
 
 
+def subgraph_paths(subgraphs: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
+    """subgraph and path of each subgraph (subgraph, parent, idx, name) of a snapshot that hangs on its root (parent null).
+
+    Its path is what stands before the last ``::`` in the id of its first node (subgraph, n, id) that has one, else its
+    name, else its place ``idx`` among its siblings behind its parent's path. A round per level of nesting, each a written table.
+    """
+    before = F.expr("left(id, length(id) - 2 - length(substring_index(id, '::', -1)))")
+    prefix = nodes.where("subgraph IS NOT NULL AND instr(id, '::') > 0").groupBy("subgraph").agg(F.min_by(before, "n").alias("_prefix"))
+    rows = written(subgraphs.join(prefix, "subgraph", "left").select("subgraph", "parent", F.col("idx").cast("string").alias("idx"), F.coalesce("_prefix", "name").alias("own")))
+    level = written(rows.where("parent IS NULL").select("subgraph", F.coalesce("own", "idx").alias("path")))
+    found = [level]
+    for _ in range(rounds):
+        up = level.select(F.col("subgraph").alias("parent"), "path")
+        level = written(rows.join(up, "parent").select("subgraph", F.coalesce("own", F.concat("path", F.lit("/"), "idx")).alias("path")))
+        if level.isEmpty():
+            return reduce(DataFrame.union, found)
+        found.append(level)
+    raise ValueError("subgraphs are nested too deep, or in a circle")
+
+
+def flattened(nodes: DataFrame, edges: DataFrame, subgraphs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (id, meta), edges (src, dst) and subgraph paths of a nested snapshot, whatever the depth they stand at.
+
+    Rows have ``subgraph``, null at the root; those of a subgraph that hangs on no root are left out. Ids are of the whole
+    snapshot; an id that comes again counts once, with its greatest meta.
+    """
+    paths = stage(subgraph_paths(subgraphs, nodes), "subgraph-paths")
+    there = lambda rows: rows.where("subgraph IS NULL").unionByName(rows.join(paths.select("subgraph"), "subgraph", "left_semi"))
+    flat = there(nodes).groupBy("id").agg(F.max(F.col("meta").cast("string")).alias("meta"))
+    return flat, there(edges).select("src", "dst").distinct(), paths.select("path")
+
+
+def nested_diff(before: tuple[DataFrame, DataFrame, DataFrame], after: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """The rows of ``diff`` over nested snapshots (nodes, edges, subgraphs), see ``flattened``, and subgraphs mounted and unmounted by path."""
+    (n0, e0, p0), (n1, e1, p1) = (flattened(*x) for x in (before, after))
+    moved = lambda a, b, change: a.distinct().join(b, "path", "left_anti").select(F.lit(change).alias("change"), F.col("path").alias("a"), F.lit(None).cast("string").alias("b"))
+    return diff((n0, e0), (n1, e1)).union(moved(p1, p0, "subgraph mounted")).union(moved(p0, p1, "subgraph unmounted"))
+
+
 def profile(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """Counts of nodes (path, status, invokes) by status, and the hot ones: most invokes first, then path."""
     counts = nodes.groupBy("status").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillstone.functions.order import number, running_sum
-from rillstone.operators import basic, bus, caches, collections, cqrs, graphs, memory, mutations, readiness
+from rillstone.operators import basic, bus, caches, chains, collections, cqrs, graphs, memory, mutations, readiness
 
 EVENT = 'cqrs-event:["{}","{}"]'
 
@@ -300,3 +300,45 @@ def test_context_of_one_source_that_has_all_texts(spark):
             want[c] = (" | ".join(parts), missing, cut)
         out = memory.pack_context(spark.createDataFrame(entries, "ctx string, rank int, fragment_id string"), spark.createDataFrame(texts, "idx long, fragment_id string, text string"), most, " | ", True, ["ctx"])
         assert {r.ctx: (r.text, r.missing, r.truncated) for r in out.collect()} == want
+
+
+def test_chains_go_on_after_a_restore(spark):
+    """Points of a chain that was restored anywhere are those of the whole chain; the state at a point is the snapshot of its changes."""
+    rng = random.Random(61)
+    maps = [(c, s, rng.choice(["set"] * 6 + ["delete", "clear"]), rng.randrange(5), rng.randrange(99)) for c in range(3) for s in range(47)]
+    maps = spark.createDataFrame(maps, "collection long, seq long, kind string, k long, v long")
+    calls = [(c, n, rng.choice(["append", "append_many", "insert", "pop", "clear"] if n % 9 == 0 else ["append", "append_many", "insert", "pop"]), rng.randrange(99), [1, 2, 3][: rng.randrange(4)], rng.randrange(5), 2) for c in range(3) for n in range(60)]
+    table = spark.createDataFrame(calls, "collection long, ord long, op string, value long, values array<long>, index long, n long")
+    logs = mutations.log_changes(table.where("op <> 'insert'").selectExpr("collection", "ord", "if(op = 'pop', 'trim_head', op) AS op", "value", "values", "n"), 9).drop("ord")
+    lists = mutations.list_changes(table, 9).where("seq IS NOT NULL").drop("ord", "error")
+    indexes = maps.selectExpr("collection", "seq", "decode(kind, 'set', 'upsert', 'delete', 'deleteMany', kind) AS kind", "k AS primary", "'s' AS secondary", "v AS value", "array(k, k + 1) AS primaries")
+    cursors = spark.createDataFrame([(0, -1), (1, 16), (2, 23)], "collection long, cursor long")
+    folds = {"map": (maps, collections.map_snapshot), "index": (indexes, collections.index_snapshot), "log": (logs, collections.log_snapshot), "list": (lists, collections.list_snapshot)}
+    for kind, (changes, fold) in folds.items():
+        whole = chains.CHAINS[kind](changes, 7)
+        columns = [c for c in whole.columns if c != "cursor"]
+        rows = {(r["cursor"], *(r[c] for c in columns)) for r in whole.collect()}
+        for cursor in (6, 27, 41):
+            reached = changes.where(F.col("seq") == cursor).select("collection").distinct()
+            state = fold(changes.where(F.col("seq") <= cursor).join(reached, "collection", "left_semi")).collect()
+            assert {r[1:] for r in rows if r[0] == cursor} == {tuple(r[c] for c in columns) for r in state}, (kind, cursor)
+        before = fold(changes.join(cursors, "collection").where("seq <= cursor").drop("cursor"))
+        after = chains.continued(kind, before, changes, cursors, 7)
+        base = {0: -1, 1: 16, 2: 23}
+        at = columns.index("collection") + 1
+        assert {(r["cursor"], *(r[c] for c in columns)) for r in after.collect()} == {r for r in rows if r[0] > base[r[at]]}, kind
+
+
+def test_paths_of_nested_snapshots(spark):
+    """By prefix of the first node that has one, by name, by place below the parent; what hangs on no root is left out."""
+    subgraphs = spark.createDataFrame([("s", None, 0, "named"), ("t", None, 1, None), ("u", "t", 0, None), ("v", "t", 1, "inner"), ("w", "u", 2, None), ("x", "s", 0, "shown"), ("y", "lost", 0, "y")], "subgraph string, parent string, idx int, name string")
+    nodes = spark.createDataFrame([(None, 0, "a", "m"), ("x", 1, "plain", "m"), ("x", 2, "p::q::n", "m"), ("x", 3, "z::n", "m"), ("y", 0, "gone", "m"), ("w", 0, "a", "n")], "subgraph string, n int, id string, meta string")
+    edges = spark.createDataFrame([("w", "a", "plain"), ("y", "gone", "a"), (None, "a", "plain")], "subgraph string, src string, dst string")
+    assert {tuple(r) for r in graphs.subgraph_paths(subgraphs, nodes).collect()} == {("s", "named"), ("t", "1"), ("u", "1/0"), ("v", "inner"), ("w", "1/0/2"), ("x", "p::q")}
+    flat, lines, paths = graphs.flattened(nodes, edges, subgraphs)
+    assert {tuple(r) for r in flat.collect()} == {("a", "n"), ("plain", "m"), ("p::q::n", "m"), ("z::n", "m")} and {tuple(r) for r in lines.collect()} == {("a", "plain")} and paths.count() == 6
+    bare = (nodes.where("subgraph IS NULL"), edges.where("subgraph IS NULL"), subgraphs.where("subgraph = 's'"))
+    out = {tuple(r) for r in graphs.nested_diff(bare, (nodes, edges, subgraphs)).collect()}
+    assert ("subgraph mounted", "p::q", None) in out and ("meta changed", "a", None) in out and ("node added", "z::n", None) in out and not any(c == "subgraph unmounted" for c, *_ in out)
+    with pytest.raises(ValueError):
+        graphs.subgraph_paths(spark.createDataFrame([("s", None, 0, "n"), ("t", "s", 0, "n")], "subgraph string, parent string, idx int, name string"), nodes, rounds=1)
