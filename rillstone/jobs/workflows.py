@@ -95,12 +95,12 @@ def q4_dead_letters(spark, d):
 
 
 @job("q5_command_errors", """WITH c AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN '' ELSE 'c' || event_id END AS command_id, ['claim', 'complete', 'submit'][event_id % 3 + 1] AS kind, CASE WHEN event_id % 7 > 0 THEN 'w' END AS work_id, CASE WHEN event_id % 11 > 0 THEN 'l' END AS lease_id, event_id % 13 AS lim, 'q' || (user_id % 2) AS queue_id FROM events)
-SELECT event_id, CASE WHEN command_id = '' OR (kind <> 'claim' AND work_id IS NULL) OR (kind = 'complete' AND lease_id IS NULL) OR (kind = 'claim' AND lim <= 0) THEN 'malformed-command' WHEN queue_id <> 'q0' THEN 'queue-mismatch' END AS error FROM c""")
+SELECT event_id, CASE WHEN command_id = '' THEN 'malformed-command' WHEN queue_id <> 'q0' THEN 'queue-mismatch' WHEN (kind <> 'claim' AND work_id IS NULL) OR (kind = 'complete' AND (lease_id IS NULL OR event_id % 17 = 0)) OR (kind = 'claim' AND (lim <= 0 OR event_id % 17 = 0)) THEN 'malformed-command' END AS error FROM c""")
 def q5(spark, d):
     n = F.col("event_id")
     c = events(spark, d).select(
         "event_id", F.when(n % 50 == 0, "").otherwise(text("c", n)).alias("command_id"), F.element_at(F.array(*map(F.lit, ["claim", "complete", "submit"])), (n % 3 + 1).cast("int")).alias("kind"),
-        F.when(n % 7 > 0, "w").alias("work_id"), F.when(n % 11 > 0, "l").alias("lease_id"), F.lit("a").alias("worker_id"), (n % 13).alias("limit"), text("q", F.col("user_id") % 2).alias("queue_id"),
+        F.when(n % 7 > 0, "w").alias("work_id"), F.when(n % 11 > 0, "l").alias("lease_id"), F.when(n % 17 > 0, "a").alias("worker_id"), (n % 13).alias("limit"), text("q", F.col("user_id") % 2).alias("queue_id"),
     )
     return queue.command_errors(c, "q0").select("event_id", "error")
 

@@ -7,6 +7,7 @@ are the unit of parallelism. Everything around the fold is plain aggregates and
 from __future__ import annotations
 
 import heapq
+import json
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,25 +62,30 @@ class Queue:
         elif state in ("scheduled", "retry-wait"):
             heapq.heappush(self.delayed, (due, work["seq"], work["id"]))
 
+    def finish(self, work, state):
+        """A finished work is known by its id and state alone from now on."""
+        self.works[work["id"]] = {"id": work["id"], "seq": work["seq"], "state": state}
+
     def expire(self, work, c):
         self.emit("LeaseExpired", c, work)
-        dead = work["attempt"] >= self.attempts
-        self.free(work, "dead" if dead else "ready")
-        if dead:
-            self.emit("WorkDeadLettered", c, work, reason="attempts-exhausted")
+        self.free(work, "ready")
 
-    def expired(self, c) -> list[dict]:
-        """Works whose lease has ended, in order of admission; the asked one alone if one is asked for."""
+    def expired(self, c, most: int | None = None) -> list[dict]:
+        """Works whose lease has ended, by their id, as many as asked for; the asked one alone if one is asked for."""
         now = c["now_ms"]
         if c["work_id"] is not None:
             work = self.works.get(c["work_id"])
             return [work] if work and work["state"] == "leased" and work["until"] <= now else []
         found = {}
         while self.leases and self.leases[0][0] <= now:
-            until, _, work_id = heapq.heappop(self.leases)
-            if self.works[work_id]["until"] == until:
-                found[work_id] = self.works[work_id]
-        return sorted(found.values(), key=lambda w: w["seq"])
+            entry = heapq.heappop(self.leases)
+            work = self.works[entry[2]]
+            if work["state"] == "leased" and work["until"] == entry[0]:
+                found[work["id"]] = (work, entry)
+        order = sorted(found)
+        for i in order[most:] if most is not None else []:
+            heapq.heappush(self.leases, found[i][1])
+        return [found[i][0] for i in order[:most]]
 
     def is_ready(self, work, now) -> bool:
         return work["state"] == "ready" or (work["state"] in ("scheduled", "retry-wait") and work["due"] <= now)
@@ -125,15 +131,15 @@ class Queue:
             return None, "lease-expired"
         return work, None
 
-    def lease(self, work, now):
-        work["until"] = now + self.lease_ms
+    def lease(self, work, c):
+        work["until"] = c["now_ms"] + (c.get("lease_duration_ms") or self.lease_ms)
         heapq.heappush(self.leases, (work["until"], work["seq"], work["id"]))
 
     def apply(self, c: dict) -> list[tuple]:
         """One command's records and issues."""
         self.out = []
-        kind, now = c["kind"], c["now_ms"]
-        if not c["command_id"] or (kind not in ("claim", "expire_leases") and not c["work_id"]):
+        kind = c["kind"]
+        if not is_formed(c):
             self.emit("Issue", c, reason="malformed-command")
         elif c["_again"]:
             self.emit("Issue", c, reason="duplicate-command")
@@ -148,7 +154,7 @@ class Queue:
             if work is None:
                 self.emit("Issue", c, reason=reason)
             elif kind == "renew_lease":
-                self.lease(work, now)
+                self.lease(work, c)
                 self.emit("LeaseRenewed", c, work, work["until"])
             elif kind == "release":
                 self.emit("WorkReleased", c, work)
@@ -156,7 +162,7 @@ class Queue:
             elif kind == "complete":
                 self.emit("AttemptCompleted", c, work)
                 self.emit("WorkCompleted", c, work)
-                self.free(work, "completed")
+                self.finish(work, "completed")
             elif kind == "fail":
                 self.fail(c, work)
             else:
@@ -174,26 +180,35 @@ class Queue:
         self.emit("WorkAdmitted", c, work, due)
 
     def claim(self, c):
-        for work in self.expired(c):
+        expiring = c["kind"] == "expire_leases"
+        for work in self.expired(c, c["limit"] if expiring else None):
             self.expire(work, c)
-        if c["kind"] == "expire_leases":
+        if expiring:
             return
         able = self.able(c)
         if not able:
-            self.emit("Issue", c, reason="not-ready")
+            self.emit("Issue", c, reason=self.miss(c["work_id"]))
         for work in able:
             self.numbers["lease"] += 1
-            work.update(state="leased", lease=f"lease-{self.numbers['lease']}", attempt=work["attempt"] + 1, worker=c["worker_id"], due=None)
-            self.lease(work, c["now_ms"])
+            work.update(state="leased", lease=lease_id(work["id"], self.numbers["lease"]), attempt=work["attempt"] + 1, worker=c["worker_id"], due=None)
+            self.lease(work, c)
             self.emit("WorkClaimed", c, work, work["until"])
 
+    def miss(self, work_id) -> str:
+        """Why a claim found nothing."""
+        if work_id is None:
+            return "not-ready"
+        state = (self.works.get(work_id) or {}).get("state")
+        return "unknown-work" if state is None else "terminal-work" if state in TERMINAL else "already-leased" if state == "leased" else "not-ready"
+
     def move(self, c):
         work, cancel = self.works.get(c["work_id"]), c["kind"] == "cancel"
         if work is None or work["state"] in TERMINAL or (work["state"] == "leased" and not cancel):
-            self.emit("Issue", c, reason="unknown-work" if work is None else "terminal-work" if work["state"] in TERMINAL else "already-leased")
+            self.emit("Issue", c, reason="unknown-work" if work is None else "terminal-work" if work["state"] in TERMINAL else "schedule-conflict")
         elif cancel:
             self.free(work, "canceled")
             self.emit("WorkCanceled", c, work)
+            self.finish(work, "canceled")
         else:
             self.free(work, "scheduled", c["not_before_ms"] or c["now_ms"])
             self.emit("WorkScheduled", c, work, work["due"])
@@ -205,22 +220,31 @@ class Queue:
             self.emit("RetryScheduled", c, work, work["due"], "retry-policy")
         else:
             self.emit("WorkDeadLettered", c, work, reason="attempts-exhausted")
-            self.free(work, "dead")
+            self.finish(work, "dead")
+
+
+def lease_id(work_id: str, number: int) -> str:
+    """The id of the queue's lease of that number."""
+    return f"work-queue-lease:{json.dumps([work_id, str(number)], separators=(',', ':'), ensure_ascii=False)}"
 
 
 def is_formed(c: dict) -> bool:
-    """Whether a command has an id, and a work if its kind needs one."""
-    return bool(c["command_id"]) and (c["kind"] in ("claim", "expire_leases") or bool(c["work_id"]))
+    """Whether a command has an id, and a work or a worker if its kind needs one."""
+    return bool(c["command_id"]) and (bool(c["worker_id"]) if c["kind"] == "claim" else c["kind"] == "expire_leases" or bool(c["work_id"]))
 
 
 def fold(commands: DataFrame, lease_ms: int, attempts: int, retry_ms: int = 0) -> DataFrame:
     """Commands (queue_id, ord, command_id, kind, work_id, lease_id, attempt, worker_id, limit, not_before_ms,
-    retryable, now_ms) of all queues as records and issues.
+    retryable, now_ms, and lease_duration_ms if leases differ) of all queues as records and issues.
+
+    A claim of a work that cannot be had says why (unknown-work, terminal-work, already-leased, not-ready). A lease that
+    ended makes its work ready again, whatever its attempts; expire_leases ends as many as its limit, by work id.
 
     Spark finds commands that repeat an id and passes each queue's commands on in order, as a stream; what a
-    task holds is the works of one queue. A command costs the logarithm of their number.
+    task holds is the works of one queue, of finished ones the id and state. A command costs the logarithm of their number.
     """
-    formed = (F.coalesce("command_id", F.lit("")) != "") & (F.col("kind").isin("claim", "expire_leases") | (F.coalesce("work_id", F.lit("")) != ""))
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    formed = given("command_id") & F.when(F.col("kind") == "claim", given("worker_id")).otherwise((F.col("kind") == "expire_leases") | given("work_id"))
     nth = F.row_number().over(over(["queue_id", "command_id", "_apart"], ["ord"]))
     rows = commands.withColumn("_apart", F.when(~formed, F.col("ord"))).withColumn("_again", formed & (nth > 1)).drop("_apart")
     names = rows.columns
@@ -280,14 +304,15 @@ def command_errors(commands: DataFrame, queue_id: str | None = None) -> DataFram
     """Commands with ``error``: what can be told without the queue's state."""
     needs_lease = F.col("kind").isin("renew_lease", "release", "complete", "fail")
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    claim = F.col("kind") == "claim"
+    error = F.when(blank("command_id"), "malformed-command")
+    if queue_id is not None:
+        error = error.when(F.col("queue_id") != queue_id, "queue-mismatch")
     error = (
-        F.when(blank("command_id"), "malformed-command")
-        .when(~F.col("kind").isin("claim", "expire_leases") & blank("work_id"), "malformed-command")
+        error.when(~F.col("kind").isin("claim", "expire_leases") & blank("work_id"), "malformed-command")
         .when(needs_lease & (blank("lease_id") | blank("worker_id")), "malformed-command")
-        .when((F.col("kind") == "claim") & F.coalesce(F.col("limit") <= 0, F.lit(False)), "malformed-command")
+        .when(claim & (blank("worker_id") | F.coalesce(F.col("limit") <= 0, F.lit(False))), "malformed-command")
     )
-    if queue_id is not None:
-        error = error.when(F.col("queue_id") != queue_id, "queue-mismatch")
     return commands.withColumn("error", error)
 
 

@@ -142,7 +142,7 @@ def test_queue_first_in_first_out(spark):
 
 
 def test_queue_retry(spark):
-    rows = [command(0, "submit", "x"), command(1, "claim"), command(2, "expire_leases", now=6), command(3, "claim", now=6), command(4, "fail", "x", "lease-2", 2, 7), command(4, "fail", "x", "lease-2", 2, 7)]
+    rows = [command(0, "submit", "x"), command(1, "claim"), command(2, "expire_leases", now=6), command(3, "claim", now=6), command(4, "fail", "x", queue.lease_id("x", 2), 2, 7), command(4, "fail", "x", queue.lease_id("x", 2), 2, 7)]
     out = queue.fold(spark.createDataFrame(rows, COMMAND), 5, 2).orderBy("record_seq").collect()
     kinds = [r.kind for r in out if r.kind != "Issue"]
     assert kinds == ["WorkAdmitted", "WorkClaimed", "LeaseExpired", "WorkClaimed", "AttemptFailed", "WorkDeadLettered"]

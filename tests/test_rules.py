@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillstone.functions.order import number, running_sum
-from rillstone.operators import basic, bus, caches, chains, collections, cqrs, graphs, memory, mutations, readiness
+from rillstone.operators import basic, bus, caches, chains, collections, cqrs, graphs, memory, mutations, queue, readiness
 
 EVENT = 'cqrs-event:["{}","{}"]'
 
@@ -342,3 +342,37 @@ def test_paths_of_nested_snapshots(spark):
     assert ("subgraph mounted", "p::q", None) in out and ("meta changed", "a", None) in out and ("node added", "z::n", None) in out and not any(c == "subgraph unmounted" for c, *_ in out)
     with pytest.raises(ValueError):
         graphs.subgraph_paths(spark.createDataFrame([("s", None, 0, "n"), ("t", "s", 0, "n")], "subgraph string, parent string, idx int, name string"), nodes, rounds=1)
+
+
+def test_rules_of_queue_commands(spark):
+    """Why claims miss, lease ids and times, expiry by id and limit, finished works."""
+    names = "queue_id string, ord long, command_id string, kind string, work_id string, lease_id string, attempt long, worker_id string, `limit` long, not_before_ms long, retryable boolean, now_ms long, lease_duration_ms long"
+    rows, n = [], 0
+
+    def ask(kind, now, work=None, worker=None, limit=None, due=None, lease=None, duration=None):
+        nonlocal n
+        n += 1
+        rows.append(("q", n, f"c{n}", kind, work, lease, None, worker, limit, due, None, now, duration))
+
+    for w in ("b", "a", "c"):
+        ask("submit", 0, w)
+    ask("claim", 1, "none", "me")  # unknown-work
+    ask("claim", 1, None, "me", 3)
+    ask("claim", 2, "a", "me")  # already-leased
+    ask("schedule", 2, "a", due=9)  # schedule-conflict
+    ask("claim", 2, None, None)  # malformed-command
+    ask("expire_leases", 20, limit=2)  # a and b, by id
+    ask("complete", 21, "c")  # its lease has ended too
+    ask("claim", 22, "c", "me", duration=500)
+    ask("complete", 400, "c")
+    ask("claim", 401, "c", "me")  # terminal-work
+    ask("cancel", 402, "b")
+    ask("submit", 403, "c")  # known still
+    ask("submit", 404, "d", due=900)
+    ask("claim", 405, "d", "me")  # not-ready
+    out = [(r.kind, r.work_id, r.reason or r.lease_id) for r in queue.fold(spark.createDataFrame(rows, names), 10, 1).collect()]
+    lease = lambda w, k: f'work-queue-lease:["{w}","{k}"]'
+    assert [r for r in out if r[0] == "Issue"] == [("Issue", w, x) for w, x in (("none", "unknown-work"), ("a", "already-leased"), ("a", "schedule-conflict"), (None, "malformed-command"), ("c", "lease-expired"), ("c", "terminal-work"), ("d", "not-ready"))]
+    assert [r[1:] for r in out if r[0] == "WorkClaimed"] == [("b", lease("b", 1)), ("a", lease("a", 2)), ("c", lease("c", 3)), ("c", lease("c", 4))]
+    assert [r[1] for r in out if r[0] == "LeaseExpired"] == ["a", "b", "c"] and not any(r[0] == "WorkDeadLettered" for r in out)
+    assert [r[0] for r in out if r[1] == "c" and r[0] in ("WorkCompleted", "AdmissionDeduped")] == ["WorkCompleted", "AdmissionDeduped"]
