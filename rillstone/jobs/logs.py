@@ -525,13 +525,17 @@ def m5_gaps(spark, d):
     return subscribed(spark, d)[1]
 
 
-@job("m6_available_to_all", CURSORS + f""", cu AS (SELECT topic, sid, nx FROM f WHERE nx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY topic, sid ORDER BY rn DESC) = 1), ends AS (SELECT topic, max(head_seq) AS h FROM lg GROUP BY 1)
+#: The same topics with room for all their messages.
+KEPT = CURSORS.replace(f"seq - {MOST - 1}", "seq - 999999999").replace(f"{AGE + 1} PRECEDING", "900000000000000 PRECEDING")
+
+
+@job("m6_available_to_all", KEPT + """, cu AS (SELECT topic, sid, nx FROM f WHERE nx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY topic, sid ORDER BY rn DESC) = 1), ends AS (SELECT topic, max(head_seq) AS h FROM lg GROUP BY 1)
 SELECT sid AS subscription_id, cu.topic, seq, payload FROM cu JOIN ends ON ends.topic = cu.topic JOIN ms ON ms.topic = cu.topic WHERE nx >= h AND seq >= nx AND seq < nx + 5""")
 def m6_all(spark, d):
-    """What each subscription finds at its cursor after all commands, in the topics that retention left."""
+    """What each subscription finds at its cursor after all commands, in topics that keep their messages."""
     c = stage(commands(spark, d), "bus-commands")
     sent = stage(bus.publish(c).where("status = 'published'"), "published")
-    log = stage(bus.timed(sent, MOST, AGE), "topic-log")
+    log = stage(bus.timed(sent), "topic-log")
     ends = log.groupBy("topic").agg(F.max("head_seq").alias("head_seq"))
     left = sent.join(ends, "topic").where("seq >= head_seq").select("topic", "seq", "payload")
     return bus.available(bus.cursors(bus.subscription_gaps(bus.as_of(c, log), log)[0]).select("topic", "subscription_id", "next_seq"), left, ends, 5)
