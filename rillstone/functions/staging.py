@@ -26,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def _staged(spark: SparkSession) -> str:
+def staged_dir(spark: SparkSession) -> str:
+    """The folder of what this application has staged."""
     return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
 
 
@@ -37,12 +38,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     the loss of executors, unlike cached blocks. Results read staged tables until they are written
     themselves; then ``clear_staged`` frees the space.
     """
-    path = f"{_staged(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{staged_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear_staged(spark: SparkSession) -> None:
     """Delete all tables that this application has staged. Results that were not written before can no longer be read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_staged(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

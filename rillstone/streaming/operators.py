@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.staging import shared_dir, stage
+from ..functions.staging import shared_dir, stage, staged_dir
 from . import stateful
 
 
@@ -175,8 +175,8 @@ def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
 
 
 def _base(spark: SparkSession, name: str, resume: bool) -> str:
-    """The folder of a stream's checkpoint and tables: a new one, or the one that earlier runs of the name had."""
-    return f"{shared_dir(spark)}/streams/{name}" + ("" if resume else f"-{uuid.uuid4().hex}")
+    """The folder of a stream's checkpoint and tables: the one that earlier runs of the name had, or a new one that ``clear_staged`` deletes."""
+    return f"{shared_dir(spark)}/streams/{name}" if resume else f"{staged_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append", resume: bool = False) -> DataFrame:
