@@ -31,26 +31,97 @@ def q1(spark, d):
     return queue.admit(messages(spark, d)).select("queue_id", "seq", "work_id", "kind", "state")
 
 
+LEASE, RETRY, ATTEMPTS = 3_000, 1_500, 2
+
+
 def queue_commands(spark, d):
-    """Orders as submits, then claims, completes and failures that follow from their status; a queue per customer and priority."""
-    o, n = read(spark, d, "orders"), F.col("o_orderkey")
-    base = o.select(F.concat("o_orderpriority", F.lit("/"), (F.col("o_custkey") % 40).cast("string")).alias("queue_id"), n.alias("n"), text("w", n).alias("work_id"), F.col("o_orderstatus").alias("status"))
-    none = lambda t: F.lit(None).cast(t)
-    shape = lambda i, kind, work, worker, due, retry: base.select("queue_id", (F.col("n") * 4 + i).alias("ord"), text(kind, F.col("n")).alias("command_id"), kind_of(kind, i).alias("kind"), work.alias("work_id"), none("string").alias("lease_id"), none("long").alias("attempt"), worker.alias("worker_id"), F.lit(1).cast("long").alias("limit"), due.alias("not_before_ms"), retry.alias("retryable"), (F.col("n") * 10 + i).alias("now_ms"))
-    kind_of = lambda kind, i: F.lit(kind) if kind != "end" else F.when(F.col("status") == "F", "fail").when(F.col("status") == "O", "complete").otherwise("release")
-    work, due = F.col("work_id"), F.when(F.col("n") % 6 == 0, F.col("n") * 10 + 400)
-    return (
-        shape(0, "submit", work, none("string"), due, none("boolean"))
-        .union(shape(1, "claim", none("string"), F.lit("a"), none("long"), none("boolean")))
-        .union(shape(2, "end", work, F.lit("a"), none("long"), F.col("n") % 2 == 0))
+    """Up to four commands of an order, of all nine kinds; a queue per priority and customers. Ids and idempotency keys come again,
+    claims name works or not, and some commands are malformed, stale, or meant for works that are not theirs."""
+    n, i = F.col("o_orderkey"), F.col("i")
+    o = read(spark, d, "orders").withColumn("i", F.explode(F.array(*[F.lit(x).cast("long") for x in range(4)])))
+    pick = lambda c, *names: F.element_at(F.array(*map(F.lit, names)), (c + 1).cast("int"))
+    ends = F.when(n % 2 == 0, F.when(F.col("o_orderstatus") == "F", "fail").otherwise("complete")).otherwise(pick(F.floor(n / 2) % 4, "release", "renew_lease", "cancel", "schedule"))
+    last = F.when(n % 5 == 0, "expire_leases").when(n % 7 == 1, "cancel").when(n % 7 == 2, "schedule").when(n % 7 == 3, "complete").when(n % 7 == 4, "submit")
+    rows = o.withColumn("kind", F.when(i == 0, "submit").when(i == 1, "claim").when(i == 2, ends).otherwise(last)).where("kind IS NOT NULL")
+    kind, now = F.col("kind"), n * 10 + i
+    several = F.when((kind == "claim") & (n % 4 < 2), F.when(n % 9 == 0, F.array(text("w", n), text("w", n - 1), F.lit("missing"))).otherwise(F.array(text("w", n), text("w", n - 1))))
+    return rows.select(
+        F.concat("o_orderpriority", F.lit("/"), (F.col("o_custkey") % 40).cast("string")).alias("queue_id"), (n * 4 + i).alias("ord"), kind,
+        F.when(n % 41 == 0, "").when(n % 17 == 0, text("again", n % 3)).otherwise(F.concat(kind, i.cast("string"), text("-", n))).alias("command_id"),
+        F.when((i == 0) & (n % 3 == 0), text("k", n % 11)).alias("idempotency_key"), F.when(~kind.isin("claim", "expire_leases"), text("w", n)).alias("work_id"),
+        several.when((kind == "expire_leases") & (n % 2 == 0), F.array(text("w", n - 5), text("w", n))).alias("work_ids"),
+        F.when((i == 2) & (n % 31 == 0), "stale").alias("lease_id"), F.when((i == 2) & (n % 23 == 0), 7).cast("long").alias("attempt"),
+        F.when((kind == "claim") & (n % 29 == 0), "").when((i == 2) & (n % 19 == 0), "b").otherwise("a").alias("worker_id"),
+        F.when((kind == "expire_leases") | ((kind == "claim") & (n % 3 == 0)), 2).when((kind == "claim") & (n % 37 == 0), 0).cast("long").alias("limit"),
+        F.when((kind == "submit") & (n % 6 == 0), now + 2500).when(kind == "schedule", now + 2000).alias("not_before_ms"),
+        (n % 10 > 0).alias("retryable"), now.alias("now_ms"), F.when(n % 8 == 1, 2 * LEASE).cast("long").alias("lease_duration_ms"),
     )
 
 
+#: The same commands, and a queue's works replayed command by command: a row per queue and step holds them as a list.
+COMMANDS = f"""WITH RECURSIVE c0 AS (SELECT o_orderpriority || '/' || (o_custkey % 40) AS queue_id, o_orderkey AS n, i, CASE i WHEN 0 THEN 'submit' WHEN 1 THEN 'claim'
+  WHEN 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderstatus = 'F' THEN 'fail' ELSE 'complete' END ELSE ['release', 'renew_lease', 'cancel', 'schedule'][o_orderkey // 2 % 4 + 1] END
+  ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'expire_leases' WHEN o_orderkey % 7 = 1 THEN 'cancel' WHEN o_orderkey % 7 = 2 THEN 'schedule' WHEN o_orderkey % 7 = 3 THEN 'complete' WHEN o_orderkey % 7 = 4 THEN 'submit' END END AS kind, o_orderkey * 10 + i AS now_ms FROM orders, range(4) AS t(i)),
+c AS (SELECT queue_id, row_number() OVER (PARTITION BY queue_id ORDER BY n, i) AS k, kind, CASE WHEN n % 41 = 0 THEN '' WHEN n % 17 = 0 THEN 'again' || (n % 3) ELSE kind || i || '-' || n END AS command_id,
+  CASE WHEN i = 0 AND n % 3 = 0 THEN 'k' || (n % 11) END AS key, CASE WHEN kind NOT IN ('claim', 'expire_leases') THEN 'w' || n END AS work_id,
+  CASE WHEN kind = 'claim' AND n % 4 < 2 THEN CASE WHEN n % 9 = 0 THEN ['w' || n, 'w' || (n - 1), 'missing'] ELSE ['w' || n, 'w' || (n - 1)] END WHEN kind = 'expire_leases' AND n % 2 = 0 THEN ['w' || (n - 5), 'w' || n] ELSE [] END AS named,
+  CASE WHEN i = 2 AND n % 31 = 0 THEN 'stale' END AS lease_id, CASE WHEN i = 2 AND n % 23 = 0 THEN 7 END AS attempt, CASE WHEN kind = 'claim' AND n % 29 = 0 THEN '' WHEN i = 2 AND n % 19 = 0 THEN 'b' ELSE 'a' END AS worker_id,
+  CASE WHEN kind = 'expire_leases' OR (kind = 'claim' AND n % 3 = 0) THEN 2 WHEN kind = 'claim' AND n % 37 = 0 THEN 0 END AS lim, CASE WHEN kind = 'submit' AND n % 6 = 0 THEN now_ms + 2500 WHEN kind = 'schedule' THEN now_ms + 2000 END AS later,
+  n % 10 > 0 AS retryable, now_ms, CASE WHEN n % 8 = 1 THEN {2 * LEASE} ELSE {LEASE} END AS duration FROM c0 WHERE kind IS NOT NULL)"""
+WORK = "STRUCT(id VARCHAR, seq BIGINT, state VARCHAR, due BIGINT, lease VARCHAR, attempt BIGINT, worker VARCHAR, until BIGINT)"
+OUT = "STRUCT(kind VARCHAR, work_id VARCHAR, lease_id VARCHAR, attempt BIGINT, worker_id VARCHAR, due_ms BIGINT, reason VARCHAR)"
+
+
+def _w(state, due="NULL", lease="NULL", worker="NULL", until="NULL", attempt="w.attempt", of="w"):
+    return f"CAST(struct_pack(id := {of}.id, seq := {of}.seq, state := {state}, due := {due}, lease := {lease}, attempt := {attempt}, worker := {worker}, until := {until}) AS {WORK})"
+
+
+def _o(kind, work="w", due="NULL", reason="NULL", held=True):
+    """A record of a work, with its lease or without."""
+    lease, attempt, worker = (f"{work}.lease", f"{work}.attempt", f"{work}.worker") if held else ("NULL", f"{work}.attempt", "NULL")
+    return f"CAST(struct_pack(kind := '{kind}', work_id := {work}.id, lease_id := {lease}, attempt := {attempt}, worker_id := {worker}, due_ms := {due}, reason := {reason}) AS {OUT})"
+
+
+def _i(kind, work="work_id", reason="NULL"):
+    return f"CAST(struct_pack(kind := '{kind}', work_id := {work}, lease_id := NULL, attempt := NULL, worker_id := NULL, due_ms := NULL, reason := {reason}) AS {OUT})"
+
+
+DONE = "('completed', 'dead', 'canceled')"
+READY = "({0}.state = 'ready' OR ({0}.state IN ('scheduled', 'retry-wait') AND {0}.due <= now_ms))"
+ENDED = "list_sort(list_filter(works, lambda x: x.state = 'leased' AND x.until <= now_ms AND (len(named) = 0 OR list_contains(named, x.id))))"
+REPLAY = f"""{COMMANDS},
+st AS (SELECT DISTINCT queue_id, CAST(0 AS BIGINT) AS k, CAST([] AS {WORK}[]) AS works, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS keys, CAST(0 AS BIGINT) AS leases, CAST(NULL AS VARCHAR) AS command_id, CAST(NULL AS BIGINT) AS now_ms, CAST([] AS {OUT}[]) AS out FROM c0
+UNION ALL
+SELECT queue_id, k, CASE WHEN verb = 'submit' AND w IS NULL THEN list_append(works, CAST(struct_pack(id := work_id, seq := len(works) + 1, state := CASE WHEN later > now_ms THEN 'scheduled' ELSE 'ready' END, due := later, lease := NULL, attempt := 0, worker := NULL, until := NULL) AS {WORK}))
+  WHEN new IS NULL THEN works ELSE list_transform(works, lambda x: CASE WHEN x.id = new.id THEN new ELSE x END) END, ids, keys, leases, command_id, now_ms,
+  CASE WHEN fault IS NOT NULL THEN list_append(before, {_i("Issue", reason="fault")}) WHEN verb = 'submit' THEN CASE WHEN w IS NULL THEN [CAST(struct_pack(kind := 'WorkAdmitted', work_id := work_id, lease_id := NULL, attempt := 0, worker_id := NULL, due_ms := later, reason := NULL) AS {OUT})] ELSE [{_i("AdmissionDeduped")}] END
+  WHEN verb = 'claim' THEN list_concat(before, list_transform(took, lambda x: {_o("WorkClaimed", "x", "x.until")}), CASE WHEN len(took) = 0 AND len(named) = 0 THEN [{_i("Issue", reason="'not-ready'")}] ELSE list_transform(missed, lambda x: {_i("Issue", "x.id", "x.reason")}) END)
+  WHEN verb = 'expire_leases' THEN before WHEN verb = 'renew_lease' THEN [{_o("LeaseRenewed", "new", "new.until")}] WHEN verb = 'release' THEN [{_o("WorkReleased")}] WHEN verb = 'complete' THEN [{_o("AttemptCompleted")}, {_o("WorkCompleted")}]
+  WHEN verb = 'fail' THEN [{_o("AttemptFailed")}, CASE WHEN new.state = 'dead' THEN {_o("WorkDeadLettered", reason="'attempts-exhausted'")} ELSE {_o("RetryScheduled", "new", "new.due", "'retry-policy'")} END]
+  WHEN verb = 'cancel' THEN [{_o("WorkCanceled", held=False)}] ELSE [{_o("WorkScheduled", "new", "new.due")}] END
+FROM (SELECT *, list_transform(gone, lambda x: {_o("LeaseExpired", "x")}) AS before, CASE WHEN fault IS NOT NULL THEN NULL WHEN verb = 'renew_lease' THEN {_w("'leased'", "w.due", "w.lease", "w.worker", "now_ms + duration")} WHEN verb = 'release' THEN {_w("'ready'")} WHEN verb = 'complete' THEN {_w("'completed'")}
+   WHEN verb = 'fail' THEN CASE WHEN retryable AND w.attempt < {ATTEMPTS} THEN {_w("'retry-wait'", f"now_ms + {RETRY}")} ELSE {_w("'dead'")} END WHEN verb = 'cancel' THEN {_w("'canceled'")} WHEN verb = 'schedule' THEN {_w("'scheduled'", "later")} END AS new
+ FROM (SELECT * EXCLUDE (works, leases), leases + len(took) AS leases, list_transform(works, lambda x: coalesce(list_filter(took, lambda y: y.id = x.id)[1], x)) AS works,
+   list_filter(list_transform(list_sort(list_filter(CASE WHEN verb = 'claim' THEN named ELSE [] END, lambda a: len(list_filter(took, lambda y: y.id = a)) = 0)), lambda a: struct_pack(id := a, reason := CASE WHEN len(list_filter(works, lambda x: x.id = a)) = 0 THEN 'unknown-work'
+     ELSE list_transform(list_filter(works, lambda x: x.id = a), lambda x: CASE WHEN {READY.format("x")} THEN NULL WHEN x.state IN {DONE} THEN 'terminal-work' WHEN x.state = 'leased' THEN 'already-leased' ELSE 'not-ready' END)[1] END)), lambda m: m.reason IS NOT NULL) AS missed
+  FROM (SELECT *, CASE WHEN verb = 'claim' THEN list_transform(list_filter(works, lambda x: {READY.format("x")} AND (len(named) = 0 OR list_contains(named, x.id)))[1:coalesce(lim, greatest(len(named), 1))],
+     lambda x, j: {_w("'leased'", "NULL", "'work-queue-lease:[" + chr(34) + "' || x.id || '" + chr(34) + "," + chr(34) + "' || (leases + j) || '" + chr(34) + "]'", "worker_id", "now_ms + duration", "x.attempt + 1", "x")}) ELSE [] END AS took
+   FROM (SELECT * EXCLUDE (works), list_transform(works, lambda x: CASE WHEN len(list_filter(gone, lambda y: y.id = x.id)) > 0 THEN {_w("'ready'", attempt="x.attempt", of="x")} ELSE x END) AS works
+    FROM (SELECT *, CASE WHEN verb = 'claim' THEN {ENDED} WHEN verb = 'expire_leases' THEN {ENDED}[1:lim] WHEN fault = 'lease-expired' THEN [w] ELSE [] END AS gone
+     FROM (SELECT * EXCLUDE (fault, ids, keys), CASE WHEN fault IS NULL THEN kind END AS verb, CASE WHEN fault IS NULL THEN list_append(ids, command_id) ELSE ids END AS ids, CASE WHEN fault IS NULL AND key IS NOT NULL THEN list_append(keys, key) ELSE keys END AS keys,
+       CASE WHEN fault IS NOT NULL THEN fault WHEN kind IN ('submit', 'claim', 'expire_leases') THEN NULL WHEN w IS NULL THEN 'unknown-work' WHEN w.state IN {DONE} THEN 'terminal-work' WHEN kind = 'cancel' THEN NULL WHEN kind = 'schedule' THEN CASE WHEN w.state = 'leased' THEN 'schedule-conflict' END
+        WHEN w.state <> 'leased' THEN 'lease-not-current' WHEN lease_id <> w.lease THEN 'stale-lease' WHEN attempt <> w.attempt THEN 'attempt-mismatch' WHEN worker_id <> w.worker THEN 'worker-mismatch' WHEN w.until <= now_ms THEN 'lease-expired' END AS fault
+      FROM (SELECT c.*, st.works, st.ids, st.keys, st.leases, list_filter(st.works, lambda x: x.id = c.work_id)[1] AS w, CASE WHEN c.command_id = '' OR (kind = 'claim' AND (worker_id = '' OR lim = 0)) THEN 'malformed-command' WHEN list_contains(st.ids, c.command_id) OR list_contains(st.keys, c.key) THEN 'duplicate-command' END AS fault
+       FROM st JOIN c ON c.queue_id = st.queue_id AND c.k = st.k + 1))))))))"""
+RECORDS = f"""{REPLAY}, un AS (SELECT queue_id, k, command_id, now_ms, unnest(range(len(out))) AS place, unnest(out) AS o FROM st WHERE len(out) > 0),
+recs AS (SELECT queue_id, k, place, CASE WHEN o.kind <> 'Issue' THEN count(*) FILTER (WHERE o.kind <> 'Issue') OVER (PARTITION BY queue_id ORDER BY k, place) END AS record_seq, o.kind AS kind, o.work_id AS work_id, command_id, o.lease_id AS lease_id, o.attempt AS attempt, o.worker_id AS worker_id, o.due_ms AS due_ms, o.reason AS reason, now_ms FROM un)"""
+
+
 def records(spark, d):
-    return queue.fold(queue_commands(spark, d), 5000, 3, 100)
+    return queue.fold(queue_commands(spark, d), LEASE, ATTEMPTS, RETRY)
 
 
-@job("q2_command_fold")
+@job("q2_command_fold", f"{RECORDS} SELECT * EXCLUDE (k, place) FROM recs")
 def q2(spark, d):
     return records(spark, d)
 

@@ -47,6 +47,20 @@ class Queue:
         self.leases: list[tuple] = []
         self.numbers = {"record": 0, "lease": 0, "admission": 0}
         self.out: list[tuple] = []
+        self.seen: set[tuple] = set()
+
+    def known(self, c) -> bool:
+        """Whether an earlier command that stood has this one's id or idempotency key. Kept are those that come again
+        only, as ``_id_more`` and ``_key_more`` of a command tell; the key of a refused duplicate is not taken."""
+        formed = is_formed(c)
+        names = [(name, c.get(name), c.get(more)) for name, more in (("command_id", "_id_more"), ("idempotency_key", "_key_more")) if c.get(name)]
+        again = any((name, value) in self.seen for name, value, _ in names)
+        for name, value, more in names:
+            if not more:
+                self.seen.discard((name, value))
+            elif formed and not again:
+                self.seen.add((name, value))
+        return formed and again
 
     def emit(self, kind, c, work=None, due=None, reason=None):
         if kind != "Issue":
@@ -70,12 +84,12 @@ class Queue:
         self.emit("LeaseExpired", c, work)
         self.free(work, "ready")
 
-    def expired(self, c, most: int | None = None) -> list[dict]:
-        """Works whose lease has ended, by their id, as many as asked for; the asked one alone if one is asked for."""
+    def expired(self, c, named: list[str], most: int | None = None) -> list[dict]:
+        """Works whose lease has ended, by their id, as many as asked for; of the named ones if some are named."""
         now = c["now_ms"]
-        if c["work_id"] is not None:
-            work = self.works.get(c["work_id"])
-            return [work] if work and work["state"] == "leased" and work["until"] <= now else []
+        if named:
+            works = [w for i in sorted(named) if (w := self.works.get(i))]
+            return [w for w in works if w["state"] == "leased" and w["until"] <= now][:most]
         found = {}
         while self.leases and self.leases[0][0] <= now:
             entry = heapq.heappop(self.leases)
@@ -90,12 +104,12 @@ class Queue:
     def is_ready(self, work, now) -> bool:
         return work["state"] == "ready" or (work["state"] in ("scheduled", "retry-wait") and work["due"] <= now)
 
-    def able(self, c) -> list[dict]:
-        """The first ready works, as many as the claim's limit."""
-        now, most = c["now_ms"], int(c["limit"] or 1)
-        if c["work_id"] is not None:
-            work = self.works.get(c["work_id"])
-            return [work][:most] if work and self.is_ready(work, now) else []
+    def able(self, c, named: list[str]) -> list[dict]:
+        """The first ready works, of the named ones if some are named, as many as the claim's limit (one, or all that are named)."""
+        now, most = c["now_ms"], int(c["limit"] or max(len(named), 1))
+        if named:
+            works = [w for i in named if (w := self.works.get(i)) and self.is_ready(w, now)]
+            return sorted(works, key=lambda w: w["seq"])[:most]
         while self.delayed and self.delayed[0][0] <= now:
             due, seq, work_id = heapq.heappop(self.delayed)
             work = self.works[work_id]
@@ -180,26 +194,32 @@ class Queue:
         self.emit("WorkAdmitted", c, work, due)
 
     def claim(self, c):
-        expiring = c["kind"] == "expire_leases"
-        for work in self.expired(c, c["limit"] if expiring else None):
+        expiring, named = c["kind"] == "expire_leases", named_works(c)
+        for work in self.expired(c, named, c["limit"] if expiring else None):
             self.expire(work, c)
         if expiring:
             return
-        able = self.able(c)
-        if not able:
-            self.emit("Issue", c, reason=self.miss(c["work_id"]))
+        able = self.able(c, named)
         for work in able:
             self.numbers["lease"] += 1
             work.update(state="leased", lease=lease_id(work["id"], self.numbers["lease"]), attempt=work["attempt"] + 1, worker=c["worker_id"], due=None)
             self.lease(work, c)
             self.emit("WorkClaimed", c, work, work["until"])
-
-    def miss(self, work_id) -> str:
-        """Why a claim found nothing."""
-        if work_id is None:
-            return "not-ready"
-        state = (self.works.get(work_id) or {}).get("state")
-        return "unknown-work" if state is None else "terminal-work" if state in TERMINAL else "already-leased" if state == "leased" else "not-ready"
+        if not able and not named:
+            self.emit("Issue", c, reason="not-ready")
+        taken = {w["id"] for w in able}
+        for i in sorted(i for i in named if i not in taken):
+            if reason := self.miss(i, c["now_ms"]):
+                self.emit("Issue", c, {"id": i}, reason=reason)
+
+    def miss(self, work_id, now) -> str | None:
+        """Why a claim did not get a work; None if it was beyond the limit alone."""
+        work = self.works.get(work_id)
+        if work is None:
+            return "unknown-work"
+        if self.is_ready(work, now):
+            return None
+        return "terminal-work" if work["state"] in TERMINAL else "already-leased" if work["state"] == "leased" else "not-ready"
 
     def move(self, c):
         work, cancel = self.works.get(c["work_id"]), c["kind"] == "cancel"
@@ -228,29 +248,46 @@ def lease_id(work_id: str, number: int) -> str:
     return f"work-queue-lease:{json.dumps([work_id, str(number)], separators=(',', ':'), ensure_ascii=False)}"
 
 
-def is_formed(c: dict) -> bool:
-    """Whether a command has an id, and a work or a worker if its kind needs one."""
-    return bool(c["command_id"]) and (bool(c["worker_id"]) if c["kind"] == "claim" else c["kind"] == "expire_leases" or bool(c["work_id"]))
+def named_works(c: dict) -> list[str]:
+    """The works that a claim or an expiry names, each once: those of ``work_ids``, or else ``work_id``."""
+    named = [i for i in c.get("work_ids") or [] if i is not None] or [c["work_id"]]
+    return list(dict.fromkeys(i for i in named if i is not None))
 
 
-def fold(commands: DataFrame, lease_ms: int, attempts: int, retry_ms: int = 0) -> DataFrame:
-    """Commands (queue_id, ord, command_id, kind, work_id, lease_id, attempt, worker_id, limit, not_before_ms,
-    retryable, now_ms, and lease_duration_ms if leases differ) of all queues as records and issues.
+def is_formed(c: dict) -> bool:
+    """Whether a command has an id, and what its kind needs: a work, or a worker and sound options for a claim."""
+    if not c["command_id"]:
+        return False
+    if c["kind"] == "claim":
+        return bool(c["worker_id"]) and c["limit"] != 0 and c.get("lease_duration_ms") != 0 and "" not in named_works(c)
+    return c["kind"] == "expire_leases" or bool(c["work_id"])
 
-    A claim of a work that cannot be had says why (unknown-work, terminal-work, already-leased, not-ready). A lease that
-    ended makes its work ready again, whatever its attempts; expire_leases ends as many as its limit, by work id.
 
-    Spark finds commands that repeat an id and passes each queue's commands on in order, as a stream; what a
-    task holds is the works of one queue, of finished ones the id and state. A command costs the logarithm of their number.
+def fold(commands: DataFrame, lease_ms: int, attempts: int, retry_ms: int = 0) -> DataFrame:
+    """Commands (queue_id, ord, command_id, kind, work_id, lease_id, attempt, worker_id, limit, not_before_ms, retryable, now_ms;
+    lease_duration_ms if leases differ, work_ids if claims or expiries name several works, idempotency_key if there are such) of all
+    queues as records and issues.
+
+    A claim that names works takes those that are ready, first admitted first, and says of each other one why it is not
+    to be had (unknown-work, terminal-work, already-leased, not-ready), by id. A lease that ended makes its work ready again,
+    whatever its attempts; expire_leases ends as many as its limit, by work id. A command whose id or key an earlier one
+    used that was itself no duplicate is a duplicate; empty keys are none.
+
+    Spark marks the ids and keys that come again and passes each queue's commands on in order, as a stream; what a task holds is the
+    works of one queue, of finished ones the id and state, and ids and keys between their uses. A command costs the logarithm of
+    the works' number.
     """
-    given = lambda c: F.coalesce(c, F.lit("")) != ""
-    formed = given("command_id") & F.when(F.col("kind") == "claim", given("worker_id")).otherwise((F.col("kind") == "expire_leases") | given("work_id"))
-    nth = F.row_number().over(over(["queue_id", "command_id", "_apart"], ["ord"]))
-    rows = commands.withColumn("_apart", F.when(~formed, F.col("ord"))).withColumn("_again", formed & (nth > 1)).drop("_apart")
+    rows = commands
+    for name, more in (("command_id", "_id_more"), ("idempotency_key", "_key_more")):
+        if name in rows.columns:
+            rows = rows.withColumn("_apart", F.when(F.coalesce(F.col(name), F.lit("")) == "", F.col("ord")))
+            rows = rows.withColumn(more, F.lead("ord").over(over(["queue_id", name, "_apart"], ["ord"])).isNotNull()).drop("_apart")
     names = rows.columns
 
     def step(queue, row):
-        return queue, queue.apply(dict(zip(names, row, strict=True)))
+        c = dict(zip(names, row, strict=True))
+        c["_again"] = queue.known(c)
+        return queue, queue.apply(c)
 
     return keyed_fold(rows, ["queue_id"], ["ord"], step, lambda: Queue(lease_ms, attempts, retry_ms), RECORD)
 

@@ -325,6 +325,7 @@ class _QueueFold(Ordered):
         self.works = handle.getMapState("works", _struct(id=_TEXT), _struct(**self.FIELDS))
         self.lines = handle.getMapState("lines", _struct(line=_TEXT, at=_LONG, seq=_LONG, id=_TEXT), _struct(there=_FLAG))
         self.seen = handle.getMapState("commands", _struct(id=_TEXT), _struct(seen=_FLAG))
+        self.keys = handle.getMapState("keys", _struct(id=_TEXT), _struct(seen=_FLAG))
         self.numbers = handle.getValueState("numbers", _struct(record=_LONG, lease=_LONG, admission=_LONG))
 
     @staticmethod
@@ -355,18 +356,20 @@ class _QueueFold(Ordered):
     def step(self, row):
         c = row._asdict()
         formed = queue.is_formed(c)
-        c["_again"] = formed and self.seen.containsKey((c["command_id"],))
-        if formed:
-            self.seen.updateValue((c["command_id"],), (True,))
+        used = [(state, (i,)) for state, i in ((self.seen, c["command_id"]), (self.keys, c.get("idempotency_key"))) if i]
+        c["_again"] = formed and any(state.containsKey(i) for state, i in used)
+        if formed and not c["_again"]:
+            for state, i in used:
+                state.updateValue(i, (True,))
         return self.queue.apply(c)
 
     def forget(self):
-        for state in (self.works, self.lines, self.seen, self.numbers):
+        for state in (self.works, self.lines, self.seen, self.keys, self.numbers):
             state.clear()
 
 
 def work_queue(stream: DataFrame, at: str, late: str, lease_ms: int, attempts: int, retry_ms: int = 0) -> DataFrame:
-    """The records and issues of ``queue.fold``, queue by queue: works, lines and seen command ids are maps of the key.
+    """The records and issues of ``queue.fold``, queue by queue: works, lines and seen command ids and keys are maps of the key.
 
     A micro-batch reads the entries of the queue's lines once, and of its works those that commands touch.
     """
