@@ -192,6 +192,13 @@ def c9(spark, d):
     return collections.key_range(rows, "k", 3, 6).groupBy("collection", "k").agg(F.max_by("cents", "seq").alias("v"))
 
 
+@job("c9_map_range", f"""{MAP}, cl AS (SELECT collection, max(seq) FILTER (kind = 'clear') AS cut FROM c GROUP BY 1), r AS (SELECT c.* FROM c JOIN cl USING (collection) WHERE kind <> 'clear' AND (cut IS NULL OR seq > cut)),
+s AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY collection, k ORDER BY seq DESC) = 1 AND kind = 'set') SELECT collection, k, v FROM s WHERE k >= 3 AND k < 6""")
+def c9_map(spark, d):
+    """The range of what each map holds at its end: clears and deletes count."""
+    return collections.key_range(collections.map_snapshot(map_changes(spark, d)), "k", 3, 6)
+
+
 @job("c10_lookup", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
 def c10(spark, d):
     keys = read(spark, d, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey"))
@@ -289,6 +296,18 @@ def c13(spark, d):
     return collections.content_lookup(keyed, store, mode="read-strict").select("event_id", "hit", "error")
 
 
+@job("c13_store_after", f"""{E}, b AS (SELECT k AS key, min(cents) AS value FROM e WHERE event_type = 'click' GROUP BY 1), a AS (SELECT k AS key, event_id AS ord, CASE WHEN event_type = 'error' THEN 'forget' ELSE 'store' END AS kind, cents FROM e WHERE event_type <> 'click'),
+m AS (SELECT unnest(['read', 'read-strict', 'write', 'read-write']) AS mode), l AS (SELECT mode, key, kind, cents FROM a, m WHERE (kind = 'store' AND mode <> 'read') OR (kind = 'forget' AND mode LIKE 'read-%') QUALIFY row_number() OVER (PARTITION BY mode, key ORDER BY ord DESC) = 1)
+SELECT mode, key, coalesce(l.cents, x.value) AS value FROM (SELECT * FROM b, m) x FULL JOIN l USING (mode, key) WHERE coalesce(l.kind, 'store') = 'store'""")
+def c13_after(spark, d):
+    """What a store holds after stores and forgets, in each of its modes."""
+    e = events(spark, d)
+    store = e.where("event_type = 'click'").groupBy(F.col("k").alias("key")).agg(F.min("cents").alias("value"))
+    asks = e.where("event_type <> 'click'").select(F.col("k").alias("key"), F.col("event_id").alias("ord"), F.when(F.col("event_type") == "error", "forget").otherwise("store").alias("kind"), F.col("cents").alias("value"))
+    kept = [collections.content_apply(store, asks, mode).select(F.lit(mode).alias("mode"), "key", "value") for mode in collections.MODES]
+    return kept[0].union(kept[1]).union(kept[2]).union(kept[3])
+
+
 TIERS = f"{E}, t0 AS (SELECT k AS key, min(cents) AS value FROM e WHERE event_type = 'error' AND k % 3 = 0 GROUP BY 1), t1 AS (SELECT k AS key, min(cents) AS value FROM e WHERE event_type = 'view' AND k % 2 = 0 GROUP BY 1), q AS (SELECT DISTINCT k AS key FROM e), f AS (SELECT key, coalesce(t0.value, t1.value) AS value, CASE WHEN t0.value IS NOT NULL THEN 0 WHEN t1.value IS NOT NULL THEN 1 ELSE -1 END AS tier FROM q LEFT JOIN t0 USING (key) LEFT JOIN t1 USING (key))"
 
 
@@ -359,6 +378,17 @@ def s6_page(spark, d):
     return collections.log_page(changes(spark, d), 40, 15).select("collection", "event_id", "done", "next_after")
 
 
+@job("s6_truncated_sizes", f"{E}, {N} SELECT collection, count(*) AS size FROM n WHERE seq <= 25 GROUP BY 1")
+def s6_sizes(spark, d):
+    return collections.log_sizes(collections.truncate_after(changes(spark, d), 25))
+
+
+@job("s7_prefix", "SELECT o_orderpriority || '/' || o_orderkey AS key, o_orderstatus AS value FROM orders WHERE o_orderpriority || '/' || o_orderkey LIKE '1-URGENT/1%'")
+def s7_prefix(spark, d):
+    table = read(spark, d, "orders").select(F.concat("o_orderpriority", F.lit("/"), F.col("o_orderkey").cast("string")).alias("key"), F.col("o_orderstatus").alias("value"))
+    return collections.with_prefix(table, "1-URGENT/1")
+
+
 @job("s7_keyed_upsert", f"""{E}, w AS (SELECT k AS key, arg_max(CASE WHEN event_type = 'error' THEN -1 ELSE cents END, event_id) AS v FROM e WHERE event_type <> 'click' GROUP BY 1), b AS (SELECT k AS key, min(cents) AS value FROM e WHERE event_type = 'click' GROUP BY 1)
 SELECT coalesce(w.key, b.key) AS key, coalesce(w.v, b.value) AS value FROM w FULL JOIN b USING (key) WHERE coalesce(w.v, 0) <> -1""")
 def s7(spark, d):

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.staging import stage
 from ..operators import basic, joins, timeops
+from ..sources import values
 from ..sources.tables import EVENTS_SQL, HOUR, KEY, ORDER, events
 from .registry import job
 
@@ -362,3 +364,26 @@ def p3(spark, d):
     rows, _ = basic.tap(events(spark, d), "rows", F.count(F.lit(1)).alias("rows"), F.sum("cents").alias("cents"))
     rows, _ = basic.tap_first(rows, "first purchase", ORDER, of("purchase"))
     return rows.select("event_id", "cents")
+
+
+@job("p3_tap_seen", f"{E} SELECT count(*) AS rows, CAST(sum(cents) AS BIGINT) AS cents, arg_min(event_id, (ms, event_id)) FILTER (WHERE event_type = 'purchase') AS first_purchase FROM e")
+def p3_seen(spark, d):
+    """What the taps saw once the rows were written: metrics of all rows, and the first purchase."""
+    rows, seen = basic.tap(events(spark, d), "all rows", F.count(F.lit(1)).alias("rows"), F.sum("cents").alias("cents"))
+    rows, first = basic.tap_first(rows, "first of all", ORDER, of("purchase"))
+    stage(rows, "tapped")
+    found = first.get["first"]
+    return spark.createDataFrame([(seen.get["rows"], seen.get["cents"], found and found["event_id"])], "rows long, cents long, first_purchase long")
+
+
+@job("s1_values_then_events", f"{E} SELECT 0 AS phase, unnest([7, 3, 5]) AS value UNION ALL SELECT 2, event_id FROM e WHERE event_type = 'signup'")
+def s1(spark, d):
+    """Literal values first, an empty source that adds nothing, then the signups."""
+    first = values.of(spark, [7, 3, 5], "long").select("value")
+    return joins.concat(first, values.empty(spark, "value long"), events(spark, d).where(of("signup")).select(F.col("event_id").alias("value"))).select("phase", "value")
+
+
+@job("s2_empty_and_events", f"{E} SELECT event_id, 1 AS source FROM e")
+def s2(spark, d):
+    e = events(spark, d).select("event_id")
+    return joins.merge(values.empty(spark, "event_id long"), e).select("event_id", "source")

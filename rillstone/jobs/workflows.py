@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.staging import stage
 from ..operators import cqrs, queue, readiness
 from ..sources.tables import EVENTS_SQL, epoch_ms, events, read
 from .registry import job
@@ -126,43 +127,32 @@ def q2(spark, d):
     return records(spark, d)
 
 
-def order_records(spark, d):
-    """Records derived from orders alone, so that SQL can state them too."""
-    o, n = read(spark, d, "orders"), F.col("o_orderkey")
-    kinds = F.when(n % 9 == 0, F.array(F.lit("WorkAdmitted"))).when(F.col("o_orderstatus") == "F", F.array(*map(F.lit, ["WorkAdmitted", "WorkClaimed", "AttemptFailed", "RetryScheduled"]))).when(F.col("o_orderstatus") == "O", F.array(*map(F.lit, ["WorkAdmitted", "WorkClaimed"]))).otherwise(F.array(*map(F.lit, ["WorkAdmitted", "WorkScheduled", "AdmissionDeduped"])))
-    rows = o.select(F.col("o_orderpriority").alias("queue_id"), text("w", n).alias("work_id"), n.alias("n"), F.posexplode(kinds).alias("i", "kind"))
-    due = F.when(F.col("kind").isin("WorkClaimed", "RetryScheduled", "WorkScheduled"), F.col("n") * 10 + F.col("i"))
-    return rows.select("queue_id", (F.col("n") * 4 + F.col("i") + 1).alias("record_seq"), "kind", "work_id", F.when(F.col("kind") == "WorkClaimed", text("l", F.col("n"))).alias("lease_id"), due.alias("due_ms"))
-
-
-REC = """WITH r AS (SELECT o_orderpriority AS queue_id, 'w' || o_orderkey AS work_id, o_orderkey AS n, unnest(range(0, len(ks))) AS i, unnest(ks) AS kind FROM (SELECT *, CASE WHEN o_orderkey % 9 = 0 THEN ['WorkAdmitted'] WHEN o_orderstatus = 'F' THEN ['WorkAdmitted', 'WorkClaimed', 'AttemptFailed', 'RetryScheduled']
- WHEN o_orderstatus = 'O' THEN ['WorkAdmitted', 'WorkClaimed'] ELSE ['WorkAdmitted', 'WorkScheduled', 'AdmissionDeduped'] END AS ks FROM orders)),
-rr AS (SELECT queue_id, work_id, n * 4 + i + 1 AS record_seq, kind, CASE WHEN kind = 'WorkClaimed' THEN 'l' || n END AS lease_id, CASE WHEN kind IN ('WorkClaimed', 'RetryScheduled', 'WorkScheduled') THEN n * 10 + i END AS due_ms FROM r),
-st AS (SELECT queue_id, work_id, CASE arg_max(kind, record_seq) WHEN 'WorkAdmitted' THEN 'ready' WHEN 'WorkClaimed' THEN 'leased' WHEN 'RetryScheduled' THEN 'retry-wait' WHEN 'WorkScheduled' THEN 'scheduled' END AS state, max(due_ms) AS due_ms, min(record_seq) AS admission_seq, max(record_seq) AS record_seq, max(lease_id) AS lease_id FROM rr WHERE kind NOT IN ('AttemptFailed', 'AdmissionDeduped') GROUP BY 1, 2)"""
+#: Works by their last record that changes one.
+STATE = f"""{RECORDS}, rr AS (SELECT * FROM recs WHERE record_seq IS NOT NULL), ch AS (SELECT *, row_number() OVER (PARTITION BY queue_id, work_id ORDER BY record_seq DESC) AS back, min(record_seq) OVER (PARTITION BY queue_id, work_id) AS admission_seq FROM rr WHERE kind NOT IN ('AttemptCompleted', 'AttemptFailed', 'AdmissionDeduped')),
+ws AS (SELECT queue_id, work_id, CASE kind WHEN 'WorkAdmitted' THEN CASE WHEN due_ms IS NULL THEN 'ready' ELSE 'scheduled' END WHEN 'WorkClaimed' THEN 'leased' WHEN 'LeaseRenewed' THEN 'leased' WHEN 'WorkCompleted' THEN 'completed' WHEN 'RetryScheduled' THEN 'retry-wait'
+ WHEN 'WorkDeadLettered' THEN 'dead' WHEN 'WorkCanceled' THEN 'canceled' WHEN 'WorkScheduled' THEN 'scheduled' ELSE 'ready' END AS state, due_ms, lease_id, admission_seq, record_seq FROM ch WHERE back = 1)"""
 
 
-@job("q3_work_states", f"{REC} SELECT queue_id, work_id, state, due_ms, admission_seq FROM st")
+@job("q3_work_states", f"{STATE} SELECT queue_id, work_id, state, due_ms, admission_seq FROM ws")
 def q3(spark, d):
-    return queue.states(order_records(spark, d)).select("queue_id", "work_id", "state", "due_ms", "admission_seq")
+    return queue.states(records(spark, d)).select("queue_id", "work_id", "state", "due_ms", "admission_seq")
 
 
-@job("q4_available_page", f"{REC} SELECT queue_id, work_id FROM st WHERE state = 'ready' OR (state IN ('scheduled', 'retry-wait') AND due_ms <= 60000) QUALIFY row_number() OVER (PARTITION BY queue_id ORDER BY admission_seq, work_id) <= 50")
+@job("q4_available_page", f"{STATE} SELECT queue_id, work_id FROM ws WHERE state = 'ready' OR (state IN ('scheduled', 'retry-wait') AND due_ms <= 60000) QUALIFY row_number() OVER (PARTITION BY queue_id ORDER BY admission_seq, work_id) <= 3")
 def q4(spark, d):
-    return queue.available(queue.states(order_records(spark, d)), 60_000, 50).select("queue_id", "work_id")
+    return queue.available(queue.states(records(spark, d)), 60_000, 3).select("queue_id", "work_id")
 
 
-@job("q4_work_snapshots", f"""{REC} SELECT st.queue_id, st.work_id, state, CASE WHEN state = 'leased' THEN lease_id END AS active_lease, (SELECT count(*) FROM rr WHERE rr.work_id = st.work_id AND rr.queue_id = st.queue_id) AS records,
- (SELECT max(rr.record_seq) FROM rr WHERE rr.queue_id = st.queue_id) AS as_of_record_seq FROM st""")
+@job("q4_work_snapshots", f"""{STATE}, m AS (SELECT queue_id, max(record_seq) AS as_of_record_seq FROM rr GROUP BY 1), t AS (SELECT queue_id, work_id, count(*) AS records FROM rr GROUP BY 1, 2)
+SELECT queue_id, work_id, state, CASE WHEN state = 'leased' THEN lease_id END AS active_lease, records, as_of_record_seq FROM ws JOIN m USING (queue_id) JOIN t USING (queue_id, work_id)""")
 def q4_snapshots(spark, d):
-    return queue.work_snapshots(order_records(spark, d))
+    return queue.work_snapshots(stage(records(spark, d), "records"))
 
 
-@job("q4_dead_letter_page", f"""{REC}, p AS (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY record_seq) AS r, count(*) OVER (PARTITION BY queue_id) AS c FROM rr WHERE kind = 'RetryScheduled' AND record_seq > 100)
-SELECT queue_id, work_id, record_seq, c > 20 AS has_more, CASE WHEN c > 20 THEN max(record_seq) OVER (PARTITION BY queue_id) END AS next_after FROM p WHERE r <= 20""")
+@job("q4_dead_letter_page", f"""{STATE}, p AS (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY record_seq) AS r, count(*) OVER (PARTITION BY queue_id) AS c FROM rr WHERE kind = 'WorkDeadLettered' AND record_seq > 5)
+SELECT queue_id, work_id, record_seq, c > 1 AS has_more, CASE WHEN c > 1 THEN record_seq END AS next_after FROM p WHERE r = 1""")
 def q4_dead_letters(spark, d):
-    """Retries count as given up here, so that there are dead letters."""
-    r = order_records(spark, d).withColumn("kind", F.when(F.col("kind") == "RetryScheduled", "WorkDeadLettered").otherwise(F.col("kind")))
-    return queue.dead_letter_page(r, 20, 100).select("queue_id", "work_id", "record_seq", "has_more", "next_after")
+    return queue.dead_letter_page(records(spark, d), 1, 5).select("queue_id", "work_id", "record_seq", "has_more", "next_after")
 
 
 @job("q5_command_errors", """WITH c AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN '' ELSE 'c' || event_id END AS command_id, ['claim', 'complete', 'submit'][event_id % 3 + 1] AS kind, CASE WHEN event_id % 7 > 0 THEN 'w' END AS work_id, CASE WHEN event_id % 11 > 0 THEN 'l' END AS lease_id, event_id % 13 AS lim, 'q' || (user_id % 2) AS queue_id FROM events)
@@ -176,28 +166,32 @@ def q5(spark, d):
     return queue.command_errors(c, "q0").select("event_id", "error")
 
 
-SCH = """sc AS (SELECT 'work-queue-readiness:["' || queue_id || '","' || work_id || '","' || record_seq || '"]' AS schedule_id, queue_id, work_id, record_seq, lease_id, CASE kind WHEN 'WorkScheduled' THEN 'scheduled' WHEN 'RetryScheduled' THEN 'retry' ELSE 'lease-expiration' END AS reason, due_ms AS ready_at_ms FROM rr WHERE kind IN ('WorkScheduled', 'RetryScheduled', 'WorkClaimed'))"""
+SCH = """sc AS (SELECT 'work-queue-readiness:["' || queue_id || '","' || work_id || '","' || record_seq || '"]' AS schedule_id, queue_id, work_id, record_seq, lease_id, CASE kind WHEN 'WorkAdmitted' THEN 'admission-delay' WHEN 'WorkScheduled' THEN 'scheduled' WHEN 'RetryScheduled' THEN 'retry' ELSE 'lease-expiration' END AS reason, due_ms AS ready_at_ms
+ FROM rr WHERE kind IN ('WorkScheduled', 'RetryScheduled', 'WorkClaimed', 'LeaseRenewed') OR (kind = 'WorkAdmitted' AND due_ms IS NOT NULL))"""
 
 
-@job("q6_readiness_schedules", f"{REC}, {SCH} SELECT schedule_id, reason, ready_at_ms FROM sc")
+@job("q6_readiness_schedules", f"{STATE}, {SCH} SELECT schedule_id, reason, ready_at_ms FROM sc")
 def q6(spark, d):
-    return queue.schedules(order_records(spark, d)).select("schedule_id", "reason", "ready_at_ms")
+    return queue.schedules(records(spark, d)).select("schedule_id", "reason", "ready_at_ms")
+
+
+HAND = f"""{STATE}, {SCH}, h AS (SELECT sc.*, CASE WHEN reason = 'lease-expiration' AND state <> 'leased' THEN 'stale-readiness-kind' WHEN reason = 'lease-expiration' AND sc.lease_id IS DISTINCT FROM ws.lease_id THEN 'stale-lease-readiness'
+ WHEN reason <> 'lease-expiration' AND state NOT IN ('scheduled', 'retry-wait') THEN 'stale-readiness-kind' WHEN sc.record_seq < ws.record_seq THEN 'superseded-readiness' WHEN reason = 'lease-expiration' THEN 'lease-expiration-eligible' ELSE 'claim-eligible' END AS outcome FROM sc JOIN ws USING (queue_id, work_id))"""
 
 
-HAND = f"""{REC}, {SCH}, h AS (SELECT sc.*, CASE WHEN reason = 'lease-expiration' AND state <> 'leased' THEN 'stale-readiness-kind' WHEN reason = 'lease-expiration' AND sc.lease_id IS DISTINCT FROM CASE WHEN state = 'leased' THEN st.lease_id END THEN 'stale-lease-readiness'
- WHEN reason <> 'lease-expiration' AND state NOT IN ('scheduled', 'retry-wait') THEN 'stale-readiness-kind' WHEN sc.record_seq < st.record_seq THEN 'superseded-readiness' WHEN reason = 'lease-expiration' THEN 'lease-expiration-eligible' ELSE 'claim-eligible' END AS outcome FROM sc JOIN st USING (queue_id, work_id))"""
+def handed(spark, d):
+    r = stage(records(spark, d), "records")
+    return queue.handoff(queue.schedules(r), queue.states(r))
 
 
 @job("q7_readiness_handoff", f"{HAND} SELECT schedule_id, outcome FROM h")
 def q7(spark, d):
-    r = order_records(spark, d)
-    return queue.handoff(queue.schedules(r), queue.states(r)).select("schedule_id", "outcome")
+    return handed(spark, d).select("schedule_id", "outcome")
 
 
 @job("q8_expire_commands", f"""{HAND} SELECT queue_id, work_id, 1 AS "limit" FROM h WHERE outcome = 'lease-expiration-eligible'""")
 def q8(spark, d):
-    r = order_records(spark, d)
-    return queue.expire_commands(queue.handoff(queue.schedules(r), queue.states(r))).select("queue_id", "work_id", "limit")
+    return queue.expire_commands(handed(spark, d)).select("queue_id", "work_id", "limit")
 
 
 def order_schedules(spark, d):

@@ -32,7 +32,9 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 
 def _plain(x, whole: bool):
-    """A pandas value as a state takes it; whole numbers come as decimals, which nulls beside them leave exact."""
+    """A pandas value as a state takes it; whole numbers come as decimals, which nulls beside them leave exact, and arrays as numpy's."""
+    if getattr(x, "ndim", 0):
+        return x.tolist()
     return None if x is None or x != x else int(x) if whole else x.item() if hasattr(x, "item") else x
 
 

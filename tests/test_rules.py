@@ -376,3 +376,28 @@ def test_rules_of_queue_commands(spark):
     assert [r[1:] for r in out if r[0] == "WorkClaimed"] == [("b", lease("b", 1)), ("a", lease("a", 2)), ("c", lease("c", 3)), ("c", lease("c", 4))]
     assert [r[1] for r in out if r[0] == "LeaseExpired"] == ["a", "b", "c"] and not any(r[0] == "WorkDeadLettered" for r in out)
     assert [r[0] for r in out if r[1] == "c" and r[0] in ("WorkCompleted", "AdmissionDeduped")] == ["WorkCompleted", "AdmissionDeduped"]
+
+
+def test_queue_commands_of_one_key_or_several_works(spark):
+    """A key stands for one command, a refused one does not take its id; named works are claimed or told why not, by id."""
+    names = "queue_id string, ord long, command_id string, kind string, work_id string, work_ids array<string>, idempotency_key string, lease_id string, attempt long, worker_id string, `limit` long, not_before_ms long, retryable boolean, now_ms long"
+    ask = lambda n, i, kind, work=None, works=None, key=None, limit=None, due=None: ("q", n, i, kind, work, works, key, None, None, "me" if kind == "claim" else None, limit, due, None, n)
+    rows = [
+        ask(1, "a", "submit", "w1", key="k"),
+        ask(2, "b", "submit", "w2", key="k"),  # the key stands already
+        ask(3, "b", "submit", "w2", key="l"),  # b was refused, so its id is free
+        ask(4, "b", "submit", "w3"),  # and taken now
+        ask(5, "c", "submit", "w4", due=900),
+        ask(6, "d", "claim", works=["w4", "w2", "w2", None, "zz", "w1"], limit=1),  # w1 by admission; w2 is beyond the limit alone
+        ask(7, "e", "claim", works=["w2", "w1"]),
+        ask(8, "f", "claim", works=["w2", ""]),
+        ask(9, "g", "claim", limit=0),
+        ask(10, "h", "expire_leases", works=["w2"]),
+        ask(90, "i", "expire_leases", works=["w2", "w4"]),
+    ]
+    out = [(r.command_id, r.kind, r.work_id, r.reason) for r in queue.fold(spark.createDataFrame(rows, names), 10, 1).collect()]
+    assert out == [
+        ("a", "WorkAdmitted", "w1", None), ("b", "Issue", "w2", "duplicate-command"), ("b", "WorkAdmitted", "w2", None), ("b", "Issue", "w3", "duplicate-command"), ("c", "WorkAdmitted", "w4", None),
+        ("d", "WorkClaimed", "w1", None), ("d", "Issue", "w4", "not-ready"), ("d", "Issue", "zz", "unknown-work"), ("e", "WorkClaimed", "w2", None), ("e", "Issue", "w1", "already-leased"),
+        ("f", "Issue", None, "malformed-command"), ("g", "Issue", None, "malformed-command"), ("i", "LeaseExpired", "w2", None),
+    ]

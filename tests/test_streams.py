@@ -179,28 +179,29 @@ def test_commands_and_processes_of_a_stream_equal_the_batch(spark, tmp_path):
 
 
 def test_a_queue_of_a_stream_equals_the_batch(spark, tmp_path):
-    columns = ["queue_id", "ord", "command_id", "kind", "work_id", "lease_id", "attempt", "worker_id", "limit", "not_before_ms", "retryable", "now_ms"]
+    columns = ["queue_id", "ord", "command_id", "kind", "work_id", "lease_id", "attempt", "worker_id", "limit", "not_before_ms", "retryable", "now_ms", "idempotency_key"]
     rng, rows = random.Random(6), []
     for n, ms in enumerate(times(260)):
         kind = rng.choice(["submit", "submit", "submit", "claim", "claim", "renew_lease", "complete", "fail", "release", "cancel", "schedule", "expire_leases"])
         work = f"w{rng.randrange(25)}" if kind not in ("claim", "expire_leases") or rng.random() < 0.3 else None
-        rows.append((ms, rng.choice(["q1", "q2"]), n, f"c{n}" if rng.random() < 0.95 else "c1", kind, work, None, None, "me" if kind == "claim" else None, rng.choice([1, 2, 3]), ms + rng.randrange(0, 90 * S) if rng.random() < 0.4 else None, None, ms))
-    like = ("", 0, "", "", "", "", 0, "", 0, 0, "", 0)
+        rows.append((ms, rng.choice(["q1", "q2"]), n, f"c{n}" if rng.random() < 0.95 else "c1", kind, work, None, None, "me" if kind == "claim" else None, rng.choice([1, 2, 3]), ms + rng.randrange(0, 90 * S) if rng.random() < 0.4 else None, None, ms, f"k{rng.randrange(40)}" if rng.random() < 0.2 else None))
+    like = ("", 0, "", "", "", "", 0, "", 0, 0, "", 0, "")
     for r, v in zip(rows[0][1:], like, strict=True):
         assert r is None or type(r) is type(v)
     arrival = [(r[0], *r[1:]) for r in rows]
     rng2 = random.Random(7)
     arrival.sort(key=lambda r: r[0] + rng2.randrange(0, 9 * S))
-    parts = [arrival[k : k + 50] for k in range(0, len(arrival), 50)] + [[(rows[-1][0] + 200 * S, "end", -1, *[None] * 10)]]
+    parts = [arrival[k : k + 50] for k in range(0, len(arrival), 50)] + [[(rows[-1][0] + 200 * S, "end", -1, *[None] * 11)]]
     for i, part in enumerate(parts):
         df = pd.DataFrame(part, columns=["ms", *columns]).astype(object)
         df["ts"] = pd.to_datetime(df["ms"].astype("int64"), unit="ms")
         write_part(tmp_path, i, df, columns, like)
-    batch = batch_of(spark, rows, columns, like).withColumn("retryable", F.col("retryable").cast("boolean"))
+    several = F.when((F.col("kind") == "claim") & (F.col("ord") % 3 == 0), F.array(*map(F.lit, ["w3", "w8", "w1", "none"])))
+    batch = batch_of(spark, rows, columns, like).withColumn("retryable", F.col("retryable").cast("boolean")).withColumn("work_ids", several)
     want = Counter(tuple(r) for r in queue.fold(batch, 60 * S, 2, 20 * S).collect())
-    stream = streaming.read_stream(spark, str(tmp_path)).withColumn("retryable", F.col("retryable").cast("boolean"))
+    stream = streaming.read_stream(spark, str(tmp_path)).withColumn("retryable", F.col("retryable").cast("boolean")).withColumn("work_ids", several)
     got = Counter(tuple(r) for r in streaming.run_to_table(stateful.work_queue(stream, "ts", "10 seconds", 60 * S, 2, 20 * S), "q").collect() if r.queue_id != "end")
-    assert got == want and len({r[2] for r in want}) >= 8
+    assert got == want and len({r[2] for r in want}) >= 8 and {"duplicate-command", "unknown-work"} <= {r[9] for r in want}
 
 
 def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
