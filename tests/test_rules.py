@@ -121,7 +121,7 @@ def test_staged_tables_are_cleared(spark):
 
     table = staging.stage(spark.range(5), "five")
     assert table.count() == 5
-    folder = staging._staged(spark).removeprefix("file://")
+    folder = staging.staged_dir(spark).removeprefix("file://")
     import os
 
     assert os.listdir(folder)
