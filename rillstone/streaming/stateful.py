@@ -1,15 +1,18 @@
-"""Keyed stream folds on structured state: values, lists and maps of a key's own, read and written entry by entry.
+"""Keyed stream folds on structured state: values and maps of a key's own.
 
-Rows wait in a map by event time and order until the watermark has passed them; a timer of their time then
-passes them on in order. A micro-batch adds its rows and takes out those whose time has come, and touches no other
-entry, so a key may have many rows waiting. What a fold remembers lies in states of its own: a list for a
-buffer, maps for ids that were seen, a value for counters. ``idle_ms`` bounds it in event time: a key
-without a row for so long is forgotten.
+Rows wait in blocks, sorted runs of what a micro-batch brought, until the watermark has passed them; one timer of the
+first time of a block then passes them on in order. A micro-batch adds its blocks, and takes out those whose time has
+begun; what is left of them waits on in a new one, others stay untouched. Each call on a state is a message to the
+JVM, so a fold reads its state once before rows are stepped and writes it once after them, and ids that were seen lie
+in pages (``Ids``). ``idle_ms`` bounds what is remembered in event time: a key without a row for so long is forgotten.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
+import uuid
+import zlib
 from collections import namedtuple
 from collections.abc import Callable, Iterator
 
@@ -24,22 +27,95 @@ from ..operators import cqrs, queue
 #: The state store that has lists, maps and timers. It is set for the queries that need it, see ``run_to_table``.
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-_LONG, _TEXT, _FLAG = T.LongType(), T.StringType(), T.BooleanType()
+_LONG, _TEXT, _FLAG, _BYTES = T.LongType(), T.StringType(), T.BooleanType(), T.BinaryType()
+
+#: Rows of a block: what came in together is cut into short times, so that few rows of a long wait are held at once.
+BLOCK = 256
+#: Output rows that are handed on at once.
+RUN = 10_000
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
-def _plain(x, whole: bool):
-    """A pandas value as a state takes it; whole numbers come as decimals, which nulls beside them leave exact, and arrays as numpy's."""
+def _plain(x):
+    """A pandas value as Python has it."""
     if getattr(x, "ndim", 0):
         return x.tolist()
-    return None if x is None or x != x else int(x) if whole else x.item() if hasattr(x, "item") else x
+    return None if x is None or x != x else x.item() if hasattr(x, "item") else x
+
+
+def _values(column: pd.Series, whole: bool) -> list:
+    """A column's values; whole numbers come as decimals, which nulls beside them leave exact, and arrays as numpy's."""
+    if whole:
+        return [None if x is None or x != x else int(x) for x in column.tolist()]
+    return [x if type(x) is str else _plain(x) for x in column.tolist()]
+
+
+class Ids:
+    """A set of ids in pages of a map state, by their hash. A page is read when an id of it is asked for, and written once
+    after the rows; when ids are more than PAGE a page, all are dealt out over twice as many."""
+
+    PAGE = 512
+    HEAD = (-1,)
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str):
+        self.state = handle.getMapState(name, _struct(page=_LONG), _struct(ids=_BYTES))
+
+    def enter(self, fresh: bool) -> None:
+        head = None if fresh else self.state.getValue(self.HEAD)
+        self.count, self.of = pickle.loads(head[0]) if head else (0, 1)
+        self.stored = self.of if head else 0
+        self.pages: dict[int, set] = {}
+        self.changed: set[int] = set()
+
+    def _page(self, n: int) -> set:
+        if n not in self.pages:
+            kept = self.state.getValue((n,)) if n < self.stored else None
+            self.pages[n] = pickle.loads(kept[0]) if kept else set()
+        return self.pages[n]
+
+    def _place(self, i: str) -> int:
+        return zlib.crc32(i.encode()) & (self.of - 1)
+
+    def __contains__(self, i: str) -> bool:
+        return i in self._page(self._place(i))
+
+    def add(self, i: str) -> None:
+        place = self._place(i)
+        page = self._page(place)
+        if i not in page:
+            page.add(i)
+            self.changed.add(place)
+            self.count += 1
+            if self.count > self.PAGE * self.of:
+                self._spread()
+
+    def _spread(self) -> None:
+        ids = [i for n in range(self.of) for i in self._page(n)]
+        self.of *= 2
+        self.pages = {n: set() for n in range(self.of)}
+        for i in ids:
+            self.pages[self._place(i)].add(i)
+        self.changed = set(self.pages)
+
+    def leave(self) -> None:
+        for n in self.changed:
+            self.state.updateValue((n,), (pickle.dumps(self.pages[n]),))
+        if self.changed:
+            self.state.updateValue(self.HEAD, (pickle.dumps((self.count, self.of)),))
+
+    def clear(self) -> None:
+        self.state.clear()
 
 
 class Ordered(StatefulProcessor):
-    """Passes a key's rows to ``step`` in event-time order. A fold declares its states in ``begin`` and clears them in ``forget``."""
+    """Passes a key's rows to ``step`` in event-time order. A fold declares its states in ``begin``, reads them in ``enter``,
+    writes them in ``leave`` and clears them in ``forget``. ``fresh`` tells that there is nothing to be read yet."""
+
+    #: Whether the fold sets timers of its own, see ``due``.
+    timed = False
 
     def __init__(self, schema: T.StructType, order: list[str], out: list[str], idle_ms: int | None = None):
         self.schema, self.order, self.out, self.idle_ms = schema, order, out, idle_ms
@@ -56,50 +132,108 @@ class Ordered(StatefulProcessor):
 
     def forget(self) -> None: ...
 
+    def due(self) -> int | None:
+        """The time of the fold's own timer, and ``fire`` what it gives then; one due exactly when a row arrives fires first."""
+
+    def fire(self) -> list[tuple]: ...
+
+    def restart(self) -> None:
+        """After a gap of more than ``idle_ms`` between two rows."""
+        self.forget()
+        self.fresh = True
+        self.enter()
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.row_of = handle, namedtuple("row_of", self.schema.names, rename=True)
-        place = T.StructType([T.StructField("at_ms", _LONG), *[self.schema[c] for c in self.order if c != "at_ms"]])
+        self.handle, self.row_of = handle, namedtuple("row_of", self.schema.names, rename=True)._make
         self.whole = [isinstance(f.dataType, T.IntegralType) for f in self.schema]
-        self.places = [self.schema.names.index(c) for c in place.names]
-        self.waiting = handle.getMapState("waiting", place, self.schema)
+        self.at = self.schema.names.index("at_ms")
+        self.places = [self.at, *[self.schema.names.index(c) for c in self.order if c != "at_ms"]]
+        self.waiting = handle.getMapState("waiting", _struct(first=_LONG, last=_LONG, id=_TEXT), _struct(rows=_BYTES))
         self.last = handle.getValueState("last", _struct(at_ms=_LONG))
         self.begin(handle)
 
+    def _place(self, row: tuple) -> list[tuple]:
+        return [(row[p] is not None, row[p]) for p in self.places]
+
+    def _wait(self, rows: list[tuple]) -> None:
+        """Rows in order as blocks; a timer for the first one, which sets that of the next."""
+        for i in range(0, len(rows), BLOCK):
+            run = rows[i : i + BLOCK]
+            self.waiting.updateValue((run[0][self.at], run[-1][self.at], uuid.uuid4().hex), (pickle.dumps(run),))
+        if rows:
+            self.handle.registerTimer(rows[0][self.at])
+
+    def _ready(self, blocks: list[tuple], now: int) -> Iterator[tuple]:
+        """Rows up to ``now`` in order, merged from blocks; a block is opened when the rows have come to its first time."""
+        opened: list[tuple] = []
+        n = 0
+        while opened or n < len(blocks):
+            while n < len(blocks) and (not opened or blocks[n][0] <= opened[0][2][self.at]):
+                rows = iter(pickle.loads(self.waiting.getValue(blocks[n])[0]))
+                self.waiting.removeKey(blocks[n])
+                row = next(rows)
+                heapq.heappush(opened, (self._place(row), n, row, rows))
+                n += 1
+            _, own, row, rows = opened[0]
+            if row[self.at] > now:
+                break
+            yield row
+            if (row := next(rows, None)) is not None:
+                heapq.heapreplace(opened, (self._place(row), own, row, rows))
+            else:
+                heapq.heappop(opened)
+        self._wait(sorted((r for _, _, row, rows in opened for r in (row, *rows)), key=self._place))
+
+    def _advance(self, until: int) -> list[tuple]:
+        made = []
+        while (due := self.due()) is not None and due <= until:
+            made += self.fire()
+        return made
+
+    def _table(self, made: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series([m[i] for m in made], dtype=object) for i, c in enumerate(self.out)})
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        due = set()
         for batch in rows:
-            for values in zip(*(batch[c].astype(object) for c in self.schema.names), strict=True):
-                row = tuple(_plain(v, whole) for v, whole in zip(values, self.whole, strict=True))
-                self.waiting.updateValue(tuple(row[p] for p in self.places), row)
-                due.add(row[self.places[0]])
-        for at in due:
-            self.handle.registerTimer(at)
+            columns = [_values(batch[c], whole) for c, whole in zip(self.schema.names, self.whole, strict=True)]
+            self._wait(sorted(zip(*columns, strict=True), key=self._place))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        ready = sorted((k for k in map(tuple, self.waiting.keys()) if k[0] <= now), key=lambda k: [(v is not None, v) for v in k])
-        last = self.last.get()[0] if self.last.exists() else None
+        there = [tuple(k) for k in self.waiting.keys()]
+        blocks = sorted(k for k in there if k[0] <= now)
+        kept = self.last.get()
+        last, self.fresh = (None, True) if kept is None else (kept[0], False)
         made: list[tuple] = []
-        if ready:
+        if blocks or (self.timed and not self.fresh):
             self.enter()
-            for place in ready:
-                row = self.row_of(*self.waiting.getValue(place))
-                self.waiting.removeKey(place)
-                if self.idle_ms is not None and last is not None and place[0] - last > self.idle_ms:
-                    self.forget()
-                    self.enter()
-                made += self.step(row)
-                last = place[0]
+            for row in self._ready(blocks, now):
+                at = row[self.at]
+                if self.timed:
+                    made += self._advance(at)
+                if self.idle_ms is not None and last is not None and at - last > self.idle_ms:
+                    self.restart()
+                made += self.step(self.row_of(row))
+                last = at
+                if len(made) >= RUN:
+                    yield self._table(made)
+                    made = []
+            if self.timed:
+                made += self._advance(now)
+                if (due := self.due()) is not None:
+                    self.handle.registerTimer(due)
             self.leave()
             self.last.update((last,))
-            if self.idle_ms is not None:
+            if blocks and self.idle_ms is not None:
                 self.handle.registerTimer(last + self.idle_ms + 1)
-        elif self.idle_ms is not None and last is not None and last + self.idle_ms < now and not self.waiting.exists():
+            if blocks and len(there) > len(blocks):
+                self.handle.registerTimer(min(k[0] for k in there if k[0] > now))
+        if self.idle_ms is not None and last is not None and last + self.idle_ms < now and not there and (not self.timed or self.due() is None):
             self.forget()
             self.last.clear()
         if made:
-            yield pd.DataFrame({c: pd.Series([m[i] for m in made], dtype=object) for i, c in enumerate(self.out)})
+            yield self._table(made)
 
     def close(self) -> None: ...
 
@@ -123,22 +257,27 @@ class _Buffer(Ordered):
         self.key, self.value, self.size = key, value, size
 
     def begin(self, handle):
-        self.values = handle.getListState("values", T.StructType([self.schema[self.value]]))
-        self.count = handle.getValueState("count", _struct(n=_LONG))
+        self.state = handle.getValueState("values", _struct(values=T.ArrayType(self.schema[self.value].dataType)))
+
+    def enter(self):
+        self.before = kept = None if self.fresh else self.state.get()
+        self.values = list(kept[0]) if kept else []
 
     def step(self, row):
-        n = (self.count.get()[0] if self.count.exists() else 0) + 1
-        self.values.appendValue((getattr(row, self.value),))
-        if n < self.size:
-            self.count.update((n,))
+        self.values.append(getattr(row, self.value))
+        if len(self.values) < self.size:
             return []
-        out = [v for (v,) in self.values.get()]
-        self.forget()
+        out, self.values = self.values, []
         return [(getattr(row, self.key), out)]
 
+    def leave(self):
+        if self.values:
+            self.state.update((self.values,))
+        elif self.before:
+            self.state.clear()
+
     def forget(self):
-        self.values.clear()
-        self.count.clear()
+        self.state.clear()
 
 
 def buffer_count(stream: DataFrame, key: str, at: str, order: list[str], value: str, size: int, late: str, idle_ms: int | None = None) -> DataFrame:
@@ -155,25 +294,29 @@ class _Publish(Ordered):
 
     def begin(self, handle):
         self.topic = handle.getValueState("topic", _struct(opened=_FLAG, closed=_FLAG, next_seq=_LONG))
-        self.commands = handle.getMapState("commands", _struct(id=_TEXT), _struct(seen=_FLAG))
-        self.keys = handle.getMapState("keys", _struct(id=_TEXT), _struct(seen=_FLAG))
+        self.commands, self.keys = Ids(handle, "commands"), Ids(handle, "keys")
+
+    def enter(self):
+        self.kept = (None if self.fresh else self.topic.get()) or (False, False, 1)
+        self.commands.enter(self.fresh)
+        self.keys.enter(self.fresh)
 
     def step(self, row):
         if not row.topic:
             return [(row.ord, "malformed-command", None)] if row.kind == "publish" else []
         status, seq = None, None
-        opened, closed, nxt = self.topic.get() if self.topic.exists() else (False, False, 1)
+        opened, closed, nxt = self.kept
         if row.command_id is not None:
-            if self.commands.containsKey((row.command_id,)):
+            if row.command_id in self.commands:
                 status = "duplicate-command"
             else:
-                self.commands.updateValue((row.command_id,), (True,))
+                self.commands.add(row.command_id)
         if status is None and row.kind == "ensure_topic":
             opened = True
         elif status is None and row.kind == "close_topic":
             closed = closed or opened
         elif status is None and row.kind == "publish":
-            if row.idempotency_key is not None and self.keys.containsKey((row.idempotency_key,)):
+            if row.idempotency_key is not None and row.idempotency_key in self.keys:
                 status = "duplicate-command"
             elif not opened and self.strict:
                 status = "unknown-topic"
@@ -182,10 +325,15 @@ class _Publish(Ordered):
             else:
                 status, seq, opened, nxt = "published", nxt, True, nxt + 1
                 if row.idempotency_key is not None:
-                    self.keys.updateValue((row.idempotency_key,), (True,))
-        self.topic.update((opened, closed, nxt))
+                    self.keys.add(row.idempotency_key)
+        self.kept = opened, closed, nxt
         return [(row.ord, status, seq)] if row.kind == "publish" else []
 
+    def leave(self):
+        self.topic.update(self.kept)
+        self.commands.leave()
+        self.keys.leave()
+
     def forget(self):
         for state in (self.topic, self.commands, self.keys):
             state.clear()
@@ -207,30 +355,36 @@ class _Handle(Ordered):
         self.handlers = handlers
 
     def begin(self, handle):
-        self.seen = handle.getMapState("commands", _struct(id=_TEXT), _struct(seen=_FLAG))
+        self.seen = Ids(handle, "commands")
         self.events = handle.getValueState("events", _struct(n=_LONG))
 
+    def enter(self):
+        self.seen.enter(self.fresh)
+        (self.n,) = (None if self.fresh else self.events.get()) or (0,)
+
     def step(self, row):
         drafts: list = []
         if not row.id or not row.command_type:
             status = "malformed-command"
-        elif self.seen.containsKey((row.id,)):
+        elif row.id in self.seen:
             status = "duplicate-command"
         else:
-            self.seen.updateValue((row.id,), (True,))
+            self.seen.add(row.id)
             status = "accepted" if row.command_type in self.handlers else "unknown-command"
             if status == "accepted":
                 try:
                     drafts = self.handlers[row.command_type](row)
                 except Exception:
                     status = "handler-failed"
-        n = self.events.get()[0] if self.events.exists() else 0
         out = [(row.ord, status, None, None, None, None)]
-        out += [(row.ord, "event", cqrs.event_id(row.id, i), n + i, kind, value) for i, (kind, value) in enumerate(drafts, 1)]
-        if drafts:
-            self.events.update((n + len(drafts),))
+        out += [(row.ord, "event", cqrs.event_id(row.id, i), self.n + i, kind, value) for i, (kind, value) in enumerate(drafts, 1)]
+        self.n += len(drafts)
         return out
 
+    def leave(self):
+        self.seen.leave()
+        self.events.update((self.n,))
+
     def forget(self):
         self.seen.clear()
         self.events.clear()
@@ -246,19 +400,6 @@ def handle(stream: DataFrame, key: str, at: str, late: str, handlers: dict[str,
     return fold(stream, key, at, late, lambda schema: _Handle(handlers, schema, ["ord"], _names(out)), out)
 
 
-class _Seen:
-    """A set of ids in a map state."""
-
-    def __init__(self, state, kind: str):
-        self.state, self.kind = state, kind
-
-    def __contains__(self, i):
-        return self.state.containsKey((self.kind, i))
-
-    def add(self, i):
-        self.state.updateValue((self.kind, i), (True,))
-
-
 class _Process(Ordered):
     def __init__(self, reduce: Callable, initial, kind: T.DataType, *rest):
         super().__init__(*rest)
@@ -266,18 +407,27 @@ class _Process(Ordered):
 
     def begin(self, handle):
         self.state = handle.getValueState("process", _struct(state=self.kind, events=_LONG, effects=_LONG, commands=_LONG, errors=_LONG, audits=_LONG))
-        self.ids = handle.getMapState("ids", _struct(kind=_TEXT, id=_TEXT), _struct(seen=_FLAG))
+        self.ids = Ids(handle, "events"), Ids(handle, "effects")
+
+    def enter(self):
+        kept = None if self.fresh else self.state.get()
+        self.kept = cqrs.Kept(*kept) if kept else cqrs.Kept(self.initial)
+        self.kept.seen = self.ids
+        for ids in self.ids:
+            ids.enter(self.fresh)
 
     def step(self, row):
-        kept = cqrs.Kept(*self.state.get()) if self.state.exists() else cqrs.Kept(self.initial)
-        kept.seen = (_Seen(self.ids, "event"), _Seen(self.ids, "effect"))
-        out = cqrs.reduce_command(kept, row, self.reduce)
+        return cqrs.reduce_command(self.kept, row, self.reduce)
+
+    def leave(self):
+        kept = self.kept
         self.state.update((kept.state, kept.events, kept.effects, kept.commands, kept.errors, kept.audits))
-        return out
+        for ids in self.ids:
+            ids.leave()
 
     def forget(self):
-        self.state.clear()
-        self.ids.clear()
+        for state in (self.state, *self.ids):
+            state.clear()
 
 
 def process(stream: DataFrame, at: str, late: str, reduce: Callable, initial, state_type: str) -> DataFrame:
