@@ -21,7 +21,8 @@ HALF_DAY = 43_200_000
 
 
 def stream(spark, d):
-    rows = streaming.read_stream(spark, f"{d}/events.parquet")
+    """The table's files are in no order of time, so one micro-batch takes them all: rows of a later one would come too late."""
+    rows = streaming.read_stream(spark, f"{d}/events.parquet", None)
     return rows.withColumn("ms", epoch_ms("ts")).withColumn("cents", F.round(F.col("value") * 100).cast("long")).withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("int")).drop("value", "props")
 
 
@@ -49,7 +50,7 @@ def st3_distinct(spark, d):
     def step(state, row):
         return (row.event_type,), [] if state[0] == row.event_type else [(row.event_id, row.event_type)]
 
-    return streaming.run_to_table(streaming.fold(stream(spark, d), "user_id", "ts", LATE, ["ms", "event_id"], step, (None,), "event_id long, event_type string"), "distinct")
+    return streaming.run_to_table(streaming.fold(stream(spark, d).select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", LATE, ["event_id"], step, (None,), "event_id long, event_type string"), "distinct")
 
 
 @job("st3_scan", f"{E} SELECT event_id, CAST(sum(cents) OVER {W} AS BIGINT) AS total, lag(cents) OVER {W} AS previous FROM e WHERE {PASSED}")
@@ -58,7 +59,7 @@ def st3_scan(spark, d):
         total = state[0] + row.cents
         return (total, row.cents), [(row.event_id, total, state[1])]
 
-    return streaming.run_to_table(streaming.fold(stream(spark, d), "user_id", "ts", LATE, ["ms", "event_id"], step, (0, None), "event_id long, total long, previous long"), "scan")
+    return streaming.run_to_table(streaming.fold(stream(spark, d).select("user_id", "ts", "event_id", "cents"), "user_id", "ts", LATE, ["event_id"], step, (0, None), "event_id long, total long, previous long"), "scan")
 
 
 GREEDY = f"""WITH RECURSIVE {EVENTS_SQL}, n AS (SELECT *, row_number() OVER {W} AS rn FROM e WHERE {PASSED}),

@@ -10,23 +10,21 @@ from __future__ import annotations
 import contextlib
 import pickle
 import uuid
-from collections import namedtuple
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.staging import shared_dir, stage, staged_dir
 from . import stateful
 
 
-def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """Parquet files of a folder (or one file) as a stream with the batch table's schema."""
+def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = 1) -> DataFrame:
+    """Parquet files of a folder (or one file) as a stream with the batch table's schema; None takes all files at once."""
     schema = spark.read.parquet(path).schema
     glob = f"{path[:-1]}[{path[-1]}]"  # a pattern: the source takes a plain path for a folder only
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(glob)
+    source = spark.readStream.schema(schema)
+    return (source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source).parquet(glob)
 
 
 def tumbling(stream: DataFrame, at: str, width: str, late: str, keys: list[str], **folds: Column) -> DataFrame:
@@ -40,6 +38,38 @@ def dedupe(stream: DataFrame, at: str, late: str, keys: list[str]) -> DataFrame:
     return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
+class _Stepped(stateful.Ordered):
+    """A fold by functions; what it keeps is one value of the key."""
+
+    def __init__(self, step: Callable, initial, due: Callable | None, fire: Callable | None, *rest):
+        super().__init__(*rest)
+        self.by, self.initial, self.due_of, self.fire_of, self.timed = step, initial, due, fire, due is not None
+
+    def begin(self, handle):
+        self.value = handle.getValueState("kept", "kept binary")
+
+    def enter(self):
+        kept = None if self.fresh else self.value.get()
+        self.kept = pickle.loads(kept[0]) if kept else self.initial
+
+    def leave(self):
+        self.value.update((pickle.dumps(self.kept),))
+
+    def step(self, row):
+        self.kept, made = self.by(self.kept, row)
+        return made
+
+    def due(self):
+        return self.due_of(self.kept)
+
+    def fire(self):
+        self.kept, made = self.fire_of(self.kept)
+        return made
+
+    def forget(self):
+        self.value.clear()
+
+
 def fold(
     stream: DataFrame, key: str, at: str, late: str, order: list[str], step: Callable, initial: tuple, out: str,
     due: Callable | None = None, fire: Callable | None = None, forget_ms: int | None = None,
@@ -47,53 +77,14 @@ def fold(
     """A fold per key in event-time order: ``step(state, row)`` gives (new state, list of output tuples).
 
     ``at`` is the event time (row.at_ms in milliseconds), ``late`` how long rows may come out of order,
-    ``order`` the columns that order rows totally, at first. Rows wait in the key's state until the watermark has
+    ``order`` the columns that order rows of one time totally. Rows wait in the key's state, see ``stateful``, until the watermark has
     passed them; rows behind it are dropped, and rows after the last watermark stay waiting. A step may set a
     timer: ``due(state)`` is its time or None, ``fire(state)`` gives (new state, outputs). A timer that is due exactly
     when a row arrives fires first. A key without a row for more than
     ``forget_ms`` of event time is forgotten and begins anew.
     """
-    rows = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).withColumn("at_ms", F.unix_millis(at))
     names = [c.split()[0] for c in out.split(", ")]
-    plain = lambda x: None if x is None or x != x else x.item() if hasattr(x, "item") else x
-    row_of = namedtuple("row_of", rows.columns, rename=True)
-    places = [rows.columns.index(c) for c in order]
-
-    def advance(state, made: list, until: int):
-        while due and (when := due(state)) is not None and when <= until:
-            state, more = fire(state)
-            made += more
-        return state
-
-    def run(_: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        state, waiting, last = pickle.loads(kept.get[0]) if kept.exists else (initial, [], None)
-        now, made = kept.getCurrentWatermarkMs(), []
-        if not kept.hasTimedOut:
-            for batch in batches:
-                waiting += [tuple(map(plain, values)) for values in zip(*(batch[c].astype(object) for c in batch.columns), strict=True)]
-        elif forget_ms is not None and not waiting and (due is None or due(state) is None) and (last or 0) + forget_ms < now:
-            kept.remove()
-            return
-        waiting = sorted(map(lambda v: row_of(*v), waiting), key=lambda r: [(r[p] is not None, r[p]) for p in places])
-        ready = [r for r in waiting if r.at_ms <= now]
-        waiting = [tuple(r) for r in waiting if r.at_ms > now]
-        for row in ready:
-            state = advance(state, made, row.at_ms)
-            if forget_ms is not None and last is not None and row.at_ms - last > forget_ms:
-                state = initial
-            state, more = step(state, row)
-            made += more
-            last = row.at_ms
-        state = advance(state, made, now)
-        kept.update((pickle.dumps((state, waiting, last)),))
-        wakes = [row_of(*v).at_ms for v in waiting] + ([due(state)] if due and due(state) is not None else [])
-        if not wakes and forget_ms is not None:
-            wakes = [(last or 0) + forget_ms]
-        if wakes:
-            kept.setTimeoutTimestamp(max(min(wakes), now + 1))
-        yield pd.DataFrame({c: pd.Series([m[i] for m in made], dtype=object) for i, c in enumerate(names)})
-
-    return rows.groupBy(key).applyInPandasWithState(run, out, "data binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return stateful.fold(stream, key, at, late, lambda schema: _Stepped(step, initial, due, fire, schema, [c for c in order if c != at], names, forget_ms), out)
 
 
 def debounce(stream: DataFrame, key: str, at: str, value: str, ms: int, late: str) -> DataFrame:
@@ -101,7 +92,7 @@ def debounce(stream: DataFrame, key: str, at: str, value: str, ms: int, late: st
     kinds = dict(stream.dtypes)
     step = lambda state, row: ((getattr(row, key), row.at_ms, getattr(row, value)), [])
     due = lambda state: None if state is None else state[1] + ms
-    return fold(stream, key, at, late, [at, value], step, None, f"{key} {kinds[key]}, at_ms long, {value} {kinds[value]}", due, lambda state: (None, [state]))
+    return fold(stream.select(key, at, value), key, at, late, [at, value], step, None, f"{key} {kinds[key]}, at_ms long, {value} {kinds[value]}", due, lambda state: (None, [state]))
 
 
 def audit(stream: DataFrame, key: str, at: str, value: str, ms: int, late: str) -> DataFrame:
@@ -109,7 +100,7 @@ def audit(stream: DataFrame, key: str, at: str, value: str, ms: int, late: str)
     kinds = dict(stream.dtypes)
     step = lambda state, row: ((getattr(row, key), state[1] if state else row.at_ms + ms, getattr(row, value)), [])
     due = lambda state: None if state is None else state[1]
-    return fold(stream, key, at, late, [at, value], step, None, f"{key} {kinds[key]}, emit_at long, {value} {kinds[value]}", due, lambda state: (None, [state]))
+    return fold(stream.select(key, at, value), key, at, late, [at, value], step, None, f"{key} {kinds[key]}, emit_at long, {value} {kinds[value]}", due, lambda state: (None, [state]))
 
 
 def timeout(stream: DataFrame, key: str, at: str, value: str, ms: int, late: str) -> DataFrame:
@@ -126,13 +117,13 @@ def timeout(stream: DataFrame, key: str, at: str, value: str, ms: int, late: str
         return (own, last, True), [(own, last + ms, None, f"timeout: no value within {ms}ms")]
 
     due = lambda state: None if state is None or state[2] else state[1] + ms
-    return fold(stream, key, at, late, [at, value], step, None, f"{key} {kinds[key]}, at_ms long, {value} {kinds[value]}, error string", due, fire)
+    return fold(stream.select(key, at, value), key, at, late, [at, value], step, None, f"{key} {kinds[key]}, at_ms long, {value} {kinds[value]}, error string", due, fire)
 
 
 def throttle(stream: DataFrame, key: str, at: str, value: str, ms: int, late: str) -> DataFrame:
     """Leading edge: a row is emitted, then rows of its key are ignored for ``ms``."""
     step = lambda opened, row: (opened, []) if opened is not None and row.at_ms - opened < ms else (row.at_ms, [(getattr(row, value),)])
-    return fold(stream, key, at, late, [at, value], step, None, f"{value} {dict(stream.dtypes)[value]}", forget_ms=ms)
+    return fold(stream.select(key, at, value), key, at, late, [at, value], step, None, f"{value} {dict(stream.dtypes)[value]}", forget_ms=ms)
 
 
 def rate_limit(stream: DataFrame, key: str, at: str, value: str, most: int, ms: int, late: str) -> DataFrame:
@@ -142,14 +133,14 @@ def rate_limit(stream: DataFrame, key: str, at: str, value: str, most: int, ms:
         opened, n = state if state and row.at_ms - state[0] < ms else (row.at_ms, 0)
         return (opened, n + 1), [(getattr(row, value), n < most)]
 
-    return fold(stream, key, at, late, [at, value], step, None, f"{value} {dict(stream.dtypes)[value]}, allowed boolean", forget_ms=ms)
+    return fold(stream.select(key, at, value), key, at, late, [at, value], step, None, f"{value} {dict(stream.dtypes)[value]}, allowed boolean", forget_ms=ms)
 
 
 def pairwise(stream: DataFrame, key: str, at: str, value: str, late: str) -> DataFrame:
     """previous and current value of each key from its second row on."""
     kind = dict(stream.dtypes)[value]
     step = lambda last, row: ((getattr(row, value),), [(getattr(row, key), last[0], getattr(row, value))] if last else [])
-    return fold(stream, key, at, late, [at, value], step, None, f"{key} {dict(stream.dtypes)[key]}, previous {kind}, current {kind}")
+    return fold(stream.select(key, at, value), key, at, late, [at, value], step, None, f"{key} {dict(stream.dtypes)[key]}, previous {kind}, current {kind}")
 
 
 def breaker(stream: DataFrame, key: str, at: str, order: str, failed: str, threshold: int, late: str) -> DataFrame:
@@ -159,7 +150,7 @@ def breaker(stream: DataFrame, key: str, at: str, order: str, failed: str, thres
         n = n + 1 if getattr(row, failed) else 0
         return n, [(getattr(row, order), n, "open" if n >= threshold else "closed")]
 
-    return fold(stream, key, at, late, [at, order], step, 0, f"{order} {dict(stream.dtypes)[order]}, failures long, state string")
+    return fold(stream.select(key, at, order, failed), key, at, late, [at, order], step, 0, f"{order} {dict(stream.dtypes)[order]}, failures long, state string")
 
 
 @contextlib.contextmanager
