@@ -21,6 +21,8 @@ RECORD = (
     "worker_id string, due_ms long, reason string, now_ms long"
 )
 TERMINAL = ("completed", "dead", "canceled")
+#: What no two commands may share, and what tells that it comes again.
+USED = (("command_id", "_id_more"), ("idempotency_key", "_key_more"))
 
 
 def admit(messages: DataFrame) -> DataFrame:
@@ -52,14 +54,16 @@ class Queue:
     def known(self, c) -> bool:
         """Whether an earlier command that stood has this one's id or idempotency key. Kept are those that come again
         only, as ``_id_more`` and ``_key_more`` of a command tell; the key of a refused duplicate is not taken."""
-        formed = is_formed(c)
-        names = [(name, c.get(name), c.get(more)) for name, more in (("command_id", "_id_more"), ("idempotency_key", "_key_more")) if c.get(name)]
-        again = any((name, value) in self.seen for name, value, _ in names)
-        for name, value, more in names:
+        formed = c["_formed"] = is_formed(c)
+        seen, again = self.seen, False
+        used = [(name, value, c.get(more)) for name, more in USED if (value := c.get(name))]
+        for name, value, _ in used:
+            again = again or (name, value) in seen
+        for name, value, more in used:
             if not more:
-                self.seen.discard((name, value))
+                seen.discard((name, value))
             elif formed and not again:
-                self.seen.add((name, value))
+                seen.add((name, value))
         return formed and again
 
     def emit(self, kind, c, work=None, due=None, reason=None):
@@ -153,7 +157,7 @@ class Queue:
         """One command's records and issues."""
         self.out = []
         kind = c["kind"]
-        if not is_formed(c):
+        if not (c["_formed"] if "_formed" in c else is_formed(c)):
             self.emit("Issue", c, reason="malformed-command")
         elif c["_again"]:
             self.emit("Issue", c, reason="duplicate-command")
@@ -245,7 +249,10 @@ class Queue:
 
 def lease_id(work_id: str, number: int) -> str:
     """The id of the queue's lease of that number."""
-    return f"work-queue-lease:{json.dumps([work_id, str(number)], separators=(',', ':'), ensure_ascii=False)}"
+    return f"work-queue-lease:{_encode([work_id, str(number)])}"
+
+
+_encode = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
 
 
 def named_works(c: dict) -> list[str]:
@@ -273,12 +280,12 @@ def fold(commands: DataFrame, lease_ms: int, attempts: int, retry_ms: int = 0) -
     whatever its attempts; expire_leases ends as many as its limit, by work id. A command whose id or key an earlier one
     used that was itself no duplicate is a duplicate; empty keys are none.
 
-    Spark marks the ids and keys that come again and passes each queue's commands on in order, as a stream; what a task holds is the
+    Spark deals queues out once, marks the ids and keys that come again and passes each queue's commands on in order, as a stream; what a task holds is the
     works of one queue, of finished ones the id and state, and ids and keys between their uses. A command costs the logarithm of
     the works' number.
     """
-    rows = commands
-    for name, more in (("command_id", "_id_more"), ("idempotency_key", "_key_more")):
+    rows = commands.repartition("queue_id")  # which the windows below keep to, as they are within queues
+    for name, more in USED:
         if name in rows.columns:
             rows = rows.withColumn("_apart", F.when(F.coalesce(F.col(name), F.lit("")) == "", F.col("ord")))
             rows = rows.withColumn(more, F.lead("ord").over(over(["queue_id", name, "_apart"], ["ord"])).isNotNull()).drop("_apart")
@@ -289,7 +296,7 @@ def fold(commands: DataFrame, lease_ms: int, attempts: int, retry_ms: int = 0) -
         c["_again"] = queue.known(c)
         return queue, queue.apply(c)
 
-    return keyed_fold(rows, ["queue_id"], ["ord"], step, lambda: Queue(lease_ms, attempts, retry_ms), RECORD)
+    return keyed_fold(rows, ["queue_id"], ["ord"], step, lambda: Queue(lease_ms, attempts, retry_ms), RECORD, dealt=True)
 
 
 #: The state a record leaves its work in; other kinds change none.
