@@ -151,8 +151,8 @@ def knowledge_graph(assertions: DataFrame, predicates: list[str]) -> dict[str, D
     shaped = (F.col("id") != "") & (F.col("subject_id") != "") & (F.col("object_entity_id").isNull() != F.col("object_literal").isNull())
     rows = assertions.withColumn("_valid", F.coalesce(policy & shaped, F.lit(False)))
     rank = F.row_number().over(over(["id", "_valid"], ["idx"]))
+    kept = rows.where("_valid").withColumn("_r", rank).where("_r = 1").drop("_valid", "_r")  # rows beyond the first go before the shuffle
     rows = rows.withColumn("reason", F.when(~F.col("_valid"), F.when(~policy, "predicate").otherwise("malformed")).when(rank > 1, "duplicate")).drop("_valid")
-    kept = rows.where("reason is null").drop("reason")
     roles = kept.select("id", F.explode(F.array_compact(F.array(
         F.struct(F.lit("subject").alias("role"), F.col("subject_id").alias("entity")),
         F.when(F.col("object_entity_id").isNotNull(), F.struct(F.lit("object").alias("role"), F.col("object_entity_id").alias("entity"))),
@@ -160,9 +160,9 @@ def knowledge_graph(assertions: DataFrame, predicates: list[str]) -> dict[str, D
     own = lambda role: F.sort_array(F.collect_set(F.when(F.col("role") == role, F.col("id"))))
     entities = roles.groupBy("entity").agg(own("subject").alias("as_subject"), own("object").alias("as_object"))
     relations = kept.where("object_entity_id is not null").select("id", "subject_id", "predicate", "object_entity_id")
-    topics = kept.groupBy("predicate").agg(F.count("*").alias("assertions"))
-    named = kept.select("predicate", F.explode(F.array_compact(F.array("subject_id", "object_entity_id"))).alias("entity")).distinct()
-    topics = topics.join(named.groupBy("predicate").agg(F.count("*").alias("entities")), "predicate")
+    named = kept.select("predicate", F.posexplode(F.array_compact(F.array("subject_id", "object_entity_id"))).alias("place", "entity"))  # the subject is at 0
+    named = named.groupBy("predicate", "entity").agg(F.count_if(F.col("place") == 0).alias("n"))
+    topics = named.groupBy("predicate").agg(F.sum("n").alias("assertions"), F.count("*").alias("entities"))
     return {"rejected": rows.where("reason is not null"), "entities": entities, "relations": relations, "topics": topics}
 
 
