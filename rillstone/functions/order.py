@@ -51,28 +51,33 @@ def running_sums(df: DataFrame, values: dict[str, Column], order: Cols, keys: Co
     """Sums, by name, up to and with each row, within its key or in the whole table.
 
     ``bucket`` must be a number that never falls as rows go on in order, with few rows per value (the
-    hour of a time, say): sums run within buckets, and those of earlier buckets are joined on. These are
+    hour of a time, say): sums run within buckets, ahead of which goes a row with those of earlier buckets. These are
     summed up within spans of SPAN buckets and over spans, so that one task sees a sum per span at most.
     The input is read twice: stage it where it is costly, and where several such sums follow each other.
     """
     return _running(df, values, order, keys, bucket, F.sum, lambda before, own: F.coalesce(before, F.lit(0)) + F.coalesce(own, F.lit(0)))
 
 
-def running_max(df: DataFrame, values: dict[str, Column], order: Cols, keys: Cols = (), bucket: Column | None = None) -> DataFrame:
+def running_max(df: DataFrame, values: dict[str, Column], order: Cols, keys: Cols = (), bucket: Column | None = None, earlier: str = "") -> DataFrame:
     """The greatest values, by name, up to and with each row, nulls passed over; see ``running_sums``.
 
-    A struct that begins with the order makes it the last value so far.
+    A struct that begins with the order makes it the last value so far. With a suffix ``earlier``, columns
+    of that ending have the greatest values before each row.
     """
-    return _running(df, values, order, keys, bucket, F.max, F.greatest)
+    return _running(df, values, order, keys, bucket, F.max, F.greatest, earlier)
 
 
-def _running(df: DataFrame, values: dict[str, Column], order: Cols, keys: Cols, bucket: Column | None, agg: Callable[[str], Column], merge: Callable[[Column, Column], Column]) -> DataFrame:
-    """``agg`` up to each row; ``merge`` puts together what is before and what is own, either may be null."""
+def _running(df: DataFrame, values: dict[str, Column], order: Cols, keys: Cols, bucket: Column | None, agg: Callable[[str], Column], merge: Callable[[Column, Column], Column], earlier: str = "") -> DataFrame:
+    """``agg`` up to each row; ``merge`` puts together what is before and what is own, either may be null.
+
+    What is before a bucket comes as a row ahead of it, so that rows are shuffled once and never joined.
+    """
     if bucket is None:
         if not keys:
             raise ValueError("a global order needs a bucket column")
         made = df.withColumns({f"_x{i}": v for i, v in enumerate(values.values())})
-        return made.withColumns({name: agg(f"_x{i}").over(so_far(keys, order)) for i, name in enumerate(values)}).drop(*[f"_x{i}" for i in range(len(values))])
+        ends = {"": so_far(keys, order)} | ({earlier: over(keys, order).rowsBetween(Window.unboundedPreceding, -1)} if earlier else {})
+        return made.withColumns({name + end: agg(f"_x{i}").over(w) for end, w in ends.items() for i, name in enumerate(values)}).drop(*[f"_x{i}" for i in range(len(values))])
     keys, ns = list(keys), range(len(values))
     rows = df.withColumns({"_bucket": bucket.cast("double")} | {f"_x{i}": v for i, v in enumerate(values.values())})
     sums = rows.groupBy(*keys, "_bucket").agg(*[agg(f"_x{i}").alias(f"_n{i}") for i in ns]).withColumn("_span", F.floor(F.col("_bucket") / SPAN))
@@ -81,11 +86,13 @@ def _running(df: DataFrame, values: dict[str, Column], order: Cols, keys: Cols,
     spans = spans.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_span").alias("_s__span"), *[f"_s{i}" for i in ns])
     sums = sums.withColumns({f"_o{i}": before(i, [*keys, "_span"], "_bucket") for i in ns})
     sums = sums.join(spans, _all([F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in [*keys, "_span"]]))
-    sums = sums.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_bucket").alias("_c__bucket"), *[merge(F.col(f"_s{i}"), F.col(f"_o{i}")).alias(f"_b{i}") for i in ns])
-    inside = rows.withColumns({f"_in{i}": agg(f"_x{i}").over(so_far([*keys, "_bucket"], order)) for i in ns})
-    joined = inside.join(sums, _all([F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in [*keys, "_bucket"]]))
-    joined = joined.withColumns({name: merge(F.col(f"_b{i}"), F.col(f"_in{i}")) for i, name in enumerate(values)})
-    return joined.drop("_bucket", "_c__bucket", *[f"_c_{k}" for k in keys], *[f"{c}{i}" for c in ("_x", "_b", "_in") for i in ns])
+    sums = sums.select(*keys, "_bucket", *[merge(F.col(f"_s{i}"), F.col(f"_o{i}")).alias(f"_b{i}") for i in ns], F.lit(True).alias("_ahead"))
+    both = rows.withColumn("_ahead", F.lit(False)).unionByName(sums, allowMissingColumns=True)
+    inside = over([*keys, "_bucket"], [F.desc("_ahead"), *order])
+    ends = {"": inside.rowsBetween(Window.unboundedPreceding, 0)} | ({earlier: inside.rowsBetween(Window.unboundedPreceding, -1)} if earlier else {})
+    made = both.withColumns({f"_b{i}": F.first(f"_b{i}").over(ends[""]) for i in ns} | {f"_in{i}{end}": agg(f"_x{i}").over(w) for end, w in ends.items() for i in ns})
+    made = made.where("NOT _ahead").withColumns({name + end: merge(F.col(f"_b{i}"), F.col(f"_in{i}{end}")) for end in ends for i, name in enumerate(values)})
+    return made.drop("_bucket", "_ahead", *[f"{c}{i}" for c in ("_x", "_b") for i in ns], *[f"_in{i}{end}" for end in ends for i in ns])
 
 
 def _all(conditions: list[Column]) -> Column:

@@ -406,7 +406,7 @@ def commands(spark, d):
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     none = F.lit(None).cast("string")
     publish = e.select((n * 8 + 7).alias("ord"), F.lit("publish").alias("kind"), F.when(n % 211 == 0, "").otherwise(F.col("event_type")).alias("topic"), text("c", F.when(n % 10 == 0, n - n % 30).otherwise(n)).alias("command_id"), F.when(n % 4 == 0, text("i", n % 3000)).alias("idempotency_key"), F.col("cents").alias("payload"), F.col("ms").alias("now_ms"))
-    edges = e.where("event_type <> 'error'").groupBy(F.col("event_type").alias("topic")).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.min("ms").alias("now_ms"))
+    edges = stage(e.where("event_type <> 'error'").groupBy(F.col("event_type").alias("topic")).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.min("ms").alias("now_ms")), "edges")  # four kinds of commands read it
     edge = lambda kind, ord_, id_: edges.select(ord_.alias("ord"), F.lit(kind).alias("kind"), "topic", id_.alias("command_id"), none.alias("idempotency_key"), F.lit(None).cast("long").alias("payload"), "now_ms")
     ensure = edge("ensure_topic", F.col("lo") * 8, text("c", F.col("lo") + 1))
     early = edge("close_topic", F.col("lo") * 8 - 6, none).where("topic = 'view'")
@@ -535,9 +535,10 @@ def m6(spark, d):
 
 def subscribed(spark, d):
     """Facts and gaps of all subscriptions, on the topics that the same commands made."""
-    c = stage(commands(spark, d), "bus-commands")
-    log = stage(bus.timed(bus.publish(c).where("status = 'published'"), MOST, AGE), "topic-log")
-    return bus.subscription_gaps(bus.as_of(c, log), log)
+    c = commands(spark, d)
+    known = bus.checked(c)
+    log = stage(bus.timed(bus.publish(c, known=known).where("status = 'published'"), MOST, AGE), "topic-log")
+    return bus.subscription_gaps(bus.as_of(c, log, known=known), log)
 
 
 @job("m5_subscriptions", CURSORS + "SELECT ord, topic, sid AS subscription_id, code, nx AS next_seq, closed, gap AS retention_gap FROM f WHERE rn > 0")
@@ -563,12 +564,13 @@ KEPT = CURSORS.replace(f"seq - {MOST - 1}", "seq - 999999999").replace(f"{AGE +
 SELECT sid AS subscription_id, cu.topic, seq, payload FROM cu JOIN ends ON ends.topic = cu.topic JOIN ms ON ms.topic = cu.topic WHERE nx >= h AND seq >= nx AND seq < nx + 5""")
 def m6_all(spark, d):
     """What each subscription finds at its cursor after all commands, in topics that keep their messages."""
-    c = stage(commands(spark, d), "bus-commands")
-    sent = stage(bus.publish(c).where("status = 'published'"), "published")
+    c = commands(spark, d)
+    known = bus.checked(c)
+    sent = stage(bus.publish(c, known=known).where("status = 'published'"), "published")
     log = stage(bus.timed(sent), "topic-log")
     ends = log.groupBy("topic").agg(F.max("head_seq").alias("head_seq"))
     left = sent.join(ends, "topic").where("seq >= head_seq").select("topic", "seq", "payload")
-    return bus.available(bus.cursors(bus.subscription_gaps(bus.as_of(c, log), log)[0]).select("topic", "subscription_id", "next_seq"), left, ends, 5)
+    return bus.available(bus.cursors(bus.subscription_gaps(bus.as_of(c, log, known=known), log)[0]).select("topic", "subscription_id", "next_seq"), left, ends, 5)
 
 
 @job("m2_issues", CURSORS + """, al AS (SELECT ord, topic, NULL AS sid, status AS code FROM s UNION ALL SELECT ord, topic, NULL, stop FROM fr WHERE kind <> 'publish' AND stop IS NOT NULL
@@ -576,10 +578,11 @@ def m6_all(spark, d):
 SELECT ord, topic, sid AS subscription_id, code, row_number() OVER (ORDER BY ord, sid NULLS FIRST) AS entry_seq FROM al WHERE code NOT IN ('published', 'duplicate-command', 'subscribed', 'kept', 'acked', 'sought', 'closed')""")
 def m2_issues(spark, d):
     """Every dead letter, of publishes, topics and subscriptions, in one order."""
-    c = stage(commands(spark, d), "bus-commands")
-    published = stage(bus.publish(c), "published")
+    c = commands(spark, d)
+    known = bus.checked(c)
+    published = stage(bus.publish(c, known=known), "published")
     log = stage(bus.timed(published.where("status = 'published'"), MOST, AGE), "topic-log")
-    return bus.issues(c, published, *bus.subscription_gaps(bus.as_of(c, log), log))
+    return bus.issues(c, published, *bus.subscription_gaps(bus.as_of(c, log, known=known), log), known=known)
 
 
 @job("s8_to_topic", f"""{E}, c AS (SELECT event_id * 2 AS ord, CASE WHEN event_type = 'purchase' THEN 'sales' ELSE 'doubts' END AS topic, cents AS payload FROM e WHERE event_type IN ('purchase', 'error')), o AS (SELECT min(event_id) * 2 + 1 AS f FROM e)

@@ -11,18 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import BROADCAST_ROWS as BROADCAST_ROWS
 from ..functions.staging import shared_dir as shared_dir
+from ..functions.staging import sized as sized
 from ..functions.staging import stage as stage
 
-#: A side of at most so many rows (of a few bytes each) is broadcast; above it the join shuffles.
-BROADCAST_ROWS = 1_000_000
-
-
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a staged table for broadcast if it has at most ``rows`` rows, else leave it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def release() -> None:
     """Give freed memory back; Python workers stay alive between tasks, beside those of other stages."""
     pa.default_memory_pool().release_unused()

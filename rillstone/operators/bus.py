@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folds import keyed_fold
-from ..functions.order import number, over, running_max, running_sum
-from ..functions.staging import stage
+from ..functions.order import number, over, running_max
+from ..functions.staging import sized, stage
 
 
 #: Rows of a topic's order, by ``ord``, that are numbered in one task.
@@ -38,40 +38,48 @@ def fresh(commands: DataFrame) -> DataFrame:
     return rows.withColumn("_stop", stop).drop("_bad", "_apart")
 
 
-def with_policy(commands: DataFrame, strict: bool = True, per_bucket: int = PER_BUCKET) -> DataFrame:
-    """Commands as ``fresh`` gives them, with ``_creates``: whether a publish makes its topic, by the last topic_policy
-    command (``policy``: strict or create) before it, and by ``strict`` before the first. Without a policy column that alone counts."""
-    if "policy" not in commands.columns:
-        return commands.withColumn("_creates", F.lit(not strict))
-    set_ = F.when((F.col("kind") == "topic_policy") & F.col("_stop").isNull(), F.struct("ord", "policy"))
-    rows = running_max(stage(commands, "commands"), {"_policy": set_}, ["ord"], bucket=F.floor(F.col("ord") / per_bucket))
-    return rows.withColumn("_creates", F.coalesce(F.col("_policy.policy") == "create", F.lit(not strict))).drop("_policy")
-
-
-def topics(commands: DataFrame) -> DataFrame:
+def topics(commands: DataFrame, strict: bool = True, per_bucket: int = PER_BUCKET) -> DataFrame:
     """topic, opened and closed: the ord from which it exists and of the first close after that (null if none).
 
-    ``commands`` as ``with_policy`` gives them.
+    ``commands`` as ``fresh`` gives them, staged. A publish makes its topic by the last topic_policy command (``policy``:
+    strict or create) before it, and by ``strict`` before the first; without a policy column that alone counts. Only the
+    few columns that this takes are brought in order.
     """
     able = commands.where("_stop IS NULL")
-    opens = able.where((F.col("kind") == "ensure_topic") | ((F.col("kind") == "publish") & F.col("_creates")))
-    opened = opens.groupBy("topic").agg(F.min("ord").alias("opened"))
+    makes = able.where("kind = 'publish'").select("ord", "topic")
+    if "policy" in commands.columns:
+        rows = able.where("kind IN ('publish', 'topic_policy')").select("ord", "topic", "kind", "policy")
+        set_ = F.when(F.col("kind") == "topic_policy", F.struct("ord", "policy"))
+        rows = running_max(rows, {"_policy": set_}, ["ord"], bucket=F.floor(F.col("ord") / per_bucket))
+        makes = rows.where((F.col("kind") == "publish") & F.coalesce(F.col("_policy.policy") == "create", F.lit(not strict))).select("ord", "topic")
+    elif strict:
+        makes = makes.where(F.lit(False))
+    opened = able.where("kind = 'ensure_topic'").select("ord", "topic").union(makes).groupBy("topic").agg(F.min("ord").alias("opened"))
     closes = able.where("kind = 'close_topic'").groupBy("topic", "ord").count().join(opened, "topic").where("ord > opened")
     return opened.join(closes.groupBy("topic").agg(F.min("ord").alias("closed")), "topic", "left")
 
 
-def publish(commands: DataFrame, strict: bool = True, per_bucket: int = PER_BUCKET) -> DataFrame:
+def checked(commands: DataFrame, strict: bool = True, per_bucket: int = PER_BUCKET) -> tuple[DataFrame, DataFrame]:
+    """Commands as ``fresh`` gives them and their ``topics``, both staged: what ``publish``, ``as_of`` and ``issues`` begin with.
+
+    They take it as ``known``, so that several of them on the same commands order these once.
+    """
+    rows = stage(fresh(commands), "commands")
+    return rows, stage(topics(rows, strict, per_bucket), "topics")
+
+
+def publish(commands: DataFrame, strict: bool = True, per_bucket: int = PER_BUCKET, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Publish commands with ``status`` (published, duplicate-command, malformed-command, unknown-topic,
     closed-topic) and the dense seq per topic, from 1, of published ones.
 
     Checks go in order: an empty topic; a command id that a well-formed command of any kind had before,
     whatever became of it; an idempotency key of a message *published* before; a topic that is not open. A
     topic is open from its first ensure to the first close after it; a publish opens it too if the policy
-    of its time is to create (``strict`` says so before the first policy command).
+    of its time is to create (``strict`` says so before the first policy command). ``known`` is what ``checked`` gives.
     """
-    rows = with_policy(fresh(commands), strict, per_bucket)
-    known = topics(rows).select(F.col("topic").alias("_topic"), F.col("opened").alias("_from"), F.col("closed").alias("_to"))
-    rows = rows.where("kind = 'publish'").join(known, F.col("topic") == F.col("_topic"), "left")
+    rows, made = known or checked(commands, strict, per_bucket)
+    made = made.select(F.col("topic").alias("_topic"), F.col("opened").alias("_from"), F.col("closed").alias("_to"))
+    rows = rows.where("kind = 'publish'").join(sized(made), F.col("topic") == F.col("_topic"), "left")
     closed = F.coalesce(F.col("ord") > F.col("_to"), F.lit(False))
     opened = F.coalesce(F.col("ord") >= F.col("_from"), F.lit(False))
     rows = rows.withColumn("_bad_topic", F.when(~opened, "unknown-topic").when(closed, "closed-topic"))
@@ -81,7 +89,7 @@ def publish(commands: DataFrame, strict: bool = True, per_bucket: int = PER_BUCK
     first = F.min(F.when(able, F.col("ord"))).over(keyed)
     again = F.coalesce(first < F.col("ord"), F.lit(False))
     status = F.coalesce("_stop", F.when(again, "duplicate-command"), "_bad_topic", F.lit("published"))
-    rows = stage(rows.withColumn("status", status).drop("_topic", "_from", "_to", "_stop", "_bad_topic", "_creates"), "publishes")  # numbering reads it twice
+    rows = stage(rows.withColumn("status", status).drop("_topic", "_from", "_to", "_stop", "_bad_topic"), "publishes")  # numbering reads it twice
     rows = number(rows, ["ord"], ["topic", "status"], F.floor(F.col("ord") / per_bucket), "seq")
     return rows.withColumn("seq", F.when(F.col("status") == "published", F.col("seq").cast("long")))
 
@@ -131,7 +139,7 @@ def _page(rows: DataFrame, order: str, limit: int) -> DataFrame:
 
 def catalog(commands: DataFrame, messages: DataFrame, left: DataFrame, strict: bool = True) -> DataFrame:
     """topic, closed, head_seq, next_seq and message_count of every topic that was made."""
-    made = topics(with_policy(fresh(commands), strict)).select("topic", F.col("closed").isNotNull().alias("closed"))
+    made = checked(commands, strict)[1].select("topic", F.col("closed").isNotNull().alias("closed"))
     kept = left.groupBy("topic").agg(F.count("*").alias("message_count"))
     out = made.join(heads(messages, left), "topic", "left").join(kept, "topic", "left")
     return out.select(
@@ -172,24 +180,29 @@ def timed(messages: DataFrame, most: int | None = None, max_age_ms: int | None =
 
     A publish to a topic drops what is older than the age by the topic's clock (the greatest now_ms so far),
     then all but the newest ``most``. Seqs are dense, so the head follows from the number of messages whose
-    time is before the age: a running count in which each publish also asks at its own time less the age.
+    time is before the age. Where the clock goes on, the seq before tells how many messages the time before has behind it,
+    and the publish asks at its own time less the age; others find what the last such publish did.
     """
     if most is not None and most <= 0:
         raise ValueError("policy-rejected: retention must leave a positive number of messages")
-    by_ord = F.floor(F.col("ord") / per_bucket)
+    by_seq = F.floor(F.col("seq") / per_bucket)
     rows = messages.select("topic", "ord", "seq", "now_ms")
-    head = F.lit(1) if most is None else F.greatest(F.lit(1), F.col("seq") - most + 1)
+    head = lambda seq, gone: F.greatest(F.lit(1), F.lit(1) if most is None else seq - most + 1, gone + 1).cast("long")
     if max_age_ms is not None:
-        rows = stage(running_max(rows, {"clock": F.col("now_ms")}, ["ord"], ["topic"], by_ord), "clocks")
-        asks = rows.select("topic", "ord", "seq", (F.col("clock") - max_age_ms).alias("at"), F.lit(0).alias("n"))
-        both = asks.unionByName(rows.select("topic", "ord", "seq", F.col("clock").alias("at"), F.lit(1).alias("n")))
-        counted = running_sum(both, F.col("n"), ["at", "n", "ord"], ["topic"], F.floor(F.col("at") / slot), "gone").where("n = 0")
-        rows = counted.select("topic", "ord", "seq", "gone")
-        head = F.greatest(head, F.col("gone") + 1)
-    rows = rows.select("topic", "ord", "seq", head.cast("long").alias("head_seq"))
-    # Seqs are dense, so the head before a publish stands one seq earlier.
-    before = rows.select("topic", (F.col("seq") + 1).alias("seq"), F.col("head_seq").alias("_before"))
-    rows = rows.join(before, ["topic", "seq"], "left").withColumn("trimmed", F.col("head_seq") - F.coalesce("_before", F.lit(1)))
+        rows = stage(rows, "messages")
+        clocks = stage(running_max(rows, {"clock": F.col("now_ms")}, ["seq"], ["topic"], by_seq, "_before").drop("now_ms"), "clocks")
+        goes_on = F.coalesce(F.col("clock") > F.col("clock_before"), F.col("clock").isNotNull())
+        none = F.lit(None).cast("long")
+        asks = clocks.where(goes_on).select("topic", "ord", "seq", (F.col("clock") - max_age_ms).alias("at"), F.lit(0).alias("n"), none.alias("past"))
+        tells = clocks.where(goes_on).select("topic", "ord", "seq", F.col("clock_before").alias("at"), F.lit(1).alias("n"), (F.col("seq") - 1).alias("past"))
+        found = running_max(asks.union(tells), {"past": F.col("past")}, ["at", "n"], ["topic"], F.floor(F.col("at") / slot)).where("n = 0")
+        still = clocks.where(~goes_on).select("topic", "ord", "seq", none.alias("past"))
+        rows = stage(found.select("topic", "ord", "seq", "past").union(still), "past")
+        rows = running_max(rows, {"gone": F.col("past")}, ["seq"], ["topic"], by_seq, "_before")
+    gone, before = (F.coalesce(F.col(c), F.lit(0)) if max_age_ms is not None else F.lit(0) for c in ("gone", "gone_before"))
+    # Seqs are dense, so the head before a publish is that of one seq earlier.
+    last = F.when(F.col("seq") > 1, head(F.col("seq") - 1, before)).otherwise(F.lit(1))
+    rows = rows.withColumn("head_seq", head(F.col("seq"), gone)).withColumn("trimmed", F.col("head_seq") - last)
     return rows.select("topic", "ord", "seq", "head_seq", "trimmed")
 
 
@@ -227,12 +240,12 @@ def available(cursors: DataFrame, left: DataFrame, ends: DataFrame, limit: int)
     return wanted.select("subscription_id", "topic", "seq").join(left, ["topic", "seq"])
 
 
-def as_of(commands: DataFrame, log: DataFrame, strict: bool = True, per_bucket: int = PER_BUCKET) -> DataFrame:
+def as_of(commands: DataFrame, log: DataFrame, strict: bool = True, per_bucket: int = PER_BUCKET, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Well-formed subscription commands (subscribe, ack, seek, close_subscription) with head_seq and tail_seq of their
-    topic at their time, null before it exists. ``log`` is ``timed``'s, of the same commands."""
-    rows = stage(with_policy(fresh(commands), strict, per_bucket), "commands-of-all-kinds")
+    topic at their time, null before it exists. ``log`` is ``timed``'s, of the same commands, ``known`` what ``checked`` gives."""
+    rows, made = known or checked(commands, strict, per_bucket)
     own = rows.where(F.col("kind").isin("subscribe", "ack", "seek", "close_subscription") & F.col("_stop").isNull())
-    opened = topics(rows).select("topic", F.col("opened").alias("ord"), F.lit(1).cast("long").alias("_head"), F.lit(1).cast("long").alias("_tail"))
+    opened = made.select("topic", F.col("opened").alias("ord"), F.lit(1).cast("long").alias("_head"), F.lit(1).cast("long").alias("_tail"))
     moved = log.select("topic", "ord", F.col("head_seq").alias("_head"), (F.col("seq") + 1).alias("_tail"))
     names = ["ord", "topic", "subscription_id", "kind", "seq", "start"]
     both = own.select(*names).unionByName(opened.union(moved), allowMissingColumns=True)
@@ -307,7 +320,7 @@ def subscription_gaps(commands: DataFrame, log: DataFrame, per_bucket: int = PER
     facts = stage(_facts(commands), "subscription-facts")
     moves = log.where("trimmed > 0").select("topic", (F.col("head_seq") - F.col("trimmed")).alias("at"), F.struct((F.col("head_seq") - F.col("trimmed")).alias("from"), "head_seq", "ord").alias("trim"))
     cursors_ = facts.where("ord IS NULL").select("topic", "subscription_id", "next_seq", F.greatest("next_seq", F.lit(1)).alias("at"))
-    both = stage(moves.unionByName(cursors_, allowMissingColumns=True).withColumn("asks", F.col("trim").isNull()), "trims-and-cursors")
+    both = moves.unionByName(cursors_, allowMissingColumns=True).withColumn("asks", F.col("trim").isNull())
     found = running_max(both, {"last": F.col("trim")}, ["at", "asks", "subscription_id"], ["topic"], F.floor(F.col("at") / per_bucket))
     gone = found.where(F.col("asks") & (F.col("last.head_seq") > F.col("at")))
     return facts.where("ord IS NOT NULL"), gone.select("topic", "subscription_id", F.col("last.ord").alias("ord"), "next_seq", F.col("last.head_seq").alias("head_seq"))
@@ -316,7 +329,7 @@ def subscription_gaps(commands: DataFrame, log: DataFrame, per_bucket: int = PER
 ISSUES = ("malformed-command", "unknown-topic", "closed-topic", "unknown-subscription", "subscription-closed", "retention-gap", "source-cursor-stale", "cursor-out-of-range")
 
 
-def issues(commands: DataFrame, published: DataFrame, facts: DataFrame, gaps: DataFrame, strict: bool = True, duplicates: bool = False, per_bucket: int = PER_BUCKET) -> DataFrame:
+def issues(commands: DataFrame, published: DataFrame, facts: DataFrame, gaps: DataFrame, strict: bool = True, duplicates: bool = False, per_bucket: int = PER_BUCKET, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Every dead letter of the bus, numbered from 1 as they came: entry_seq, ord, topic, subscription_id and code.
 
     Of a publish come its own issue and then those of the subscriptions that its trim overtook, by their id.
@@ -324,10 +337,10 @@ def issues(commands: DataFrame, published: DataFrame, facts: DataFrame, gaps: Da
     """
     text = lambda c: F.col(c) if isinstance(c, str) else c
     row = lambda df, code, topic="topic", sub=None: df.select("ord", text(topic).alias("topic"), (F.lit(None).cast("string") if sub is None else text(sub)).alias("subscription_id"), text(code).alias("code"))
-    rows = stage(with_policy(fresh(commands), strict, per_bucket), "commands-with-stops")
+    rows, made = known or checked(commands, strict, per_bucket)
     stopped = row(rows.where("kind <> 'publish' AND _stop IS NOT NULL"), "_stop")
-    known = topics(rows).select(F.col("topic").alias("_topic"), "opened")
-    closes = rows.where("kind = 'close_topic' AND _stop IS NULL").join(known, F.col("topic") == F.col("_topic"), "left").where("opened IS NULL OR ord < opened")
+    made = made.select(F.col("topic").alias("_topic"), "opened")
+    closes = rows.where("kind = 'close_topic' AND _stop IS NULL").join(made, F.col("topic") == F.col("_topic"), "left").where("opened IS NULL OR ord < opened")
     every = row(published.where("status <> 'published'"), "status").union(stopped).union(row(closes, F.lit("unknown-topic")))
     every = every.union(row(facts, "code", sub="subscription_id")).union(row(gaps, F.lit("retention-gap"), F.lit(None).cast("string"), "subscription_id"))
     every = stage(every.where(F.col("code").isin(*ISSUES, *(["duplicate-command"] if duplicates else []))), "issues")
