@@ -116,7 +116,7 @@ def _tokens(path: str, capacity: int, end_id: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, 1, 2 << 20):
             out: list[list] = [[] for _ in range(6)]
-            texts = [t.encode() if t else b"" for t in part.column(1).to_pylist()]
+            texts = [t or "" for t in part.column(1).to_pylist()]
             for doc_id, ids in zip(part.column(0).to_pylist(), document_ids(texts, path), strict=True):
                 ids += end
                 for at in range(0, len(ids), 4 * capacity):

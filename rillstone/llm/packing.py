@@ -25,19 +25,19 @@ CAPACITY = 2048
 GROUPS, SMALL = 512, 128
 #: Rows of a length that are numbered in one task, about.
 PER_SALT = 2000
-#: Bytes of words and ids of a generation that a Python worker remembers, of pre-tokens, and what an entry costs besides.
-CACHED, CORES, ENTRY = 60 << 20, 40 << 20, 160
+#: Bytes of pre-tokens and ids of a generation that a Python worker remembers, of other words, and what an entry costs besides.
+CORES, CACHED, ENTRY = 80 << 20, 20 << 20, 160
 _tokenizers: dict = {}
 
 
 class _Memory(dict):
     """Ids by word; unknown words are made. When it is full, ``turn`` begins another one, and what is not used again goes."""
 
-    def __init__(self, most: int, make: Callable[[bytes | str], bytes], old: dict | None = None):
+    def __init__(self, most: int, make: Callable[[bytes], bytes], old: dict | None = None):
         super().__init__()
         self.most, self.make, self.size, self.old = most, make, 0, old or {}
 
-    def __missing__(self, word: bytes | str) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             ids = self.make(word)
@@ -52,9 +52,9 @@ class _Memory(dict):
         return _Memory(self.most, self.make, self)
 
 
-#: Per tokenizer file what a worker remembers: ids of words, ids of the model's plain pre-tokens.
-_ids: dict[str, _Memory] = {}
+#: Per tokenizer file what a worker remembers: ids of pre-tokens, ids of words of other texts.
 _cores: dict[str, _Memory] = {}
+_words: dict[str, _Memory] = {}
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -90,45 +90,71 @@ def encode_words(words: list[str], path: str) -> list[list[int]]:
     return out
 
 
-#: Words of letters that need no composition, then signs: two pre-tokens, given to the model as they are.
-_SIGNS = ".,;:!?*#$%&|()-"
-_PLAIN = re.compile(rf"[a-zà-öø-ÿ]*[{re.escape(_SIGNS)}]*")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: How the byte-level vocabulary writes bytes: printable ones as themselves, the others from U+0100 on.
 BYTE_LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_LETTERS, _NUMBERS = "a-zª\u00b5ºß-öø-ÿ", "0-9²³¹¼-¾"
+#: The tokenizer's pre-tokens of lower-case text of the first 256 characters, which needs no composition.
+_PRETOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+#: The characters that this holds for, as Latin-1: no controls, no space that bytes do not know as one. Lower case of each, and its kind.
+_PLAIN = bytes([*range(9, 14), *range(32, 127), *range(161, 256)])
+_LOWER = bytes(ord(chr(b).lower()) for b in range(256))
+_SPACE, _LETTER, _NUMBER, _SIGN, _QUOTE = range(5)
+_KINDS = np.array([_SPACE if chr(b).isspace() or not b else _QUOTE if chr(b) == "'" else _LETTER if chr(b).isalpha() else _NUMBER if chr(b).isnumeric() else _SIGN for b in range(256)], np.uint8)
+#: Whether a pre-token ends between two kinds, whatever stands around them; at a quote that depends.
+_ENDS = np.array([[x != y if _QUOTE not in (x, y) and _SPACE not in (x, y) else False for y in range(5)] for x in range(5)])
+_ENDS[_NUMBER, _NUMBER] = True
+_ENDS = _ENDS.ravel()
 
 
 def _memories(path: str) -> tuple[_Memory, _Memory]:
-    """Empty memories of words and of the model's plain pre-tokens, which the first asks."""
+    """Empty memories of pre-tokens (with quotes, several of them), which go to the model as they are, and of words, which take the whole tokenizer."""
     whole, tokenize, pack = tokenizer(path), tokenizer(path).model.tokenize, struct.pack
+    tokenizer(path).model._resize_cache(0)  # remembered here
 
-    def core_ids(core: str) -> bytes:
-        ids = [t.id for t in tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS))]
+    def core_ids(core: bytes) -> bytes:
+        text = core.decode("latin-1")
+        ids = [t.id for part in ((text,) if text.isalpha() else _PRETOKENS.findall(text)) for t in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS))]
         return pack(f"<{len(ids)}I", *ids)
 
     def word_ids(word: bytes) -> bytes:
-        """Plain words skip normaliser and pre-tokeniser, which would leave them as they are."""
-        text = word.decode("utf-8", "replace")
-        lower = text.lower()
-        core = lower.rstrip(_SIGNS)
-        if not (core.isascii() and core.isalpha()) and not _PLAIN.fullmatch(lower):
-            return array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
-        cores = _cores[path]
-        if len(core) == len(lower):
-            return cores[core]
-        return (cores[core] if core else b"") + cores[lower[len(core) :]]
-
-    return _Memory(CACHED, word_ids), _Memory(CORES, core_ids)
-
-
-def document_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
-    """Ids of each text as little-endian uint32. The tokenizer drops white space and never joins
-    over it, so a text's ids are those of its words."""
-    if path not in _ids:
-        _ids[path], _cores[path] = _memories(path)
-    for text in texts:
-        yield b"".join(map(_ids[path].__getitem__, text.split()))
-        _ids[path], _cores[path] = _ids[path].turn(), _cores[path].turn()
+        return array("I", whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    return _Memory(CORES, core_ids), _Memory(CACHED, word_ids)
+
+
+def _plain(text: str) -> bytes | None:
+    """The text in Latin-1, or None if it has other characters, or marks as special tokens have them."""
+    try:
+        own = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if own.translate(None, _PLAIN) or b"<|" in own else own
+
+
+def pretokens(texts: list[bytes]) -> list[bytes]:
+    """Texts as ``_plain`` gives them in lower case, with a space wherever a pre-token ends."""
+    if not texts:
+        return []
+    low = np.frombuffer(b"\0".join(texts).translate(_LOWER), np.uint8)
+    kinds = _KINDS[low]
+    ends = np.flatnonzero(_ENDS[kinds[:-1] * np.uint8(5) + kinds[1:]]) + 1
+    return np.insert(low, ends, 32).tobytes().split(b"\0")
+
+
+def document_ids(texts: list[str], path: str) -> Iterator[bytes]:
+    """Ids of each text as little-endian uint32. Pre-tokens are encoded by themselves, and the tokenizer drops white space and
+    never joins over it, so a text's ids are those of its pre-tokens, or of its words where it has other characters."""
+    if path not in _cores:
+        _cores[path], _words[path] = _memories(path)
+    plain = [_plain(text) for text in texts]
+    parted = iter(pretokens([own for own in plain if own is not None]))
+    for text, own in zip(texts, plain, strict=True):
+        if own is None:
+            yield b"".join(map(_words[path].__getitem__, text.encode("utf-8", "replace").split()))
+        else:
+            yield b"".join(map(_cores[path].__getitem__, next(parted).split()))
+        _cores[path], _words[path] = _cores[path].turn(), _words[path].turn()
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -137,7 +163,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, 1, 2 << 20):
             doc, piece, start, length, crc = [], [], [], [], []
-            texts = [t.encode() if t else b"" for t in part.column(1).to_pylist()]
+            texts = [t or "" for t in part.column(1).to_pylist()]
             for doc_id, ids in zip(part.column(0).to_pylist(), document_ids(texts, path), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
