@@ -36,6 +36,8 @@ PERMS, BANDS, ROWS = 400, 20, 5
 #: The most that these odds may be at any threshold.
 MISSED = 9e-6
 BLOCK = 512
+#: Labels of at most so many nodes (some 100 bytes each in memory) are broadcast; above it their joins shuffle.
+ROUND_ROWS = 100_000
 #: Elements of a set whose permutations are held at once.
 WALK = 8192
 #: Bytes of text that are hashed at once.
@@ -218,22 +220,31 @@ def components(links: DataFrame) -> DataFrame:
 
     Union-find contracts each partition's links first. Then labels fall to the smallest label of
     neighbours, with a pointer jump per round; rounds are written tables and stop when no label
-    changed, so their number grows with the logarithm of a component's width.
+    changed, so their number grows with the logarithm of a component's width. Few labels are broadcast,
+    so that a round shuffles once: the driver keeps books on every task.
     """
-    small = stage(links.mapInArrow(_forest, _PAIR).distinct(), "forest")
-    edges = stage(small.select("a", "b").union(small.select("b", "a")), "edges")
+    forest = stage(links.mapInArrow(_forest, _PAIR).distinct(), "forest")
+    edges = forest.select("a", "b").union(forest.select("b", "a"))
     labels = stage(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    few = _few(labels)
     while True:
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy(edges["a"].alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        new = stage(step.join(jump, "low", "left").select("node", F.least("low", "far").alias("next"), "label"), "round")
+        # Sides that are broadcast are alike but for their names, so that one exchange serves all three joins.
+        at, own, far = (F.broadcast(t) if few else t for t in (labels.alias("at"), labels.alias("own"), labels.alias("far")))
+        near = edges.join(at, F.col("b") == F.col("at.node")).groupBy("a").agg(F.min("at.label").alias("near"))
+        step = near.join(own, F.col("a") == F.col("own.node")).select("a", F.col("own.label").alias("before"), F.least("own.label", "near").alias("low"))
+        jumped = step.join(far, F.col("low") == F.col("far.node"), "left")
+        new = stage(jumped.select(F.col("a").alias("node"), F.least("low", "far.label").alias("next"), F.col("before").alias("label")), "round")
         changed = not new.where(F.col("next") != F.col("label")).isEmpty()
         labels = new.select("node", F.col("next").alias("label"))
         if not changed:
             return labels
 
 
+def _few(labels: DataFrame) -> bool:
+    """Whether staged labels are few enough to be broadcast in each round."""
+    return labels.limit(ROUND_ROWS + 1).count() <= ROUND_ROWS
+
+
 def _cross(percent: int, least: float, verify: bool):
     """Compare members of different components, block pair by block pair; rows come sorted by block pair.
 
@@ -329,7 +340,7 @@ def classes(docs: DataFrame, percent: int = 85, shingle: int = 5, perms: int = P
         labels = components(stage(links.union(more), "all-links"))
 
     # A set of one row without a link is a group of its own; rows of the others meet their group.
-    named = reps.select("doc", "set_key", "low", "rows").join(labels, F.col("doc") == F.col("node"), "left").where("label IS NOT NULL OR rows > 1")
+    named = reps.select("doc", "set_key", "low", "rows").join(sized(labels, ROUND_ROWS), F.col("doc") == F.col("node"), "left").where("label IS NOT NULL OR rows > 1")
     named = stage(named.select("set_key", F.coalesce("label", "doc").alias("group"), "low"), "linked-sets")
     lowest = stage(named.groupBy("group").agg(F.min("low").alias("lowest")), "groups")
     named = stage(named.join(sized(lowest), "group").select("set_key", "group", "lowest"), "named-sets")
@@ -386,7 +397,7 @@ def _open_links(docs: DataFrame, members: DataFrame, sig: DataFrame, labels: Dat
     each other. Blocks of at most about BLOCK members are compared, so no task holds a bucket.
     """
     big = members.where("members > 2")
-    tagged = big.join(labels, big["doc"] == labels["node"], "left").select("key", "band", "doc", F.coalesce("label", "doc").alias("label"))
+    tagged = big.join(sized(labels, ROUND_ROWS), big["doc"] == labels["node"], "left").select("key", "band", "doc", F.coalesce("label", "doc").alias("label"))
     tagged = stage(tagged, "tagged")
     counts = tagged.groupBy("key", "label").agg(F.count("*").alias("c"))
     main = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("n_all"))

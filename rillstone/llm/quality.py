@@ -137,8 +137,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
     table = rows.toArrow().sort_by("doc_id")
-    texts = [t or "" for t in table.column("text").to_pylist()]
-    return train(texts, table.column("quality").to_pylist())
+    model = train([t or "" for t in table.column("text").to_pylist()], table.column("quality").to_pylist())
+    del table
+    release()  # the driver lives on, and what features of the sample took would stay with it
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

@@ -105,6 +105,36 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark):
     assert near_dedup.keep_one(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, near_dedup.ROUND_ROWS])
+def test_components(spark, monkeypatch, few):
+    """Chains and trees, with labels that are shuffled and with labels that are broadcast, which leaves one shuffle a round."""
+    rng = random.Random(3)
+    name = lambda i: hashlib.md5(str(i).encode()).digest()
+    links = [(name(i), name(i + 1)) for i in range(300) if i % 50] + [(name(1000 + i), name(1000 + rng.randrange(i))) for i in range(1, 200)]
+    label = {v: v for link in links for v in link}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    rounds = []
+
+    def staged(df, table, real=near_dedup.stage):
+        if table == "round":
+            rounds.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, table)
+
+    monkeypatch.setattr(near_dedup, "stage", staged)
+    monkeypatch.setattr(near_dedup, "ROUND_ROWS", few)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = spark.createDataFrame([(min(x), max(x)) for x in links], "a binary, b binary").repartition(20)
+        got = {bytes(r.node): bytes(r.label) for r in near_dedup.components(frame).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == label
+    assert len(rounds) > 1 and all((plan.count("Exchange hashpartitioning") == 1) == bool(few) for plan in rounds)
+
+
 def test_superminhash_of_large_sets_is_that_of_their_parts():
     elements = np.random.default_rng(3).integers(0, 1 << 63, near_dedup.WALK * 2 + 5, dtype=np.uint64)
     whole = near_dedup.superminhash(elements, 64)

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -238,6 +240,16 @@ def test_quality(spark, odd, none, sf):
     assert {r.score for r in quality.classify(odd, labels.where("false")).collect()} == {0.5}
 
 
+def test_fit_gives_its_memory_back(spark):
+    """The driver lives on after a fit, so that features of the sample must not stay with it (they took 80 MB)."""
+    docs, labels = (read(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    held = lambda: int(re.search(r"Private_Dirty:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+    quality.fit(docs, labels, 5)  # what is loaded once
+    before = held()
+    quality.fit(docs, labels)
+    assert held() - before < 30
+
+
 M64 = (1 << 64) - 1
 
 
